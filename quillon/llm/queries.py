@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup
+from . import exact_dedup, mixing, near_dedup, packing
 from .common import table
 
 
@@ -18,12 +18,16 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_near_dedup": op2_near_dedup, "op4_exact_dedup": op4_exact_dedup}
+    return {"op1_mixing": op1_mixing, "op2_near_dedup": op2_near_dedup, "op3_packing": op3_packing, "op4_exact_dedup": op4_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
