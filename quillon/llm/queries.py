@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, secrets
+from . import exact_dedup, mixing, near_dedup, packing, secrets, toxicity
 from .common import table
 
 
@@ -30,8 +30,14 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out=0)
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_near_dedup": op2_near_dedup, "op3_packing": op3_packing, "op4_exact_dedup": op4_exact_dedup, "op5_secrets": op5_secrets}
+    return {"op1_mixing": op1_mixing, "op2_near_dedup": op2_near_dedup, "op3_packing": op3_packing, "op4_exact_dedup": op4_exact_dedup, "op5_secrets": op5_secrets, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
