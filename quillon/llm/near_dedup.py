@@ -8,10 +8,10 @@ connected component of links.
    bands * rows coordinates (`textvec.sketches`). Texts of one key are one class with the smallest doc_id as its
    representative; only representatives go on, so copies are never paired.
 2. *Band.* Representatives that agree in all rows of a band meet in a bucket; buckets with the same members count
-   once. A bucket above `block` members is cut into blocks, each pair of which is a task's unit of its own, so that
-   no task holds a large bucket. Within a unit, pairs whose sketches agree in fewer coordinates than six standard
+   once. A bucket above `sketch_block` members is cut into blocks, each pair of which is a unit of work of its own, so
+   that no task holds a large bucket. Within a unit, pairs whose sketches agree in fewer coordinates than six standard
    deviations below the threshold are left; the others are joined to clusters, of which only stars are returned.
-3. *Verify.* The components of those stars are cut into blocks in the same way; each unit holds the whole sets of its
+3. *Verify.* The components of those stars are cut into blocks of `block` members in the same way; each unit holds the whole sets of its
    members and links every pair at or above the threshold, by the sizes of intersection and union. Pairs that its
    links have already connected need no proof. Again only stars are returned, and their components are the groups.
 
@@ -154,7 +154,7 @@ def links(units: DataFrame, size: int, least: int, threshold: int) -> DataFrame:
     return dealt.mapInArrow(lambda it: unit_rows(it, size, least, threshold), "a long, b long")
 
 
-def near_dedup(docs: DataFrame, threshold: int = 85, k: int = 5, bands: int = 32, rows: int = 5, block: int = 128) -> DataFrame:
+def near_dedup(docs: DataFrame, threshold: int = 85, k: int = 5, bands: int = 32, rows: int = 5, sketch_block: int = 512, block: int = 128) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of `docs`. component_id is the smallest doc_id of the group."""
     size = bands * rows
     p = threshold / 100
@@ -169,7 +169,7 @@ def near_dedup(docs: DataFrame, threshold: int = 85, k: int = 5, bands: int = 32
     entries = reps.select("cid", F.explode(keys).alias("bucket"))
     buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("cid").alias("first"), F.bit_xor(F.xxhash64("cid")).alias("members")).where("n > 1")
     buckets = buckets.groupBy("n", "first", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    met = in_units(entries.join(buckets, "bucket"), "bucket", "n", block)
+    met = in_units(entries.join(buckets, "bucket"), "bucket", "n", sketch_block)
     near = links(met.join(reps.select("cid", "n_shingles", "sketch"), "cid").select("unit", "cid", "n_shingles", "sketch"), size, least, threshold)
     clusters = components(near)
 
