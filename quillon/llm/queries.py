@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, secrets, toxicity
+from . import exact_dedup, hmm_lm, mixing, near_dedup, packing, secrets, toxicity
 from .common import table
 
 
@@ -36,8 +36,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_near_dedup": op2_near_dedup, "op3_packing": op3_packing, "op4_exact_dedup": op4_exact_dedup, "op5_secrets": op5_secrets, "op9_toxicity": op9_toxicity}
+    return {"op1_mixing": op1_mixing, "op2_near_dedup": op2_near_dedup, "op3_packing": op3_packing, "op4_exact_dedup": op4_exact_dedup, "op5_secrets": op5_secrets, "op9_toxicity": op9_toxicity, "op10_lm_scores": op10_lm_scores}
 
 
 def oracle_sql() -> dict[str, str]:
