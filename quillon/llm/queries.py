@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, fingerprints, hmm_lm, mixing, near_dedup, packing, secrets, toxicity
+from . import exact_dedup, fingerprints, hmm_lm, mixing, near_dedup, packing, quality, secrets, token_counts, toxicity
 from .common import table
 
 
@@ -30,12 +30,21 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.corpus_rollup(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).totals()
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
     shown = {"fingerprint": fingerprints.shown(F.col("prints")), "edited_fingerprint": fingerprints.shown(F.col("edited_prints"))}
     return made.withColumns(shown).drop("prints", "edited_prints")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.quality_scores(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out=0)
@@ -47,8 +56,8 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_near_dedup": op2_near_dedup, "op3_packing": op3_packing, "op4_exact_dedup": op4_exact_dedup, "op5_secrets": op5_secrets, "op7_fingerprints": op7_fingerprints, "op9_toxicity": op9_toxicity, "op10_lm_scores": op10_lm_scores}
+    return {"op1_mixing": op1_mixing, "op2_near_dedup": op2_near_dedup, "op3_packing": op3_packing, "op4_exact_dedup": op4_exact_dedup, "op5_secrets": op5_secrets, "op6_token_counts": op6_token_counts, "op7_fingerprints": op7_fingerprints, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_lm_scores": op10_lm_scores}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.SQL}
+    return {"op4_exact_dedup": exact_dedup.SQL, "op6_token_counts": token_counts.SQL}
