@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..operators import chunking, layers, metrics, ranking, relations, retrieve
 from ..sources import tables
 from ..sources.tables import read, small
+from ..streaming.latency import latency
 from .engine import Engine
 from .reference import ID_LISTS_SQL, QUESTIONS_SQL, STATS_SQL, STOP_SQL, gold_lists, query, typed_questions, uses
 from .retrieval import ENTITY_SQL, FUSED, HITS, PASSAGES, SENTENCES, TWO_LISTS, WITH_QRELS, bm25_sql, graph_of, hybrid_hits, passage_units, sentence_units
@@ -334,6 +335,11 @@ def stage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.timed(stages).withColumn("ms", F.round("ms", 6))
 
 
+@query("latency_windows", "select time_bucket(interval '1 hour', ts) as start, event_type as source, count(*) as n, round(sum(value), 6) as sum_ms, max(value) as max_ms from events group by 1, 2")
+def latency_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latency(read(spark, sf_dir, "events"))
+
+
 @query("config_matrix", "select s || '+' || r || case when k then '+rerank' else '' end as label, s as strategy, r as retriever, k as rerank, case when k then 30 else 10 end as depth from (values ('passage'), ('sentence'), ('fixed_128_32')) a(s), (values ('bm25'), ('dense'), ('hybrid'), ('grep'), ('kg')) b(r), (values (false), (true)) c(k)")
 def config_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     configs = matrix(("passage", "sentence", "fixed_128_32"), ("bm25", "dense", "hybrid", "grep", "kg"), rerank=(False, True))
