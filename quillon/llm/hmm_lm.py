@@ -100,25 +100,23 @@ def chains(model: Hmm, begin: np.ndarray, parts: list[np.ndarray]) -> tuple[np.n
     return alpha[back], logs[back]
 
 
-def log_likelihood(model: Hmm, texts: list[np.ndarray], segment: int = 4096) -> np.ndarray:
-    """Natural log of each text's probability."""
-    states, out = len(model.start), np.zeros(len(texts))
-    short = [i for i, t in enumerate(texts) if len(t) <= segment]
-    for lo in range(0, len(short), 4096):
-        some = short[lo : lo + 4096]
-        out[some] = chains(model, np.tile(model.start, (len(some), 1)), [texts[i] for i in some])[1]
-    for i in (i for i, t in enumerate(texts) if len(t) > segment):
-        cuts = [texts[i][lo : lo + segment] for lo in range(0, len(texts[i]), segment)]
-        v, total = chains(model, model.start[None], cuts[:1])
-        v, total = v[0], float(total[0])
-        for lo in range(1, len(cuts), 64):
-            some = cuts[lo : lo + 64]
-            a, logs = chains(model, np.tile(model.move, (len(some), 1)), [c for c in some for _ in range(states)])
-            for m, s in zip(a.reshape(-1, states, states), logs.reshape(-1, states), strict=True):
-                v = (v * np.exp(s - s.max())) @ m
-                total += float(s.max() + np.log(v.sum()))
-                v = v / v.sum()
-        out[i] = total
+def log_likelihood(model: Hmm, texts: list[np.ndarray], segment: int = 2048, at_once: int = 4096) -> np.ndarray:
+    """Natural log of each text's probability. The cuts of all long texts run together, `at_once` chains at a time."""
+    states = len(model.start)
+    first = [t[:segment] for t in texts]
+    weights, out = np.zeros((len(texts), states)), np.zeros(len(texts))
+    for lo in range(0, len(texts), at_once):
+        part = slice(lo, lo + at_once)
+        weights[part], out[part] = chains(model, np.tile(model.start, (len(first[part]), 1)), first[part])
+    cuts = [(i, texts[i][lo : lo + segment]) for i in range(len(texts)) for lo in range(segment, len(texts[i]), segment)]
+    step = max(1, at_once // states)
+    for lo in range(0, len(cuts), step):
+        some = cuts[lo : lo + step]
+        a, logs = chains(model, np.tile(model.move, (len(some), 1)), [c for _, c in some for _ in range(states)])
+        for (i, _), m, s in zip(some, a.reshape(-1, states, states), logs.reshape(-1, states), strict=True):
+            v = (weights[i] * np.exp(s - s.max())) @ m
+            out[i] += float(s.max() + np.log(v.sum()))
+            weights[i] = v / v.sum()
     return out
 
 
