@@ -8,8 +8,8 @@ training first gives every word its documents' labels, weighted by document coun
 words of toxic documents as toxic that the first model finds so (at least the worst of each). A logistic fit of the
 documents' largest word logits turns them into probabilities.
 
-Training uses at most `max_rows` labelled documents, chosen by a hash of doc_id (a documented bound; the driver holds
-them). Scoring reads every text whole; since the softmax is linear in the mean, each bucket is reduced to one number
+Training uses at most `max_rows` labelled documents, chosen by a hash of doc_id (a documented bound), in one task; only
+the model goes to the driver. Scoring reads every text whole; since the softmax is linear in the mean, each bucket is reduced to one number
 first (`2**bits` floats, sent to executors), and a text costs a gather for each n-gram.
 
 Null and empty texts have no words and score as the prior of the training labels. Labels other than 0 and 1 and null
@@ -213,9 +213,23 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, max_rows:
         known = known.where(fold(F.col("doc_id")) != held_out)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     picked = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_rows)
-    # At most max_rows ids, so it may be broadcast.
-    found = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train([t or "" for t in found["text"].to_pylist()], np.array(found["toxic"].to_pylist()), seed=seed, **options)
+    # At most max_rows ids, so it may be broadcast; the same bound holds for the one task that trains.
+    found = rows.join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").repartition(1).sortWithinPartitions("doc_id", "text")
+    options |= {"seed": seed}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[str] = []
+        marks: list[int] = []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            marks += batch.column("toxic").to_pylist()
+        m = train(texts, np.array(marks), **options)
+        yield pa.RecordBatch.from_pydict({"weight": [m.weight.tobytes()], "numbers": [[m.bias, m.slope, m.shift, m.prior]]})
+
+    made = found.mapInArrow(run, "weight binary, numbers array<double>").first()
+    if made is None:
+        return train([], np.zeros(0), **options)
+    return Model(np.frombuffer(made["weight"], np.float32), *made["numbers"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
