@@ -6,43 +6,126 @@ Units are (chunk_id, passage_id, text); questions are (query_id, query_text). Hi
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions import vectors
-from ..sources.tables import small
 from . import index
 from .ranking import ranked, rrf, top_hits
 
 
+def few(questions: DataFrame, most: int = 5_000) -> bool:
+    """Whether there are few enough questions to send what is made of them alone (their terms, with a row for each) to all tasks."""
+    return questions.limit(most + 1).count() <= most
+
+
+def sender(questions: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Marks frames with at most a few dozen rows for each question for broadcast, if there are few questions; else leaves
+    them, and joins shuffle. The check counts questions, never what is made of them."""
+    return F.broadcast if few(questions) else (lambda df: df)
+
+
 def bm25(questions: DataFrame, units: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, stop: list[str] | None = None) -> DataFrame:
     """Lucene's BM25: idf = ln(1 + (N - df + 0.5) / (df + 0.5)), tf / (tf + k1 (1 - b + b dl / avgdl)).
 
-    A query term counts as often as it occurs. Units without tokens count for N and the mean length. Only postings
-    of query terms are shuffled.
+    A query term counts as often as it occurs. Units without tokens count for N and the mean length. Units are tokenised
+    once: one shuffle by unit has the postings of query terms and, under the empty term, a row for each unit's length.
     """
+    sent = sender(questions)
     tokenised = index.lengths(units, stop)
-    stats = tokenised.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     asked = questions.select("query_id", F.explode(tx.index_tokens(F.col("query_text"), stop)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    terms = asked.select("term").distinct()
-    rows = tokenised.select("chunk_id", "passage_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(small(terms), "term")
-    found = rows.groupBy("chunk_id", "passage_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    terms = asked.select("term").distinct().unionByName(questions.sparkSession.createDataFrame([("",)], "term string"))
+    rows = tokenised.select("chunk_id", "passage_id", F.size("tokens").alias("dl"), F.explode(F.array_append("tokens", F.lit(""))).alias("term")).join(sent(terms), "term")
+    found = rows.repartition("chunk_id").groupBy("chunk_id", "passage_id", "dl", "term").agg(F.count("*").alias("tf"))  # scores are then summed in place
+    stats = found.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = found.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     weighted = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats is one row
-    plan = asked.join(weighted, "term")
     tf = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = found.join(small(plan), "term").groupBy("query_id", "chunk_id", "passage_id").agg(F.round(F.sum(F.col("qf") * F.col("idf") * tf), 6).alias("score"))
+    parts = found.where("term <> ''").join(sent(weighted), "term").select("chunk_id", "passage_id", "term", (F.col("idf") * tf).alias("part"))
+    if few(questions):
+        return top_hits(summed(parts, asked, k), k)
+    scored = parts.join(asked, "term").groupBy("query_id", "chunk_id", "passage_id").agg(F.round(F.sum(F.col("qf") * F.col("part")), 6).alias("score"))
     return top_hits(scored.where("score > 0"), k)
 
 
-def dense(queries: DataFrame, vectors_of: DataFrame, k: int = 10, floor: float | None = None) -> DataFrame:
+def best_cells(score: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of what may be among the k best of a row and is above `floor`; ties with the k-th stay, as they are
+    decided later."""
+    least = np.partition(score, -k, axis=1)[:, -k][:, None] if score.shape[1] > k else -np.inf
+    return np.nonzero((score >= least) & (score > floor))
+
+
+def summed(parts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Scores of units (parts: chunk_id, passage_id, term, part, dealt by chunk_id) for few questions (asked: query_id, term,
+    qf), whose term counts go to all tasks as a matrix: the score of a unit for all questions is a sum over its postings,
+    and a batch hands on its own k best units for each question, instead of a row for every pair of question and unit."""
+    counts = asked.toArrow()  # at most a few dozen rows for each of the few questions
+    terms = {t: i for i, t in enumerate(dict.fromkeys(counts["term"].to_pylist()))}
+    ids = sorted(set(counts["query_id"].to_pylist()))
+    at = {q: i for i, q in enumerate(ids)}
+    cells = np.array([[terms[t], at[q], n] for t, q, n in zip(*(counts[c].to_pylist() for c in ("term", "query_id", "qf")), strict=True)], np.int64).reshape(-1, 3)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = []
+        for lo in range(0, len(ids), 256):
+            block = np.zeros((len(terms), min(256, len(ids) - lo)))
+            own = cells[(cells[:, 1] >= lo) & (cells[:, 1] < lo + 256)]
+            block[own[:, 0], own[:, 1] - lo] = own[:, 2]
+            blocks.append((np.array(ids[lo : lo + 256]), block))
+        held: pa.Table | None = None
+
+        def scores(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            chunk, passage, part = (rows[c].to_numpy() for c in ("chunk_id", "passage_id", "part"))
+            term = np.array([terms[t] for t in rows["term"].to_pylist()])
+            first = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+            for own, block in blocks:
+                score = np.round(np.add.reduceat(block[term] * part[:, None], first, axis=0).T, 6)
+                q, c = best_cells(score, k, 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(chunk[first[c]]), pa.array(passage[first[c]]), pa.array(score[q, c])], names=["query_id", "chunk_id", "passage_id", "score"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            last = int(np.searchsorted(held["chunk_id"].to_numpy(), held["chunk_id"][-1].as_py()))  # the last unit may go on
+            if last:
+                yield from scores(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None:
+            yield from scores(held)
+
+    return parts.sortWithinPartitions("chunk_id").mapInArrow(run, "query_id long, chunk_id long, passage_id long, score double")
+
+
+def dense(queries: DataFrame, vectors_of: DataFrame, k: int = 10, floor: float | None = None, most: int = 20_000) -> DataFrame:
     """Exact cosine top-k. `queries`: (query_id, query_vec); `vectors_of`: (chunk_id, passage_id, embedding), unit vectors.
 
-    The questions are sent to the vectors, never the other way round, and each task keeps its own best k before the shuffle.
+    Up to `most` questions go to the vectors as one matrix: a batch of vectors costs a matrix product, and each batch hands on
+    its own best k for each question. More questions are multiplied pair by pair in native expressions.
     """
-    score = F.round(vectors.dot(F.col("query_vec"), F.col("embedding")), 6)
-    scored = vectors_of.crossJoin(F.broadcast(queries) if queries.limit(100_001).count() <= 100_000 else queries).withColumn("score", score)
-    scored = scored.select("query_id", "chunk_id", "passage_id", "score")
+    if queries.limit(most + 1).count() > most:
+        scored = vectors_of.crossJoin(queries).withColumn("score", F.round(vectors.dot(F.col("query_vec"), F.col("embedding")), 6)).select("query_id", "chunk_id", "passage_id", "score")
+    else:
+        asked = queries.select("query_id", "query_vec").toArrow()  # at most `most` rows
+        ids = asked["query_id"].to_numpy()
+        matrix = np.array(asked["query_vec"].to_pylist(), np.float64).reshape(len(ids), -1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows or not len(ids):
+                    continue
+                own = np.array(batch.column("embedding").to_pylist(), np.float64)
+                for lo in range(0, len(ids), 512):
+                    score = np.round(matrix[lo : lo + 512] @ own.T, 6)
+                    q, v = best_cells(score, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + q]), batch.column("chunk_id").take(pa.array(v)), batch.column("passage_id").take(pa.array(v)), pa.array(score[q, v])], names=["query_id", "chunk_id", "passage_id", "score"])
+
+        scored = vectors_of.select("chunk_id", "passage_id", "embedding").mapInArrow(run, "query_id long, chunk_id long, passage_id long, score double")
     return top_hits(scored if floor is None else scored.where(F.col("score") >= floor), k)
 
 
@@ -71,7 +154,7 @@ def term_matches(questions: DataFrame, passages: DataFrame) -> DataFrame:
     terms = asked_terms(questions).withColumn("word", F.regexp_extract("term", r"^[a-z0-9]+", 0))
     plain = F.col("term") == F.col("word")
     at = passages.select("passage_id", "text", F.explode(words_of(F.col("text"))).alias("word"))
-    met = at.join(small(terms), "word")
+    met = at.join(sender(questions)(terms), "word")
     whole = F.concat(F.lit(r"(^|[^\p{L}\p{N}_])"), F.col("term"), F.lit(r"([^\p{L}\p{N}_]|$)"))
     return met.where(plain | F.rlike(F.lower("text"), whole)).select("query_id", "passage_id", "term").distinct()
 
@@ -85,13 +168,13 @@ def literal(questions: DataFrame, passages: DataFrame, chunks_text: DataFrame, k
     scored = found.join(df, ["query_id", "term"]).crossJoin(F.broadcast(n))  # one row
     scored = scored.groupBy("query_id", "passage_id").agg(F.round(F.sum(F.ln(F.col("n") / F.col("df"))), 6).alias("score"), F.sort_array(F.collect_set("term")).alias("terms"))
     best = ranked(scored, ["query_id"], [F.desc("score"), F.asc("passage_id")], candidates, "nth")
-    held = chunks_text.select("chunk_id", "passage_id", "chunk_index", F.lower("text").alias("low")).join(small(best), "passage_id")
+    held = chunks_text.select("chunk_id", "passage_id", "chunk_index", F.lower("text").alias("low")).join(sender(questions)(best), "passage_id")
     held = held.withColumn("chunk_hits", F.size(F.filter("terms", lambda t: F.contains("low", t)))).drop("low")
     one = ranked(held, ["query_id", "passage_id"], [F.desc("chunk_hits"), F.asc("chunk_index")], 1, "pick").drop("pick", "nth")
     return top_hits(one, k)
 
 
-def match_entities(terms: DataFrame, kept: DataFrame, per_term: int = 3, floor: float = 0.55) -> DataFrame:
+def match_entities(terms: DataFrame, kept: DataFrame, per_term: int = 3, floor: float = 0.55, sent: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(query_id, name, doc_freq, term, sim): entities for terms (query_id, term).
 
     A term that is an entity's name matches it alone; any other matches its `per_term` most similar names by trigrams, if at
@@ -101,7 +184,7 @@ def match_entities(terms: DataFrame, kept: DataFrame, per_term: int = 3, floor:
     missed = terms.join(kept.select(F.col("name").alias("term")), "term", "left_anti").select("term").distinct()
     a = missed.withColumn("g", tx.trigrams(F.col("term"))).select("term", F.size("g").alias("na"), F.explode("g").alias("gram"))
     e = kept.withColumn("g", tx.trigrams(F.col("name"))).select("name", "doc_freq", F.size("g").alias("nb"), F.explode("g").alias("gram"))
-    both = e.join(small(a), "gram").groupBy("term", "name", "doc_freq", "na", "nb").agg(F.count("*").alias("i"))
+    both = e.join(sent(a), "gram").groupBy("term", "name", "doc_freq", "na", "nb").agg(F.count("*").alias("i"))
     near = both.withColumn("sim", F.round(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), 6)).where(F.col("sim") >= floor)
     best = ranked(near, ["term"], [F.desc("sim"), F.desc("doc_freq"), F.asc("name")], per_term, "nth").select("term", "name", "doc_freq", "sim")
     return exact.unionByName(terms.join(best, "term").select("query_id", "name", "doc_freq", "term", "sim"))
@@ -110,16 +193,17 @@ def match_entities(terms: DataFrame, kept: DataFrame, per_term: int = 3, floor:
 def graph_scores(questions: DataFrame, edges: DataFrame, kept: DataFrame, n_passages: int, candidates: int = 40, hop_entities: int = 15, damping: float = 0.3) -> DataFrame:
     """(query_id, passage_id, score, path): seeds score ln(N / df) on their passages; the entities that occur most with the
     seeds in the best passages add a damped share on all of theirs. An entity matched twice counts once."""
-    seeds = match_entities(asked_terms(questions), kept).groupBy("query_id", "name", "doc_freq").agg(F.max("sim").alias("sim"))
+    sent = sender(questions)
+    seeds = match_entities(asked_terms(questions), kept, sent=sent).groupBy("query_id", "name", "doc_freq").agg(F.max("sim").alias("sim"))
     weight = F.ln(F.lit(float(n_passages)) / F.greatest("doc_freq", F.lit(1)))
     lists = edges.select("name", "passage_id")
-    first = lists.join(small(seeds), "name").select("query_id", "passage_id", weight.alias("w"), F.col("name").alias("step"))
+    first = lists.join(sent(seeds), "name").select("query_id", "passage_id", weight.alias("w"), F.col("name").alias("step"))
     scored = first.groupBy("query_id", "passage_id").agg(F.round(F.sum("w"), 6).alias("score"))
     best = ranked(scored, ["query_id"], [F.desc("score"), F.asc("passage_id")], candidates, "nth").select("query_id", "passage_id")
     size = best.groupBy("query_id").agg(F.count("*").alias("n_best"))
-    beside = edges.join(small(best), "passage_id").join(seeds.select("query_id", "name"), ["query_id", "name"], "left_anti")
+    beside = edges.join(sent(best), "passage_id").join(seeds.select("query_id", "name"), ["query_id", "name"], "left_anti")
     beside = ranked(beside.groupBy("query_id", "name", "doc_freq").agg(F.count("*").alias("co")), ["query_id"], [F.desc("co"), F.asc("name")], hop_entities, "nth")
-    hop = lists.join(small(beside.join(size, "query_id").drop("nth")), "name")
+    hop = lists.join(sent(beside.join(size, "query_id").drop("nth")), "name")
     second = hop.select("query_id", "passage_id", (damping * weight * F.col("co") / F.col("n_best")).alias("w"), F.concat(F.lit("~"), F.col("name")).alias("step"))
     return first.unionByName(second).groupBy("query_id", "passage_id").agg(F.round(F.sum("w"), 6).alias("score"), F.slice(F.sort_array(F.collect_set("step")), 1, 8).alias("path"))
 
@@ -128,6 +212,6 @@ def graph(questions: DataFrame, edges: DataFrame, kept: DataFrame, n_passages: i
     """Graph retrieval; a passage's first chunk stands for it unless `chunks` has `likeness` (query_id, chunk_id rows carry
     the cosine), in which case the most alike one does."""
     best = ranked(graph_scores(questions, edges, kept, n_passages, candidates), ["query_id"], [F.desc("score"), F.asc("passage_id")], candidates, "nth").drop("nth")
-    held = chunks.select("chunk_id", "passage_id", "chunk_index").join(small(best), "passage_id")
+    held = chunks.select("chunk_id", "passage_id", "chunk_index").join(sender(questions)(best), "passage_id")
     one = ranked(held, ["query_id", "passage_id"], [F.asc("chunk_index")], 1, "pick").drop("pick")
     return top_hits(one, k)

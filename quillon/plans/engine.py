@@ -10,7 +10,6 @@ from ..config import RetrievalConfig
 from ..functions import vectors
 from ..operators import chunking, index, layers, metrics, ranking, retrieve
 from ..sources import tables
-from ..sources.tables import small
 
 COMMON = ["query_id", "chunk_id", "passage_id", "score", "rank"]
 
@@ -60,7 +59,7 @@ class Engine:
     def queries(self, questions: DataFrame, config: RetrievalConfig) -> DataFrame:
         """(query_id, nth, query_text) of a transform, by feedback from a first retrieval."""
         first = self._base(questions, config, 3)
-        text = self.units(config.strategy).select("chunk_id", "text").join(small(first), "chunk_id")
+        text = self.units(config.strategy).select("chunk_id", "text").join(retrieve.sender(questions)(first), "chunk_id")
         return layers.feedback_queries(questions, text, {"hyde": 1, "multi_query": 3, "decompose": 3}[config.transform])
 
     def retrieve(self, questions: DataFrame, config: RetrievalConfig) -> DataFrame:
@@ -70,7 +69,7 @@ class Engine:
         else:
             hits = layers.multi_query(self.queries(questions, config), lambda q, k: self._base(q, config, k), config.depth).select(COMMON)
         if config.rerank:
-            text = self.units(config.strategy).select("chunk_id", "text").join(small(hits), "chunk_id")
+            text = self.units(config.strategy).select("chunk_id", "text").join(retrieve.sender(questions)(hits), "chunk_id")
             hits = layers.rerank(text, questions, config.top_k).select(COMMON)
         return hits
 
@@ -80,7 +79,7 @@ class Engine:
             return layers.expand_window(hits, self.units(config.strategy).drop("text"), self.passages).withColumnRenamed("context_text", "text")
         if config.expansion == "parent":
             return layers.expand_parent(hits, self.passages).withColumnRenamed("context_text", "text")
-        return self.units(config.strategy).select("chunk_id", "text").join(small(hits), "chunk_id")
+        return self.units(config.strategy).select("chunk_id", "text").join(hits, "chunk_id")
 
     def ask(self, questions: DataFrame, config: RetrievalConfig) -> DataFrame:
         """(query_id, answer, passages, valid, invalid): an extractive answer to each question with checked citations."""

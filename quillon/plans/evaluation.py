@@ -8,7 +8,7 @@ from ..config import RetrievalConfig, matrix
 from ..functions import text as tx
 from ..operators import chunking, layers, metrics, ranking, relations, retrieve
 from ..sources import tables
-from ..sources.tables import read, small
+from ..sources.tables import read
 from ..streaming.latency import latency
 from .engine import Engine
 from .reference import ID_LISTS_SQL, QUESTIONS_SQL, STATS_SQL, STOP_SQL, gold_lists, query, typed_questions, uses
@@ -26,7 +26,7 @@ def sentence_hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
 
 
 def with_text(hits: DataFrame, units: DataFrame) -> DataFrame:
-    return units.select("chunk_id", "text").join(small(hits), "chunk_id")
+    return units.select("chunk_id", "text").join(F.broadcast(hits), "chunk_id")  # thirty rows for each of the benchmark's questions
 
 
 # --- layers
@@ -364,7 +364,7 @@ def explore_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def explore_question_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tables.passages(spark, sf_dir)
     gold = gold_lists(spark, sf_dir).select("query_id", F.explode("ids").alias("passage_id"))
-    return p.join(small(gold), "passage_id").select("query_id", "passage_id", F.left("text", F.lit(160)).alias("preview"))
+    return p.join(gold, "passage_id").select("query_id", "passage_id", F.left("text", F.lit(160)).alias("preview"))
 
 
 @query("explore_passage", STATS_SQL + ", per as (select passage_id, strategy, list(chunk_index || ':' || char_start || ':' || char_end order by chunk_index) as spans from every group by 1, 2) select passage_id, strategy, spans from per")

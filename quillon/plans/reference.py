@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..functions import vectors
 from ..operators import chunking, index, layers, metrics, ranking, relations, retrieve
 from ..sources import tables
-from ..sources.tables import read, small
+from ..sources.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

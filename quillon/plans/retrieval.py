@@ -8,7 +8,7 @@ from ..config import RetrievalConfig, matrix
 from ..functions import text as tx
 from ..operators import chunking, index, layers, metrics, ranking, relations, retrieve
 from ..sources import tables
-from ..sources.tables import read, small
+from ..sources.tables import read
 from .reference import STOP_SQL, TERM_STOP_SQL, WITH, query, uses
 
 SENTENCES = ("passages", "questions", "sent", "spans", "sentence_chunks", "sentence_units")
@@ -205,7 +205,7 @@ def kg_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges, kept, _ = graph_of(spark, sf_dir)
     seeds = kept.orderBy(F.desc("doc_freq"), "name").limit(5).select(F.col("name").alias("seed"))
     at = edges.join(F.broadcast(seeds), edges["name"] == seeds["seed"]).select("seed", "passage_id")  # five rows
-    near = edges.join(small(at), "passage_id").where("name <> seed").groupBy("seed", "name", "doc_freq").agg(F.count("*").alias("shared"))
+    near = edges.join(at, "passage_id").where("name <> seed").groupBy("seed", "name", "doc_freq").agg(F.count("*").alias("shared"))
     return ranking.ranked(near, ["seed"], [F.desc("shared"), F.asc("doc_freq"), F.asc("name")], 12, "nth").drop("nth")
 
 
@@ -251,7 +251,7 @@ def trigram_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = kept.orderBy(F.desc("doc_freq"), "name").limit(20).select(F.col("name").alias("term"))
     a = terms.withColumn("g", tx.trigrams(F.col("term"))).select("term", F.size("g").alias("na"), F.explode("g").alias("gram"))
     b = kept.withColumn("g", tx.trigrams(F.col("name"))).select("name", F.size("g").alias("nb"), F.explode("g").alias("gram"))
-    both = b.join(small(a), "gram").groupBy("term", "name", "na", "nb").agg(F.count("*").alias("i"))
+    both = b.join(F.broadcast(a), "gram").groupBy("term", "name", "na", "nb").agg(F.count("*").alias("i"))  # a has the trigrams of twenty names
     return both.select("term", "name", F.round(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), 6).alias("sim")).where("sim >= 0.3")
 
 
