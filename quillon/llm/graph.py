@@ -22,7 +22,7 @@ def components(edges: DataFrame, max_rounds: int = 100, salts: int = 8) -> DataF
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         part = F.pmod(F.xxhash64("y"), F.lit(salts)).cast("int")
         least = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        large = both.withColumn("part", part).join(least, ["x", "part"]).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.withColumn("part", part).join(least.hint("merge"), ["x", "part"]).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = stored(small, "edges")
