@@ -61,13 +61,16 @@ def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("passage_id"), "embedding", "label")
 
 
-def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twenty vectors as questions: a fixed query set, against all vectors."""
-    return read(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").alias("query_label"))
+FIRST_TWENTY, HUNDREDTHS = "vec_id < 20", "vec_id % 100 = 0"  # query sets: a fixed one, and one that grows with the table
 
 
-def dense_sql(k: int, name: str = "hits") -> str:
-    return f"""dots as (select q.vec_id as query_id, e.vec_id as passage_id, round(list_inner_product(q.embedding::double[], e.embedding::double[]), 6) as score from embeddings q, embeddings e where q.vec_id < 20),
+def vector_queries(spark: SparkSession, sf_dir: str, asked: str = FIRST_TWENTY) -> DataFrame:
+    """The vectors of a query set as questions, against all vectors."""
+    return read(spark, sf_dir, "embeddings").where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").alias("query_label"))
+
+
+def dense_sql(k: int, name: str = "hits", asked: str = FIRST_TWENTY) -> str:
+    return f"""dots as (select q.vec_id as query_id, e.vec_id as passage_id, round(list_inner_product(q.embedding::double[], e.embedding::double[]), 6) as score from embeddings q, embeddings e where q.{asked}),
  {name} as (select query_id, passage_id as chunk_id, passage_id, score, row_number() over (partition by query_id order by score desc, passage_id)::int as rank from dots qualify rank <= {k})
 """
 
@@ -77,15 +80,34 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.dense(vector_queries(spark, sf_dir).drop("query_label"), vectors_of(spark, sf_dir).drop("label"))
 
 
-@query("dense_label_precision", "with " + dense_sql(11) + "select query_id, round(avg((e.label = q.label)::int), 6) as precision from hits h join embeddings e on e.vec_id = h.passage_id join embeddings q on q.vec_id = h.query_id where h.query_id <> h.passage_id group by 1")
-def dense_label_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieve.dense(vector_queries(spark, sf_dir).drop("query_label"), vectors_of(spark, sf_dir).drop("label"), 11)
+PRECISION_SQL = "select query_id, round(avg((e.label = q.label)::int), 6) as precision from hits h join embeddings e on e.vec_id = h.passage_id join embeddings q on q.vec_id = h.query_id where h.query_id <> h.passage_id group by 1"
+
+
+def label_precision(spark: SparkSession, sf_dir: str, asked: str) -> DataFrame:
+    queries = vector_queries(spark, sf_dir, asked)
+    hits = retrieve.dense(queries.drop("query_label"), vectors_of(spark, sf_dir).drop("label"), 11)
     labels = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("passage_id"), "label")
-    own = read(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
-    rows = hits.where("query_id <> passage_id").join(labels, "passage_id").join(F.broadcast(own), "query_id")  # twenty rows
+    own = queries.select("query_id", F.col("query_label").alias("own"))
+    rows = hits.where("query_id <> passage_id").join(labels, "passage_id").join(retrieve.sender(own)(own), "query_id")
     return rows.groupBy("query_id").agg(F.round(F.avg((F.col("label") == F.col("own")).cast("int")), 6).alias("precision"))
 
 
+@query("dense_label_precision", "with " + dense_sql(11) + PRECISION_SQL)
+def dense_label_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_precision(spark, sf_dir, FIRST_TWENTY)
+
+
+@query("dense_topk_hundredths", "with " + dense_sql(10, asked=HUNDREDTHS) + HITS + "hits")
+def dense_topk_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`dense_topk` with every vector whose id is divisible by 100 as a question."""
+    return retrieve.dense(vector_queries(spark, sf_dir, HUNDREDTHS).drop("query_label"), vectors_of(spark, sf_dir).drop("label"))
+
+
+@query("dense_label_precision_hundredths", "with " + dense_sql(11, asked=HUNDREDTHS) + PRECISION_SQL)
+def dense_label_precision_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_precision(spark, sf_dir, HUNDREDTHS)
+
+
 TWO_LISTS = uses(*SENTENCES, "passage_units").rstrip() + bm25_sql("coarse", "passage_units", 30) + bm25_sql("fine_raw", "sentence_units", 30)
 FUSED = """, fine as (select query_id, passage_id * 1048576 as chunk_id, passage_id, score, row_number() over (partition by query_id order by rank)::int as rank from (select *, row_number() over (partition by query_id, passage_id order by rank, chunk_id) as nth from fine_raw) where nth = 1),
  lists as (select *, 0 as nth, 'passage' as list from coarse union all select *, 1, 'sentence' from fine),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.config import RetrievalConfig, matrix, validated_question
 from quillon.operators import chunking, metrics, ranking, relations
+from quillon.plans import QUERIES
 from quillon.plans.engine import Engine
 from quillon.sources import tables
 
@@ -171,3 +172,9 @@ def test_latency_stream(spark, sf, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("latency_rows").collect())) == sorted(map(tuple, latency(batch).collect()))
+
+
+def test_dense_asks_every_hundredth(spark, sf):
+    ids = {r["vec_id"] for r in tables.read(spark, sf, "embeddings").where("vec_id % 100 = 0").collect()}
+    for name in ("dense_topk_hundredths", "dense_label_precision_hundredths"):
+        assert {r["query_id"] for r in QUERIES[name](spark, sf).collect()} == ids and max(ids) >= 20
