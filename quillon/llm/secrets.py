@@ -9,7 +9,12 @@ decoded and parsed:
 * ``openssh``: a base64 run that is an OpenSSH private key, its length-prefixed fields in order;
 * ``pem``: a PEM private-key block whose body is one of these two, or encrypted with the headers that say so;
 * ``jwt``: three dot-separated parts whose header is a JSON object with a known ``alg`` and whose payload is an object;
-* ``encoded``: a base64 or hex run that decodes to ASCII text in which a base ``assign`` or ``access`` is found.
+* ``encoded``: a base64 or hex run that decodes to ASCII text in which a base ``assign`` or ``access``, a ``pem`` or a
+  ``jwt`` is found.
+
+A base64 run has 16 characters or more (the shortest ``assign`` has 12 bytes) and may go on over lines, which end with LF,
+CRLF or these as escapes (``\\n``). Where a run as a whole holds nothing, each of its lines of 16 characters or more may
+begin a key or text that ends with any later line, the last one that fits.
 
 Spans are code points, end exclusive. Null text counts as empty. Every row gives one row; rows with one doc_id are
 scanned each for itself. Other columns are not read. No row moves between tasks, texts are scanned whole.
@@ -19,7 +24,9 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -33,12 +40,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ANY_HEX = re.compile(r"[0-9A-Fa-f]{24,}")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:[A-Za-z0-9+/=\s:,]|-(?!----))*)-----END \1PRIVATE KEY-----")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+BREAK = r"(?:\r?\n|(?:\\+r)?\\+n)"
+BREAKS = re.compile(BREAK)
+#: No base64 of a key or of ASCII text begins with n, r or t, so one of them after a backslash is the end of an escape.
+BASE64 = re.compile(rf"(?:(?<=\\)[nrt])?([A-Za-z0-9+/_-]{{16,}}(?:{BREAK}[A-Za-z0-9+/_-]+)*={{0,2}})")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:[A-Za-z0-9+/=\s:,]|\\+[nrt/]|-(?!----))*)-----END \1PRIVATE KEY-----")
+ESCAPE = re.compile(r"\\+([nrt/])")
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(?:(?<=\\)[nrt])?(?=([A-Za-z0-9_-]{16,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*))")
+NOT_TEXT = re.compile(rb"[^\x20-\x7e\t\n\r]")
 ALGORITHMS = {"none", "HS256", "HS384", "HS512", "RS256", "RS384", "RS512", "ES256", "ES256K", "ES384", "ES512", "PS256", "PS384", "PS512", "EdDSA"}
 _RUN = bytes(120 if chr(i).isascii() and (chr(i).isalnum() or chr(i) in "+/_-") else 32 for i in range(256))
 _HEX_RUN = bytes(120 if chr(i) in "0123456789abcdefABCDEF" else 32 for i in range(256))
+MAGIC = b"openssh-key-v1\0"
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long"
 
 
@@ -100,24 +113,32 @@ def is_private_der(data: bytes) -> bool:
     return tags[:2] == [0x02, 0x04] and items[0][1] == b"\1" and 16 <= len(items[1][1]) <= 66 and all(t in (0xA0, 0xA1) and der_items(c) for t, c in items[2:])  # SEC 1
 
 
-def is_openssh(data: bytes) -> bool:
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at = len(magic)
+def der_size(head: bytes) -> int | None:
+    """Bytes of the DER sequence that begins with `head`."""
+    if len(head) < 6 or head[0] != 0x30:
+        return None
+    wide = head[1] & 0x7F if head[1] & 0x80 else 0
+    return (2 + wide + int.from_bytes(head[2 : 2 + wide], "big") if wide else 2 + head[1]) if wide <= 4 else None
+
+
+def openssh_size(data: bytes) -> int | None:
+    """Bytes of the OpenSSH private key that `data` begins with."""
+    if not data.startswith(MAGIC):
+        return None
+    at = len(MAGIC)
     for field in range(3):  # cipher, key derivation, its options
         n = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + n > len(data) or field < 2 and not n:
-            return False
+            return None
         at += 4 + n
     keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
     if not 1 <= keys <= 16:
-        return False
+        return None
     for _ in range(keys + 1):  # public keys, then the private part
         if at + 4 > len(data) or at + 4 + (n := int.from_bytes(data[at : at + 4], "big")) > len(data):
-            return False
+            return None
         at += 4 + n
-    return at == len(data)
+    return at
 
 
 def json_object(part: str) -> dict | None:
@@ -133,38 +154,80 @@ def decoded_kind(data: bytes | None) -> int | None:
         return None
     if is_private_der(data):
         return 3
-    if is_openssh(data):
+    if openssh_size(data) == len(data):
         return 4
-    if all(32 <= x < 127 or x in (9, 10, 13) for x in data):
-        return 7 if base_spans(data.decode("ascii")) else None
-    return None
+    return 7 if not NOT_TEXT.search(data) and text_holds(data.decode("ascii")) else None
 
 
-def confirmed_spans(text: str, flat: bytes) -> list[tuple[int, int, int]]:
+def text_holds(text: str) -> bool:
+    return bool(base_spans(text) or container_spans(text))
+
+
+def container_spans(text: str) -> list[tuple[int, int, int]]:
+    """PEM blocks and JWT."""
     found = []
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            head, _, body = m[2].rpartition("\n\n") if "DEK-Info:" in m[2] else ("", "", m[2])
+            body = ESCAPE.sub(lambda e: {"n": "\n", "r": "\r", "t": "\t", "/": "/"}[e[1]], m[2]).replace("\r\n", "\n").strip()
+            head, body = re.split(r"\n[^\S\n]*\n", body, maxsplit=1) if "DEK-Info:" in body and re.search(r"\n[^\S\n]*\n", body) else ("", body)
             data = unbase64(body)
             if head and "ENCRYPTED" in head and data or decoded_kind(data) in (3, 4) or m[1] == "ENCRYPTED " and data and (outer := der_items(data)) and len(outer) == 1 and outer[0][0] == 0x30 and der_items(outer[0][1]):
                 found.append((*m.span(), 5))
-    if "eyJ" in text:
+    if "." in text:
         for m in JWT.finditer(text):
             header = json_object(m[1])
-            if header and header.get("alg") in ALGORITHMS and json_object(m[2]) is not None and (m[3] or header["alg"] == "none"):
-                found.append((*m.span(), 6))
-    if b"x" * 24 in flat.translate(_RUN):
+            if header and isinstance(header.get("alg"), str) and header["alg"] in ALGORITHMS and json_object(m[2]) is not None and (m[3] or header["alg"] == "none"):
+                found.append((m.start(1), m.end(3), 6))
+    return found
+
+
+def line_kinds(run: str, ends: list[int]) -> list[tuple[int, int, int]]:
+    """(first line, last line, kind) of what whole lines of a base64 run hold; `ends`: where each line ends in `run`, which
+    has neither breaks nor padding. The size of a key follows from its first bytes, that of text from the first byte that
+    is none, so a line is decoded once as a beginning, and not once for each possible end."""
+    found, i, at_end = [], 0, {e: j for j, e in enumerate(ends)}
+    text_from = text_to = 0  # what has been read as text without a find
+    while i < len(ends):
+        a, hit = ends[i - 1] if i else 0, None
+        if ends[i] - a >= 16:
+            head = unbase64(run[a : a + 20]) or unbase64(run[a : a + 16]) or b""
+            size, kind = der_size(head), 3
+            if head[:12] == MAGIC[:12]:
+                size, kind = openssh_size(unbase64(run[a:]) or unbase64(run[a:-1]) or b""), 4
+            j = at_end.get(a - (-size * 4 // 3)) if size else None
+            if j is not None and decoded_kind(unbase64(run[a : ends[j]])) == kind:
+                hit = j, kind
+            elif not NOT_TEXT.search(head) and not (a < text_to and (a - text_from) % 4 == 0):
+                n, bad = 256, None
+                while not (bad := NOT_TEXT.search(data := unbase64(run[a : a + n]) or unbase64(run[a : a + n][:-1]) or b"")) and a + n < len(run):
+                    n *= 4
+                size = bad.start() if bad else len(data)
+                j = bisect.bisect_right(ends, size, key=lambda e: (e - a) * 3 // 4) - 1
+                while j >= i and (ends[j] - a) % 4 == 1:
+                    j -= 1
+                if j >= i and text_holds((unbase64(run[a : ends[j]]) or b"").decode("ascii", "replace")):
+                    hit = j, 7
+                elif j >= i:
+                    text_from, text_to = a, ends[j]
+        if hit:
+            found.append((i, *hit))
+        i = hit[0] + 1 if hit else i + 1
+    return found
+
+
+def confirmed_spans(text: str, flat: bytes) -> list[tuple[int, int, int]]:
+    found = container_spans(text)
+    if b"x" * 16 in flat.translate(_RUN):
         for m in BASE64.finditer(text):
-            kind = decoded_kind(unbase64(m[0]))
-            if kind is None and "\n" in m[0]:  # lines that do not belong together
-                at = m.start()
-                for line in m[0].split("\n"):
-                    n = len(line.rstrip("\r"))
-                    if n >= 24 and (k := decoded_kind(unbase64(line))) is not None:
-                        found.append((at, at + n, k))
-                    at += len(line) + 1
-            elif kind is not None:
-                found.append((*m.span(), kind))
+            breaks = [x.span() for x in BREAKS.finditer(m[1])]
+            starts, stops = [0, *(b for _, b in breaks)], [*(a for a, _ in breaks), len(m[1])]
+            lines = [m[1][a:b].rstrip("=") for a, b in zip(starts, stops, strict=True)]
+            run = "".join(lines)
+            kind = decoded_kind(unbase64(run))
+            if kind is not None:
+                found.append((*m.span(1), kind))
+            elif breaks:  # lines that do not belong together
+                found += [(m.start(1) + starts[i], m.start(1) + stops[j], k) for i, j, k in line_kinds(run, list(itertools.accumulate(map(len, lines))))]
     if b"x" * 24 in flat.translate(_HEX_RUN):
         for m in ANY_HEX.finditer(text):
             if len(m[0]) % 2 == 0 and (kind := decoded_kind(bytes.fromhex(m[0]))) is not None:

@@ -94,3 +94,62 @@ def test_rows(spark):
     assert hit["base_sha256"] == hashlib.sha256(b"assign:0:17").hexdigest()
     assert next(r for r in got if r["doc_id"] == 6)["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert secrets.find_secrets(no_docs(spark)).count() == 0
+
+
+def kinds(text):
+    return [secrets.KINDS[k] for *_, k in secrets.scan(text)[1]]
+
+
+def wrapped(data, n=64, end="\n"):
+    return end.join(b64(data)[i : i + n] for i in range(0, len(b64(data)), n))
+
+
+def test_short_and_wrapped_in_base64():
+    assert secrets.scan("x " + b64(b"password=hunter2") + " y")[1] == [(2, 26, 7)] and kinds(b64(b"token=abcdef")) == ["encoded"]
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{wrapped(RSA)}\n-----END RSA PRIVATE KEY-----\n".encode()
+    token = f"{part({'alg': 'HS256'})}.{part({'sub': 1})}.c2lnbmF0dXJl".encode()
+    for data in (pem, token, pem.replace(b"\n", b"\\n")):
+        for text in (b64(data), data.hex(), wrapped(data), wrapped(data, 76, "\r\n")):
+            assert kinds(text) == ["encoded"], text
+    assert not kinds(b64(b"nothing to be seen here, only words. Or so."))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n"])
+def test_lines_around_a_key(end):
+    for pad in range(3):
+        data = der(0x30, b"".join(integer(x) for x in (0, 3**180, 65537, 3**179, 5**70, 7**60, 5**60, 7**50, 11**40)) + der(4, b"k" * pad))
+        body = wrapped(data, end=end).rstrip("=")
+        for before in ("", "averyveryverylongidentifier" + end):
+            for after in ("", end + "word", end + "averyveryverylongidentifier" + end + "x"):
+                text = before + body + after
+                assert secrets.scan(text)[1] == [(len(before), len(before) + len(body), 3)], (pad, text)
+    body = wrapped(SSH, end=end).rstrip("=")
+    assert secrets.scan(body + end + "word")[1] == [(0, len(body), 4)]
+    words = b64(b"some words and more of them; password = hunter2hunter2; and so on").rstrip("=")
+    assert secrets.scan(words + end + "averyveryverylongidentifier")[1] == [(0, len(words), 7)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n"])
+def test_ends_of_lines_in_pem(end):
+    pem = f"-----BEGIN RSA PRIVATE KEY-----{end}{wrapped(RSA, end=end)}{end}-----END RSA PRIVATE KEY-----"
+    assert kinds("é " + pem) == ["pem", "der"]
+    locked = f"-----BEGIN RSA PRIVATE KEY-----{end}Proc-Type: 4,ENCRYPTED{end}DEK-Info: AES-128-CBC,0011AA{end}{end}{wrapped(bytes(range(200)), end=end)}{end}-----END RSA PRIVATE KEY-----"
+    assert kinds(locked) == ["pem"]
+
+
+def test_other_jwt_headers():
+    for head in ('{ "alg": "HS256" }', '{\n "alg": "RS256"}', ' {"alg":"none"}'):
+        token = base64.urlsafe_b64encode(head.encode()).decode().rstrip("=") + "." + part({"sub": 1}) + ".c2ln"
+        for before in ("", "see ", "averylonghostname.example.", '"\\n'):
+            assert secrets.scan(before + token)[1] == [(len(before), len(before + token), 6)], (head, before)
+    assert not secrets.scan(part({"alg": ["HS256"]}) + "." + part({}) + ".abc")[1]
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    began = time.time()
+    for line in ("averyveryverylongidentifier", b64(b"only words and nothing else to see in here, no")[:60], "MIIEpAIBAAKCAQEA", "b3BlbnNzaC1rZXktdjEA", "a" * 17):
+        secrets.scan("\n".join([line] * 5000))
+    secrets.scan("\\" * 50_000 + "n" + "-----BEGIN PRIVATE KEY-----" + "\\" * 50_000)
+    assert time.time() - began < 20
