@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..config import RetrievalConfig, matrix
+from ..config import RETRIEVERS, RetrievalConfig, matrix
 from ..functions import text as tx
 from ..operators import chunking, layers, metrics, ranking, relations, retrieve
 from ..sources import tables
 from ..sources.tables import read
 from ..streaming.latency import latency
 from .engine import Engine
-from .reference import ID_LISTS_SQL, QUESTIONS_SQL, STATS_SQL, STOP_SQL, gold_lists, query, typed_questions, uses
+from .reference import ID_LISTS_SQL, QUESTIONS_SQL, STATS_SQL, STOP_SQL, default_chunks, gold_lists, query, typed_questions, uses
 from .retrieval import ENTITY_SQL, FUSED, HITS, PASSAGES, SENTENCES, TWO_LISTS, WITH_QRELS, bm25_sql, graph_of, hybrid_hits, passage_units, sentence_units
 
 BM25 = bm25_sql("hits", "passage_units", 10)
@@ -353,6 +353,12 @@ def built_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.fixed(p).unionByName(chunking.sentence(p)).groupBy("strategy").agg(F.count("*").alias("n_chunks")).where("n_chunks > 0").orderBy("n_chunks")
 
 
+@query("built_strategies_default")
+def built_strategies_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`built_strategies` over all default strategies."""
+    return default_chunks(tables.passages(spark, sf_dir)).groupBy("strategy").agg(F.count("*").alias("n_chunks")).orderBy("n_chunks", "strategy")
+
+
 @query("explore_questions", ID_LISTS_SQL.rstrip() + " select query_id, left(query_text, 300) as preview, len(ids) as n_gold from questions join lists using (query_id) where query_text ilike '%an%' order by query_id limit 50")
 def explore_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = tables.questions(spark, sf_dir).where(F.col("query_text").ilike("%an%"))
@@ -420,7 +426,7 @@ def compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("eval_matrix")
 def eval_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean metrics of every strategy and retriever, in one job."""
-    return Engine(spark, sf_dir).evaluate(matrix(("passage", "fixed_128_32", "sentence"), ("bm25", "dense", "hybrid", "grep", "kg")))
+    return Engine(spark, sf_dir).evaluate(matrix(chunking.DEFAULT_STRATEGIES, RETRIEVERS))
 
 
 __all__ = ["ranking"]

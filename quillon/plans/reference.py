@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -291,6 +292,16 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_stats(chunking.fixed(p).unionByName(chunking.sentence(p)))
 
 
+def default_chunks(passages: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, [chunking.chunker(name)(passages) for name in chunking.DEFAULT_STRATEGIES])
+
+
+@query("chunk_stats_default")
+def chunk_stats_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`chunk_stats` over all default strategies."""
+    return chunking.chunk_stats(default_chunks(tables.passages(spark, sf_dir)))
+
+
 @query("chunk_counts", STATS_SQL + "select p.passage_id, count(e.passage_id) as n_chunks from passages p left join (select * from every where strategy = 'sentence') e using (passage_id) group by 1")
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tables.passages(spark, sf_dir)

@@ -178,3 +178,15 @@ def test_dense_asks_every_hundredth(spark, sf):
     ids = {r["vec_id"] for r in tables.read(spark, sf, "embeddings").where("vec_id % 100 = 0").collect()}
     for name in ("dense_topk_hundredths", "dense_label_precision_hundredths"):
         assert {r["query_id"] for r in QUERIES[name](spark, sf).collect()} == ids and max(ids) >= 20
+
+
+def test_all_strategies_are_scored_and_counted(spark, sf, monkeypatch):
+    for name in ("chunk_stats_default", "built_strategies_default"):
+        assert {r["strategy"] for r in QUERIES[name](spark, sf).collect()} == set(chunking.DEFAULT_STRATEGIES)
+    old = {r["strategy"]: r.asDict() for r in QUERIES["chunk_stats"](spark, sf).collect()}
+    new = {r["strategy"]: r.asDict() for r in QUERIES["chunk_stats_default"](spark, sf).collect()}
+    assert all(new[s] == r for s, r in old.items())
+    got = Engine(spark, sf).evaluate(matrix(("recursive_128_32", "semantic"), ("bm25",))).collect()
+    assert {r["config"] for r in got} == {"recursive_128_32+bm25", "semantic+bm25"} and all(0 <= r["mrr"] <= 1 for r in got)
+    monkeypatch.setattr(Engine, "evaluate", lambda self, configs: configs)
+    assert {c.strategy for c in QUERIES["eval_matrix"](spark, sf)} == set(chunking.DEFAULT_STRATEGIES)
