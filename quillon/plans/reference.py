@@ -229,6 +229,15 @@ def trim_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", s.cast("int").alias("s"), e.cast("int").alias("e"))
 
 
+@query("trim_spans_whole", """with d as (select doc_id, text, unnest(range(0, length(text), 200)) as a from documents), p as (select doc_id, a, substr(text, a + 1, 200) as b from d)
+ select doc_id, (a + case when ltrim(b) = '' then length(b) else length(b) - length(ltrim(b)) end)::int as s, (a + length(case when ltrim(b) = '' then b else rtrim(b) end))::int as e from p""")
+def trim_spans_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 200 code points over each whole text, trimmed."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,200}"), F.lit(0))).alias("i", "body"))
+    s, e = tx.trim_span(F.col("body"), F.lit(0), F.length("body"))
+    return rows.select("doc_id", (F.col("i") * 200 + s).cast("int").alias("s"), (F.col("i") * 200 + e).cast("int").alias("e"))
+
+
 @query("chunk_passage", uses("passages") + r"""select passage_id * 1048576 as chunk_id, 'passage' as strategy, passage_id, 0 as chunk_index, 0 as char_start, length(text)::int as char_end, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]'))::int as n_tokens from passages""")
 def chunk_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.whole(tables.passages(spark, sf_dir))

@@ -277,6 +277,15 @@ def trigram_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("term", "name", F.round(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), 6).alias("sim")).where("sim >= 0.3")
 
 
+@query("trigram_lookup_all", uses("passages").rstrip() + ENTITY_SQL + gram_sql("b", "name", "name", "kept") + "select a.name as term, b.name, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) as sim from b a join b using (gram) group by 1, 2 having sim >= 0.3")
+def trigram_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`trigram_lookup` of every entity's name."""
+    grams = graph_of(spark, sf_dir)[2].withColumn("g", tx.trigrams(F.col("name"))).select("name", F.size("g").alias("nb"), F.explode("g").alias("gram"))
+    asked = grams.select(F.col("name").alias("term"), F.col("nb").alias("na"), "gram")
+    both = grams.join(asked, "gram").groupBy("term", "name", "na", "nb").agg(F.count("*").alias("i"))
+    return both.select("term", "name", F.round(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), 6).alias("sim")).where("sim >= 0.3")
+
+
 @query("entity_search", uses("passages").rstrip() + ENTITY_SQL + "select name, doc_freq from kept where name ilike '%tion%' order by doc_freq desc, name limit 25")
 def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_of(spark, sf_dir)[2].where(F.col("name").ilike("%tion%")).orderBy(F.desc("doc_freq"), "name").limit(25)

@@ -190,3 +190,12 @@ def test_all_strategies_are_scored_and_counted(spark, sf, monkeypatch):
     assert {r["config"] for r in got} == {"recursive_128_32+bm25", "semantic+bm25"} and all(0 <= r["mrr"] <= 1 for r in got)
     monkeypatch.setattr(Engine, "evaluate", lambda self, configs: configs)
     assert {c.strategy for c in QUERIES["eval_matrix"](spark, sf)} == set(chunking.DEFAULT_STRATEGIES)
+
+
+def test_whole_texts_are_trimmed_and_all_names_looked_up(spark, sf):
+    ends = QUERIES["trim_spans_whole"](spark, sf).groupBy("doc_id").agg(F.max("e").alias("e"))
+    texts = tables.read(spark, sf, "documents").where("length(text) > 400 and rtrim(text) = text").select("doc_id", F.length("text").alias("n"))
+    rows = texts.join(ends, "doc_id", "left").collect()
+    assert rows and all(r["e"] == r["n"] for r in rows)
+    names = {r["name"] for r in QUERIES["entity_df"](spark, sf).collect()}
+    assert {r["term"] for r in QUERIES["trigram_lookup_all"](spark, sf).collect()} == names and len(names) > 20
