@@ -8,9 +8,11 @@ Two texts are equal when they are identical after deleting every character of ``
    A bucket that no bit can split any further (a group of copies may hold a third of all rows) gets overflow pages.
 2. *Index.* Rows are dealt to the owner of their (bucket, page), which reduces them to one entry for each distinct
    text: its bytes, number of copies and best row. The entries are written to the shared folder.
-3. *Chains.* The owners of key ranges read the entries, merge the pages of a bucket, compare the bytes of the texts
-   under one key and give each distinct text under a key its place (`slot`) in the key's chain.
-4. Rows meet their entry by key and SHA-256, which is enough as step 3 has compared the bytes; no text moves here.
+3. *Chains.* The entries are read again and the pages of a bucket merged, by the bytes of the texts as in step 2; the
+   distinct texts under one key form its chain, in which `exact_groups` gives each its place (`slot`) in the order of
+   SHA-256. `exact_dedup` and `exact_dedup_keep` do not need the places and do not compute them.
+4. Rows meet their entry by key and SHA-256, so two texts of one key and one SHA-256 would not be told apart here; no
+   text moves.
 
 Null text counts as empty. Rows without doc_id come last among equals. Rows repeated with one doc_id count as
 separate copies, of which one stays. Other columns, whatever their names, are not read.

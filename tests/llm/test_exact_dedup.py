@@ -54,6 +54,20 @@ def test_collisions_are_chained(spark):
     assert sum(r["n_rows"] for r in index.collect()) == 40
 
 
+def test_colliding_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    keyed = exact_dedup.keyed
+    monkeypatch.setattr(exact_dedup, "keyed", lambda docs: keyed(docs).withColumn("key", F.length("norm").cast("long") % 2))
+    docs = random_docs(spark)
+    want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    slots = {}
+    for r in exact_dedup.exact_groups(docs, 2, 3)[0].collect():
+        slots.setdefault(r["key"], []).append(r["slot"])
+    assert max(map(len, slots.values())) > 1 and all(sorted(s) == list(range(1, len(s) + 1)) for s in slots.values())
+    assert sorted(map(tuple, exact_dedup.exact_dedup(docs, 2, 3).collect()), key=repr) == want
+
+
 def test_native(spark):
     plan = exact_dedup.exact_dedup(random_docs(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
