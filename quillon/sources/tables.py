@@ -11,12 +11,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, below: int = 512 << 20) -> DataFrame:
-    """`df` dealt to all cores if its source has less than `below` bytes (by the file sizes, which the planner knows): a small
-    table is often one file with one row group, which one task would read and everything after it. Larger ones stay as
-    they are read."""
+def spread(df: DataFrame, key: str, below: int = 512 << 20) -> DataFrame:
+    """`df` dealt to all cores by a hash of `key` if its source has less than `below` bytes (by the file sizes, which the
+    planner knows): a small table is often one file with one row group, which one task would read and everything after
+    it. Larger ones have tasks enough and stay as they are read. The rows are the same either way."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size < below else df
 
 
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
@@ -26,7 +26,7 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(passage_id, text, lang, source): documents with normalised text, none of them blank."""
-    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
     return docs.select(F.col("doc_id").alias("passage_id"), tx.normalise(F.col("text")).alias("text"), "lang", "source").where("text <> ''")
 
 
