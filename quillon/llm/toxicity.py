@@ -1,20 +1,27 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A word's bag is its character n-grams (with the word's edges as characters), each hashed to a bucket with an embedding.
-The mean embedding of the bag goes into a linear softmax over (clean, toxic); embeddings and softmax are trained
-jointly in numpy. As misspelt and inflected words share n-grams with their root, unseen forms score like it.
-A document is as toxic as its most toxic word: one insult in a long text is not diluted. Labels are of documents, so
-training first gives every word its documents' labels, weighted by document counts, and then repeats with only those
-words of toxic documents as toxic that the first model finds so (at least the worst of each). A logistic fit of the
-documents' largest word logits turns them into probabilities.
-
-Training uses at most `max_rows` labelled documents, chosen by a hash of doc_id (a documented bound), in one task; only
-the model goes to the driver. Scoring reads every text whole; since the softmax is linear in the mean, each bucket is reduced to one number
-first (`2**bits` floats, sent to executors), and a text costs a gather for each n-gram.
-
-Null and empty texts have no words and score as the prior of the training labels. Labels other than 0 and 1 and null
+A text's bag is the character n-grams of its words (with a word's edges as characters), each hashed to a bucket with an
+embedding. The mean embedding of the whole bag, repeats counted, goes into a linear softmax over (clean, toxic);
+embeddings and softmax are trained jointly in numpy on the labels of documents. As misspelt and inflected words share
+n-grams with their root, unseen forms score like it.
+
+A few thousand documents hold far more n-grams than documents, so training is sparse: the pull of all documents on a
+bucket's embedding is divided by its standard deviation under labels drawn at random, and only what exceeds `least` of
+these moves the bucket; in round i the whole move has the length rate / (1 + i / 10). A fifth of the rows is left out of it, and a
+logistic fit of their logits turns logits into probabilities.
+
+Training uses at most `max_rows` labelled documents, chosen by a hash of doc_id, whose texts have at most `max_chars`
+code points together (documented bounds; a longer text alone still counts). Bags are made where the texts are; one
+task trains on them, and only the model goes to the driver. Scoring reads every text whole, in blocks of `BLOCK` code
+points: an n-gram needs no more than its own characters, so blocks that look a few characters ahead give exactly the
+bag of the whole text. As the softmax is linear in the mean, each bucket is reduced to one number first (``2**bits``
+floats, sent to executors), and a text costs a gather for each n-gram.
+
+Null and empty texts have an empty bag and score as the prior of the training labels. Labels other than 0 and 1 and null
 labels are not used; if no label is left, or of one class only, every score is that class's share (0 without labels).
-Rows with one doc_id are scored each for itself. Other columns are not read.
+Labels repeated for one doc_id count once, as toxic if any of them is; of rows repeated with one labelled doc_id one is
+trained on. Rows with one doc_id are scored each for itself. An empty table gives an empty result. Other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -24,70 +31,97 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SIZES = (3, 4, 5)
+BLOCK = 1 << 18
 _LETTER = np.ones(0x3100, dtype=bool)
 for _lo, _hi in ((0, 48), (58, 65), (91, 97), (123, 170), (171, 181), (182, 186), (187, 192), (0x2000, 0x2070), (0x3000, 0x3040)):
     _LETTER[_lo:_hi] = False
 _LETTER[[215, 247]] = False
 
 
-def grams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The n-grams of the words of `texts`: (bucket of each, its word, where each text's words begin, begin and end of
-    each word in the code points of all texts, which a blank sets apart)."""
-    flat = " " + " ".join(t.lower() for t in texts) + " "
+def grams(flat: str, bits: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, position) of the n-grams of the words of `flat` that begin before `upto`, in no order. The first and last
+    character of an n-gram may be a word's edge, whatever stands there."""
     c = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _LETTER[np.minimum(c, 0x30FF)]
-    first = letter.copy()
-    first[1:] &= ~letter[:-1]
-    last = letter.copy()
-    last[:-1] &= ~letter[1:]
-    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    word = np.cumsum(first, dtype=np.int64) - 1
-    bounds = np.cumsum([1] + [len(t.lower()) + 1 for t in texts])
-    at = np.searchsorted(begin, bounds)
     symbol = np.where(letter, c, 0).astype(np.uint32)
-    h = symbol.copy()
-    buckets, owners = [], []
-    inner = letter.copy()  # all letters from the second to the last but one
+    h, inner = symbol, letter
+    buckets, places = [], []
     for n in range(2, max(SIZES) + 1):
         if len(c) < n:
             break
         h = h[: len(c) - n + 1] * np.uint32(0x01000193) + symbol[n - 1 :]
-        inner = letter[1 : len(c) - n + 2] if n == 3 else inner[: len(c) - n + 1] & letter[n - 2 : len(c) - 1] if n > 3 else inner
+        if n == 3:
+            inner = letter[1 : len(c) - 1]
+        elif n > 3:
+            inner = inner[: len(c) - n + 1] & letter[n - 2 : len(c) - 1]
         if n in SIZES:
-            ok = np.flatnonzero(inner)
+            ok = np.flatnonzero(inner[:upto])
             x = h[ok] + np.uint32(n)
             x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
             x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
             buckets.append((x >> np.uint32(32 - bits)).astype(np.int32))
-            owners.append(word[ok + 1])
-    none = np.zeros(0, np.int64)
-    return np.concatenate(buckets or [none]), np.concatenate(owners or [none]), at, begin, end
+            places.append(ok)
+    none = np.zeros(0, np.int32)
+    return np.concatenate(buckets or [none]), np.concatenate(places or [none])
+
+
+def blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, str, int]]:
+    """(where each text begins, their characters, how many of them begin an n-gram) in pieces of about `BLOCK`: short
+    texts together, set apart by blanks, long ones in several pieces."""
+    flat = " " + " ".join(t.lower() for t in texts) + " "
+    begin = np.cumsum([0] + [len(t.lower()) + 1 for t in texts])
+    for lo in range(0, len(flat), BLOCK):
+        yield begin - lo, flat[lo : lo + BLOCK + max(SIZES) - 1], BLOCK
+
+
+def batches_of(texts: list[str]) -> Iterator[slice]:
+    """Rows whose texts have about `BLOCK` code points together; a longer text is alone."""
+    lo = size = 0
+    for hi, t in enumerate(texts):
+        if hi > lo and size + len(t) > BLOCK:
+            yield slice(lo, hi)
+            lo, size = hi, 0
+        size += len(t)
+    if lo < len(texts):
+        yield slice(lo, len(texts))
 
 
 @dataclass
 class Model:
-    weight: np.ndarray  # logit of a bucket
+    weight: np.ndarray  # logit of a bucket: toxic minus clean
     bias: float
     slope: float
     shift: float
     prior: float
 
-    def word_logits(self, bucket: np.ndarray, owner: np.ndarray, words: int) -> np.ndarray:
-        n = np.bincount(owner, minlength=words)
-        return np.bincount(owner, weights=self.weight[bucket], minlength=words) / np.maximum(n, 1) + self.bias
+    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The softmax's logit of each text's mean embedding, and the size of its bag."""
+        bits = len(self.weight).bit_length() - 1
+        total, count = np.zeros(len(texts)), np.zeros(len(texts))
+        for begin, flat, upto in blocks(texts):
+            bucket, place = grams(flat, bits, upto)
+            owner = np.searchsorted(begin, place, "right") - 1
+            total += np.bincount(owner, weights=self.weight[bucket], minlength=len(texts))
+            count += np.bincount(owner, minlength=len(texts))
+        return total / np.maximum(count, 1) + self.bias, count
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        bits = len(self.weight).bit_length() - 1
-        bucket, owner, at, begin, _ = grams(texts, bits)
-        out = np.full(len(texts), self.prior)
-        some = np.flatnonzero(np.diff(at) > 0)
-        if len(some):
-            worst = np.maximum.reduceat(self.word_logits(bucket, owner, len(begin)), at[some])
-            out[some] = 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -30, 30)))
-        return out
+        logit, count = self.logits(texts)
+        return np.where(count > 0, 1 / (1 + np.exp(-np.clip(self.slope * logit + self.shift, -30, 30))), self.prior)
+
+
+def bag(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct buckets and how often each occurs."""
+    found = [np.unique(grams(flat, bits, upto)[0], return_counts=True) for _, flat, upto in blocks([text])]
+    if len(found) == 1:
+        return found[0]
+    n = np.zeros(1 << bits, np.int64)
+    for bucket, times in found:
+        n[bucket] += times
+    return np.flatnonzero(n).astype(np.int32), n[n > 0]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
@@ -104,101 +138,87 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return float(a), float(b)
 
 
-def train_words(bag: np.ndarray, start: np.ndarray, pos: np.ndarray, neg: np.ndarray, base: float, bits: int, dim: int, steps: int, passes: int, rate: float, seed: int) -> tuple[np.ndarray, float]:
-    """Joint training of embeddings and softmax (AdaGrad over words drawn by weight); the logit of each bucket, and the bias.
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = 18, dim: int = 8, steps: int = 25, rate: float = 400.0, least: float = 3.5, seed: int = 9) -> Model:
+    """Joint training of embeddings and softmax on (buckets, counts) of each text."""
+    y = np.asarray(labels, np.float64)
+    prior, none = float(y.mean()) if len(y) else 0.0, np.zeros(1 << bits, np.float32)
+    if not 0 < prior < 1:
+        return Model(none, 0.0, 0.0, -30.0 if prior == 0 else 30.0, prior)
+    some = np.array([len(b) > 0 for b, _ in bags])
+    tuning = (np.arange(len(y)) % 5 == 4) & some
+    if len(set(y[tuning])) < 2 or len(set(y[some & ~tuning])) < 2:
+        tuning = np.zeros(len(y), bool)  # too few rows to leave any out
+    fitted = some & ~tuning
+    q = float(y[fitted].mean()) if fitted.any() else 0.0
+    if not 0 < q < 1:
+        return Model(none, 0.0, 0.0, 0.0, prior)
+    size = np.array([len(b) for b, _ in bags])
+    at = np.concatenate([[0], np.cumsum(size)])
+    bucket = np.concatenate([b for b, _ in bags]).astype(np.int32)
+    share = np.concatenate([(n / max(n.sum(), 1)).astype(np.float32) for _, n in bags])
+    cuts = np.unique(np.searchsorted(at, np.arange(0, at[-1] + (1 << 21), 1 << 21)).clip(max=len(y)))
+    parts = [(lo, hi, slice(at[lo], at[hi])) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def gathered(of_text: np.ndarray, power: int = 1) -> np.ndarray:
+        """For each bucket the sum over texts of `of_text` times its share in the text."""
+        out = np.zeros(1 << bits)
+        for lo, hi, own in parts:
+            out += np.bincount(bucket[own], weights=share[own] ** power * np.repeat(of_text[lo:hi], size[lo:hi]), minlength=1 << bits)
+        return out
 
-    `pos` and `neg` are a word's toxic and clean weights; it is drawn by their sum and its label is their share.
-    """
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 1 / dim, (1 << bits, dim)).astype(np.float32)
-    soft = rng.normal(0, 0.5, dim).astype(np.float32)  # toxic minus clean
-    bias, acc_e, acc_s, acc_b = 0.0, np.full(1 << bits, 1e-6, np.float32), 1e-6, 1e-6
-    size = np.diff(start)
-    usable = np.flatnonzero((size > 0) & (pos + neg > 0))
-    edges = np.cumsum((pos + neg)[usable])
-    share = (pos + 2 * base) / np.maximum(pos + neg + 2, 1e-9)  # a word seen once or twice says little
-    for _ in range(min(steps, int(np.ceil(passes * edges[-1] / 1024))) if len(usable) else 0):
-        batch = usable[np.searchsorted(edges, rng.random(1024) * edges[-1], "right").clip(max=len(usable) - 1)]
-        n = size[batch]
-        rows = np.repeat(np.arange(len(batch)), n)
-        where = bag[np.repeat(start[batch] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        mean = np.add.reduceat(emb[where], np.cumsum(n) - n) / n[:, None].astype(np.float32)
-        p = 1 / (1 + np.exp(-np.clip(mean @ soft + bias, -30, 30)))
-        g = (p - share[batch]).astype(np.float32)
-        hit, back = np.unique(where, return_inverse=True)
-        pull = np.bincount(back, weights=(g / n)[rows]).astype(np.float32)
-        acc_e[hit] += (pull**2) * float(soft @ soft)
-        gs, gb = mean.T @ g, float(g.sum())
-        emb[hit] -= rate * (pull / np.sqrt(acc_e[hit]))[:, None] * soft
-        acc_s += float(gs @ gs)
-        acc_b += gb * gb
-        soft -= rate / 4 * gs / np.sqrt(acc_s)
-        bias -= rate / 4 * gb / np.sqrt(acc_b)
-    return (emb @ soft).astype(np.float32), float(bias)
-
-
-def capped(pos: np.ndarray, neg: np.ndarray, most: float = 50.0) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of a word in the shares of its counts, so that no frequent word drowns the others."""
-    scale = np.minimum(pos + neg, most) / np.maximum(pos + neg, 1.0)
-    return pos * scale, neg * scale
-
-
-def train(texts: list[str], labels: np.ndarray, bits: int = 18, dim: int = 8, steps: int = 2500, passes: int = 8, rate: float = 0.5, seed: int = 9) -> Model:
-    labels = np.asarray(labels, np.float64)
-    prior = float(labels.mean()) if len(labels) else 0.0
-    if not 0 < prior < 1:
-        return Model(np.zeros(1 << bits, np.float32), 0.0, 0.0, -30.0 if prior == 0 else 30.0, prior)
-    seen: dict[str, int] = {}
-    docs: list[np.ndarray] = []
-    for t in texts:
-        low = t.lower()
-        c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
-        blank = np.where(_LETTER[np.minimum(c, 0x30FF)], c, 32).astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
-        docs.append(np.array([seen.setdefault(w, len(seen)) for w in set(blank.split(" ")) - {""}], np.int64))
-    bucket, owner, _, _, _ = grams(list(seen), bits)
-    order = np.argsort(owner, kind="stable")
-    bag, start = bucket[order], np.searchsorted(owner[order], np.arange(len(seen) + 1))
-    toxic, clean = np.zeros(len(seen)), np.zeros(len(seen))
-    tuning = np.arange(len(docs)) % 5 == 4  # words of these are not trained on, so that their logits are as of unseen texts
-    for words, y, left_out in zip(docs, labels, tuning, strict=True):
-        if not left_out:
-            (toxic if y else clean)[words] += 1
-    options = {"bits": bits, "dim": dim, "steps": steps, "passes": passes, "rate": rate, "seed": seed}
-    weight, bias = train_words(bag, start, *capped(toxic, clean), prior, **options)
-    for _ in range(2):
-        model = Model(weight, bias, 1.0, 0.0, prior)
-        logit = model.word_logits(bucket, owner, len(seen))
-        chosen = np.zeros(len(seen))
-        for words, y, left_out in zip(docs, labels, tuning, strict=True):
-            if y and len(words) and not left_out:
-                chosen[words[logit[words] > 0]] += 1
-        weight, bias = train_words(bag, start, *capped(chosen, clean + toxic - chosen), float(chosen.sum() / max(1.0, (toxic + clean).sum())), **options)
-    model = Model(weight, bias, 1.0, 0.0, prior)
-    logit = model.word_logits(bucket, owner, len(seen))
-    some = np.array([i for i, w in enumerate(docs) if len(w) and tuning[i]], np.int64)
-    if len(set(labels[some])) < 2:
-        some = np.array([i for i, w in enumerate(docs) if len(w)], np.int64)
-    if not len(some):
-        return Model(np.zeros(1 << bits, np.float32), 0.0, 0.0, 0.0, prior)
-    worst = np.array([logit[docs[i]].max() for i in some])
-    slope, shift = logistic(worst, labels[some])
-    return Model(weight, bias, slope, shift, prior)
-
-
-def score_rows(batches: Iterator[pa.RecordBatch], model: Model, piece: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    soft = rng.normal(0, 1, (2, dim)).astype(np.float32)  # clean, toxic
+    soft /= np.linalg.norm(soft[1] - soft[0])
+    bias = float(np.log(q / (1 - q)))
+    spread = np.sqrt(gathered(fitted.astype(float), 2) * q * (1 - q))
+
+    def logits() -> np.ndarray:
+        weight, out = emb @ (soft[1] - soft[0]), np.zeros(len(y))
+        for lo, hi, own in parts:
+            out[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), size[lo:hi]), weights=weight[bucket[own]] * share[own], minlength=hi - lo)
+        return out + bias
+
+    for i in range(steps):
+        g = np.where(fitted, 1 / (1 + np.exp(-np.clip(logits(), -30, 30))) - y, 0.0)  # of the toxic logit; the clean one's is its negative
+        pull = gathered(g)
+        z = np.divide(pull, spread, out=np.zeros_like(pull), where=spread > 0)
+        move = np.sign(z) * np.maximum(np.abs(z) - least, 0)
+        now = rate / (1 + i / 10)
+        length, towards = float(np.sqrt((move**2).sum())), soft[1] - soft[0]
+        change = (pull[:, None] * emb).sum(0)  # of the softmax, while the embeddings move
+        if length:
+            emb -= (now / length * move)[:, None].astype(np.float32) * towards
+        step = (change / max(1.0, float(np.abs(change).max())) * 0.01).astype(np.float32)
+        soft[1] -= step
+        soft[0] += step
+        bias -= float(g.sum() / fitted.sum())
+    tune = tuning if tuning.any() else fitted
+    slope, shift = logistic(logits()[tune], y[tune])
+    return Model((emb @ (soft[1] - soft[0])).astype(np.float32), bias, slope, shift, prior)
+
+
+def text_scores(texts: pa.Array, model: Model, rows: int = 512) -> np.ndarray:
+    """The score of each text, so many texts at a time as Python strings."""
+    out = [np.zeros(0)]
+    for lo in range(0, len(texts), rows):
+        some = [t or "" for t in texts.slice(lo, rows).to_pylist()]
+        out += [model.scores(some[own]) for own in batches_of(some)]
+    return np.concatenate(out)
+
+
+def score_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        out, lo, size = np.zeros(len(texts)), 0, 0
-        for hi in range(len(texts) + 1):
-            if hi == len(texts) or size + len(texts[hi]) > piece:
-                if hi > lo:
-                    out[lo:hi] = model.scores(texts[lo:hi])
-                lo, size = hi, 0
-            if hi < len(texts):
-                size += len(texts[hi])
-        rest = [batch.column(i) for i in range(batch.num_columns) if batch.schema.field(i).name != "text"]
-        names = [f.name for f in batch.schema if f.name != "text"]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(out)], names=[*names, "score"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text_scores(batch.column("text"), model), pa.float64())], names=["doc_id", "score"])
+
+
+def bag_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            made = [bag(t or "", bits) for t in part.column("text").to_pylist()]
+            columns = [pa.array([b.astype(np.int32).tobytes() for b, _ in made], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *columns], names=["doc_id", "toxic", "bucket", "times"])
 
 
 def fold(of: Column, n: int = 5) -> Column:
@@ -206,27 +226,37 @@ def fold(of: Column, n: int = 5) -> Column:
     return F.pmod(F.crc32(of.cast("string").cast("binary")), F.lit(n))
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, max_rows: int = 8_000, seed: int = 9, **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, max_rows: int = 8_000, max_chars: int = 32_000_000, bits: int = 18, seed: int = 9, **options) -> Model:
     """Train on labelled rows of `docs`; `held_out`: a fold of doc_id that training never sees."""
     known = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null")
     if held_out is not None:
         known = known.where(fold(F.col("doc_id")) != held_out)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    picked = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_rows)
-    # At most max_rows ids, so it may be broadcast; the same bound holds for the one task that trains.
-    found = rows.join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").repartition(1).sortWithinPartitions("doc_id", "text")
-    options |= {"seed": seed}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    draw = F.xxhash64(F.lit(seed), "doc_id")
+    picked = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(draw, "doc_id").limit(max_rows)
+    # At most max_rows ids, so they may be broadcast. One row of each goes on; lengths alone decide which texts fit.
+    found = rows.join(F.broadcast(picked), "doc_id")
+    sizes = found.groupBy("doc_id").agg(F.max(F.length("text")).cast("long").alias("n"))
+    so_far = Window.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # max_rows rows at most
+    fitting = sizes.withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0))).where((F.col("before") == 0) | (F.col("before") + F.col("n") <= max_chars))
+    kept = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in fitting.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic").collect()], "doc_id long, toxic int")
+    options |= {"seed": seed, "bits": bits}
+    bags = rows.join(F.broadcast(kept), "doc_id").select("doc_id", "toxic", "text").mapInArrow(lambda it: bag_rows(it, bits), "doc_id long, toxic int, bucket binary, times binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[str] = []
+        made: list[tuple[np.ndarray, np.ndarray]] = []
         marks: list[int] = []
+        last = None
         for batch in batches:
-            texts += batch.column("text").to_pylist()
-            marks += batch.column("toxic").to_pylist()
-        m = train(texts, np.array(marks), **options)
+            for doc_id, toxic, b, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if doc_id != last:
+                    made.append((np.frombuffer(b, np.int32), np.frombuffer(n, np.int32)))
+                    marks.append(toxic)
+                last = doc_id
+        m = train(made, np.array(marks), **options)
         yield pa.RecordBatch.from_pydict({"weight": [m.weight.tobytes()], "numbers": [[m.bias, m.slope, m.shift, m.prior]]})
 
-    made = found.mapInArrow(run, "weight binary, numbers array<double>").first()
+    made = bags.repartition(1).sortWithinPartitions("doc_id", "bucket").mapInArrow(run, "weight binary, numbers array<double>").first()
     if made is None:
         return train([], np.zeros(0), **options)
     return Model(np.frombuffer(made["weight"], np.float32), *made["numbers"])
@@ -241,15 +271,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean_only(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs` whose score is below one half, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.withColumn("__text", F.col("text"))
-    schema = docs.schema
+    """The rows of `docs` whose score is below one half, with all their columns, whatever their names."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            below = np.concatenate([shared.value.scores(texts[i : i + 64]) for i in range(0, len(texts), 64)] or [np.zeros(0)]) < 0.5
-            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(below))
+            yield batch.filter(pa.array(text_scores(batch.column(at), shared.value) < 0.5))
 
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
