@@ -138,13 +138,14 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return float(a), float(b)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = 18, dim: int = 8, steps: int = 25, rate: float = 400.0, least: float = 3.5, seed: int = 9) -> Model:
-    """Joint training of embeddings and softmax on (buckets, counts) of each text."""
+def train(bucket: np.ndarray, times: np.ndarray, size: np.ndarray, labels: np.ndarray, bits: int = 18, dim: int = 8, steps: int = 25, rate: float = 400.0, least: float = 3.5, seed: int = 9) -> Model:
+    """Joint training of embeddings and softmax on the bags of all texts, end to end: `size` distinct buckets of each
+    text, each bucket and how often it occurs."""
     y = np.asarray(labels, np.float64)
     prior, none = float(y.mean()) if len(y) else 0.0, np.zeros(1 << bits, np.float32)
     if not 0 < prior < 1:
         return Model(none, 0.0, 0.0, -30.0 if prior == 0 else 30.0, prior)
-    some = np.array([len(b) > 0 for b, _ in bags])
+    some = size > 0
     tuning = (np.arange(len(y)) % 5 == 4) & some
     if len(set(y[tuning])) < 2 or len(set(y[some & ~tuning])) < 2:
         tuning = np.zeros(len(y), bool)  # too few rows to leave any out
@@ -152,12 +153,14 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: i
     q = float(y[fitted].mean()) if fitted.any() else 0.0
     if not 0 < q < 1:
         return Model(none, 0.0, 0.0, 0.0, prior)
-    size = np.array([len(b) for b, _ in bags])
     at = np.concatenate([[0], np.cumsum(size)])
-    bucket = np.concatenate([b for b, _ in bags]).astype(np.int32)
-    share = np.concatenate([(n / max(n.sum(), 1)).astype(np.float32) for _, n in bags])
-    cuts = np.unique(np.searchsorted(at, np.arange(0, at[-1] + (1 << 21), 1 << 21)).clip(max=len(y)))
+    cuts = np.unique(np.searchsorted(at, np.arange(0, at[-1] + (1 << 20), 1 << 20)).clip(max=len(y)))
     parts = [(lo, hi, slice(at[lo], at[hi])) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    share = np.empty(len(bucket), np.float32)
+    for lo, hi, own in parts:
+        text = np.repeat(np.arange(hi - lo), size[lo:hi])
+        share[own] = times[own] / np.bincount(text, weights=times[own], minlength=hi - lo)[text]
+    del times
 
     def gathered(of_text: np.ndarray, power: int = 1) -> np.ndarray:
         """For each bucket the sum over texts of `of_text` times its share in the text."""
@@ -221,6 +224,14 @@ def bag_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *columns], names=["doc_id", "toxic", "bucket", "times"])
 
 
+def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit numbers of a binary column end to end, and how many each row has; nothing is copied."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.int32) if data is not None else np.zeros(0, np.int32), np.diff(offsets) // 4
+
+
 def fold(of: Column, n: int = 5) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(of.cast("string").cast("binary")), F.lit(n))
@@ -244,21 +255,24 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, max_rows:
     bags = rows.join(F.broadcast(kept), "doc_id").select("doc_id", "toxic", "text").mapInArrow(lambda it: bag_rows(it, bits), "doc_id long, toxic int, bucket binary, times binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: list[tuple[np.ndarray, np.ndarray]] = []
-        marks: list[int] = []
+        none = np.zeros(0, np.int32)
+        marks, sizes, buckets, times = [none], [none], [none], [none]
         last = None
         for batch in batches:
-            for doc_id, toxic, b, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if doc_id != last:
-                    made.append((np.frombuffer(b, np.int32), np.frombuffer(n, np.int32)))
-                    marks.append(toxic)
-                last = doc_id
-        m = train(made, np.array(marks), **options)
+            ids = np.array([last, *batch.column("doc_id").to_pylist()], object)
+            batch = batch.filter(pa.array(ids[1:] != ids[:-1], pa.bool_()))
+            last = ids[-1]
+            b, n = joined(batch.column("bucket"))
+            buckets.append(b)
+            sizes.append(n)
+            times.append(joined(batch.column("times"))[0])
+            marks.append(batch.column("toxic").to_numpy())
+        columns = [np.concatenate(x) for x in (buckets, times, sizes, marks)]
+        del buckets, times
+        m = train(*columns, **options)
         yield pa.RecordBatch.from_pydict({"weight": [m.weight.tobytes()], "numbers": [[m.bias, m.slope, m.shift, m.prior]]})
 
     made = bags.repartition(1).sortWithinPartitions("doc_id", "bucket").mapInArrow(run, "weight binary, numbers array<double>").first()
-    if made is None:
-        return train([], np.zeros(0), **options)
     return Model(np.frombuffer(made["weight"], np.float32), *made["numbers"])
 
 

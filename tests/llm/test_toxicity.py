@@ -61,7 +61,8 @@ def test_scores_are_the_softmax_of_the_mean_of_the_bag(block, monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", block)
     rows = corpus(200)
     bags = [toxicity.bag(r[1], 12) for r in rows]
-    model = toxicity.train(bags, np.array([r[2] for r in rows]), bits=12, steps=10)
+    whole = [np.concatenate([b[i] for b in bags]) for i in (0, 1)]
+    model = toxicity.train(*whole, np.array([len(b) for b, _ in bags]), np.array([r[2] for r in rows]), bits=12, steps=10)
     texts = [r[1] for r in rows[:20]] + ["", "é", "a b", "İstanbul ẞ", "\x00", "😀", "wordwithoutend" * 20]
     got = toxicity.text_scores(pa.array(texts), model, rows=7)
     for text, score in zip(texts, got, strict=True):
