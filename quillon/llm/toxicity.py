@@ -273,6 +273,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, max_rows:
         yield pa.RecordBatch.from_pydict({"weight": [m.weight.tobytes()], "numbers": [[m.bias, m.slope, m.shift, m.prior]]})
 
     made = bags.repartition(1).sortWithinPartitions("doc_id", "bucket").mapInArrow(run, "weight binary, numbers array<double>").first()
+    if made is None:  # no row has a label
+        none = np.zeros(0, np.int32)
+        return train(none, none, none, none, **options)
     return Model(np.frombuffer(made["weight"], np.float32), *made["numbers"])
 
 
