@@ -35,9 +35,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
-    shown = {"fingerprint": fingerprints.shown(F.col("prints")), "edited_fingerprint": fingerprints.shown(F.col("edited_prints"))}
-    return made.withColumns(shown).drop("prints", "edited_prints")
+    return fingerprints.fingerprint_texts(table(spark, sf_dir, "documents"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
