@@ -79,12 +79,13 @@ def steps(pieces: DataFrame, k: int, window: int) -> DataFrame:
     h = F.col("s0")
     for j in range(1, k):
         h = F.shiftleft(h, 1).bitwiseXOR(F.col(f"s{j}"))
-    rows = rows.withColumn("h0", h)
+    rows = fence(rows.withColumn("h0", h))
     for j in range(1, 2 * window):
         rows = rows.withColumn(f"h{j}", F.shiftleft(f"h{j - 1}", 1).bitwiseXOR(F.shiftleft(f"s{j - 1}", k)).bitwiseXOR(F.col(f"s{j + k - 1}")))
     rows = fence(rows.select(*KEY, "meta", *keep, *[f"h{j}" for j in range(2 * window)]))
-    number = lambda j: F.when(F.col("p") + j < F.col("grams"), F.shiftleft(F.shiftrightunsigned(f"h{j}", _PLACES + 1), _PLACES) + (F.lit(_LAST) - j - F.col("p"))).otherwise(F.lit(_FREE))
-    rows = rows.select(*KEY, "meta", *keep, *[number(j).alias(f"v{j}") for j in range(2 * window)])
+    rows = rows.withColumns({"left": F.col("grams") - F.col("p"), "place": F.lit(_LAST) - F.col("p")})
+    number = lambda j: F.when(F.col("left") > j, F.shiftleft(F.shiftrightunsigned(f"h{j}", _PLACES + 1), _PLACES) + (F.col("place") - j)).otherwise(F.lit(_FREE))
+    rows = fence(rows.select(*KEY, "meta", *keep, *[number(j).alias(f"v{j}") for j in range(2 * window)]))
     for j in range(window - 2, -1, -1):
         rows = rows.withColumn(f"v{j}", F.least(f"v{j}", f"v{j + 1}"))
     for j in range(window + 1, 2 * window):
