@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset and everything runs on this
+    machine (tests), a folder of our own; on a cluster no folder of one machine may take its place."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -45,5 +49,26 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names as working columns that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for i in range(len(taken) + 1) if (n := f"__{name}{i or ''}") not in taken) for name in names]
+
+
+def meet(rows: DataFrame, groups: DataFrame, on: list[str], n: str, spread_by: str, total: int, how: str = "inner") -> DataFrame:
+    """`rows` joined with `groups`, which has one row for each value of `on` and its number `n` of rows. `n` goes.
+
+    A group with more than an eighth of a task's share is salted by its count: its rows are dealt to as many parts by
+    `spread_by`, each of which meets a copy of the group's row. At most 8 * tasks groups are so large, as `total` rows hold
+    no more, so their list is broadcast.
+    """
+    limit = max(1000, total // (8 * parallelism(rows.sparkSession)))
+    parts = F.ceil(F.col(n) / F.lit(limit)).cast("int")
+    large = groups.where(F.col(n) > limit).select(*on, parts.alias("__parts"))
+    dealt = rows.join(F.broadcast(large), on, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    copies = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(n)
+    return dealt.join(copies.hint("merge"), [*on, "__salt"], how).drop("__salt")
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))

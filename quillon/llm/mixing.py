@@ -14,7 +14,8 @@ How many documents of each length are taken is then fixed; which ones are, is de
 one (source, length), which may hold a third of all rows, whole slices of the hash are taken and only the slice on
 the edge is ranked, so no task sees a group whole.
 
-The driver holds a row for each source; the histogram of a source has at most as many rows as the source has distinct
+Rows without doc_id go by a hash of their text instead. The driver holds a row for each source; up to `FEW_SOURCES` of
+them are broadcast, more are joined by a shuffle, with the same result. The histogram of a source has at most as many rows as the source has distinct
 lengths and is fitted in one task of its own. Null text has no tokens; documents without tokens are taken 0 times.
 A null source is a source of its own, after all others. An empty table gives an empty result.
 """
@@ -27,10 +28,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, stored, text_or_empty
+from .common import WORD, fresh, stored, text_or_empty
 
 WEIGHTS = (5, 2, 1)
-NO_ID = 2**63 - 1
+FEW_SOURCES = 100_000  # as many rows of a source each may be broadcast
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], max_repeats: int = 3) -> list[float]:
@@ -87,8 +88,14 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_window: int) ->
     return take + subset_sum(lengths, counts - take, rest)
 
 
+def identity() -> Column:
+    """What a row goes by: its doc_id, or a hash of its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty(), F.lit("text")))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), identity().alias("ident"), F.col("source").cast("string").alias("source"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
 
 
 def quotas(sizes: DataFrame, weights: Sequence[float], max_repeats: int, dp_window: int) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +116,9 @@ def quotas(sizes: DataFrame, weights: Sequence[float], max_repeats: int, dp_wind
         lengths, counts = group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
         return pd.DataFrame({"source": group["source"], "size": lengths, "n": counts, "once_more": fit(lengths, counts, int(group["rest"].iloc[0]), dp_window)})
 
-    fitted = lengths.where("size > 0").join(F.broadcast(plan), lengths["source"].eqNullSafe(plan["source"])).select(lengths["source"], "size", "n", "rest")
+    if len(rows) <= FEW_SOURCES:
+        plan = F.broadcast(plan)
+    fitted = lengths.where("size > 0").join(plan, lengths["source"].eqNullSafe(plan["source"])).select(lengths["source"], "size", "n", "rest")
     return plan, fitted.groupBy("source").applyInPandas(one, "source string, size long, n long, once_more long")
 
 
@@ -123,27 +132,27 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int =
     sizes = stored(sized(docs), "mix-sizes")
     plan, wanted = quotas(sizes, weights, max_repeats, dp_window)
     slices = min(max_slices, max(1, sizes.count() // slice_rows))
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    draw = F.xxhash64(F.lit(seed), F.col("ident"))
     rows = sizes.withColumns({"draw": draw, "slice": F.pmod(draw, F.lit(slices)).cast("int")})
     steps = Window.partitionBy("source", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.where("size > 0").groupBy("source", "size", "slice").agg(F.count("*").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(steps), F.lit(0)))
     parts = parts.join(wanted.select(F.col("source").alias("s"), F.col("size").alias("z"), "once_more"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
     parts = parts.select("s", "z", F.col("slice").alias("p"), (F.col("once_more") - F.col("before")).alias("upto")).where("upto > 0")
-    nth = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("draw", "doc_id"))
+    nth = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("draw", "ident"))
     met = rows.withColumn("nth", nth).join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("slice") == F.col("p")), "left")
     plan = plan.select(F.col("source").alias("from"), "source_size", "target", "whole")
-    met = met.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("from")))  # a row for each source
+    met = met.join(plan, F.col("source").eqNullSafe(F.col("from")))
     copies: Column = F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("nth") <= F.col("upto"), 1).otherwise(0)).otherwise(0)
-    return met.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return met.select("doc_id", "ident", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` as often as the mix has them, with all their columns. Rows repeated with one doc_id and size
     share evenly what the mix takes of them."""
-    taken = mix(docs, **options).where("copies > 0").groupBy("doc_id", "size").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    taken = taken.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("size").alias("__size"), "__copies", "__rows")
-    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__size": F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")})
-    nth = F.row_number().over(Window.partitionBy("__id", "__size").orderBy("__id"))
-    share = F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__nth") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    met = rows.join(taken, ["__id", "__size"]).withColumn("__nth", nth).withColumn("__times", share.cast("int")).where("__times > 0")
-    return met.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__id", "__size", "__copies", "__rows", "__nth", "__times")
+    ident, size, copies, n, nth, times = work = fresh(docs, "ident", "size", "copies", "rows", "nth", "times")
+    taken = mix(docs, **options).where("copies > 0").groupBy(F.col("ident").alias(ident), F.col("size").alias(size)).agg(F.sum("copies").alias(copies), F.count("*").alias(n))
+    rows = docs.withColumns({ident: identity(), size: F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")})
+    number = F.row_number().over(Window.partitionBy(ident, size).orderBy(ident))
+    share = F.floor(F.col(copies) / F.col(n)) + F.when(F.col(nth) <= F.col(copies) % F.col(n), 1).otherwise(0)
+    met = rows.join(taken, [ident, size]).withColumn(nth, number).withColumn(times, share.cast("int")).where(F.col(times) > 0)
+    return met.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(*work)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textvec
-from .common import parallelism, stored
+from .common import fresh, meet, parallelism, stored
 from .graph import components
 
 SKETCHED = "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"
@@ -158,19 +158,22 @@ def near_dedup(docs: DataFrame, threshold: int = 85, k: int = 5, bands: int = 32
     """(doc_id, n_shingles, component_id, kept) for each row of `docs`. component_id is the smallest doc_id of the group."""
     size = bands * rows
     p = threshold / 100
-    least = math.ceil(size * p - 6 * math.sqrt(size * p * (1 - p)))
+    agree = math.ceil(size * p - 6 * math.sqrt(size * p * (1 - p)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = stored(texts.mapInArrow(lambda it: sketch_rows(it, k, size), SKETCHED), "sketches")
     usable = sketched.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid")), "classes")
-    reps = stored(usable.join(classes, ["k1", "k2"]).where("doc_id = cid").dropDuplicates(["k1", "k2", "cid"]).select("k1", "k2", "cid", "n_shingles", "sketch"), "representatives")
+    classes = stored(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("n")), "classes")
+    # A class may hold a third of all rows; its representative is found by its doc_id, which is no class's but its own.
+    least = usable.join(classes.select("k1", "k2", F.col("cid").alias("doc_id")), ["k1", "k2", "doc_id"])
+    reps = stored(least.select("k1", "k2", F.col("doc_id").alias("cid"), "n_shingles", "sketch").dropDuplicates(["k1", "k2", "cid"]), "representatives")
+    n_reps, n_rows = reps.count(), sketched.count()
 
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sketch", 2 * rows * b + 1, 2 * rows)) for b in range(bands)])
     entries = reps.select("cid", F.explode(keys).alias("bucket"))
     buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("cid").alias("first"), F.bit_xor(F.xxhash64("cid")).alias("members")).where("n > 1")
-    buckets = buckets.groupBy("n", "first", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    met = in_units(entries.join(buckets, "bucket"), "bucket", "n", sketch_block)
-    near = links(met.join(reps.select("cid", "n_shingles", "sketch"), "cid").select("unit", "cid", "n_shingles", "sketch"), size, least, threshold)
+    buckets = buckets.groupBy("n", "first", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n", F.col("n").alias("rows"))
+    met = in_units(meet(entries, buckets, ["bucket"], "rows", "cid", bands * n_reps), "bucket", "n", sketch_block)
+    near = links(met.join(reps.select("cid", "n_shingles", "sketch"), "cid").select("unit", "cid", "n_shingles", "sketch"), size, agree, threshold)
     clusters = components(near)
 
     counts = clusters.groupBy("root").agg(F.count("*").alias("n"))
@@ -178,15 +181,17 @@ def near_dedup(docs: DataFrame, threshold: int = 85, k: int = 5, bands: int = 32
     found = texts.join(members.select(F.col("cid").alias("doc_id")).distinct(), "doc_id")
     sets = found.mapInArrow(lambda it: set_rows(it, k), "cid long, shingles binary").join(reps.select("cid", "n_shingles", "sketch"), "cid")
     units = in_units(members, "root", "n", block).join(sets, "cid").select("unit", "cid", "n_shingles", "sketch", "shingles")
-    groups = components(links(units, size, least, threshold))
+    groups = components(links(units, size, agree, threshold))
 
-    named = classes.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select("k1", "k2", F.coalesce("root", "cid").alias("component"))
-    out = sketched.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
+    named = classes.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select("k1", "k2", "n", F.coalesce("root", "cid").alias("component"))
+    out = meet(sketched.select("doc_id", "n_shingles", "k1", "k2"), named, ["k1", "k2"], "n", "doc_id", n_rows, "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def near_dedup_keep(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that stay (the smallest doc_id of each group), with all their columns."""
-    gone = near_dedup(docs, **options).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    """The rows of `docs` that stay (the smallest doc_id of each group), with all their columns. Rows repeated with one
+    doc_id are one document, so all rows of a doc_id stay or go together."""
+    (ident,) = fresh(docs, "id")
+    gone = near_dedup(docs, **options).where("not kept").select(F.col("doc_id").alias(ident)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(ident), "left_anti")

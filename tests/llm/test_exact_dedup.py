@@ -68,6 +68,22 @@ def test_colliding_keys(spark, monkeypatch):
     assert sorted(map(tuple, exact_dedup.exact_dedup(docs, 2, 3).collect()), key=repr) == want
 
 
+def test_the_largest_id_is_an_id(spark):
+    for ids in ([2**63 - 1], [2**63 - 1, None], [-(2**63), 0, None]):
+        docs = spark.createDataFrame([(i, "same") for i in ids], "doc_id long, text string")
+        want = brute([(i, "same") for i in ids])
+        assert sorted(map(tuple, exact_dedup.exact_dedup(docs).collect()), key=repr) == want
+        assert [r["doc_id"] for r in exact_dedup.exact_dedup_keep(docs.withColumn("__key", docs["text"])).collect()] == [ids[0]]
+
+
+def test_a_hot_group_is_looked_up_on_its_pages(spark):
+    docs = spark.range(600).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('text ', id)) as text")
+    chains, rows, _ = exact_dedup.exact_groups(docs, 4, 16)
+    pages = rows.where("doc_id % 3 = 0").groupBy("bucket", "page").count().collect()
+    assert len(pages) > 5 and max(r["count"] for r in pages) < 100
+    assert sorted(map(tuple, exact_dedup.exact_dedup(docs, 4, 16).collect()), key=repr) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
 def test_native(spark):
     plan = exact_dedup.exact_dedup(random_docs(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
