@@ -2,7 +2,12 @@
 
 Each stage reads what its predecessor kept, as Parquet, and its decisions take effect: toxic documents go, of equal
 texts one stays, of each near-duplicate group one stays, the rest is repeated or left out as the mix wants it, and
-what is left is packed. All stages but the last return the columns of their input.
+what is left is packed. All stages but the last return the columns of their input, whatever their names.
+
+Null and empty texts are clean (they score as the prior), equal to each other, no near copies of anything, of no tokens (so
+the mix leaves them out) and would be packed as their end id alone. Of rows repeated with one doc_id, the stages of copies
+keep one where the texts are equal and all where they are not; the mix shares out what it takes of them. Ties are decided by
+doc_id. Very long texts are processed whole in every stage. An empty table passes all stages and gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, max_segments=6, prompt_line=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -8,8 +8,10 @@ scoring take whole texts; training takes every text that is not held out.
   to all executors); other words share `classes` symbols by their hash and, within one, follow their smoothed counts,
   which are joined in by word. The end is a symbol too.
 * *Baum-Welch.* Texts are encoded once, into the shared folder. In each round the tasks run scaled forward-backward over
-  segments of their texts and emit expected counts by symbol; these are added up in a shuffle, and the driver makes the
-  next model of states x symbols numbers.
+  their whole texts and emit expected counts by symbol; these are added up in a shuffle, and the driver makes the next
+  model of states x symbols numbers. Rounds end when the log likelihood of a token gains less than `tolerance`.
+  Texts longer than `segment` tokens are cut; what lies before and after a cut reaches it as weights of the states (from
+  the product of the cuts' matrices), so the expectations are those of the whole text, moves across cuts included.
 * *Score.* The scaled forward recursion gives the exact likelihood of a text. Texts longer than `segment` tokens are cut;
   all cuts run at once, each from every state, and are multiplied together, which is the same sum in another order.
 
@@ -120,30 +122,71 @@ def log_likelihood(model: Hmm, texts: list[np.ndarray], segment: int = 2048, at_
     return out
 
 
-def expected(model: Hmm, parts: list[np.ndarray], emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Forward-backward over `parts`: expected starts and moves and the log likelihood; expected emissions are added to `emit`."""
-    ids, active, _ = padded(parts)
+@dataclass
+class Cuts:
+    """Parts of texts with what the rest of their text says: `before`, the state weights at the end of the part before (zeros
+    at a text's beginning), and `after`, the likelihood of what follows by the part's last state, up to a factor."""
+
+    parts: list[np.ndarray]
+    before: np.ndarray
+    after: np.ndarray
+
+
+def cut(model: Hmm, texts: list[np.ndarray], segment: int, at_once: int = 4096) -> Cuts:
+    """The texts in parts of at most `segment` tokens. Only those of more than one part cost more than their parts."""
     states = len(model.start)
+    parts, before, after = [], [], []
+    step = max(1, at_once // states)
+    for t in texts:
+        own = [t[lo : lo + segment] for lo in range(0, len(t), segment)]
+        weights, ends = np.zeros((len(own), states)), np.ones((len(own), states))
+        if len(own) > 1:
+            alpha, _ = chains(model, model.start[None], own[:1])
+            through = np.empty((len(own), states, states))  # of each part but the first: from the state before it to its last
+            for lo in range(1, len(own), step):
+                some = own[lo : lo + step]
+                a, logs = chains(model, np.tile(model.move, (len(some), 1)), [p for p in some for _ in range(states)])
+                logs = logs.reshape(-1, states, 1)
+                through[lo : lo + len(some)] = a.reshape(-1, states, states) * np.exp(logs - logs.max(1, keepdims=True))
+            weights[1] = alpha[0]
+            for i in range(1, len(own) - 1):
+                v = weights[i] @ through[i]
+                weights[i + 1] = v / v.sum()
+            for i in range(len(own) - 1, 0, -1):
+                v = through[i] @ ends[i]
+                ends[i - 1] = v / v.max()
+        parts += own
+        before.append(weights)
+        after.append(ends)
+    return Cuts(parts, np.concatenate(before), np.concatenate(after))
+
+
+def expected(model: Hmm, cuts: Cuts, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Forward-backward over parts: expected starts and moves and the log likelihood; expected emissions are added to `emit`."""
+    ids, active, order = padded(cuts.parts)
+    before, after = cuts.before[order], cuts.after[order]
+    states, new = len(model.start), ~cuts.before[order].any(axis=1)
     alpha = np.zeros((*ids.shape, states))
     scale = np.ones(ids.shape)
     for t, n in enumerate(active):
-        a = (alpha[t - 1, :n] @ model.move if t else np.tile(model.start, (n, 1))) * model.emit[ids[t, :n]]
+        a = (alpha[t - 1, :n] @ model.move if t else np.where(new[:, None], model.start, before @ model.move)) * model.emit[ids[t, :n]]
         scale[t, :n] = a.sum(1)
         alpha[t, :n] = a / scale[t, :n, None]
     moves = np.zeros((states, states))
-    beta = np.ones((ids.shape[1], states))
+    last = alpha[np.array([len(p) for p in cuts.parts])[order] - 1, np.arange(len(order))]
+    beta = after / (last * after).sum(1, keepdims=True)  # so that alpha * beta sums to one at every step
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
         w = model.emit[ids[t, :n]] * beta[:n] / scale[t, :n, None]
         alpha[t, :n] *= beta[:n]  # now the state's probability
+        moves += (alpha[t - 1, :n] if t else before).T @ w
         if t:
-            moves += alpha[t - 1, :n].T @ w
             beta[:n] = w @ model.move.T
     flat = np.concatenate([ids[t, :n] for t, n in enumerate(active)])
     gamma = np.concatenate([alpha[t, :n] for t, n in enumerate(active)])
     for k in range(states):
         emit[:, k] += np.bincount(flat, weights=gamma[:, k], minlength=len(emit))
-    return alpha[0].sum(0), moves * model.move, float(np.log(scale).sum())
+    return alpha[0][new].sum(0), moves * model.move, float(np.log(scale).sum())
 
 
 def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,26 +231,34 @@ def other_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (rows, hashes, counts)], names=["row", "h", "n"])
 
 
-def expect_rows(batches: Iterator[pa.RecordBatch], model: Hmm, segment: int, at_once: int = 1024) -> Iterator[pa.RecordBatch]:
-    """A task's expected counts: a row for each symbol seen, and rows for starts (-1), the log likelihood (-2) and moves (-3 - state)."""
+def expect_rows(batches: Iterator[pa.RecordBatch], model: Hmm, segment: int, at_once: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """A task's expected counts: a row for each symbol seen, and rows for starts (-1), the log likelihood (-2) and moves (-3 - state).
+    Texts run together by length, about `at_once` tokens at a time."""
     states = len(model.start)
     emit, start, moves, logs = np.zeros_like(model.emit), np.zeros(states), np.zeros((states, states)), 0.0
-    waiting: list[np.ndarray] = []
 
-    def run(parts: list[np.ndarray]) -> None:
+    def run(texts: list[np.ndarray]) -> None:
         nonlocal start, moves, logs
-        s, m, x = expected(model, parts, emit)
-        start, moves, logs = start + s, moves + m, logs + x
+        made = cut(model, texts, segment)
+        order = np.argsort([len(p) for p in made.parts], kind="stable")
+        size = np.array([len(made.parts[i]) for i in order])
+        lo = 0
+        while lo < len(order):  # parts of like lengths, whose longest fills its steps with about `at_once` tokens
+            hi = lo + max(1, int(np.searchsorted(size[lo:] * np.arange(1, len(size) - lo + 1), at_once, "right")))
+            own = order[lo:hi]
+            s, m, x = expected(model, Cuts([made.parts[i] for i in own], made.before[own], made.after[own]), emit)
+            start, moves, logs, lo = start + s, moves + m, logs + x, hi
 
     for batch in batches:
-        for b in batch.column("symbols").to_pylist():
-            ids = np.frombuffer(b, np.uint16)
-            waiting += [ids[lo : lo + segment] for lo in range(0, len(ids), segment)]
-            while len(waiting) >= at_once:
-                run(waiting[:at_once])
-                waiting = waiting[at_once:]
-    if waiting:
-        run(waiting)
+        column, waiting, tokens = batch.column("symbols"), [], 0
+        for b in column:
+            waiting.append(np.frombuffer(b.as_py(), np.uint16))
+            tokens += len(waiting[-1])
+            if tokens > 4 * at_once:
+                run(waiting)
+                waiting, tokens = [], 0
+        if waiting:
+            run(waiting)
     seen = np.flatnonzero(emit.sum(1) > 0)
     numbers = np.vstack([emit[seen], start[None], np.full((1, states), logs), moves])
     names = np.concatenate([seen, [-1, -2], -3 - np.arange(states)])
@@ -234,8 +285,9 @@ def fold(of: Column, n: int = 5) -> Column:
     return F.pmod(F.crc32(of.cast("string").cast("binary")), F.lit(n))
 
 
-def train(encoded: DataFrame, symbols: Symbols, states: int, rounds: int, segment: int, seed: int) -> tuple[Hmm, list[float]]:
-    """Baum-Welch over the rows of `encoded` that are not held out; the model and the log likelihood before each round."""
+def train(encoded: DataFrame, symbols: Symbols, states: int, rounds: int, segment: int, seed: int, tolerance: float = 1e-4) -> tuple[Hmm, list[float]]:
+    """Baum-Welch over the rows of `encoded` that are not held out, `rounds` at most; the model and the log likelihood before
+    each round."""
     spark = encoded.sparkSession
     model, history = Hmm.first(symbols.counts, states, seed), []
     schema = "symbol long, " + ", ".join(f"s{k} double" for k in range(states))
@@ -251,10 +303,12 @@ def train(encoded: DataFrame, symbols: Symbols, states: int, rounds: int, segmen
         start = numbers[names == -1].sum(0)
         history.append(float(numbers[names == -2][:, 0].sum()))
         model = Hmm.next(start, moves, emit, symbols.counts)
+        if len(history) > 1 and history[-1] - history[-2] < tolerance * symbols.counts.sum():
+            break
     return model, history
 
 
-def lm_scores(docs: DataFrame, held_out: Column | None = None, states: int = 8, rounds: int = 3, frequent: int = 65_279, classes: int = 256, segment: int = 256, seed: int = 10) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: Column | None = None, states: int = 8, rounds: int = 3, frequent: int = 65_279, classes: int = 256, segment: int = 2048, seed: int = 10, tolerance: float = 1e-4) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of `docs`; scores are log10.
 
     `held_out`: which rows training leaves out; by default those whose crc32(doc_id as text) is 1 modulo 5.
@@ -289,7 +343,7 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, states: int = 8,
 
     sent = spark.sparkContext.broadcast(symbols)  # at most 2**16 symbols
     encoded = stored(rows.mapInArrow(lambda it: encode_rows(it, sent.value), ENCODED), "encoded")
-    model, _ = train(encoded, symbols, states, rounds, segment, seed)
+    model, _ = train(encoded, symbols, states, rounds, segment, seed, tolerance)
     ready = spark.sparkContext.broadcast(model)
     n_words = len(words)
     scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "symbols").mapInArrow(lambda it: score_rows(it, ready.value, number, n_words, total, kinds), SCORED)

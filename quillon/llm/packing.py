@@ -1,7 +1,7 @@
 """Packing examples into training sequences by vector bin packing with the dot-product heuristic.
 
-An example is a document's ids and an end id; with `prompt_col` its prompt's ids come first and bear no loss. A
-sequence has three limits at once: tokens, segments and loss-bearing tokens. Each task packs its own rows as they
+An example is a document's ids and an end id; with `prompt_col` its prompt's ids come first and bear no loss, and with
+`prompt_line` the ids of the text's first line, where more lines follow, bear none. A sequence has three limits at once: tokens, segments and loss-bearing tokens. Each task packs its own rows as they
 stream by, so packing moves no row between tasks and a source with a third of all rows is dealt like any other:
 
 * As long as a document fills sequences alone, such pieces become sequences at once.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .tokenize import bpe, public_bpe
+from .tokenize import Bpe, bpe, public_bpe
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_segments long, n_loss long"
 
@@ -157,7 +157,14 @@ class Packer:
             todo += self.trim(sequence)[::-1]
 
 
-def pack_rows(batches: Iterator[pa.RecordBatch], tokenizer: tuple, end_id: int, limits: tuple[int, int, int], open_sequences: int) -> Iterator[pa.RecordBatch]:
+def first_line(text: str, ids: np.ndarray, encode: Bpe) -> int:
+    """How many of `ids` are those of the first of several lines, without the white space that ends it."""
+    line, _, rest = text.partition("\n")
+    quiet = encode.ids(line.rstrip()) if rest.strip() else ids[:0]
+    return len(quiet) if np.array_equal(ids[: len(quiet)], quiet) else 0
+
+
+def pack_rows(batches: Iterator[pa.RecordBatch], tokenizer: tuple, end_id: int, limits: tuple[int, int, int], open_sequences: int, prompt_line: bool = False) -> Iterator[pa.RecordBatch]:
     encode = bpe(*tokenizer)
     packer = Packer(*limits, open_sequences)
     context = TaskContext.get()
@@ -180,8 +187,11 @@ def pack_rows(batches: Iterator[pa.RecordBatch], tokenizer: tuple, end_id: int,
     for batch in batches:
         for doc_id, text, prompt in zip(*(batch.column(i) for i in range(3)), strict=True):
             before = encode.ids(prompt.as_py()) if prompt.is_valid else end[:0]
-            ids = np.concatenate([before, encode.ids(text.as_py() or ""), end])
-            packer.add(Piece(doc_id.as_py(), 0, ids, len(ids), len(before)))
+            body = text.as_py() or ""
+            own = encode.ids(body)
+            quiet = len(before) + (first_line(body, own, encode) if prompt_line else 0)
+            ids = np.concatenate([before, own, end])
+            packer.add(Piece(doc_id.as_py(), 0, ids, len(ids), quiet))
             if len(packer.done) > 512:
                 yield written()
     packer.finish()
@@ -198,6 +208,7 @@ def pack(
     max_loss: int = 2048,
     open_sequences: int = 64,
     prompt_col: str | None = None,
+    prompt_line: bool = False,
 ) -> DataFrame:
     """A row for each piece: doc_id, start (the document's ids before it), length, ids_crc32, doc_tokens, sequence_id,
     offset in the sequence, and the sequence's n_segments and n_loss. `tokenizer`: arguments of `tokenize.bpe`."""
@@ -205,4 +216,4 @@ def pack(
     prompt = F.col(prompt_col).cast("string") if prompt_col else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), prompt.alias("prompt"))
     limits = (max_tokens, max_segments, max_loss)
-    return rows.mapInArrow(lambda it: pack_rows(it, tokenizer, end_id, limits, open_sequences), SCHEMA)
+    return rows.mapInArrow(lambda it: pack_rows(it, tokenizer, end_id, limits, open_sequences, prompt_line), SCHEMA)

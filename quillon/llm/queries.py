@@ -19,7 +19,8 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    """Documents as instruction data: the first of several lines asks, the rest answers and bears the loss."""
+    return packing.pack(table(spark, sf_dir, "documents"), max_segments=6, prompt_line=True)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

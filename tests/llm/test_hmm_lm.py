@@ -36,19 +36,40 @@ def test_exact_likelihood():
     assert total == pytest.approx(1.0)
 
 
-def test_baum_welch_never_loses():
+def expect(m, parts, segment):
+    emit = np.zeros_like(m.emit)
+    return *hmm_lm.expected(m, hmm_lm.cut(m, parts, segment), emit), emit
+
+
+@pytest.mark.parametrize("segment", [7, 2048])
+def test_baum_welch_never_loses(segment):
     rng = np.random.default_rng(2)
     parts = [np.sort(rng.integers(0, 20, rng.integers(2, 30))) for _ in range(40)]
     counts = np.bincount(np.concatenate(parts), minlength=20).astype(float)
     m, last = hmm_lm.Hmm.first(counts, 3, 5), -np.inf
     for _ in range(6):
-        emit = np.zeros((20, 3))
-        start, moves, logs = hmm_lm.expected(m, parts, emit)
+        start, moves, logs, emit = expect(m, parts, segment)
         assert logs == pytest.approx(sum(naive(m, p) for p in parts)) and logs > last - 1e-9
         assert emit.sum() == pytest.approx(counts.sum()) and start.sum() == pytest.approx(40) and moves.sum() == pytest.approx(counts.sum() - 40)
         last, m = logs, hmm_lm.Hmm(start / start.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0))
 
 
+def test_expectations_do_not_depend_on_the_cuts():
+    rng = np.random.default_rng(3)
+    m, parts = model(), [rng.integers(0, 50, n) for n in (1, 2, 8, 9, 100, 333)]
+    whole = expect(m, parts, 2048)
+    for segment in (1, 8, 50):
+        for a, b in zip(whole, expect(m, parts, segment), strict=True):
+            assert np.allclose(a, b)
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"symbols": [p.astype(np.uint16).tobytes() for p in parts]})
+    (got,) = hmm_lm.expect_rows(iter([rows]), m, 8, at_once=20)
+    by = {r["symbol"]: [r[f"s{k}"] for k in range(3)] for r in got.to_pylist()}
+    assert np.allclose(by[-1], whole[0]) and by[-2][0] == pytest.approx(whole[2]) and np.allclose([by[-3 - k] for k in range(3)], whole[1])
+    assert all(np.allclose(by[x], whole[3][x]) for x in np.flatnonzero(whole[3].sum(1) > 0))
+
+
 @pytest.mark.parametrize("frequent", [65_279, 30])
 @pytest.mark.parametrize("make", [odd_docs, random_docs])
 def test_base_scores(spark, make, frequent):

@@ -28,12 +28,55 @@ def test_packer(items, tokens, segments, loss, open_sequences):
 
 
 def test_dot_product_choice():
+    """Three open sequences could take the piece. First fit and best fit by tokens would choose another than the dot product
+    of its demands (many tokens, little loss) with what they have left."""
     packer = packing.Packer(100, 10, 100, 4)
-    packer.add(packing.Piece(0, 0, np.arange(60, dtype=np.uint32), 60, 0))
-    packer.add(packing.Piece(1, 0, np.arange(90, dtype=np.uint32), 90, 0))
-    assert len(packer.open) == 2
-    packer.add(packing.Piece(2, 0, np.arange(30, dtype=np.uint32), 30, 0))
-    assert [s.tokens for s in packer.open] == [90, 90]
+    for i, (n, quiet) in enumerate([(60, 0), (50, 50), (55, 30)]):
+        sequence = packing.Sequence()
+        sequence.add(packing.Piece(i, 0, np.arange(n, dtype=np.uint32), n, quiet))
+        packer.open.append(sequence)
+        packer.left[i] = packer.limits - [n, 1, n - quiet]
+    piece = packing.Piece(9, 0, np.arange(30, dtype=np.uint32), 30, 20)
+    need = np.array([30, 1, 10]) / packer.limits
+    scores = [(packer.left[i] / packer.limits) @ need for i in range(3)]
+    assert np.argmax(scores) == 1 and min(s.tokens for s in packer.open) == 50
+    packer.place(piece)
+    assert [len(s.pieces) for s in packer.open] == [1, 2, 1]
+    heavy = packing.Packer(100, 10, 40, 4)  # loss is scarce: the piece that bears much goes where loss is left, not tokens
+    for i, (n, quiet) in enumerate([(20, 0), (60, 55)]):
+        sequence = packing.Sequence()
+        sequence.add(packing.Piece(i, 0, np.arange(n, dtype=np.uint32), n, quiet))
+        heavy.open.append(sequence)
+        heavy.left[i] = heavy.limits - [n, 1, n - quiet]
+    heavy.place(packing.Piece(9, 0, np.arange(20, dtype=np.uint32), 20, 0))
+    assert [len(s.pieces) for s in heavy.open] == [1, 2]
+
+
+def test_limits_of_the_query(spark, sf):
+    from quillon.llm import queries
+
+    rows = {r["sequence_id"]: r for r in queries.op3_packing(spark, sf).collect()}
+    total = sum(r["length"] for r in queries.op3_packing(spark, sf).collect())
+    assert max(r["n_segments"] for r in rows.values()) == 6 and all(r["n_loss"] <= 2048 for r in rows.values())
+    assert 0.5 * total < sum(r["n_loss"] for r in rows.values()) < total
+
+
+def test_fast_ids_of_the_whole_table(sf):
+    import pyarrow.parquet as pq
+
+    json_file, *fast = public_bpe()
+    quick, plain = Bpe(json_file, *fast), Bpe(json_file)
+    texts = pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist()
+    assert len(texts) >= 200 and all(np.array_equal(quick.ids(t or ""), plain.ids(t or "")) for t in texts)
+
+
+def test_first_line_bears_no_loss(spark):
+    docs = spark.createDataFrame([(1, "ask this  \nanswer that"), (2, "one line"), (3, "\nempty first"), (4, "only \n  ")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in packing.pack(docs, prompt_line=True, max_segments=1).collect()}
+    encode = Bpe(public_bpe()[0])
+    for i, quiet in ((1, len(encode.ids("ask this"))), (2, 0), (3, 0), (4, 0)):
+        if rows[i]["length"] == rows[i]["doc_tokens"]:
+            assert rows[i]["n_loss"] == rows[i]["doc_tokens"] - quiet
 
 
 @pytest.mark.parametrize("make", [odd_docs, random_docs])
