@@ -3,19 +3,21 @@
 * *Document.* A logistic model over rates of bytes and words (features in numpy, a few dozen numbers for each text),
   fitted on at most `max_rows` labelled documents chosen by a hash of doc_id (a documented bound; only their features
   reach the driver).
-* *Sites.* The classifier's probabilities over all documents are added up by path and host (a path lies in a host).
-  A host's quality has a beta prior around the global mean and a path's one around its host's posterior mean; the
-  strength of either prior comes from the spread between sites, by the method of moments, so that sparse sites shrink
-  to their parent and large ones speak for themselves.
-* *Both.* A document's log odds are its own plus those of its path's posterior (without its own share in it) against
-  the global mean.
+* *Sites.* Every path (which lies in a host) counts its labelled documents, good ones and all, and adds its other documents
+  as `trust` of a document each, good by the classifier's probability. A host's quality has a beta prior around the global
+  mean and a path's one around its host's posterior mean; the strength of either prior comes from the spread between
+  sites, by the method of moments, so that sparse sites shrink to their parent and large ones speak for themselves.
+* *Both.* A document's log odds are its own plus those of its path's posterior against the global mean; its own share, label
+  included, is taken out of the path's counts first, so no label reaches the document that bears it.
 
 Sites are sent to all executors only as long as there are at most `max_broadcast`; beyond, rows meet them in a shuffle
 in which every site's rows are spread over `salts` tasks, as one host may hold a third of all rows.
 
 Null and empty texts have all features 0. Null hosts and paths are sites of their own. Labels other than 0 and 1 are not
-used; without labels of both classes the classifier gives the share of 1 (one half without labels). Rows with one
-doc_id are scored each for itself. Other columns are not read.
+used; without labels of both classes the classifier gives the share of 1 (one half without labels). Labels repeated for one
+doc_id count once, the best of them; of rows repeated with one labelled doc_id one trains the classifier. Rows with one
+doc_id are scored each for itself, and each counts in its site. Very long texts are read whole, one at a time. An empty table
+gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -96,16 +98,30 @@ def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def evidence_rows(batches: Iterator[pa.RecordBatch], model: Linear) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, texts in textvec.slices(batch.column("text")):
-            rest = [batch.column(c).slice(lo, len(texts)) for c in ("doc_id", "host", "path")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(model.logits(features(texts)), pa.float64())], names=["doc_id", "host", "path", "evidence"])
+            rest = [batch.column(c).slice(lo, len(texts)) for c in ("doc_id", "host", "path", "label")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(model.logits(features(texts)), pa.float64())], names=["doc_id", "host", "path", "label", "evidence"])
+
+
+def fold(of: Column, n: int = 5) -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.pmod(F.crc32(of.cast("string").cast("binary")), F.lit(n))
+
+
+def known(labels: DataFrame, held_out: int | None) -> DataFrame:
+    """(doc_id, quality): one label of each document, but those of the fold `held_out`."""
+    rows = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null")
+    if held_out is not None:
+        rows = rows.where(fold(F.col("doc_id")) != held_out)
+    return rows.groupBy("doc_id").agg(F.max("quality").alias("quality"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, seed: int = 8) -> Linear:
-    known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null")
-    picked = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_rows)
+    """The classifier; `labels`: (doc_id, quality), one for each doc_id."""
+    picked = labels.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # At most max_rows ids, so it may be broadcast.
-    found = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").mapInArrow(feature_rows, "doc_id long, quality int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
+    # At most max_rows ids, so it may be broadcast. One row of each doc_id stays: that with the least features.
+    made = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").mapInArrow(feature_rows, "doc_id long, quality int, x binary")
+    found = made.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toArrow().sort_by("doc_id")
     x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float64).reshape(-1, N_FEATURES)
     return fit_linear(x, np.array(found["quality"].to_pylist(), np.float64))
 
@@ -126,18 +142,22 @@ def logit(p: Column) -> Column:
     return F.ln(q / (1 - q))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_rows: int = 20_000, seed: int = 8, max_broadcast: int = 200_000, salts: int = 32) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_rows: int = 20_000, seed: int = 8, max_broadcast: int = 200_000, salts: int = 32, trust: float = 0.25, held_out: int | None = None) -> DataFrame:
     """(doc_id, host, path, evidence, host_quality, path_quality, score, keep) for each row of `docs`.
 
     `host` and `path`: columns of `docs`; `evidence`: the classifier's log odds; `score`: probability of quality 1;
-    `keep`: whether it is at least one half.
+    `keep`: whether it is at least one half. `held_out`: a fold of doc_id whose labels are not used at all.
     """
     spark = docs.sparkSession
+    labels = known(labels, held_out)
     model = fit(docs, labels, max_rows, seed)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), host.cast("string").alias("host"), path.cast("string").alias("path"))
-    judged = stored(rows.mapInArrow(lambda it: evidence_rows(it, model), "doc_id long, host string, path string, evidence double"), "evidence")
+    rows = rows.join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id", "left").select("doc_id", "text", "host", "path", "label")
+    judged = stored(rows.mapInArrow(lambda it: evidence_rows(it, model), "doc_id long, host string, path string, label int, evidence double"), "evidence")
     p = 1 / (1 + F.exp(-F.col("evidence")))
-    paths = stored(judged.groupBy("host", "path").agg(F.sum(p).alias("s"), F.count("*").alias("n")), "paths")
+    own_n = F.when(F.col("label").isNull(), F.lit(trust)).otherwise(F.lit(1.0))
+    own_s = F.when(F.col("label").isNull(), trust * p).otherwise(F.col("label").cast("double"))
+    paths = stored(judged.groupBy("host", "path").agg(F.sum(own_s).alias("s"), F.sum(own_n).alias("n")), "paths")
     total = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     mean = total["s"] / total["n"] if total["n"] else 0.5
     hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).withColumn("mean", F.lit(float(mean)))
@@ -152,6 +172,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: Column, path: Colum
     else:
         salted = sites.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         met = judged.withColumn("salt", F.pmod(F.xxhash64("doc_id", "evidence"), F.lit(salts)).cast("int")).join(salted, same & (F.col("salt") == F.col("t")))
-    path_quality = (F.col("s") - p + b * F.col("host_quality")) / (F.col("n") - 1 + b)
+    left = lambda c, own: F.greatest(F.col(c) - own, F.lit(0.0))  # noqa: E731  sums may miss zero by their rounding
+    path_quality = (left("s", own_s) + b * F.col("host_quality")) / (left("n", own_n) + b)
     score = 1 / (1 + F.exp(-(F.col("evidence") + logit(path_quality) - logit(F.lit(float(mean))))))
     return met.select("doc_id", "host", "path", "evidence", "host_quality", path_quality.alias("path_quality"), score.alias("score")).withColumn("keep", F.col("score") >= 0.5)

@@ -45,11 +45,34 @@ def test_batches_commit_once(spark, tmp_path):
     assert rollup.commit("two", rows.where("n = 5").withColumns(tc.revised(F.col("n"), F.lit(9))))
     assert rollup.commit("three", rows.where("n = 7").withColumns(tc.deleted(F.col("n"))))
     assert totals(rollup)["a", "en", "v1"] == (1, 9)
-    rows.withColumns(tc.inserted(F.col("n"))).selectExpr("source", "lang", "tokenizer_version", "cast(docs as long) docs", "tokens").write.parquet(f"{tmp_path}/r/deltas/four")
+    rows.withColumns(tc.inserted(F.col("n"))).selectExpr("source", "lang", "tokenizer_version", "cast(docs as long) docs", "tokens").write.parquet(f"{tmp_path}/r/attempts/four-x")
     assert totals(rollup)["a", "en", "v1"] == (1, 9)  # written, but not committed
     assert rollup.commit("four", rows.limit(0).withColumns(tc.inserted(F.col("n"))))
     assert totals(rollup)["a", "en", "v1"] == (1, 9)
 
 
+def test_two_runners_of_one_batch(spark, tmp_path, monkeypatch):
+    rollup = tc.Rollup(spark, f"file://{tmp_path}/r")
+    rows = spark.createDataFrame([("a", "en", "v1", 5)], "source string, lang string, tokenizer_version string, n long").withColumns(tc.inserted(F.col("n")))
+    assert rollup.commit("one", rows)
+    late = tc.Rollup(spark, rollup.path)
+    monkeypatch.setattr(late, "committed", lambda: [])  # it looked before the other committed
+    assert not late.commit("one", rows.withColumn("tokens", F.lit(1000)))
+    assert totals(rollup) == {("a", "en", "v1"): (1, 5)} and rollup._names("attempts") == []
+
+
+def test_snapshots(spark, tmp_path):
+    rollup = tc.Rollup(spark, f"file://{tmp_path}/r")
+    rows = spark.createDataFrame([("a", "en", "v1", 5)], "source string, lang string, tokenizer_version string, n long")
+    assert rollup.commit("b", rows.withColumns(tc.inserted(F.col("n")))) and rollup.compact() and not rollup.compact()
+    assert rollup.commit("a", rows.withColumns(tc.inserted(F.col("n"))))
+    assert totals(rollup)["a", "en", "v1"] == (2, 10)
+    assert rollup.compact() and totals(rollup)["a", "en", "v1"] == (2, 10)
+    assert not rollup.commit("a", rows.withColumns(tc.inserted(F.col("n"))))
+    for _ in range(3):
+        assert rollup.commit(f"gone{_}", rows.withColumns(tc.deleted(F.col("n"))))
+    assert totals(rollup)["a", "en", "v1"] == (-1, -5)  # deleted once more than inserted
+
+
 def test_empty(spark, tmp_path):
     assert totals(tc.corpus_rollup(no_docs(spark), labels(spark), f"file://{tmp_path}/e")) == {}
