@@ -132,33 +132,34 @@ class Cuts:
     after: np.ndarray
 
 
-def cut(model: Hmm, texts: list[np.ndarray], segment: int, at_once: int = 4096) -> Cuts:
-    """The texts in parts of at most `segment` tokens. Only those of more than one part cost more than their parts."""
+def cut(model: Hmm, texts: list[np.ndarray], segment: int, at_once: int = 8192) -> Cuts:
+    """The texts in parts of at most `segment` tokens. Only those of more than one part cost more than their parts; the
+    parts of all of them run together."""
     states = len(model.start)
-    parts, before, after = [], [], []
+    owner = np.repeat(np.arange(len(texts)), [-(-len(t) // segment) for t in texts])
+    parts = [texts[i][lo : lo + segment] for i in range(len(texts)) for lo in range(0, len(texts[i]), segment)]
+    before, after = np.zeros((len(parts), states)), np.ones((len(parts), states))
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    more = np.diff(np.append(first, len(parts))) > 1
+    for lo in range(0, int(more.sum()), at_once):
+        some = first[more][lo : lo + at_once]
+        before[some + 1], _ = chains(model, np.tile(model.start, (len(some), 1)), [parts[x] for x in some])
+    later = np.flatnonzero(np.diff(owner, prepend=-1) == 0)
+    through = {}  # of each part but a text's first: from the state before it to its last, up to a factor
     step = max(1, at_once // states)
-    for t in texts:
-        own = [t[lo : lo + segment] for lo in range(0, len(t), segment)]
-        weights, ends = np.zeros((len(own), states)), np.ones((len(own), states))
-        if len(own) > 1:
-            alpha, _ = chains(model, model.start[None], own[:1])
-            through = np.empty((len(own), states, states))  # of each part but the first: from the state before it to its last
-            for lo in range(1, len(own), step):
-                some = own[lo : lo + step]
-                a, logs = chains(model, np.tile(model.move, (len(some), 1)), [p for p in some for _ in range(states)])
-                logs = logs.reshape(-1, states, 1)
-                through[lo : lo + len(some)] = a.reshape(-1, states, states) * np.exp(logs - logs.max(1, keepdims=True))
-            weights[1] = alpha[0]
-            for i in range(1, len(own) - 1):
-                v = weights[i] @ through[i]
-                weights[i + 1] = v / v.sum()
-            for i in range(len(own) - 1, 0, -1):
-                v = through[i] @ ends[i]
-                ends[i - 1] = v / v.max()
-        parts += own
-        before.append(weights)
-        after.append(ends)
-    return Cuts(parts, np.concatenate(before), np.concatenate(after))
+    for lo in range(0, len(later), step):
+        some = later[lo : lo + step]
+        a, logs = chains(model, np.tile(model.move, (len(some), 1)), [parts[x] for x in some for _ in range(states)])
+        logs = logs.reshape(-1, states, 1)
+        through.update(zip(some.tolist(), a.reshape(-1, states, states) * np.exp(logs - logs.max(1, keepdims=True)), strict=True))
+    for x in later.tolist():
+        if x + 1 < len(parts) and owner[x + 1] == owner[x]:
+            v = before[x] @ through[x]
+            before[x + 1] = v / v.sum()
+    for x in later[::-1].tolist():
+        v = through[x] @ after[x]
+        after[x - 1] = v / v.max()
+    return Cuts(parts, before, after)
 
 
 def expected(model: Hmm, cuts: Cuts, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -231,7 +232,7 @@ def other_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (rows, hashes, counts)], names=["row", "h", "n"])
 
 
-def expect_rows(batches: Iterator[pa.RecordBatch], model: Hmm, segment: int, at_once: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+def expect_rows(batches: Iterator[pa.RecordBatch], model: Hmm, segment: int, at_once: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """A task's expected counts: a row for each symbol seen, and rows for starts (-1), the log likelihood (-2) and moves (-3 - state).
     Texts run together by length, about `at_once` tokens at a time."""
     states = len(model.start)
@@ -254,7 +255,7 @@ def expect_rows(batches: Iterator[pa.RecordBatch], model: Hmm, segment: int, at_
         for b in column:
             waiting.append(np.frombuffer(b.as_py(), np.uint16))
             tokens += len(waiting[-1])
-            if tokens > 4 * at_once:
+            if tokens > 8 * at_once:
                 run(waiting)
                 waiting, tokens = [], 0
         if waiting:
