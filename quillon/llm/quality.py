@@ -98,8 +98,8 @@ def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def evidence_rows(batches: Iterator[pa.RecordBatch], model: Linear) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, texts in textvec.slices(batch.column("text")):
-            rest = [batch.column(c).slice(lo, len(texts)) for c in ("doc_id", "host", "path", "label")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(model.logits(features(texts)), pa.float64())], names=["doc_id", "host", "path", "label", "evidence"])
+            rest = [batch.column(c).slice(lo, len(texts)) for c in ("doc_id", "host", "path")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(model.logits(features(texts)), pa.float64())], names=["doc_id", "host", "path", "evidence"])
 
 
 def fold(of: Column, n: int = 5) -> Column:
@@ -152,8 +152,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: Column, path: Colum
     labels = known(labels, held_out)
     model = fit(docs, labels, max_rows, seed)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), host.cast("string").alias("host"), path.cast("string").alias("path"))
-    rows = rows.join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id", "left").select("doc_id", "text", "host", "path", "label")
-    judged = stored(rows.mapInArrow(lambda it: evidence_rows(it, model), "doc_id long, host string, path string, label int, evidence double"), "evidence")
+    evidence = stored(rows.mapInArrow(lambda it: evidence_rows(it, model), "doc_id long, host string, path string, evidence double"), "evidence")
+    judged = evidence.join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id", "left")  # labels meet numbers, not texts
+    judged = stored(judged.select("doc_id", "host", "path", "label", "evidence"), "judged")
     p = 1 / (1 + F.exp(-F.col("evidence")))
     own_n = F.when(F.col("label").isNull(), F.lit(trust)).otherwise(F.lit(1.0))
     own_s = F.when(F.col("label").isNull(), trust * p).otherwise(F.col("label").cast("double"))
