@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass
 
+#: The parts of a label.
 RETRIEVERS = ("bm25", "dense", "hybrid", "grep", "kg")
 TRANSFORMS = ("none", "hyde", "multi_query", "decompose")
 EXPANSIONS = ("none", "window", "parent")
@@ -13,12 +14,12 @@ EXPANSIONS = ("none", "window", "parent")
 @dataclass(frozen=True)
 class RetrievalConfig:
     strategy: str = "passage"
-    retriever: str = "bm25"
+    retriever: str = "hybrid"
     transform: str = "none"
     rerank: bool = False
     expansion: str = "none"
-    top_k: int = 10
-    candidate_k: int = 30
+    top_k: int = 5
+    candidate_k: int = 20
 
     def __post_init__(self) -> None:
         for name, of in (("retriever", RETRIEVERS), ("transform", TRANSFORMS), ("expansion", EXPANSIONS)):
@@ -38,12 +39,12 @@ class RetrievalConfig:
         return self.candidate_k if self.rerank else self.top_k
 
     @staticmethod
-    def parse(label: str) -> RetrievalConfig:
+    def parse(label: str, **options) -> RetrievalConfig:
         strategy, retriever, *layers = label.split("+")
         if bad := [x for x in layers if x not in (*TRANSFORMS, *EXPANSIONS, "rerank")]:
             raise ValueError(f"unknown layers: {bad}")
         pick = lambda of: next((x for x in layers if x in of), "none")
-        return RetrievalConfig(strategy, retriever, pick(TRANSFORMS), "rerank" in layers, pick(EXPANSIONS))
+        return RetrievalConfig(strategy, retriever, pick(TRANSFORMS), "rerank" in layers, pick(EXPANSIONS), **options)
 
 
 def matrix(strategies, retrievers, transforms=("none",), rerank=(False,), expansions=("none",), **options) -> list[RetrievalConfig]:

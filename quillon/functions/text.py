@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: English stop words of the lexical index.
@@ -17,6 +19,7 @@ TERM_STOP = (
 #: Names that are no entities.
 NO_ENTITY_RE = r"^[^\p{L}]+$|^(fig|table|e\.g|i\.e|et al|study|studies|patients?|results?|data|analysis|method|methods|group|groups|cases?|levels?|effects?|role|use|number|rate|rates|years?|days?|weeks?|months?|treatment|control|controls)$"
 
+#: Patterns of tokens, terms, sentence breaks and question types.
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 INDEX_TOKEN = r"[\p{L}\p{N}_]{2,}"
 TERM = r"[A-Za-z][A-Za-z0-9\-']{2,}"
@@ -39,11 +42,29 @@ def n_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(TOKEN))
 
 
-def index_tokens(text: Column, stop: list[str] | None = None) -> Column:
-    """Lower-case index tokens in order, without stop words."""
+def index_tokens(text: Column, stop: list[str] | None = None, stem: Callable[[Column], Column] | None = None) -> Column:
+    """Lower-case index tokens in order, without stop words; each through `stem`, if there is a stemmer."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(INDEX_TOKEN), F.lit(0))
     stop = INDEX_STOP if stop is None else stop
-    return F.filter(tokens, lambda t: ~t.isin(*stop)) if stop else tokens
+    kept = F.filter(tokens, lambda t: ~t.isin(*stop)) if stop else tokens
+    return F.transform(kept, stem) if stem else kept
+
+
+def s_stem(word: Column) -> Column:
+    """A light stemmer of English plurals: -ies (not after e or a) becomes -y, -es (not after a, e or o) loses its s, -s (not
+    after u or s) goes."""
+    ies = word.rlike("[^ea]ies$")
+    es = word.rlike("[^aeo]es$")
+    s = word.rlike("[^us]s$") & ~word.rlike("ies$|es$")
+    return F.when(ies, F.regexp_replace(word, "ies$", "y")).when(es | s, F.regexp_replace(word, "s$", "")).otherwise(word)
+
+
+def extracted_terms(text: Column, names: Column, most: int = 8) -> Column:
+    """Search terms with an extractor: its `names` (an array) first, lower-case and of three characters at least, then the
+    content words that no name covers; first occurrences, at most `most`."""
+    clean = F.filter(F.transform(names, lambda n: F.lower(F.trim(n))), lambda n: (F.length(n) >= 3) & ~n.isin(*TERM_STOP))
+    words = F.filter(search_terms(text, 1_000), lambda w: ~F.exists(clean, lambda n: F.contains(n, w)))
+    return F.slice(F.array_distinct(F.concat(clean, words)), 1, most)
 
 
 def search_terms(text: Column, most: int = 8) -> Column:

@@ -40,3 +40,13 @@ def hashing_embedder(dim: int = 64):
             yield pd.Series(out)
 
     return embed
+
+
+def pair_scorer(model):
+    """A vectorised reranker (question, text) -> double from `model`, a function of a list of pairs; it gets Arrow blocks."""
+
+    @F.pandas_udf("double")
+    def score(questions: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series(model(list(zip(questions, texts, strict=True))), dtype="float64")
+
+    return score

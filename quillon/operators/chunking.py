@@ -15,6 +15,7 @@ from ..functions import text as tx
 from ..functions import vectors
 
 SLOTS = 1 << 20
+PIECE = r"\s*(?:%s)" % tx.TOKEN  # a token and the blank before it
 
 
 def chunk_id(passage_id: Column, index: Column) -> Column:
@@ -38,84 +39,158 @@ def whole(passages: DataFrame) -> DataFrame:
     return finished(passages.select("passage_id", F.lit(0).alias("chunk_index"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), tx.n_tokens(F.col("text")).alias("n_tokens")), "passage")
 
 
-def fixed(passages: DataFrame, size: int = 128, overlap: int = 32) -> DataFrame:
-    """Windows of `size` words, each `size - overlap` after the one before; the last ends with the text.
+def running(lengths: Column) -> Column:
+    """array<int>: the sum of all lengths before each."""
+    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("sum"))
+    return F.aggregate(lengths, start, lambda acc, x: F.struct(F.array_append(acc["at"], acc["sum"]).alias("at"), (acc["sum"] + x).alias("sum")), lambda acc: acc["at"])
+
 
-    The text is cut once into strides of `size - overlap` words; a window is a stride and the head of the next ones.
+def windows(passages: DataFrame, unit: str, n: Column, size: int, overlap: int) -> DataFrame:
+    """(passage_id, text, windows, chunk_index, s, e): windows of `size` units (a pattern; units follow each other without a
+    gap), each `size - overlap` after the one before; the last ends with the text.
+
+    The text is cut once into strides of `size - overlap` units; a window is a stride and the head of the next ones.
     """
     step = size - overlap
     if not 0 <= overlap < size:
         raise ValueError("overlap must be below size")
-    strides = F.regexp_extract_all("text", F.lit(r"(?:[^ ]+ ?){1,%d}" % step), F.lit(0))
-    n = tx.n_words(F.col("text"))
-    windows = F.when(n <= size, 1).otherwise(1 + F.ceil((n - size) / step)).cast("int")
     ahead = -(-overlap // step)  # strides that hold a window's tail
-    head = r"^(?:[^ ]+ ?){1,%d}" % max(overlap, 1)
-    rows = passages.select("passage_id", strides.alias("strides"), windows.alias("windows"), F.length("text").alias("chars"))
-    cuts = F.aggregate(
-        F.transform("strides", lambda s: F.length(s)),
-        F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("sum")),
-        lambda acc, x: F.struct(F.array_append(acc["at"], acc["sum"]).alias("at"), (acc["sum"] + x).alias("sum")),
-        lambda acc: acc["at"],
-    )
-    rows = rows.withColumn("at", cuts).select("passage_id", "strides", "windows", "chars", "at", F.posexplode("strides").alias("chunk_index", "stride")).where("chunk_index < windows")
-    tail = F.array_join(F.slice("strides", F.col("chunk_index") + 2, F.lit(max(ahead, 1))), "")
-    body = F.concat("stride", F.regexp_extract(tail, head, 0) if overlap else F.lit(""))
-    start = F.element_at("at", F.col("chunk_index") + 1)
-    body = F.rtrim(F.when(F.col("windows") == 1, F.array_join("strides", "")).otherwise(body))
-    return finished(rows.select("passage_id", "chunk_index", start.alias("char_start"), (start + F.length(body)).alias("char_end"), tx.n_tokens(body).alias("n_tokens")), f"fixed_{size}_{overlap}")
+    count = F.when(n <= size, 1).otherwise(1 + F.ceil((n - size) / step)).cast("int")
+    rows = passages.select("passage_id", "text", F.regexp_extract_all("text", F.lit(r"(?:%s){1,%d}" % (unit, step)), F.lit(0)).alias("strides"), count.alias("windows"))
+    each = F.transform("strides", lambda s, i: F.struct(s.alias("stride"), F.array_join(F.slice("strides", i + 2, F.lit(max(ahead, 1))), "").alias("tail")))
+    rows = rows.withColumns({"at": running(F.transform("strides", lambda s: F.length(s))), "each": each})
+    rows = rows.select("passage_id", "text", "windows", F.posexplode(F.arrays_zip("at", "each")).alias("chunk_index", "x")).where("chunk_index < windows")
+    tail = F.length(F.regexp_extract(F.col("x.each.tail"), r"^(?:%s){1,%d}" % (unit, max(overlap, 1)), 0)) if overlap else F.lit(0)
+    end = F.when(F.col("windows") == 1, F.length("text")).otherwise(F.col("x.at") + F.length("x.each.stride") + tail)
+    return rows.select("passage_id", "text", "windows", "chunk_index", F.col("x.at").alias("s"), end.alias("e"))
+
+
+def fixed(passages: DataFrame, size: int = 128, overlap: int = 32) -> DataFrame:
+    """Windows of `size` words."""
+    rows = windows(passages, "[^ ]+ ?", tx.n_words(F.col("text")), size, overlap)
+    body = F.rtrim(F.substr("text", F.col("s") + 1, F.col("e") - F.col("s")))
+    return finished(rows.select("passage_id", "chunk_index", F.col("s").alias("char_start"), (F.col("s") + F.length(body)).alias("char_end"), tx.n_tokens(body).alias("n_tokens")), f"fixed_{size}_{overlap}")
+
+
+def token_offsets(text: Column) -> Column:
+    """array<int>: where each token begins, with the blank before it, and the text's length at the end."""
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    return F.array_append(running(F.transform(pieces, lambda x: F.length(x))), F.length(text))
+
+
+def tokens(passages: DataFrame, size: int = 128, overlap: int = 32) -> DataFrame:
+    """Windows of `size` tokens, widened to whole words: the start moves left behind white space, the end right to the next,
+    so a window may have more than `size`. A text of at most `size` tokens is one window."""
+    rows = windows(passages, PIECE, tx.n_tokens(F.col("text")), size, overlap)
+    left = F.length(F.substring_index(F.left("text", F.col("s")), " ", -1))  # of the word that the start cuts
+    right = F.length(F.substring_index(F.substr("text", F.col("e") + 1, F.length("text")), " ", 1))
+    wide = rows.select("passage_id", "text", "chunk_index", (F.col("s") - left).alias("s"), (F.col("e") + right).alias("e"))
+    return finished(finalised(wide).withColumn("n_tokens", tx.n_tokens(F.col("body"))), f"tokens_{size}_{overlap}")
+
+
+def finalised(spans: DataFrame) -> DataFrame:
+    """Spans (passage_id, text, chunk_index, s, e), trimmed, without empty ones, numbered anew without gaps: (passage_id,
+    chunk_index, char_start, char_end, body)."""
+    s, e = tx.trim_span(F.col("text"), F.col("s"), F.col("e"))
+    rows = spans.select("passage_id", "text", F.col("chunk_index").alias("was"), s.cast("int").alias("char_start"), e.cast("int").alias("char_end")).where("char_end > char_start")
+    nth = F.row_number().over(Window.partitionBy("passage_id").orderBy("was")) - 1
+    return rows.select("passage_id", nth.alias("chunk_index"), "char_start", "char_end", F.substr("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("body"))
+
+
+def sentence_list(text: Column) -> Column:
+    """array<struct<i, sentence, n_tokens, s, e>>: the sentences of a text with their spans, within the row."""
+    listed = F.transform(tx.sentences(text), lambda x: F.struct(x.alias("sentence"), tx.n_tokens(x).alias("n_tokens"), F.length(x).alias("len")))
+
+    def spanned(l: Column) -> Column:
+        at = running(F.transform(l, lambda x: x["len"] + 1))
+        return F.zip_with(
+            F.transform(l, lambda x, i: x.withField("i", i)), at, lambda x, s: F.struct(x["i"].alias("i"), x["sentence"].alias("sentence"), x["n_tokens"].alias("n_tokens"), s.alias("s"), (s + x["len"]).alias("e"))
+        )
+
+    return F.element_at(F.transform(F.array(listed), spanned), 1)
 
 
 def sentence_rows(passages: DataFrame) -> DataFrame:
     """(passage_id, i, sentence, n_tokens, s, e): each sentence with its span."""
-    rows = passages.select("passage_id", F.posexplode(tx.sentences(F.col("text"))).alias("i", "sentence")).withColumns({"n_tokens": tx.n_tokens(F.col("sentence")), "len": F.length("sentence")})
-    before = Window.partitionBy("passage_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    s = F.coalesce(F.sum(F.col("len") + 1).over(before), F.lit(0)).cast("int")
-    return rows.withColumn("s", s).withColumn("e", F.col("s") + F.col("len")).drop("len")
+    return passages.select("passage_id", F.explode(sentence_list(F.col("text"))).alias("x")).select("passage_id", "x.*")
+
+
+def folded(rows: DataFrame, new: Callable[[Column, Column], Column], strategy: str) -> DataFrame:
+    """Chunks of successive sentences (passage_id, all: array<struct<s, e, n_tokens, ...>>): a sentence x begins a chunk where
+    new(chunk so far, x), the first always. Folded within the row."""
+    part = lambda x: F.struct(x["s"].cast("int").alias("s"), x["e"].cast("int").alias("e"), x["n_tokens"].cast("int").alias("n_tokens"))
+    start = F.struct(F.array().cast("array<struct<s:int,e:int,n_tokens:int>>").alias("done"), F.lit(None).cast("struct<s:int,e:int,n_tokens:int>").alias("open"))
+
+    def step(acc: Column, x: Column) -> Column:
+        opened, own = acc["open"], part(x)
+        first, begins = opened.isNull(), F.coalesce(new(opened, x), F.lit(True))
+        grown = F.struct(opened["s"].alias("s"), own["e"].alias("e"), (opened["n_tokens"] + own["n_tokens"]).alias("n_tokens"))
+        return F.struct(F.when(first | ~begins, acc["done"]).otherwise(F.array_append(acc["done"], opened)).alias("done"), F.when(first | begins, own).otherwise(grown).alias("open"))
+
+    spans = F.aggregate("all", start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+    each = rows.select("passage_id", F.posexplode(spans).alias("chunk_index", "x"))
+    return finished(each.select("passage_id", "chunk_index", F.col("x.s").alias("char_start"), F.col("x.e").alias("char_end"), F.col("x.n_tokens").alias("n_tokens")), strategy)
 
 
 def sentence(passages: DataFrame, least: int = 6) -> DataFrame:
     """One sentence each; one of fewer than `least` tokens joins the chunk before it."""
-    in_order = Window.partitionBy("passage_id").orderBy("i")
-    new = ((F.col("i") == 0) | (F.col("n_tokens") >= least)).cast("int")
-    rows = sentence_rows(passages).drop("sentence").withColumn("group", F.sum(new).over(in_order) - 1)
-    return finished(rows.groupBy("passage_id", F.col("group").alias("chunk_index")).agg(F.min("s").alias("char_start"), F.max("e").alias("char_end"), F.sum("n_tokens").alias("n_tokens")), "sentence")
+    return folded(passages.select("passage_id", sentence_list(F.col("text")).alias("all")), lambda chunk, x: x["n_tokens"] >= least, "sentence")
 
 
-def adjacent_distances(passages: DataFrame) -> DataFrame:
-    """Sentences with `dist`, the distance to the one before (null for the first): 1 - cosine of their term sets."""
-    terms = F.array_distinct(tx.index_tokens(F.col("sentence"), []))
-    rows = sentence_rows(passages).withColumn("terms", terms).drop("sentence")
-    before = F.lag("terms").over(Window.partitionBy("passage_id").orderBy("i"))
-    return rows.withColumn("dist", F.round(1 - vectors.term_cosine(before, F.col("terms")), 9)).drop("terms")
+def distance_list(text: Column) -> Column:
+    """`sentence_list` with `dist`, the distance to the sentence before (null for the first): 1 - cosine of their term sets."""
+    terms = lambda l: F.transform(l, lambda x: x.withField("terms", F.array_distinct(tx.index_tokens(x["sentence"], []))))
 
+    def with_distance(l: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            before = F.get(l, i - 1)["terms"]
+            dist = F.when(i > 0, F.round(1 - vectors.term_cosine(before, x["terms"]), 9))
+            return F.struct(*[x[c].alias(c) for c in ("i", "n_tokens", "s", "e")], dist.alias("dist"))
 
-def calibrated(passages: DataFrame, share: float = 0.75, sample: int = 1500, seed: str = "42") -> float:
-    """The percentile of adjacent distances over a sample of at most `sample` passages, chosen by a hash of their id."""
-    picked = passages.orderBy(F.md5(F.concat(F.lit(seed + ":"), F.col("passage_id").cast("string")))).limit(sample)
-    found = adjacent_distances(picked).agg(F.expr(f"percentile(dist, {share})").alias("p")).first()["p"]
-    return 0.5 if found is None else found
+        return F.transform(l, one)
 
+    return F.element_at(F.transform(F.array(terms(sentence_list(text))), with_distance), 1)
 
-def semantic(passages: DataFrame, threshold: float, least: int = 6, most: int = 256) -> DataFrame:
-    """Successive sentences grouped: a new chunk begins where the distance is above `threshold` and the group has
-    `least` tokens, or where the group would get more than `most`."""
-    rows = adjacent_distances(passages).groupBy("passage_id").agg(F.array_sort(F.collect_list(F.struct("i", "s", "e", "n_tokens", F.coalesce("dist", F.lit(0.0)).alias("dist")))).alias("all"))
-    state = "struct<flags:array<int>,group:int,tokens:int>"
 
-    def step(acc: Column, x: Column) -> Column:
-        first = x["i"] == 0
-        new = ~first & (((x["dist"] > threshold) & (acc["tokens"] >= least)) | (acc["tokens"] + x["n_tokens"] > most))
-        group = acc["group"] + new.cast("int")
-        tokens = F.when(new | first, x["n_tokens"]).otherwise(acc["tokens"] + x["n_tokens"])
-        return F.struct(F.array_append(acc["flags"], group).alias("flags"), group.alias("group"), tokens.cast("int").alias("tokens")).cast(state)
+def adjacent_distances(passages: DataFrame) -> DataFrame:
+    """(passage_id, i, n_tokens, s, e, dist) of each sentence."""
+    return passages.select("passage_id", F.explode(distance_list(F.col("text"))).alias("x")).select("passage_id", "x.*")
+
+
+def every_nth(passages: DataFrame, most: int = 1500) -> DataFrame:
+    """Every max(1, n // most)-th of n passages in order of passage_id, `most` at most. Ranks come from parts of the ids
+    between quantiles, so no task sorts them all."""
+    ids = passages.select("passage_id")
+    parts = 4 * ids.sparkSession.sparkContext.defaultParallelism
+    cuts = ids.agg(F.percentile_approx("passage_id", [i / parts for i in range(1, parts)], 20 * parts).alias("c")).first()["c"] or []
+    bounds = F.array(*[F.lit(b) for b in sorted(set(cuts))]).cast("array<long>")  # fewer than parts
+    placed = passages.withColumn("__part", F.size(F.filter(bounds, lambda b: b < F.col("passage_id"))))
+    counts, before, total = {r["__part"]: r["n"] for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect()}, {}, 0
+    for p in sorted(counts):
+        before[p], total = total, total + counts[p]
+    if not total:
+        return passages
+    first = F.create_map(*[F.lit(x) for p in before for x in (p, before[p])])
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy("passage_id")) - 1 + F.element_at(first, F.col("__part"))
+    step = max(1, total // most)
+    return placed.withColumn("__rank", rank).where((F.col("__rank") % step == 0) & (F.col("__rank") < step * most)).drop("__part", "__rank")
+
+
+def calibrated(passages: DataFrame, share: float = 0.75, sample: int = 1500) -> float:
+    """The percentile of adjacent distances over every n-th passage, at most `sample` of them."""
+    found = adjacent_distances(every_nth(passages, sample)).agg(F.expr(f"percentile(dist, {share})").alias("p")).first()["p"]
+    return 0.5 if found is None else found
+
 
-    start = F.struct(F.array().cast("array<int>").alias("flags"), F.lit(0).alias("group"), F.lit(0).alias("tokens")).cast(state)
-    rows = rows.withColumn("flags", F.aggregate("all", start, step, lambda acc: acc["flags"]))
-    each = rows.select("passage_id", F.explode(F.arrays_zip("all", "flags")).alias("x")).select("passage_id", F.col("x.flags").alias("chunk_index"), "x.all.*")
-    return finished(each.groupBy("passage_id", "chunk_index").agg(F.min("s").alias("char_start"), F.max("e").alias("char_end"), F.sum("n_tokens").alias("n_tokens")), "semantic")
+def semantic(passages: DataFrame, threshold: float | None = None, least: int = 6, most: int = 256) -> DataFrame:
+    """Successive sentences grouped: a new chunk begins where the distance is above `threshold` (by default the calibrated
+    one) and the group has `least` tokens, or where the group would get more than `most`."""
+    threshold = calibrated(passages) if threshold is None else threshold
+    new = lambda chunk, x: ((x["dist"] > threshold) & (chunk["n_tokens"] >= least)) | (chunk["n_tokens"] + x["n_tokens"] > most)
+    return folded(passages.select("passage_id", distance_list(F.col("text")).alias("all")), new, "semantic")
 
 
+#: Where a recursive split looks first.
 SEPARATORS = (". ", "? ", "! ", "; ", ", ", " ", "")
 
 
@@ -176,18 +251,21 @@ def recursive(passages: DataFrame, size: int = 128, overlap: int = 32) -> DataFr
 
 
 def chunker(name: str, threshold: float | None = None) -> Callable[[DataFrame], DataFrame]:
-    """The chunker of a strategy name: passage, fixed_<size>_<overlap>, recursive_<size>_<overlap>, sentence, semantic."""
+    """The chunker of a strategy name: passage, fixed_<size>_<overlap>, tokens_<size>_<overlap>, recursive_<size>_<overlap>,
+    sentence, semantic."""
     kind, *numbers = name.split("_")
-    if kind in ("fixed", "recursive") and len(numbers) == 2:
+    sized = {"fixed": fixed, "tokens": tokens, "recursive": recursive}
+    if kind in sized and len(numbers) == 2:
         size, overlap = map(int, numbers)
-        return lambda p: (fixed if kind == "fixed" else recursive)(p, size, overlap)
+        return lambda p: sized[kind](p, size, overlap)
     if name == "semantic":
-        return lambda p: semantic(p, calibrated(p) if threshold is None else threshold)
+        return lambda p: semantic(p, threshold)
     if name in ("passage", "sentence"):
         return {"passage": whole, "sentence": sentence}[name]
-    raise ValueError(f"unknown chunking strategy: {name}")
+    raise ValueError(f"no chunker is named {name}")
 
 
+#: The strategies that are built by default.
 DEFAULT_STRATEGIES = ["passage", "fixed_128_32", "recursive_128_32", "sentence", "semantic"]
 
 
@@ -201,7 +279,9 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("strategy").agg(F.count("*").alias("n_chunks"), F.round(F.avg("n_tokens"), 6).alias("avg_tokens"), F.round(F.count("*") / F.count_distinct("passage_id"), 6).alias("per_passage"))
 
 
-def embed_chunks(texts: DataFrame, embed=None) -> DataFrame:
-    """Chunk texts with `embedding`; one model for all rows, named by the caller's table."""
+def embed_chunks(texts: DataFrame, embed=None, prefix: Column | None = None) -> DataFrame:
+    """Chunk texts with `embedding`, of `prefix`, a blank and the text where there is a prefix; one model for all rows, named
+    by the caller's table. An embedder is a column function; one that runs in Python gets Arrow blocks."""
     embed = embed or vectors.hashing_embedder()
-    return texts.withColumn("embedding", embed(F.col("text")))
+    text = F.col("text") if prefix is None else F.concat_ws(" ", prefix, F.col("text"))
+    return texts.withColumn("embedding", embed(text))

@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 
+BUCKETS = 64
+NAME = r"[\p{Lu}][\p{L}\p{N}\-]{2,}(?: [\p{Lu}][\p{L}\p{N}\-]{2,})?"
+
+
+@dataclass
+class Lexical:
+    """A lexical index: postings (bucket, term, chunk_id, passage_id, dl, n_terms, tf), df (term, df), stats (n, avgdl; one row)."""
+
+    postings: DataFrame
+    df: DataFrame
+    stats: DataFrame
+
+    def found(self, terms: DataFrame) -> DataFrame:
+        """The postings of `terms` (term); only their buckets are read."""
+        buckets = terms.select(bucket(F.col("term")).alias("b")).distinct()
+        mine = [r["b"] for r in buckets.collect()]  # BUCKETS at most
+        return self.postings.where(F.col("bucket").isin(mine))
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
 
 def lengths(units: DataFrame, stop: list[str] | None = None) -> DataFrame:
     """(chunk_id, passage_id, tokens): the index tokens of each unit (chunk_id, passage_id, text)."""
@@ -13,14 +37,14 @@ def lengths(units: DataFrame, stop: list[str] | None = None) -> DataFrame:
 
 
 def postings(tokenised: DataFrame) -> DataFrame:
-    """(term, chunk_id, passage_id, dl, tf). Counted within the row, so nothing is shuffled here."""
-    rows = tokenised.select("chunk_id", "passage_id", F.size("tokens").alias("dl"), "tokens", F.explode(F.array_distinct("tokens")).alias("term"))
-    return rows.select("term", "chunk_id", "passage_id", "dl", F.size(F.filter("tokens", lambda t: t == F.col("term"))).alias("tf"))
+    """(term, chunk_id, passage_id, dl, n_terms, tf): a unit's tokens are counted within its task, which has them all."""
+    rows = tokenised.select("chunk_id", "passage_id", F.size("tokens").alias("dl"), F.size(F.array_distinct("tokens")).alias("n_terms"), F.explode("tokens").alias("term"))
+    return rows.groupBy("term", "chunk_id", "passage_id", "dl", "n_terms").agg(F.count("*").alias("tf"))
 
 
 def candidates(text: Column) -> Column:
     """Entity candidates of a text: capitalised words, and pairs of successive ones."""
-    words = F.regexp_extract_all(text, F.lit(r"[\p{Lu}][\p{L}\p{N}\-]{2,}(?: [\p{Lu}][\p{L}\p{N}\-]{2,})?"), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit(NAME), F.lit(0))
     return F.filter(F.transform(words, tx.clean_entity), lambda e: e.isNotNull())
 
 

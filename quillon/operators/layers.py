@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
 from ..sources.tables import small
-from .ranking import first_per_passage, ranked, rrf
+from .chunking import SLOTS
+from .ranking import first_per_passage, ranked
 
 
 def feedback_queries(questions: DataFrame, hits_text: DataFrame, most: int = 3) -> DataFrame:
@@ -61,7 +62,7 @@ def rerank(hits_text: DataFrame, questions: DataFrame, k: int = 10, score: Calla
 
 def expand_window(hits: DataFrame, chunks: DataFrame, passages: DataFrame, window: int = 1) -> DataFrame:
     """Hits with the span of their chunk and its neighbours, and its text: an equi join on passage and index."""
-    near = hits.join(chunks.select("chunk_id", F.col("chunk_index").alias("at")), "chunk_id")
+    near = hits.withColumn("at", F.pmod("chunk_id", F.lit(SLOTS)).cast("int"))  # a chunk's id holds its index
     near = near.withColumn("chunk_index", F.explode(F.sequence(F.col("at") - window, F.col("at") + window)))
     spans = near.join(chunks.select("passage_id", "chunk_index", "char_start", "char_end"), ["passage_id", "chunk_index"])
     wide = spans.groupBy("query_id", "chunk_id", "passage_id", "score", "rank").agg(F.min("char_start").alias("context_start"), F.max("char_end").alias("context_end"))
@@ -112,4 +113,17 @@ def timed(stages: DataFrame) -> DataFrame:
     return stages.withColumn("share", F.greatest(F.round(F.col("ms") / total, 6), F.lit(0.01)))
 
 
-__all__ = ["multi_query", "rerank", "rrf"]
+def display_rows(chunks: DataFrame) -> DataFrame:
+    """(passage_id, chunk_index, display_row): spans in order, each in the first row whose last span has ended by its start.
+    Folded within the row of a passage; the state is where each display row ends."""
+    lists = chunks.groupBy("passage_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "char_start", "char_end"))).alias("all"))
+    start = F.struct(F.array().cast("array<int>").alias("ends"), F.array().cast("array<int>").alias("at"))
+
+    def step(acc: Column, x: Column) -> Column:
+        free = F.array_position(F.transform(acc["ends"], lambda e: e <= x["char_start"]), True).cast("int")
+        into = F.when(free > 0, free - 1).otherwise(F.size(acc["ends"]))
+        ends = F.when(free > 0, F.transform(acc["ends"], lambda e, i: F.when(i == into, x["char_end"]).otherwise(e))).otherwise(F.array_append(acc["ends"], x["char_end"]))
+        return F.struct(ends.alias("ends"), F.array_append(acc["at"], into).alias("at"))
+
+    rows = lists.withColumn("at", F.aggregate("all", start, step, lambda acc: acc["at"]))
+    return rows.select("passage_id", F.explode(F.arrays_zip("all", "at")).alias("x")).select("passage_id", "x.all.chunk_index", F.col("x.at").alias("display_row"))

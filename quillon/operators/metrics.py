@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import text as tx
 from .ranking import first_per_passage
 
 KS = (1, 3, 5, 10, 20)
@@ -46,12 +47,12 @@ def pivoted(summary: DataFrame, rows: str, columns: str, value: str, names: list
     return summary.groupBy(rows).pivot(columns, names).agg(F.round(F.avg(value), 6))
 
 
-def scaled(summary: DataFrame, value: str, inverted: bool = False) -> DataFrame:
-    """`scale`: a value between the least (0) and the largest (1); one half if all are the same. `summary` is a small table."""
+def scaled(summary: DataFrame, value: str, inverted: bool = False, name: str = "scale") -> DataFrame:
+    """`name`: a value between the least (0) and the largest (1); one half if all are the same. `summary` is a small table."""
     ends = summary.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     at = (F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo"))
     scale = F.when(F.col("hi") == F.col("lo"), 0.5).otherwise(1 - at if inverted else at)
-    return summary.crossJoin(F.broadcast(ends)).withColumn("scale", F.round(scale, 6)).drop("lo", "hi")  # ends is one row
+    return summary.crossJoin(F.broadcast(ends)).withColumn(name, F.round(scale, 6)).drop("lo", "hi")  # ends is one row
 
 
 def delta(summary: DataFrame, base: str, other: str, value: str, on: list[str]) -> DataFrame:
@@ -77,3 +78,16 @@ def running_gain(hits: DataFrame, gold: DataFrame) -> DataFrame:
     gain = F.when(F.col("gold") == 1, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
     so_far = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return marked.select("query_id", "rank", F.round(F.sum(gain).over(so_far), 6).alias("dcg"))
+
+
+def token_f1(answer: Column, gold: Column) -> Column:
+    """Harmonic mean of the shares of either text's distinct tokens that the other has: a judge that needs no model, a proxy
+    and not a judgement of facts."""
+    a, b = F.array_distinct(tx.index_tokens(answer)), F.array_distinct(tx.index_tokens(gold))
+    return F.when(F.size(a) + F.size(b) == 0, 0.0).otherwise(F.round(2 * F.size(F.array_intersect(a, b)) / F.greatest(F.size(a) + F.size(b), F.lit(1)), 6))
+
+
+def token_support(answer: Column, context: Column) -> Column:
+    """Share of an answer's distinct tokens that its context has: the proxy of faithfulness. None without tokens."""
+    a = F.array_distinct(tx.index_tokens(answer))
+    return F.when(F.size(a) > 0, F.round(F.size(F.array_intersect(a, F.array_distinct(tx.index_tokens(context)))) / F.size(a), 6))

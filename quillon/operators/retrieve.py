@@ -52,6 +52,30 @@ def bm25(questions: DataFrame, units: DataFrame, k: int = 10, k1: float = 1.2, b
     return top_hits(scored.where("score > 0"), k)
 
 
+def bm25_indexed(questions: DataFrame, lexical: index.Lexical, k: int = 10, k1: float = 1.2, b: float = 0.75, stop: list[str] | None = None) -> DataFrame:
+    """`bm25` over a stored index: the postings of the questions' terms are read, no text."""
+    sent = sender(questions)
+    asked = questions.select("query_id", F.explode(tx.index_tokens(F.col("query_text"), stop)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    terms = asked.select("term").distinct()
+    weighted = lexical.df.join(sent(terms), "term").crossJoin(F.broadcast(lexical.stats)).select("term", "avgdl", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats is one row
+    tf = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    parts = lexical.found(terms).join(sent(weighted), "term").select("chunk_id", "passage_id", "term", (F.col("idf") * tf).alias("part"))
+    if few(questions):
+        return top_hits(summed(parts.repartition("chunk_id"), asked, k), k)
+    scored = parts.join(asked, "term").groupBy("query_id", "chunk_id", "passage_id").agg(F.round(F.sum(F.col("qf") * F.col("part")), 6).alias("score"))
+    return top_hits(scored.where("score > 0"), k)
+
+
+def term_cosine_indexed(questions: DataFrame, lexical: index.Lexical, k: int = 10, stop: list[str] | None = None) -> DataFrame:
+    """Cosine of binary term vectors over a stored index, a dense retriever that needs no model: shared distinct terms by
+    the root of the product of both numbers of distinct terms."""
+    asked = questions.select("query_id", F.array_distinct(tx.index_tokens(F.col("query_text"), stop)).alias("terms"))
+    asked = asked.select("query_id", F.size("terms").alias("n_asked"), F.explode("terms").alias("term"))
+    sent = sender(questions)
+    shared = lexical.found(asked.select("term")).join(sent(asked), "term").groupBy("query_id", "n_asked", "chunk_id", "passage_id").agg(F.count("*").alias("both"), F.max("n_terms").alias("n_terms"))
+    return top_hits(shared.select("query_id", "chunk_id", "passage_id", F.round(F.col("both") / F.sqrt((F.col("n_asked") * F.col("n_terms")).cast("double")), 6).alias("score")), k)
+
+
 def best_cells(score: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of what may be among the k best of a row and is above `floor`; ties with the k-th stay, as they are
     decided later."""
@@ -113,15 +137,17 @@ def dense(queries: DataFrame, vectors_of: DataFrame, k: int = 10, floor: float |
     else:
         asked = queries.select("query_id", "query_vec").toArrow()  # at most `most` rows
         ids = asked["query_id"].to_numpy()
-        matrix = np.array(asked["query_vec"].to_pylist(), np.float64).reshape(len(ids), -1)
+        flat = lambda column: column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        matrix = flat(asked["query_vec"].combine_chunks()).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+        shared = queries.sparkSession.sparkContext.broadcast(matrix)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows or not len(ids):
                     continue
-                own = np.array(batch.column("embedding").to_pylist(), np.float64)
+                own = flat(batch.column("embedding")).reshape(batch.num_rows, -1)
                 for lo in range(0, len(ids), 512):
-                    score = np.round(matrix[lo : lo + 512] @ own.T, 6)
+                    score = np.round(shared.value[lo : lo + 512] @ own.T, 6)
                     q, v = best_cells(score, k)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[lo + q]), batch.column("chunk_id").take(pa.array(v)), batch.column("passage_id").take(pa.array(v)), pa.array(score[q, v])], names=["query_id", "chunk_id", "passage_id", "score"])
 
@@ -159,33 +185,60 @@ def term_matches(questions: DataFrame, passages: DataFrame) -> DataFrame:
     return met.where(plain | F.rlike(F.lower("text"), whole)).select("query_id", "passage_id", "term").distinct()
 
 
-def literal(questions: DataFrame, passages: DataFrame, chunks_text: DataFrame, k: int = 10, candidates: int = 50) -> DataFrame:
-    """Literal-term retrieval: a passage scores the sum of ln(N / df) of the terms in it; of the best `candidates` passages
-    the chunk that holds most of the terms (the earlier one of ties) stands for the passage."""
+def literal_passages(questions: DataFrame, passages: DataFrame, candidates: int = 50) -> DataFrame:
+    """(query_id, passage_id, score, terms, nth): the best passages by the sum of ln(N / df) of the terms in them. The part
+    of `literal` that all strategies share."""
     n = passages.agg(F.count("*").alias("n"))
     found = term_matches(questions, passages)
     df = found.groupBy("query_id", "term").agg(F.count("*").alias("df"))
     scored = found.join(df, ["query_id", "term"]).crossJoin(F.broadcast(n))  # one row
     scored = scored.groupBy("query_id", "passage_id").agg(F.round(F.sum(F.ln(F.col("n") / F.col("df"))), 6).alias("score"), F.sort_array(F.collect_set("term")).alias("terms"))
-    best = ranked(scored, ["query_id"], [F.desc("score"), F.asc("passage_id")], candidates, "nth")
-    held = chunks_text.select("chunk_id", "passage_id", "chunk_index", F.lower("text").alias("low")).join(sender(questions)(best), "passage_id")
+    return ranked(scored, ["query_id"], [F.desc("score"), F.asc("passage_id")], candidates, "nth")
+
+
+def of_passages(passages: DataFrame, best: DataFrame) -> DataFrame:
+    """The passages that are among `best` (passage_id): what is done to texts after this is done to those alone."""
+    return passages.join(best.select("passage_id").distinct(), "passage_id", "left_semi")
+
+
+def literal(questions: DataFrame, passages: DataFrame, chunks_of: Callable[[DataFrame], DataFrame], k: int = 10, candidates: int = 50, best: DataFrame | None = None) -> DataFrame:
+    """Literal-term retrieval: of the best `candidates` passages (`best`, if they are known) the chunk that holds most of
+    the terms, the earlier one of ties, stands for the passage. Only those passages are cut into chunks."""
+    best = literal_passages(questions, passages, candidates) if best is None else best
+    chunks_text = chunks_of(of_passages(passages, best))
+    held = chunks_text.select("chunk_id", "passage_id", "chunk_index", F.lower("text").alias("low")).join(best, "passage_id")
     held = held.withColumn("chunk_hits", F.size(F.filter("terms", lambda t: F.contains("low", t)))).drop("low")
     one = ranked(held, ["query_id", "passage_id"], [F.desc("chunk_hits"), F.asc("chunk_index")], 1, "pick").drop("pick", "nth")
     return top_hits(one, k)
 
 
+def alike_names(terms: DataFrame, kept: DataFrame, floor: float = 0.3, sent: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(term, name, doc_freq, sim): names whose trigrams are like a term's, at least by `floor`. Candidates share a trigram (an
+    equi join); similarity follows from the counts alone."""
+    a = terms.withColumn("g", tx.trigrams(F.col("term"))).select("term", F.size("g").alias("na"), F.explode("g").alias("gram"))
+    e = kept.withColumn("g", tx.trigrams(F.col("name"))).select("name", "doc_freq", F.size("g").alias("nb"), F.explode("g").alias("gram"))
+    both = e.join(sent(a), "gram").groupBy("term", "name", "doc_freq", "na", "nb").agg(F.count("*").alias("i"))
+    sim = F.round(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), 6)
+    return both.withColumn("sim", sim).where(F.col("sim") >= floor).select("term", "name", "doc_freq", "sim")
+
+
+def holding_names(terms: DataFrame, kept: DataFrame) -> DataFrame:
+    """(term, name): names that hold a term of three characters or more. They meet by the term's first three."""
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 2, F.lit(1))), lambda i: F.substr(F.col("name"), i, F.lit(3))))
+    at = kept.select("name", F.explode(grams).alias("gram"))
+    asked = terms.where(F.length("term") >= 3).select("term", F.left("term", F.lit(3)).alias("gram"))
+    return at.join(asked, "gram").where(F.contains("name", F.col("term"))).select("term", "name")
+
+
 def match_entities(terms: DataFrame, kept: DataFrame, per_term: int = 3, floor: float = 0.55, sent: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(query_id, name, doc_freq, term, sim): entities for terms (query_id, term).
 
     A term that is an entity's name matches it alone; any other matches its `per_term` most similar names by trigrams, if at
-    least `floor`. Candidates share a trigram (an equi join); similarity follows from the counts alone.
+    least `floor`.
     """
     exact = terms.join(kept, terms["term"] == kept["name"]).select("query_id", "name", "doc_freq", "term", F.lit(1.0).alias("sim"))
     missed = terms.join(kept.select(F.col("name").alias("term")), "term", "left_anti").select("term").distinct()
-    a = missed.withColumn("g", tx.trigrams(F.col("term"))).select("term", F.size("g").alias("na"), F.explode("g").alias("gram"))
-    e = kept.withColumn("g", tx.trigrams(F.col("name"))).select("name", "doc_freq", F.size("g").alias("nb"), F.explode("g").alias("gram"))
-    both = e.join(sent(a), "gram").groupBy("term", "name", "doc_freq", "na", "nb").agg(F.count("*").alias("i"))
-    near = both.withColumn("sim", F.round(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), 6)).where(F.col("sim") >= floor)
+    near = alike_names(missed, kept, floor, sent)
     best = ranked(near, ["term"], [F.desc("sim"), F.desc("doc_freq"), F.asc("name")], per_term, "nth").select("term", "name", "doc_freq", "sim")
     return exact.unionByName(terms.join(best, "term").select("query_id", "name", "doc_freq", "term", "sim"))
 
@@ -208,10 +261,28 @@ def graph_scores(questions: DataFrame, edges: DataFrame, kept: DataFrame, n_pass
     return first.unionByName(second).groupBy("query_id", "passage_id").agg(F.round(F.sum("w"), 6).alias("score"), F.slice(F.sort_array(F.collect_set("step")), 1, 8).alias("path"))
 
 
-def graph(questions: DataFrame, edges: DataFrame, kept: DataFrame, n_passages: int, chunks: DataFrame, k: int = 10, candidates: int = 40) -> DataFrame:
-    """Graph retrieval; a passage's first chunk stands for it unless `chunks` has `likeness` (query_id, chunk_id rows carry
-    the cosine), in which case the most alike one does."""
-    best = ranked(graph_scores(questions, edges, kept, n_passages, candidates), ["query_id"], [F.desc("score"), F.asc("passage_id")], candidates, "nth").drop("nth")
-    held = chunks.select("chunk_id", "passage_id", "chunk_index").join(sender(questions)(best), "passage_id")
-    one = ranked(held, ["query_id", "passage_id"], [F.asc("chunk_index")], 1, "pick").drop("pick")
-    return top_hits(one, k)
+def term_likeness(question: Column, text: Column) -> Column:
+    """Cosine of the binary term vectors of two texts, the default of `graph`."""
+    return F.round(vectors.term_cosine(F.array_distinct(tx.index_tokens(question)), F.array_distinct(tx.index_tokens(text))), 6)
+
+
+def graph(
+    questions: DataFrame,
+    edges: DataFrame,
+    kept: DataFrame,
+    n_passages: int,
+    passages: DataFrame,
+    chunks_of: Callable[[DataFrame], DataFrame],
+    k: int = 10,
+    candidates: int = 40,
+    likeness: Callable[[Column, Column], Column] = term_likeness,
+    best: DataFrame | None = None,
+) -> DataFrame:
+    """Graph retrieval: of the best `candidates` passages (`best`, if they are known) the chunk most alike to the question by
+    `likeness` of both texts, the earlier one of ties, stands for the passage. Only those passages are cut into chunks."""
+    if best is None:
+        best = ranked(graph_scores(questions, edges, kept, n_passages, candidates), ["query_id"], [F.desc("score"), F.asc("passage_id")], candidates, "nth")
+    chunks = chunks_of(of_passages(passages, best))
+    held = chunks.select("chunk_id", "passage_id", "chunk_index", "text").join(best.drop("nth"), "passage_id").join(sender(questions)(questions.select("query_id", "query_text")), "query_id")
+    held = held.withColumn("likeness", likeness(F.col("query_text"), F.col("text"))).drop("query_text", "text")
+    return top_hits(ranked(held, ["query_id", "passage_id"], [F.desc("likeness"), F.asc("chunk_index")], 1, "pick").drop("pick"), k)

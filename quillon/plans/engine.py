@@ -2,59 +2,86 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import RetrievalConfig
 from ..functions import vectors
-from ..operators import chunking, index, layers, metrics, ranking, retrieve
+from ..operators import chunking, layers, metrics, ranking, retrieve
 from ..sources import tables
 
 COMMON = ["query_id", "chunk_id", "passage_id", "score", "rank"]
+METRICS = ["mrr", *(f"{m}_{k}" for m in ("recall", "precision", "hit", "ndcg") for k in metrics.KS)]
 
 
 class Engine:
-    """Retrieval over the documents of a folder. Chunks, embeddings and the graph are declared once and shared by all
-    questions and configurations; nothing runs before an action."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str, embed=None) -> None:
+    """Retrieval over the documents of a folder, by stored chunks, postings, vectors and edges, which are built once for a
+    state of the corpus (`sources.store`).
+
+    Providers: `embed` (text -> vector, named `embedding` where its vectors are stored), `score` (question, text -> number)
+    for reranking, `likeness` (question, text -> cosine) for the chunk that stands for a passage in graph retrieval, `judge`
+    (answer, gold text -> number), `retrievers` (name -> function of questions, strategy and k that gives hits).
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        sf_dir: str,
+        embed=None,
+        embedding: str = "hashed",
+        score: Callable[[Column, Column], Column] = layers.lexical_score,
+        likeness: Callable[[Column, Column], Column] = retrieve.term_likeness,
+        judge: Callable[[Column, Column], Column] = metrics.token_f1,
+        retrievers: dict[str, Callable[[DataFrame, str, int], DataFrame]] | None = None,
+    ) -> None:
         self.spark, self.sf_dir = spark, sf_dir
-        self.embed = embed or vectors.hashing_embedder()
+        self.embed, self.embedding = embed or vectors.hashing_embedder(), embedding
+        self.score, self.likeness, self.judge = score, likeness, judge
+        self.retrievers = retrievers or {}
         self.passages = tables.passages(spark, sf_dir)
-        self._units: dict[str, DataFrame] = {}
-        self._graph: tuple[DataFrame, DataFrame, int] | None = None
+        self.store = tables.store(spark, sf_dir)
+        self.stages: list[tuple[str, float]] = []
 
     def units(self, strategy: str) -> DataFrame:
         """(chunk_id, passage_id, chunk_index, char_start, char_end, text)."""
-        if strategy not in self._units:
-            self._units[strategy] = chunking.chunk_text(chunking.chunker(strategy)(self.passages), self.passages)
-        return self._units[strategy]
-
-    def graph(self) -> tuple[DataFrame, DataFrame, int]:
-        if self._graph is None:
-            n = self.passages.count()
-            found = index.mentions(self.passages)
-            kept = index.entities(found, n)
-            self._graph = index.graph(found, kept), kept, n
-        return self._graph
+        return self.store.units(strategy)
+
+    def _chunks_of(self, strategy: str) -> Callable[[DataFrame], DataFrame]:
+        """The stored chunks of some passages, with their text."""
+        if strategy == "passage":
+            return lambda p: p.select(chunking.chunk_id(F.col("passage_id"), F.lit(0)).alias("chunk_id"), "passage_id", F.lit(0).alias("chunk_index"), "text")
+        return lambda p: chunking.chunk_text(self.store.spans(strategy), p)
 
     def _dense(self, questions: DataFrame, strategy: str, k: int) -> DataFrame:
         asked = questions.select("query_id", self.embed(F.col("query_text")).alias("query_vec"))
-        return retrieve.dense(asked, self.units(strategy).select("chunk_id", "passage_id", self.embed(F.col("text")).alias("embedding")), k)
-
-    def _base(self, questions: DataFrame, config: RetrievalConfig, k: int) -> DataFrame:
-        units = self.units(config.strategy)
-        if config.retriever == "bm25":
-            return retrieve.bm25(questions, units, k)
-        if config.retriever == "dense":
-            return self._dense(questions, config.strategy, k)
-        if config.retriever == "hybrid":
-            return ranking.rrf({"dense": self._dense(questions, config.strategy, 3 * k), "bm25": retrieve.bm25(questions, units, 3 * k)}, k)
-        if config.retriever == "grep":
-            return retrieve.literal(questions, self.passages, units, k)
-        edges, kept, n = self.graph()
-        return retrieve.graph(questions, edges, kept, n, units, k)
+        return retrieve.dense(asked, self.store.vectors(strategy, self.embedding, self.embed), k)
+
+    def _best_literal(self, questions: DataFrame) -> DataFrame:
+        return retrieve.literal_passages(questions, self.passages)
+
+    def _best_graph(self, questions: DataFrame) -> DataFrame:
+        scored = retrieve.graph_scores(questions, self.store.edges(), self.store.entities(), self.store.n)
+        return ranking.ranked(scored, ["query_id"], [F.desc("score"), F.asc("passage_id")], 40, "nth")
+
+    def _base(self, questions: DataFrame, config: RetrievalConfig, k: int, best: dict[str, DataFrame] | None = None) -> DataFrame:
+        """Hits of a retriever. `best`: passages that grep and kg have found for these questions already, for any strategy."""
+        name, strategy = config.retriever, config.strategy
+        if name in self.retrievers:
+            return self.retrievers[name](questions, strategy, k)
+        if name == "bm25":
+            return retrieve.bm25_indexed(questions, self.store.lexical(strategy), k)
+        if name == "dense":
+            return self._dense(questions, strategy, k)
+        if name == "hybrid":
+            return ranking.rrf({"dense": self._dense(questions, strategy, 3 * k), "bm25": retrieve.bm25_indexed(questions, self.store.lexical(strategy), 3 * k)}, k)
+        found = (best or {}).get(name)
+        if name == "grep":
+            return retrieve.literal(questions, self.passages, self._chunks_of(strategy), k, best=found)
+        found = self._best_graph(questions) if found is None else found
+        return retrieve.graph(questions, None, None, self.store.n, self.passages, self._chunks_of(strategy), k, likeness=self.likeness, best=found)
 
     def queries(self, questions: DataFrame, config: RetrievalConfig) -> DataFrame:
         """(query_id, nth, query_text) of a transform, by feedback from a first retrieval."""
@@ -62,15 +89,15 @@ class Engine:
         text = self.units(config.strategy).select("chunk_id", "text").join(retrieve.sender(questions)(first), "chunk_id")
         return layers.feedback_queries(questions, text, {"hyde": 1, "multi_query": 3, "decompose": 3}[config.transform])
 
-    def retrieve(self, questions: DataFrame, config: RetrievalConfig) -> DataFrame:
+    def retrieve(self, questions: DataFrame, config: RetrievalConfig, best: dict[str, DataFrame] | None = None) -> DataFrame:
         """Hits after the transform, retrieval and reranking."""
         if config.transform == "none":
-            hits = self._base(questions, config, config.depth).select(COMMON)
+            hits = self._base(questions, config, config.depth, best).select(COMMON)
         else:
             hits = layers.multi_query(self.queries(questions, config), lambda q, k: self._base(q, config, k), config.depth).select(COMMON)
         if config.rerank:
             text = self.units(config.strategy).select("chunk_id", "text").join(retrieve.sender(questions)(hits), "chunk_id")
-            hits = layers.rerank(text, questions, config.top_k).select(COMMON)
+            hits = layers.rerank(text, questions, config.top_k, self.score).select(COMMON)
         return hits
 
     def with_context(self, hits: DataFrame, config: RetrievalConfig) -> DataFrame:
@@ -81,29 +108,73 @@ class Engine:
             return layers.expand_parent(hits, self.passages).withColumnRenamed("context_text", "text")
         return self.units(config.strategy).select("chunk_id", "text").join(hits, "chunk_id")
 
-    def ask(self, questions: DataFrame, config: RetrievalConfig) -> DataFrame:
-        """(query_id, answer, passages, valid, invalid): an extractive answer to each question with checked citations."""
+    def ask(self, questions: DataFrame, config: RetrievalConfig, gold: DataFrame | None = None) -> DataFrame:
+        """(query_id, answer, passages, valid, invalid): an extractive answer to each question with checked citations. With
+        `gold` (query_id, passage_id) also is_gold of each passage, mrr and recall_10."""
         hits = self.retrieve(questions, config)
         context = self.with_context(hits, config)
-        answers = layers.extractive_answers(context)
-        checked = layers.checked_answers(answers, hits)
+        checked = layers.checked_answers(layers.extractive_answers(context), hits)
         lists = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "passage_id"))), lambda h: h["passage_id"]).alias("passages"))
-        return questions.select("query_id").join(lists, "query_id", "left").join(checked, "query_id", "left").select("query_id", F.col("cleaned").alias("answer"), "passages", "valid", "invalid")
+        rows = questions.select("query_id").join(lists, "query_id", "left").join(checked, "query_id", "left").select("query_id", F.col("cleaned").alias("answer"), "passages", "valid", "invalid")
+        if gold is None:
+            return rows
+        right = gold.groupBy("query_id").agg(F.collect_set("passage_id").alias("right"))
+        none = F.array().cast("array<long>")
+        rows = rows.join(right, "query_id", "left").withColumn("is_gold", F.transform("passages", lambda p: F.array_contains(F.coalesce("right", none), p))).drop("right")
+        return rows.join(metrics.question_metrics(hits, gold, questions.select("query_id")).select("query_id", "mrr", "recall_10"), "query_id")
+
+    def judged(self, answers: DataFrame, gold_texts: DataFrame) -> DataFrame:
+        """(query_id, judgement) of answers (query_id, answer) against texts (query_id, text); NaN counts as none."""
+        made = answers.join(gold_texts, "query_id").select("query_id", self.judge(F.col("answer"), F.col("text")).alias("judgement"))
+        return made.withColumn("judgement", F.when(~F.isnan("judgement"), F.col("judgement")))
 
     def compare(self, questions: DataFrame, configs: list[RetrievalConfig]) -> DataFrame:
         """Hits with `config`, for up to six configurations."""
         if not 1 <= len(configs) <= 6:
             raise ValueError("one to six configurations")
-        return self._all(questions, configs)
-
-    def _all(self, questions: DataFrame, configs: list[RetrievalConfig]) -> DataFrame:
         return reduce(DataFrame.unionByName, [self.retrieve(questions, c).withColumn("config", F.lit(c.label)) for c in configs])
 
-    def evaluate(self, configs: list[RetrievalConfig]) -> DataFrame:
-        """Mean metrics by configuration over the folder's questions and their gold passages."""
-        questions = tables.questions(self.spark, self.sf_dir)
-        gold = tables.qrels(questions, self.passages)
+    def timed(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """`make()`, written and read again; its seconds are noted under `name` in `stages`."""
+        from ..sources.store import shared_folder
+
+        began = time.perf_counter()
+        at = f"{shared_folder(self.spark)}/stages/{self.spark.sparkContext.applicationId}-{time.time_ns()}"
+        make().write.parquet(at)
+        self.stages.append((name, time.perf_counter() - began))
+        return self.spark.read.parquet(at)
+
+    def all_hits(self, questions: DataFrame, configs: list[RetrievalConfig]) -> tuple[DataFrame, dict[str, str]]:
+        """Hits (config, COMMON) of every configuration, one job after the other, so that no plan holds more than one; and the
+        errors of those that failed. What configurations share is found once: passages of grep and kg for all strategies."""
+        best: dict[str, DataFrame] = {}
+        kinds = {c.retriever for c in configs if c.transform == "none"}
+        if "grep" in kinds and "grep" not in self.retrievers:
+            best["grep"] = self.timed("grep", lambda: self._best_literal(questions))
+        if "kg" in kinds and "kg" not in self.retrievers:
+            best["kg"] = self.timed("kg", lambda: self._best_graph(questions))
+        parts, errors = [], {}
+        for c in configs:
+            try:
+                parts.append(self.timed(c.label, lambda c=c: self.retrieve(questions, c, best).select(F.lit(c.label).alias("config"), *COMMON)))
+            except Exception as e:  # a failed configuration counts as empty results with its error
+                errors[c.label] = f"{type(e).__name__}: {str(e)[:200]}"
+        empty = self.spark.createDataFrame([], "config string, query_id long, chunk_id long, passage_id long, score double, rank int")
+        return reduce(DataFrame.unionByName, parts, empty), errors
+
+    def results(self, configs: list[RetrievalConfig], questions: DataFrame | None = None) -> tuple[DataFrame, dict[str, str]]:
+        """Metrics (config, query_id, ...) of each question under each configuration, and errors by configuration. Questions of
+        a configuration that failed have empty results, which score 0 and are averaged in."""
+        questions = tables.questions(self.spark, self.sf_dir) if questions is None else questions
+        gold = self.store.table("qrels", lambda: tables.qrels(tables.questions(self.spark, self.sf_dir), self.passages))
         labels = self.spark.createDataFrame([(c.label,) for c in configs], "config string")
         asked = questions.select("query_id").crossJoin(F.broadcast(labels))  # a row for each configuration
-        each = metrics.question_metrics(self._all(questions, configs), gold, asked, by=("config", "query_id"))
-        return metrics.means(each, ["config"], ["mrr", *(f"{m}_{k}" for m in ("recall", "precision", "ndcg") for k in (5, 10))])
+        hits, errors = self.all_hits(questions, configs)
+        return metrics.question_metrics(hits, gold, asked, by=("config", "query_id")), errors
+
+    def evaluate(self, configs: list[RetrievalConfig], questions: DataFrame | None = None) -> DataFrame:
+        """Mean metrics by configuration over the folder's questions and their gold passages."""
+        each, errors = self.results(configs, questions)
+        parts = self.spark.createDataFrame([(c.label, c.strategy, c.retriever, c.transform, c.rerank, c.expansion, errors.get(c.label)) for c in configs], "config string, strategy string, retriever string, transform string, rerank boolean, expansion string, error string")
+        means = metrics.means(each, ["config"], METRICS)
+        return means.join(F.broadcast(parts), "config").withColumn("errors", F.when(F.col("error").isNotNull(), F.col("n")).otherwise(0))  # a row for each configuration

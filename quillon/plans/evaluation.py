@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..config import RETRIEVERS, RetrievalConfig, matrix
@@ -10,23 +12,24 @@ from ..operators import chunking, layers, metrics, ranking, relations, retrieve
 from ..sources import tables
 from ..sources.tables import read
 from ..streaming.latency import latency
+from . import runs
 from .engine import Engine
-from .reference import ID_LISTS_SQL, QUESTIONS_SQL, STATS_SQL, STOP_SQL, default_chunks, gold_lists, query, typed_questions, uses
-from .retrieval import ENTITY_SQL, FUSED, HITS, PASSAGES, SENTENCES, TWO_LISTS, WITH_QRELS, bm25_sql, graph_of, hybrid_hits, passage_units, sentence_units
+from .reference import DIST_SQL, FIXED_SQL, ID_LISTS_SQL, QUESTIONS_SQL, SEMANTIC_SQL, STATS_SQL, STOP_SQL, WITH, default_chunks, gold_lists, query, typed_questions, uses
+from .retrieval import ENTITY_SQL, MATCH_SQL, MATCHES_SQL, PASSAGES, SENTENCES, WALK_SQL, WITH_QRELS, bm25_sql, cosine_sql, graph_of, hybrid_hits, passage_units, rrf_sql
 
 BM25 = bm25_sql("hits", "passage_units", 10)
 
 
 def passage_hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    return retrieve.bm25(tables.questions(spark, sf_dir), passage_units(tables.passages(spark, sf_dir)), k)
+    return retrieve.bm25_indexed(tables.questions(spark, sf_dir), tables.store(spark, sf_dir).lexical("passage"), k)
 
 
 def sentence_hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    return retrieve.bm25(tables.questions(spark, sf_dir), sentence_units(tables.passages(spark, sf_dir)), k)
+    return retrieve.bm25_indexed(tables.questions(spark, sf_dir), tables.store(spark, sf_dir).lexical("sentence"), k)
 
 
 def with_text(hits: DataFrame, units: DataFrame) -> DataFrame:
-    return units.select("chunk_id", "text").join(F.broadcast(hits), "chunk_id")  # thirty rows for each of the benchmark's questions
+    return units.select("chunk_id", "text").join(tables.small(hits), "chunk_id")
 
 
 # --- layers
@@ -37,7 +40,7 @@ def with_text(hits: DataFrame, units: DataFrame) -> DataFrame:
  select query_id, chunk_id, rank, context_start, context_end, substr(text, context_start + 1, context_end - context_start) as context_text from wide join passages using (passage_id)""")
 def expand_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tables.passages(spark, sf_dir)
-    return layers.expand_window(sentence_hits(spark, sf_dir), chunking.sentence(p), p).select("query_id", "chunk_id", "rank", "context_start", "context_end", "context_text")
+    return layers.expand_window(sentence_hits(spark, sf_dir), tables.store(spark, sf_dir).spans("sentence"), p).select("query_id", "chunk_id", "rank", "context_start", "context_end", "context_text")
 
 
 @query("expand_parent", uses(*SENTENCES).rstrip() + bm25_sql("hits", "sentence_units", 10) + """, one as (select query_id, passage_id, row_number() over (partition by query_id order by rank)::int as rank from (select *, row_number() over (partition by query_id, passage_id order by rank) as nth from hits) where nth = 1)
@@ -150,9 +153,13 @@ def metrics_sql(hits: str, name: str, ks: tuple[int, ...] = metrics.KS) -> str:
 """
 
 
+def gold_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.qrels(tables.questions(spark, sf_dir), tables.passages(spark, sf_dir))
+
+
 def scored(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
     asked = tables.questions(spark, sf_dir)
-    return metrics.question_metrics(hits, tables.qrels(asked, tables.passages(spark, sf_dir)), asked.select("query_id"))
+    return metrics.question_metrics(hits, gold_of(spark, sf_dir), asked.select("query_id"))
 
 
 NAMES = ["mrr", "recall_10", "precision_5", "ndcg_10", "hit_5"]
@@ -170,26 +177,51 @@ def running_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.running_gain(passage_hits(spark, sf_dir), tables.qrels(asked, p))
 
 
-BOARD_SQL = uses("passages", "questions", "qrels", *SENTENCES, "passage_units").rstrip() + bm25_sql("coarse", "passage_units", 30) + bm25_sql("fine_raw", "sentence_units", 30) + FUSED
-BOARD_SQL += ", coarse10 as (select * from coarse where rank <= 10), fine10 as (select * from fine_raw where rank <= 10)"
-BOARD_SQL += metrics_sql("coarse10", "m1") + metrics_sql("fine10", "m2") + metrics_sql("hybrid", "m3")
-BOARD_SQL += f""", board as (select 'passage' as strategy, 'bm25' as retriever, count(*) as n, {MEANS} from m1 union all select 'sentence', 'bm25', count(*), {MEANS} from m2 union all select 'passage', 'hybrid', count(*), {MEANS} from m3)
+BOARD_STRATEGIES = ("passage", "fixed_128_32", "sentence", "semantic")  # those whose chunks SQL can express
+BOARD_RETRIEVERS = ("bm25", "dense", "hybrid", "grep", "kg")
+
+
+def board_sql() -> str:
+    """CTEs that end with `board`: mean metrics of every such strategy and retriever, the dense one by term vectors."""
+    sql = MATCHES_SQL.replace(uses("passages", "questions").rstrip(), uses("passages", "questions", "qrels", "sent", "spans", "sentence_chunks", "sentence_units", "passage_units").rstrip())
+    sql += MATCH_SQL[MATCH_SQL.index(", words as") :]
+    sql += ", w as (" + FIXED_SQL.split(", w as (", 1)[1].rstrip()
+    sql += DIST_SQL[DIST_SQL.index(", terms as") :].rstrip() + SEMANTIC_SQL.rstrip()
+    sql += "".join(f", {n}_units as (select passage_id * 1048576 + chunk_index as chunk_id, c.passage_id, chunk_index, substr(text, char_start + 1, char_end - char_start) as text from {n}_chunks c join passages using (passage_id))" for n in ("fixed", "semantic"))
+    sql += WALK_SQL.rstrip() + ", lit50 as (select * from literal qualify row_number() over (partition by query_id order by score desc, passage_id) <= 50), kg40 as (select * from walk qualify row_number() over (partition by query_id order by score desc, passage_id) <= 40)"
+    units = {"passage": "passage_units", "fixed_128_32": "fixed_units", "sentence": "sentence_units", "semantic": "semantic_units"}
+    rows = []
+    for i, (strategy, u) in enumerate(units.items()):
+        sql += bm25_sql(f"b{i}", u, 30) + cosine_sql(f"d{i}", f"b{i}", 30) + rrf_sql(f"hybrid{i}", f"d{i}", f"b{i}", 10)
+        sql += f""", bm25{i} as (select * from b{i} where rank <= 10), dense{i} as (select * from d{i} where rank <= 10),
+ gh{i} as (select query_id, passage_id, score, chunk_id, chunk_index, len(list_filter(terms, lambda t: contains(lower(text), t))) as chunk_hits from lit50 join {u} using (passage_id)),
+ go{i} as (select * from gh{i} qualify row_number() over (partition by query_id, passage_id order by chunk_hits desc, chunk_index) = 1),
+ grep{i} as (select query_id, chunk_id, passage_id, score, row_number() over (partition by query_id order by score desc, passage_id, chunk_id)::int as rank from go{i} qualify rank <= 10),
+ ka{i} as (select query_id, chunk_id, passage_id, chunk_index, score, list_distinct(list_filter(regexp_extract_all(lower(query_text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda t: t not in ({STOP_SQL}))) as a, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda t: t not in ({STOP_SQL}))) as b from kg40 join {u} using (passage_id) join questions using (query_id)),
+ ko{i} as (select * from ka{i} qualify row_number() over (partition by query_id, passage_id order by case when len(a) * len(b) = 0 then 0.0 else round(len(list_intersect(a, b)) / sqrt((len(a) * len(b))::double), 6) end desc, chunk_index) = 1),
+ kg{i} as (select query_id, chunk_id, passage_id, score, row_number() over (partition by query_id order by score desc, passage_id, chunk_id)::int as rank from ko{i} qualify rank <= 10)
 """
+        for r in BOARD_RETRIEVERS:
+            sql += metrics_sql(f"{r}{i}", f"m_{r}{i}", (5, 10))
+            rows.append(f"select '{strategy}' as strategy, '{r}' as retriever, count(*) as n, {MEANS} from m_{r}{i}")
+    return sql + ", board as (" + " union all ".join(rows) + ")\n"
+
+
+BOARD_SQL = board_sql()
+
+
+def term_dense(spark: SparkSession, sf_dir: str) -> dict:
+    """The dense retriever by term vectors, and the hybrid with it, as providers of the engine."""
+    kept = tables.store(spark, sf_dir)
+    dense = lambda q, s, k: retrieve.term_cosine_indexed(q, kept.lexical(s), k)
+    return {"dense": dense, "hybrid": lambda q, s, k: ranking.rrf({"dense": dense(q, s, 3 * k), "bm25": retrieve.bm25_indexed(q, kept.lexical(s), 3 * k)}, k)}
 
 
 def board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean metrics of three configurations."""
-    runs = {("passage", "bm25"): passage_hits(spark, sf_dir), ("sentence", "bm25"): sentence_hits(spark, sf_dir), ("passage", "hybrid"): hybrid_hits(spark, sf_dir)}
-    asked = tables.questions(spark, sf_dir)
-    gold = tables.qrels(asked, tables.passages(spark, sf_dir))
-    every = None
-    for (strategy, retriever), hits in runs.items():
-        one = hits.select("query_id", "chunk_id", "passage_id", "rank").withColumns({"strategy": F.lit(strategy), "retriever": F.lit(retriever)})
-        every = one if every is None else every.unionByName(one)
-    configs = spark.createDataFrame(list(runs), "strategy string, retriever string")
-    each = asked.select("query_id").crossJoin(F.broadcast(configs))  # three rows
-    by = ("strategy", "retriever", "query_id")
-    return metrics.means(metrics.question_metrics(every, gold, each, by=by), ["strategy", "retriever"], NAMES)
+    """Mean metrics of every strategy and retriever of the board."""
+    engine = Engine(spark, sf_dir, retrievers=term_dense(spark, sf_dir))
+    made = engine.evaluate(matrix(BOARD_STRATEGIES, BOARD_RETRIEVERS, top_k=10, candidate_k=30))
+    return made.select("strategy", "retriever", "n", *NAMES)
 
 
 @query("leaderboard", BOARD_SQL + "select * from board order by ndcg_10 desc, strategy, retriever")
@@ -197,41 +229,48 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return board(spark, sf_dir).orderBy(F.desc("ndcg_10"), "strategy", "retriever")
 
 
-@query("pivot_recall", BOARD_SQL + "select strategy, round(avg(recall_10) filter (retriever = 'bm25'), 6) as bm25, round(avg(recall_10) filter (retriever = 'hybrid'), 6) as hybrid from board group by 1")
+@query("pivot_recall", BOARD_SQL + "select strategy, " + ", ".join(f"round(avg(recall_10) filter (retriever = '{r}'), 6) as {r}" for r in BOARD_RETRIEVERS) + " from board group by 1")
 def pivot_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.pivoted(board(spark, sf_dir), "strategy", "retriever", "recall_10", ["bm25", "hybrid"])
+    return metrics.pivoted(board(spark, sf_dir), "strategy", "retriever", "recall_10", list(BOARD_RETRIEVERS))
 
 
-@query("score_scale", BOARD_SQL + "select strategy, retriever, mrr, round(case when hi = lo then 0.5 else (mrr - lo) / (hi - lo) end, 6) as scale from board, (select min(mrr) as lo, max(mrr) as hi from board)")
+@query("score_scale", "with l as (select event_type, round(avg(value), 6) as ms from events group by 1) select event_type, ms, round(case when hi = lo then 0.5 else (ms - lo) / (hi - lo) end, 6) as scale, round(case when hi = lo then 0.5 else 1 - (ms - lo) / (hi - lo) end, 6) as inverted from l, (select min(ms) as lo, max(ms) as hi from l)")
 def score_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.scaled(board(spark, sf_dir).select("strategy", "retriever", "mrr"), "mrr")
+    """Latencies on a scale from 0 to 1, and turned, as less is better."""
+    rows = read(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("ms"))
+    return metrics.scaled(metrics.scaled(rows, "ms"), "ms", inverted=True, name="inverted")
 
 
-RERANK_SQL = WITH_QRELS + bm25_sql("wide", "passage_units", 30) + f""", scored as (select h.query_id, h.passage_id, h.chunk_id, h.rank as before_rank,
-   list_distinct(list_filter(regexp_extract_all(lower(query_text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda t: t not in ({STOP_SQL}))) as a, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda t: t not in ({STOP_SQL}))) as b
-   from wide h join questions using (query_id) join passages using (passage_id)),
- second as (select query_id, passage_id, chunk_id, row_number() over (partition by query_id order by round(len(list_intersect(a, b)) / sqrt(greatest(len(a) * len(b), 1)::double), 6) desc, before_rank) as rank from scored qualify rank <= 10),
- base as (select * from wide where rank <= 10)"""
+def rerank_sql() -> str:
+    """CTEs base0, second0, base1, second1: hits of two configurations before and after reranking."""
+    sql = uses("passages", "questions", "qrels", *SENTENCES, "passage_units").rstrip()
+    for i, u in enumerate(("passage_units", "sentence_units")):
+        sql += bm25_sql(f"wide{i}", u, 30) + f""", rr{i} as (select h.query_id, h.passage_id, h.chunk_id, h.rank as before_rank, list_distinct(list_filter(regexp_extract_all(lower(query_text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda t: t not in ({STOP_SQL}))) as a,
+   list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda t: t not in ({STOP_SQL}))) as b from wide{i} h join questions using (query_id) join {u} c on c.chunk_id = h.chunk_id),
+ second{i} as (select query_id, passage_id, chunk_id, row_number() over (partition by query_id order by round(len(list_intersect(a, b)) / sqrt(greatest(len(a) * len(b), 1)::double), 6) desc, before_rank) as rank from rr{i} qualify rank <= 10),
+ base{i} as (select * from wide{i} where rank <= 10)"""
+    return sql + "".join(metrics_sql(f"{x}{i}", f"m_{x}{i}", (10,)) for i in (0, 1) for x in ("base", "second"))
+
 
+DELTA_SQL = rerank_sql() + " select strategy, base, other, round(other - base, 6) as gain from (" + " union all ".join(f"select '{s}' as strategy, (select round(avg(mrr), 6) from m_base{i}) as base, (select round(avg(mrr), 6) from m_second{i}) as other" for i, s in enumerate(("passage", "sentence"))) + ")"
 
-@query("rerank_delta", RERANK_SQL + metrics_sql("base", "m1") + metrics_sql("second", "m2") + """, a as (select case when n_gold > 0 then 'gold' else 'none' end as population, round(avg(mrr), 6) as base from m1 group by 1), b as (select case when n_gold > 0 then 'gold' else 'none' end as population, round(avg(mrr), 6) as other from m2 group by 1)
- select population, base, other, round(other - base, 6) as gain from a join b using (population)""")
+
+@query("rerank_delta", DELTA_SQL)
 def rerank_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = passage_units(tables.passages(spark, sf_dir))
-    wide = passage_hits(spark, sf_dir, 30)
-    second = layers.rerank(with_text(wide, units), tables.questions(spark, sf_dir)).select("query_id", "chunk_id", "passage_id", "rank")
-    population = F.when(F.col("n_gold") > 0, "gold").otherwise("none").alias("population")
-    rows = None
-    for layer, hits in (("base", wide.where("rank <= 10")), ("rerank", second)):
-        one = scored(spark, sf_dir, hits).groupBy(population).agg(F.round(F.avg("mrr"), 6).alias("mrr")).withColumn("layer", F.lit(layer))
-        rows = one if rows is None else rows.unionByName(one)
-    return metrics.delta(rows, "base", "rerank", "mrr", ["population"])
-
-
-@query("metrics_by_type", WITH_QRELS + BM25 + metrics_sql("hits", "m") + r""", t as (select query_id, case when len(string_split(query_text, ' ')) > 30 then 'long' else 'short' end as type from questions) select type, count(*) as n, round(avg(mrr), 6) as mrr, round(avg(recall_10), 6) as recall_10 from m join t using (query_id) group by 1""")
+    """What reranking gains, by configuration."""
+    made = Engine(spark, sf_dir).evaluate(matrix(("passage", "sentence"), ("bm25",), rerank=(False, True), top_k=10, candidate_k=30))
+    rows = made.select("strategy", F.when(F.col("rerank"), "rerank").otherwise("base").alias("layer"), "mrr")
+    return metrics.delta(rows, "base", "rerank", "mrr", ["strategy"])
+
+
+TYPE_SQL = """, kind as (select query_id, case when regexp_matches(query_text, '(?i)^(is|are|does|do|can|has|have|was|were|should|could|did|will)\\b') then 'yesno' when regexp_matches(query_text, '(?i)^(list|which|what are|name)\\b') then 'list'
+   when len(list_filter(regexp_split_to_array(query_text, '\\s+'), lambda w: w <> '')) > 14 or regexp_matches(lower(query_text), '^(describe|what is the role|what is known|how)') then 'summary' else 'factoid' end as question_type from questions)"""
+
+
+@query("metrics_by_type", WITH_QRELS + BM25 + metrics_sql("hits", "m") + TYPE_SQL + " select question_type, count(*) as n, round(avg(mrr), 6) as mrr, round(avg(recall_10), 6) as recall_10 from m join kind using (query_id) group by 1")
 def metrics_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = tables.questions(spark, sf_dir).select("query_id", F.when(tx.n_words(F.col("query_text")) > 30, "long").otherwise("short").alias("type"))
-    return metrics.means(scored(spark, sf_dir, passage_hits(spark, sf_dir)).join(kinds, "query_id"), ["type"], ["mrr", "recall_10"])
+    kinds = tables.questions(spark, sf_dir).select("query_id", tx.question_type(F.col("query_text")).alias("question_type"))
+    return metrics.means(scored(spark, sf_dir, passage_hits(spark, sf_dir)).join(kinds, "query_id"), ["question_type"], ["mrr", "recall_10"])
 
 
 @query("id_context", WITH_QRELS + BM25 + """, got as (select query_id, list_distinct(list(passage_id)) as l from hits group by 1), gl as (select query_id, list_distinct(list(passage_id)) as l from qrels group by 1),
@@ -340,7 +379,7 @@ def latency_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latency(read(spark, sf_dir, "events"))
 
 
-@query("config_matrix", "select s || '+' || r || case when k then '+rerank' else '' end as label, s as strategy, r as retriever, k as rerank, case when k then 30 else 10 end as depth from (values ('passage'), ('sentence'), ('fixed_128_32')) a(s), (values ('bm25'), ('dense'), ('hybrid'), ('grep'), ('kg')) b(r), (values (false), (true)) c(k)")
+@query("config_matrix", "select s || '+' || r || case when k then '+rerank' else '' end as label, s as strategy, r as retriever, k as rerank, case when k then 20 else 5 end as depth from (values ('passage'), ('sentence'), ('fixed_128_32')) a(s), (values ('bm25'), ('dense'), ('hybrid'), ('grep'), ('kg')) b(r), (values (false), (true)) c(k)")
 def config_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     configs = matrix(("passage", "sentence", "fixed_128_32"), ("bm25", "dense", "hybrid", "grep", "kg"), rerank=(False, True))
     again = [RetrievalConfig.parse(c.label) for c in configs]
@@ -373,20 +412,32 @@ def explore_question_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(gold, "passage_id").select("query_id", "passage_id", F.left("text", F.lit(160)).alias("preview"))
 
 
-@query("explore_passage", STATS_SQL + ", per as (select passage_id, strategy, list(chunk_index || ':' || char_start || ':' || char_end order by chunk_index) as spans from every group by 1, 2) select passage_id, strategy, spans from per")
+EXPLORE_SQL = FIXED_SQL.rstrip() + ",\n" + ",\n".join(f"{n} as ({WITH[n]})" for n in ("sent", "spans", "sentence_chunks")) + ENTITY_SQL.rstrip()
+EXPLORE_SQL += """, all_chunks as (select 'fixed_128_32' as strategy, passage_id, chunk_index, char_start, char_end from fixed_chunks union all select 'sentence', passage_id, chunk_index, char_start, char_end from sentence_chunks union all select 'passage', passage_id, 0, 0, length(text) from passages),
+ lists as (select passage_id, strategy, list(chunk_index || ':' || char_start || ':' || char_end order by chunk_index) as spans from all_chunks group by 1, 2), names as (select passage_id, list(name order by doc_freq, name) as entities from edges group by 1)
+ select passage_id, strategy, spans, coalesce(entities, []) as entities from lists left join names using (passage_id)"""
+
+
+@query("explore_passage", EXPLORE_SQL)
 def explore_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = tables.passages(spark, sf_dir)
-    every = chunking.fixed(p).unionByName(chunking.sentence(p))
+    """Every passage with its chunks by strategy and its entities by document frequency. The strategies here are those that
+    SQL can express in one statement; `explore_passage_default` has all."""
+    return explored(spark, sf_dir, ("passage", "fixed_128_32", "sentence"))
+
+
+def explored(spark: SparkSession, sf_dir: str, strategies: tuple[str, ...]) -> DataFrame:
+    kept = tables.store(spark, sf_dir)
+    every = reduce(DataFrame.unionByName, [kept.spans(x) for x in strategies])
     lists = every.groupBy("passage_id", "strategy").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "char_start", "char_end"))).alias("all"))
-    return lists.select("passage_id", "strategy", F.transform("all", lambda x: F.concat_ws(":", x["chunk_index"].cast("string"), x["char_start"].cast("string"), x["char_end"].cast("string"))).alias("spans"))
+    spans = F.transform("all", lambda x: F.concat_ws(":", x["chunk_index"].cast("string"), x["char_start"].cast("string"), x["char_end"].cast("string")))
+    names = kept.edges().groupBy("passage_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_freq", "name"))), lambda x: x["name"]).alias("entities"))
+    return lists.join(names, "passage_id", "left").select("passage_id", "strategy", spans.alias("spans"), F.coalesce("entities", F.array().cast("array<string>")).alias("entities"))
 
 
-@query("explore_entity", uses("passages").rstrip() + ENTITY_SQL + ", e as (select name from kept order by doc_freq desc, name limit 3), at_ as (select name, list_sort(list(passage_id)) as ids from edges where name in (select name from e) group by 1) select name, ids[1:400] as passage_ids, len(ids) as n from at_")
-def explore_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, edges, kept, _ = graph_of(spark, sf_dir)
-    names = kept.orderBy(F.desc("doc_freq"), "name").limit(3).select("name")
-    lists = edges.join(F.broadcast(names), "name").groupBy("name").agg(F.array_sort(F.collect_list("passage_id")).alias("ids"))  # three names
-    return lists.select("name", F.slice("ids", 1, 400).alias("passage_ids"), F.size("ids").cast("long").alias("n"))
+@query("explore_passage_default")
+def explore_passage_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`explore_passage` over all default strategies."""
+    return explored(spark, sf_dir, tuple(chunking.DEFAULT_STRATEGIES))
 
 
 @query("span_segments", uses(*SENTENCES) + ", cuts as (select passage_id, list_sort(list_distinct(list_concat(list(char_start), list(char_end)))) as c from sentence_chunks group by 1) select passage_id, unnest(c[1:len(c) - 1]) as s, unnest(c[2:]) as e from cuts".replace(", cuts", ", cuts", 1))
@@ -397,11 +448,63 @@ def span_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts.withColumn("e", F.lead("s").over(Window.partitionBy("passage_id").orderBy("s"))).where("e is not null")
 
 
-@query("span_rows", STATS_SQL + "select passage_id, chunk_index, (chunk_index % 2)::int as display_row from every where strategy = 'fixed_128_32'")
+SPAN_ROWS_SQL = STATS_SQL.rstrip() + """, l as (select passage_id, list({'i': chunk_index, 's': char_start, 'e': char_end} order by chunk_index) as l from every where strategy = 'fixed_128_32' group by 1),
+ fold as (select passage_id, l, list_reduce(l, lambda a, x: {'ends': case when len(list_filter(a.ends, lambda e: e <= x.s)) = 0 then list_append(a.ends, x.e) else list_transform(a.ends, lambda e, k: case when k = list_position(list_transform(a.ends, lambda z: z <= x.s), true) then x.e else e end) end,
+   'at_': list_append(a.at_, case when len(list_filter(a.ends, lambda e: e <= x.s)) = 0 then len(a.ends)::int else (list_position(list_transform(a.ends, lambda z: z <= x.s), true) - 1)::int end)}, {'ends': []::int[], 'at_': []::int[]}).at_ as display from l)
+ select passage_id, unnest(list_transform(l, lambda x: x.i)) as chunk_index, unnest(display) as display_row from fold"""
+
+
+@query("span_rows", SPAN_ROWS_SQL)
 def span_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping windows dealt to display rows: each goes to the first row whose last span has ended. Windows overlap only
-    their neighbours, so two rows do."""
-    return chunking.fixed(tables.passages(spark, sf_dir)).select("passage_id", "chunk_index", (F.col("chunk_index") % 2).cast("int").alias("display_row"))
+    """Overlapping spans dealt to display rows: each goes to the first row that has none in its way."""
+    return layers.display_rows(chunking.fixed(tables.passages(spark, sf_dir)))
+
+
+@query("chunk_total", STATS_SQL + "select count(*) as n_chunks, count(distinct strategy) as n_strategies from every")
+def chunk_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks over all strategies."""
+    kept = tables.store(spark, sf_dir)
+    every = kept.spans("fixed_128_32").unionByName(kept.spans("sentence"))
+    return every.agg(F.count("*").alias("n_chunks"), F.count_distinct("strategy").alias("n_strategies"))
+
+
+@query("answer_judgements", PASSAGES + BM25 + rf""", answers as (select query_id, string_agg(string_split(regexp_replace(text, '([.!?]) ([A-Z0-9(\[])', '\1' || chr(1) || '\2', 'g'), chr(1))[1] || ' [' || rank || ']', ' ' order by rank) as answer from hits join passages using (passage_id) where rank <= 3 group by 1),
+ t as (select query_id, list_distinct(list_filter(regexp_extract_all(lower(answer), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda t: t not in ({STOP_SQL}))) as a, list_distinct(list_filter(regexp_extract_all(lower(query_text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda t: t not in ({STOP_SQL}))) as b from answers join questions using (query_id))
+ select query_id, case when len(a) + len(b) = 0 then 0.0 else round(2 * len(list_intersect(a, b)) / (len(a) + len(b)), 6) end as token_f1, case when len(a) > 0 then round(len(list_intersect(a, b)) / len(a), 6) end as token_support from t""")
+def answer_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extractive answers judged without a model: token F1 with the question's text and the share of tokens that it supports."""
+    answered = layers.extractive_answers(with_text(passage_hits(spark, sf_dir, 3), passage_units(tables.passages(spark, sf_dir))))
+    rows = answered.join(tables.questions(spark, sf_dir), "query_id")
+    return rows.select("query_id", metrics.token_f1(F.col("answer"), F.col("query_text")).alias("token_f1"), metrics.token_support(F.col("answer"), F.col("query_text")).alias("token_support"))
+
+
+@query("log_detail", LOG_SQL + " select id, source, latency_ms, k from logs where id % 1000 = 0")
+def log_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point gets of run-log rows: those whose id is divisible by 1000."""
+    ids = spark.range(0, 1).select(F.lit(0).alias("rest"))
+    log = run_log(spark, sf_dir)
+    return log.join(F.broadcast(ids), F.pmod("id", F.lit(1000)) == F.col("rest")).select("id", "source", "latency_ms", "k")  # one row
+
+
+@query("catalog", "select 'benchmark' as name, count(*) as n_rows from benchmark union all select 'conversations', count(*) from conversations union all select 'documents', count(*) from documents union all select 'embeddings', count(*) from embeddings union all select 'events', count(*) from events union all select 'labels', count(*) from labels union all select 'pages', count(*) from pages")
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder's tables with their numbers of rows."""
+    names = ("benchmark", "conversations", "documents", "embeddings", "events", "labels", "pages")
+    return reduce(DataFrame.unionByName, [read(spark, sf_dir, n).agg(F.lit(n).alias("name"), F.count("*").alias("n_rows")) for n in names])
+
+
+@query("run_results", WITH_QRELS + BM25 + metrics_sql("hits", "m", (10,)) + TYPE_SQL + " select query_id, query_text as question, question_type, mrr, recall_10 from m join kind using (query_id) join questions using (query_id)")
+def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's results with their questions."""
+    results = scored(spark, sf_dir, passage_hits(spark, sf_dir)).select("query_id", "mrr", "recall_10")
+    return runs.with_questions(results, tables.questions(spark, sf_dir)).select("query_id", "question", "question_type", "mrr", "recall_10")
+
+
+@query("largest_run", "select user_id as id, n, created_at from (select user_id, count(*) as n, max(ts) as created_at from events group by 1) order by n desc, created_at desc, id limit 1")
+def largest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run with the most rows of the log."""
+    made = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"), F.max("ts").alias("created_at"))
+    return runs.largest(made, "n")
 
 
 @query("health", "select (select count(*) from documents) as documents, (select count(*) from benchmark) as questions, (select count(*) from embeddings) as vectors")
@@ -412,21 +515,23 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ask")
 def ask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every question through the whole pipeline: retrieve, rerank, expand, answer, cite."""
-    return Engine(spark, sf_dir).ask(tables.questions(spark, sf_dir), RetrievalConfig.parse("sentence+bm25+rerank+window"))
+    """Every question through the whole pipeline: retrieve, rerank, expand, answer, cite, with metrics."""
+    return Engine(spark, sf_dir).ask(tables.questions(spark, sf_dir), RetrievalConfig.parse("sentence+bm25+rerank+window", top_k=10, candidate_k=30), gold_of(spark, sf_dir))
 
 
-@query("compare")
+COMPARE_SQL = uses(*SENTENCES, "passage_units").rstrip() + bm25_sql("b0", "passage_units", 30) + cosine_sql("d0", "b0", 30) + rrf_sql("h0", "d0", "b0", 10) + bm25_sql("b1", "sentence_units", 10)
+COMPARE_SQL += " select 'passage+bm25' as config, * from b0 where rank <= 10 union all select 'passage+dense', * from d0 where rank <= 10 union all select 'passage+hybrid', * from h0 union all select 'sentence+bm25', * from b1"
+
+
+@query("compare", COMPARE_SQL)
 def compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of several configurations side by side."""
-    labels = ("passage+bm25", "sentence+bm25+rerank", "passage+grep", "passage+kg")
-    return Engine(spark, sf_dir).compare(tables.questions(spark, sf_dir), [RetrievalConfig.parse(x) for x in labels])
+    labels = ("passage+bm25", "passage+dense", "passage+hybrid", "sentence+bm25")
+    engine = Engine(spark, sf_dir, retrievers=term_dense(spark, sf_dir))
+    return engine.compare(tables.questions(spark, sf_dir), [RetrievalConfig.parse(x, top_k=10, candidate_k=30) for x in labels])
 
 
 @query("eval_matrix")
 def eval_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean metrics of every strategy and retriever, in one job."""
-    return Engine(spark, sf_dir).evaluate(matrix(chunking.DEFAULT_STRATEGIES, RETRIEVERS))
-
-
-__all__ = ["ranking"]
+    """Mean metrics of every strategy and retriever, with embeddings as vectors: five by five configurations."""
+    return Engine(spark, sf_dir).evaluate(matrix(chunking.DEFAULT_STRATEGIES, RETRIEVERS, top_k=10, candidate_k=30))

@@ -271,19 +271,63 @@ def adjacent_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.adjacent_distances(tables.passages(spark, sf_dir)).select("passage_id", "i", "dist")
 
 
-@query("calibrate_p75", DIST_SQL + "select quantile_cont(dist, 0.75) as threshold from dists where passage_id in (select passage_id from passages order by md5('42:' || passage_id::varchar) limit 1500)")
+THRESHOLD_SQL = """, ranked_ids as (select passage_id, row_number() over (order by passage_id) - 1 as r, greatest(1, count(*) over () // 1500) as step from passages),
+ cal as (select coalesce(quantile_cont(dist, 0.75), 0.5) as threshold from dists where passage_id in (select passage_id from ranked_ids where r % step = 0 and r < step * 1500))
+"""
+
+
+@query("calibrate_p75", DIST_SQL + THRESHOLD_SQL + "select threshold from cal")
 def calibrate_p75(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(float(chunking.calibrated(tables.passages(spark, sf_dir))),)], "threshold double")
 
 
-@query("chunk_semantic", DIST_SQL.rstrip() + """, g as (select passage_id, list({'i': i, 's': s, 'e': s + n, 't': n_tokens, 'd': coalesce(dist, 0.0)} order by i) as l from dists group by 1),
- f as (select passage_id, l, list_reduce(l, lambda a, x: {'f': list_append(a.f, a.g + case when x.i > 0 and ((x.d > 0.95 and a.k >= 6) or a.k + x.t > 256) then 1 else 0 end),
-   'g': a.g + case when x.i > 0 and ((x.d > 0.95 and a.k >= 6) or a.k + x.t > 256) then 1 else 0 end,
-   'k': case when x.i = 0 or ((x.d > 0.95 and a.k >= 6) or a.k + x.t > 256) then x.t else a.k + x.t end}, {'f': []::int[], 'g': 0::int, 'k': 0::bigint}).f as fl from g),
- u as (select passage_id, unnest(l) as x, unnest(fl) as g from f), h as (select passage_id, g::int as chunk_index, min(x.s)::int as char_start, max(x.e)::int as char_end, sum(x.t)::int as n_tokens from u group by all)
- select passage_id * 1048576 + chunk_index as chunk_id, 'semantic' as strategy, * from h""")
+SEMANTIC_SQL = THRESHOLD_SQL.rstrip() + """, sem_g as (select passage_id, list({'i': i, 's': s, 'e': s + n, 't': n_tokens, 'd': coalesce(dist, 0.0)} order by i) as l from dists group by 1),
+ sem_f as (select passage_id, l, list_reduce(l, lambda a, x: {'f': list_append(a.f, a.g + case when x.i > 0 and ((x.d > (select threshold from cal) and a.k >= 6) or a.k + x.t > 256) then 1 else 0 end),
+   'g': a.g + case when x.i > 0 and ((x.d > (select threshold from cal) and a.k >= 6) or a.k + x.t > 256) then 1 else 0 end,
+   'k': case when x.i = 0 or ((x.d > (select threshold from cal) and a.k >= 6) or a.k + x.t > 256) then x.t else a.k + x.t end}, {'f': []::int[], 'g': 0::int, 'k': 0::bigint}).f as fl from sem_g),
+ sem_u as (select passage_id, unnest(l) as x, unnest(fl) as g from sem_f), semantic_chunks as (select passage_id, g::int as chunk_index, min(x.s)::int as char_start, max(x.e)::int as char_end, sum(x.t)::int as n_tokens from sem_u group by all)
+""".replace("(select threshold from cal)", "x.th").replace("'d': coalesce(dist, 0.0)}", "'d': coalesce(dist, 0.0), 'th': (select threshold from cal)}")
+
+
+@query("chunk_semantic", DIST_SQL.rstrip() + SEMANTIC_SQL + " select passage_id * 1048576 + chunk_index as chunk_id, 'semantic' as strategy, * from semantic_chunks")
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.semantic(tables.passages(spark, sf_dir), 0.95)
+    """At the calibrated threshold."""
+    return chunking.semantic(tables.passages(spark, sf_dir))
+
+
+PIECE_SQL = r"\s*(?:[\p{L}\p{N}]+|[^\s\p{L}\p{N}])"
+OFFSETS_SQL = uses("passages").rstrip() + rf""", pc as (select passage_id, text, list_transform(regexp_extract_all(text, '{PIECE_SQL}'), lambda x: length(x)) as l from passages),
+ offs as (select passage_id, text, list_concat(list_transform(range(len(l)), lambda i: coalesce(list_sum(l[1:i]), 0)::int), [length(text)::int]) as o, len(l) as n from pc)
+"""
+TOKEN_WINDOWS_SQL = OFFSETS_SQL.rstrip() + r""", tw as (select passage_id, text, o, n, unnest(range(case when n <= 128 then 1 else 1 + ceil((n - 128) / 96.0)::int end)) as i from offs),
+ raw_spans as (select passage_id, text, i, case when n <= 128 then 0 else o[96 * i + 1] end as s, case when n <= 128 then length(text) else o[least(96 * i + 128, n) + 1] end as e from tw),
+ snapped as (select passage_id, text, i, s - length(regexp_extract(left(text, s), '[^ ]*$')) as s, e + length(regexp_extract(substr(text, e + 1), '^[^ ]*')) as e from raw_spans),
+ token_chunks as (select passage_id, (row_number() over (partition by passage_id order by i) - 1)::int as chunk_index, char_start::int as char_start, char_end::int as char_end, len(regexp_extract_all(substr(text, char_start + 1, char_end - char_start), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]'))::int as n_tokens
+   from (select passage_id, text, i, s + length(b) - length(ltrim(b)) as char_start, e - (length(b) - length(rtrim(b))) as char_end from (select *, substr(text, s + 1, e - s) as b from snapped) where trim(b) <> ''))
+""".replace("\\\\", "\\")
+
+
+@query("token_offsets", OFFSETS_SQL + "select passage_id, o as offsets from offs")
+def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.passages(spark, sf_dir).select("passage_id", chunking.token_offsets(F.col("text")).alias("offsets"))
+
+
+@query("chunk_tokens", TOKEN_WINDOWS_SQL + "select passage_id * 1048576 + chunk_index as chunk_id, 'tokens_128_32' as strategy, * from token_chunks")
+def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token windows widened to whole words."""
+    return chunking.tokens(tables.passages(spark, sf_dir))
+
+
+@query("finalise_spans", r"""with d as (select doc_id as passage_id, coalesce(text, '') as text, unnest(range(0, length(coalesce(text, '')), 7)) as a from documents), p as (select passage_id, a, text, substr(text, a + 1, 7) as b from d),
+ t as (select passage_id, a, a + length(b) - length(ltrim(b, ' ')) as s, a + length(rtrim(b, ' ')) as e from p where trim(b, ' ') <> '')
+ select passage_id, (row_number() over (partition by passage_id order by a) - 1)::int as chunk_index, s::int as char_start, e::int as char_end from t""")
+def finalise_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw windows of seven code points over each whole text: trimmed, without empty ones, numbered anew."""
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n = F.length("text")
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(7))).otherwise(F.array().cast("array<int>"))
+    raw = rows.select("passage_id", "text", F.posexplode(starts).alias("chunk_index", "s")).withColumn("e", F.least(F.col("s") + 7, n))
+    return chunking.finalised(raw).drop("body")
 
 
 @query("chunk_recursive")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import RetrievalConfig, matrix
 from ..functions import text as tx
-from ..operators import chunking, index, layers, metrics, ranking, relations, retrieve
+from ..operators import chunking, index, ranking, retrieve
 from ..sources import tables
 from ..sources.tables import read
-from .reference import STOP_SQL, TERM_STOP_SQL, WITH, query, uses
+from .reference import STOP_SQL, TERM_STOP_SQL, query, uses
 
 SENTENCES = ("passages", "questions", "sent", "spans", "sentence_chunks", "sentence_units")
 
@@ -42,12 +41,12 @@ WITH_QRELS = uses("passages", "questions", "qrels", "passage_units").rstrip()
 
 @query("bm25_topk", PASSAGES + bm25_sql("hits", "passage_units", 10) + HITS + "hits")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.bm25(tables.questions(spark, sf_dir), passage_units(tables.passages(spark, sf_dir)))
+    return retrieve.bm25_indexed(tables.questions(spark, sf_dir), tables.store(spark, sf_dir).lexical("passage"))
 
 
 @query("bm25_sentence_topk", uses(*SENTENCES).rstrip() + bm25_sql("hits", "sentence_units", 10) + HITS + "hits")
 def bm25_sentence_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.bm25(tables.questions(spark, sf_dir), sentence_units(tables.passages(spark, sf_dir)))
+    return retrieve.bm25_indexed(tables.questions(spark, sf_dir), tables.store(spark, sf_dir).lexical("sentence"))
 
 
 @query("postings", PASSAGES + r""", l as (select chunk_id, passage_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'), lambda t: t not in (""" + STOP_SQL + """)) as l from passage_units)
@@ -61,15 +60,15 @@ def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("passage_id"), "embedding", "label")
 
 
-FIRST_TWENTY, HUNDREDTHS = "vec_id < 20", "vec_id % 100 = 0"  # query sets: a fixed one, and one that grows with the table
+HUNDREDTHS = "vec_id % 100 = 0"  # the query set, which grows with the table
 
 
-def vector_queries(spark: SparkSession, sf_dir: str, asked: str = FIRST_TWENTY) -> DataFrame:
+def vector_queries(spark: SparkSession, sf_dir: str, asked: str = HUNDREDTHS) -> DataFrame:
     """The vectors of a query set as questions, against all vectors."""
     return read(spark, sf_dir, "embeddings").where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").alias("query_label"))
 
 
-def dense_sql(k: int, name: str = "hits", asked: str = FIRST_TWENTY) -> str:
+def dense_sql(k: int, name: str = "hits", asked: str = HUNDREDTHS) -> str:
     return f"""dots as (select q.vec_id as query_id, e.vec_id as passage_id, round(list_inner_product(q.embedding::double[], e.embedding::double[]), 6) as score from embeddings q, embeddings e where q.{asked}),
  {name} as (select query_id, passage_id as chunk_id, passage_id, score, row_number() over (partition by query_id order by score desc, passage_id)::int as rank from dots qualify rank <= {k})
 """
@@ -94,48 +93,52 @@ def label_precision(spark: SparkSession, sf_dir: str, asked: str) -> DataFrame:
 
 @query("dense_label_precision", "with " + dense_sql(11) + PRECISION_SQL)
 def dense_label_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_precision(spark, sf_dir, FIRST_TWENTY)
+    return label_precision(spark, sf_dir, HUNDREDTHS)
 
 
-@query("dense_topk_hundredths", "with " + dense_sql(10, asked=HUNDREDTHS) + HITS + "hits")
-def dense_topk_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`dense_topk` with every vector whose id is divisible by 100 as a question."""
-    return retrieve.dense(vector_queries(spark, sf_dir, HUNDREDTHS).drop("query_label"), vectors_of(spark, sf_dir).drop("label"))
+def cosine_sql(name: str, bm25: str, k: int) -> str:
+    """CTEs that end with `name`: the k units most alike by term vectors, after the CTEs of a bm25_sql named `bm25`."""
+    return f""", {name}_c as (select query_id, count(*) as n_asked from {bm25}_q group by 1), {name}_t as (select chunk_id, len(list_distinct(l)) as n_terms from {bm25}_l),
+ {name}_x as (select query_id, chunk_id, passage_id, round(count(*) / sqrt((any_value(n_asked) * any_value(n_terms))::double), 6) as score from {bm25}_p join {bm25}_q using (term) join {name}_c using (query_id) join {name}_t using (chunk_id) group by 1, 2, 3),
+ {name} as (select query_id, chunk_id, passage_id, score, row_number() over (partition by query_id order by score desc, passage_id, chunk_id)::int as rank from {name}_x qualify rank <= {k})
+"""
 
 
-@query("dense_label_precision_hundredths", "with " + dense_sql(11, asked=HUNDREDTHS) + PRECISION_SQL)
-def dense_label_precision_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_precision(spark, sf_dir, HUNDREDTHS)
+def rrf_sql(name: str, first: str, second: str, k: int) -> str:
+    """CTEs that end with `name`: the fusion of two hit lists."""
+    return f""", {name}_l as (select *, 0 as nth from {first} union all select *, 1 from {second}),
+ {name}_f as (select query_id, chunk_id, passage_id, round(sum(1 / (60 + rank)::double), 9) as score, min({{'a': nth, 'b': rank}}) as f from {name}_l group by 1, 2, 3),
+ {name} as (select query_id, chunk_id, passage_id, score, row_number() over (partition by query_id order by score desc, f.a, f.b, chunk_id)::int as rank from {name}_f qualify rank <= {k})
+"""
 
 
-TWO_LISTS = uses(*SENTENCES, "passage_units").rstrip() + bm25_sql("coarse", "passage_units", 30) + bm25_sql("fine_raw", "sentence_units", 30)
-FUSED = """, fine as (select query_id, passage_id * 1048576 as chunk_id, passage_id, score, row_number() over (partition by query_id order by rank)::int as rank from (select *, row_number() over (partition by query_id, passage_id order by rank, chunk_id) as nth from fine_raw) where nth = 1),
- lists as (select *, 0 as nth, 'passage' as list from coarse union all select *, 1, 'sentence' from fine),
- fused as (select query_id, chunk_id, passage_id, round(sum(1 / (60 + rank)::double), 9) as score, min({'a': nth, 'b': rank}) as f from lists group by 1, 2, 3),
- hybrid as (select query_id, chunk_id, passage_id, score, row_number() over (partition by query_id order by score desc, f.a, f.b, chunk_id)::int as rank from fused qualify rank <= 10)
-"""
+FUSED = PASSAGES + bm25_sql("sparse", "passage_units", 30) + cosine_sql("dense", "sparse", 30) + rrf_sql("hybrid", "dense", "sparse", 10)
 
 
-def hybrid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two lexical granularities fused at passage level."""
-    asked, p = tables.questions(spark, sf_dir), tables.passages(spark, sf_dir)
-    fine = ranking.first_per_passage(retrieve.bm25(asked, sentence_units(p), 30)).withColumn("chunk_id", chunking.chunk_id(F.col("passage_id"), F.lit(0)))
-    return ranking.rrf({"passage": retrieve.bm25(asked, passage_units(p), 30), "sentence": fine}, 10)
+def hybrid_hits(spark: SparkSession, sf_dir: str, strategy: str = "passage", k: int = 10) -> DataFrame:
+    """Dense hits (cosine of term vectors) and lexical ones, 3k each, fused."""
+    asked, lexical = tables.questions(spark, sf_dir), tables.store(spark, sf_dir).lexical(strategy)
+    return ranking.rrf({"dense": retrieve.term_cosine_indexed(asked, lexical, 3 * k), "bm25": retrieve.bm25_indexed(asked, lexical, 3 * k)}, k)
 
 
-@query("hybrid_rrf", TWO_LISTS + FUSED + HITS + "hybrid")
+@query("term_cosine_topk", PASSAGES + bm25_sql("sparse", "passage_units", 10) + cosine_sql("dense", "sparse", 10) + HITS + "dense")
+def term_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.term_cosine_indexed(tables.questions(spark, sf_dir), tables.store(spark, sf_dir).lexical("passage"))
+
+
+@query("hybrid_rrf", FUSED + HITS + "hybrid")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid_hits(spark, sf_dir).drop("ranks")
 
 
-@query("hybrid_ranks", TWO_LISTS + FUSED + "select h.query_id, h.passage_id, max(l.rank) filter (list = 'passage') as passage_rank, max(l.rank) filter (list = 'sentence') as sentence_rank from hybrid h join lists l using (query_id, chunk_id) group by 1, 2")
+@query("hybrid_ranks", FUSED + "select h.query_id, h.passage_id, max(l.rank) filter (nth = 0) as dense_rank, max(l.rank) filter (nth = 1) as bm25_rank from hybrid h join hybrid_l l using (query_id, chunk_id) group by 1, 2")
 def hybrid_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid_hits(spark, sf_dir).select("query_id", "passage_id", F.try_element_at("ranks", F.lit("passage")).alias("passage_rank"), F.try_element_at("ranks", F.lit("sentence")).alias("sentence_rank"))
+    return hybrid_hits(spark, sf_dir).select("query_id", "passage_id", F.try_element_at("ranks", F.lit("dense")).alias("dense_rank"), F.try_element_at("ranks", F.lit("bm25")).alias("bm25_rank"))
 
 
 @query("dedupe_passages", uses(*SENTENCES).rstrip() + bm25_sql("hits", "sentence_units", 30) + "select query_id, passage_id, chunk_id, row_number() over (partition by query_id order by rank)::int as rank from (select *, row_number() over (partition by query_id, passage_id order by rank, chunk_id) as nth from hits) where nth = 1")
 def dedupe_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieve.bm25(tables.questions(spark, sf_dir), sentence_units(tables.passages(spark, sf_dir)), 30)
+    hits = retrieve.bm25_indexed(tables.questions(spark, sf_dir), tables.store(spark, sf_dir).lexical("sentence"), 30)
     return ranking.first_per_passage(hits).select("query_id", "passage_id", "chunk_id", "rank")
 
 
@@ -178,8 +181,7 @@ def term_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
  select query_id, chunk_id, passage_id, score, chunk_hits, row_number() over (partition by query_id order by score desc, passage_id, chunk_id)::int as rank from one qualify rank <= 10""",
 )
 def grep_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = tables.passages(spark, sf_dir)
-    return retrieve.literal(tables.questions(spark, sf_dir), p, sentence_units(p)).select("query_id", "chunk_id", "passage_id", "score", "chunk_hits", "rank")
+    return retrieve.literal(tables.questions(spark, sf_dir), tables.passages(spark, sf_dir), sentence_units).select("query_id", "chunk_id", "passage_id", "score", "chunk_hits", "rank")
 
 
 # --- entities and the graph
@@ -199,11 +201,9 @@ ENTITY_SQL = (
 
 
 def graph_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    p = tables.passages(spark, sf_dir)
-    n = p.count()
-    found = index.mentions(p)
-    kept = index.entities(found, n)
-    return p, index.graph(found, kept), kept, n
+    """Passages, edges, entities and the number of passages, stored once for a state of the corpus."""
+    kept = tables.store(spark, sf_dir)
+    return tables.passages(spark, sf_dir), kept.edges(), kept.entities(), kept.n
 
 
 @query("entity_mentions", uses("passages").rstrip() + ENTITY_SQL + "select passage_id, name, n from mentions")
@@ -264,28 +264,111 @@ WALK_SQL = """, seeds as (select distinct query_id, name, doc_freq from matches)
 @query("kg_topk", MATCHES_SQL + WALK_SQL + "select query_id, passage_id * 1048576 as chunk_id, passage_id, score, path, row_number() over (partition by query_id order by score desc, passage_id)::int as rank from walk qualify rank <= 10")
 def kg_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, edges, kept, n = graph_of(spark, sf_dir)
-    return retrieve.graph(tables.questions(spark, sf_dir), edges, kept, n, passage_units(p)).select("query_id", "chunk_id", "passage_id", "score", "path", "rank")
+    return retrieve.graph(tables.questions(spark, sf_dir), edges, kept, n, p, passage_units).select("query_id", "chunk_id", "passage_id", "score", "path", "rank")
+
+
+@query(
+    "kg_sentence_topk",
+    MATCHES_SQL.replace(uses("passages", "questions").rstrip(), uses(*SENTENCES).rstrip())
+    + WALK_SQL
+    + rf""", forty as (select *, row_number() over (partition by query_id order by score desc, passage_id) as nth from walk qualify nth <= 40),
+ lists as (select query_id, chunk_id, passage_id, chunk_index, score, list_distinct(list_filter(regexp_extract_all(lower(query_text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda t: t not in ({STOP_SQL}))) as a, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda t: t not in ({STOP_SQL}))) as b
+   from forty join sentence_units using (passage_id) join questions using (query_id)),
+ likes as (select query_id, chunk_id, passage_id, chunk_index, score, case when len(a) * len(b) = 0 then 0.0 else round(len(list_intersect(a, b)) / sqrt((len(a) * len(b))::double), 6) end as likeness from lists),
+ picked as (select * from likes qualify row_number() over (partition by query_id, passage_id order by likeness desc, chunk_index) = 1)
+ select query_id, chunk_id, passage_id, score, likeness, row_number() over (partition by query_id order by score desc, passage_id, chunk_id)::int as rank from picked qualify rank <= 10""",
+)
+def kg_sentence_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph retrieval in which the chunk most alike to the question stands for its passage."""
+    p, edges, kept, n = graph_of(spark, sf_dir)
+    return retrieve.graph(tables.questions(spark, sf_dir), edges, kept, n, p, sentence_units).select("query_id", "chunk_id", "passage_id", "score", "likeness", "rank")
+
+
+LOOKUP_SQL = uses("passages", "questions").rstrip() + ENTITY_SQL + TERMS_SQL + ", t as (select distinct term from asked)" + gram_sql("a", "term", "term", "t") + gram_sql("b", "name", "name", "kept")
+LOOKUP_SQL += ", alike as (select term, b.name, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) as sim from a join b using (gram) group by 1, 2 having sim >= 0.3)"
+
+
+def looked_up(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All distinct search terms of the questions, the entities, and (term, name, sim) of those alike by trigrams."""
+    terms, kept = retrieve.asked_terms(tables.questions(spark, sf_dir)).select("term").distinct(), graph_of(spark, sf_dir)[2]
+    return terms, kept, retrieve.alike_names(terms, kept)
 
 
-@query("trigram_lookup", uses("passages").rstrip() + ENTITY_SQL + ", t as (select name as term from kept order by doc_freq desc, name limit 20)" + gram_sql("a", "term", "term", "t") + gram_sql("b", "name", "name", "kept") + "select term, b.name, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) as sim from a join b using (gram) group by 1, 2 having sim >= 0.3")
+@query("trigram_lookup", LOOKUP_SQL + " select term, name, sim from alike")
 def trigram_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = graph_of(spark, sf_dir)[2]
-    terms = kept.orderBy(F.desc("doc_freq"), "name").limit(20).select(F.col("name").alias("term"))
-    a = terms.withColumn("g", tx.trigrams(F.col("term"))).select("term", F.size("g").alias("na"), F.explode("g").alias("gram"))
-    b = kept.withColumn("g", tx.trigrams(F.col("name"))).select("name", F.size("g").alias("nb"), F.explode("g").alias("gram"))
-    both = b.join(F.broadcast(a), "gram").groupBy("term", "name", "na", "nb").agg(F.count("*").alias("i"))  # a has the trigrams of twenty names
-    return both.select("term", "name", F.round(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), 6).alias("sim")).where("sim >= 0.3")
+    return looked_up(spark, sf_dir)[2].select("term", "name", "sim")
 
 
-@query("trigram_lookup_all", uses("passages").rstrip() + ENTITY_SQL + gram_sql("b", "name", "name", "kept") + "select a.name as term, b.name, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) as sim from b a join b using (gram) group by 1, 2 having sim >= 0.3")
-def trigram_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`trigram_lookup` of every entity's name."""
-    grams = graph_of(spark, sf_dir)[2].withColumn("g", tx.trigrams(F.col("name"))).select("name", F.size("g").alias("nb"), F.explode("g").alias("gram"))
-    asked = grams.select(F.col("name").alias("term"), F.col("nb").alias("na"), "gram")
-    both = grams.join(asked, "gram").groupBy("term", "name", "na", "nb").agg(F.count("*").alias("i"))
-    return both.select("term", "name", F.round(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), 6).alias("sim")).where("sim >= 0.3")
+SEARCH_SQL = LOOKUP_SQL + """, held as (select term, name from t join kept on contains(name, term)), found as (select term, name from alike union select term, name from held),
+ searched as (select term, name, doc_freq, coalesce(sim, 0.0) as sim from found join kept using (name) left join alike using (term, name))
+ select term, name, doc_freq, sim, row_number() over (partition by term order by sim desc, doc_freq desc, name)::int as nth from searched qualify nth <= 10"""
 
 
-@query("entity_search", uses("passages").rstrip() + ENTITY_SQL + "select name, doc_freq from kept where name ilike '%tion%' order by doc_freq desc, name limit 25")
+@query("entity_search", SEARCH_SQL.replace("coalesce(sim, 0.0) as sim", "coalesce(sim, (select round(count(*) filter (a.gram in (select gram from b where b.name = found.name)) / (any_value(a.n) + (select any_value(n) from b where b.name = found.name) - count(*) filter (a.gram in (select gram from b where b.name = found.name))), 6) from a where a.term = found.term)) as sim"))
 def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_of(spark, sf_dir)[2].where(F.col("name").ilike("%tion%")).orderBy(F.desc("doc_freq"), "name").limit(25)
+    """For every search term the ten names that are like it or hold it: by similarity, then document frequency."""
+    terms, kept, alike = looked_up(spark, sf_dir)
+    held = retrieve.holding_names(terms, kept)
+    every = alike.select("term", "name").unionByName(held).distinct().join(kept, "name").join(terms, "term")
+    sim = F.round(tx.similarity(tx.trigrams(F.col("term")), tx.trigrams(F.col("name"))), 6)
+    return ranking.ranked(every.withColumn("sim", sim), ["term"], [F.desc("sim"), F.desc("doc_freq"), F.asc("name")], 10, "nth").select("term", "name", "doc_freq", "sim", "nth")
+
+
+NODES_SQL = LOOKUP_SQL + """, nodes as (select term, name, doc_freq from t join kept on name = term
+   union all select term, name, doc_freq from alike join kept using (name) where term not in (select name from kept) qualify row_number() over (partition by term order by sim desc, doc_freq desc, name) = 1),
+ at_ as (select n.term, n.name as node, passage_id from nodes n join edges e on e.name = n.name qualify row_number() over (partition by n.term order by passage_id) <= 400)
+"""
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For every search term its entity (term, name, doc_freq): that of its name, else the one most alike; the entity's first
+    400 passages (term, node, passage_id); and the edges."""
+    terms, kept, alike = looked_up(spark, sf_dir)
+    edges = graph_of(spark, sf_dir)[1]
+    exact = terms.join(kept, terms["term"] == kept["name"]).select("term", "name", "doc_freq")
+    near = alike.join(kept.select(F.col("name").alias("term")), "term", "left_anti")
+    best = ranking.ranked(near, ["term"], [F.desc("sim"), F.desc("doc_freq"), F.asc("name")], 1, "nth").select("term", "name", "doc_freq")
+    found = exact.unionByName(best)
+    at = ranking.ranked(found.select("term", "name").join(edges.select("name", "passage_id"), "name"), ["term"], [F.asc("passage_id")], 400, "nth")
+    return found, at.select("term", F.col("name").alias("node"), "passage_id"), edges
+
+
+@query("explore_entity", NODES_SQL + "select term, name, doc_freq, (select count(*) from at_ where at_.term = nodes.term) as n_passages from nodes")
+def explore_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity of every search term: exact, else the most alike."""
+    found, at, _ = nodes(spark, sf_dir)
+    return found.join(at.groupBy("term").agg(F.count("*").alias("n_passages")), "term")
+
+
+@query("entity_neighbours", NODES_SQL + "select term, e.name, e.doc_freq, count(*) as shared from at_ join edges e using (passage_id) where e.name <> node group by 1, 2, 3 qualify row_number() over (partition by term order by shared desc, e.doc_freq, e.name) <= 30")
+def entity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, at, edges = nodes(spark, sf_dir)
+    near = edges.join(at, "passage_id").where("name <> node").groupBy("term", "name", "doc_freq").agg(F.count("*").alias("shared"))
+    return ranking.ranked(near, ["term"], [F.desc("shared"), F.asc("doc_freq"), F.asc("name")], 30, "nth").drop("nth")
+
+
+@query("entity_previews", NODES_SQL + "select term, passage_id, left(text, 160) as preview from (select term, passage_id from at_ qualify row_number() over (partition by term order by passage_id) <= 10) join passages using (passage_id)")
+def entity_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = ranking.ranked(nodes(spark, sf_dir)[1], ["term"], [F.asc("passage_id")], 10, "nth")
+    return tables.passages(spark, sf_dir).join(first.select("term", "passage_id"), "passage_id").select("term", "passage_id", F.left("text", F.lit(160)).alias("preview"))
+
+
+EXTRACT_SQL = uses("questions").rstrip() + TERMS_SQL.replace("row_number() over (partition by query_id order by pos) <= 8", "true") + rf""", named as (select query_id, list_filter(nm, lambda v, i: list_position(nm, v) = i) as names from (select query_id, list_filter(list_transform(regexp_extract_all(query_text, '[\p{{Lu}}][\p{{L}}\p{{N}}\-]{{2,}}(?: [\p{{Lu}}][\p{{L}}\p{{N}}\-]{{2,}})?'), lambda n: lower(trim(n))), lambda n: length(n) >= 3 and n not in ({TERM_STOP_SQL})) as nm from questions))
+ , content as (select query_id, list(term order by pos) as words from (select query_id, word as term, min(pos) as pos from term_rows group by all) group by 1)
+ select query_id, list_concat(names, list_filter(coalesce(words, []), lambda w: not list_bool_or(list_transform(names, lambda n: contains(n, w)))))[1:8] as terms from named left join content using (query_id)"""
+
+
+@query("extract_terms", EXTRACT_SQL.replace("not list_bool_or(list_transform(names, lambda n: contains(n, w)))", "len(list_filter(names, lambda n: contains(n, w))) = 0"))
+def extract_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search terms with an extractor: capitalised names first, then the content words that they do not cover."""
+    names = F.regexp_extract_all("query_text", F.lit(index.NAME), F.lit(0))
+    return tables.questions(spark, sf_dir).select("query_id", tx.extracted_terms(F.col("query_text"), names).alias("terms"))
+
+
+@query("postings_stemmed", PASSAGES + r""", l as (select chunk_id, list_transform(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'), lambda t: t not in (""" + STOP_SQL + r""")), lambda w: case when regexp_matches(w, '[^ea]ies$') then regexp_replace(w, 'ies$', 'y') when regexp_matches(w, '[^aeo]es$') or (regexp_matches(w, '[^us]s$') and not regexp_matches(w, 'ies$|es$')) then regexp_replace(w, 's$', '') else w end) as l from passage_units)
+ select term, count(distinct chunk_id) as df, count(*) as cf from (select chunk_id, unnest(l) as term from l) group by 1""")
+def postings_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies with a stemmer between the tokens and the index."""
+    units = passage_units(tables.passages(spark, sf_dir))
+    made = index.postings(units.select("chunk_id", "passage_id", tx.index_tokens(F.col("text"), stem=tx.s_stem).alias("tokens")))
+    return made.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))

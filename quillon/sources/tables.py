@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
+from .store import Store
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +36,44 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tx.normalise(F.col("text")).alias("query_text"))
 
 
+KEY_WORDS = 4  # successive words by which a question and a passage meet
+
+
 def qrels(questions: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query_id, passage_id): passages that contain the question's text verbatim."""
-    q = small(questions.select("query_id", "query_text"))
-    return passages.select("passage_id", "text").join(q, F.contains("text", F.col("query_text"))).select("query_id", "passage_id")
+    """(query_id, passage_id): passages that contain the question's text verbatim.
+
+    The inner words of a question (all but the first and last, which may end within a word of the passage) stand in the
+    passage as they are, so the two meet by a hash of four of them in an equi join, and only those pairs are compared.
+    Questions of fewer words, which say little, are compared with every passage, if there are no more than `small` takes.
+    """
+    words = F.split("query_text", " ")
+    asked = questions.select("query_id", "query_text", words.alias("w"))
+    long = asked.where(F.size("w") >= KEY_WORDS + 2).select("query_id", "query_text", F.xxhash64(*[F.element_at("w", i) for i in range(2, KEY_WORDS + 2)]).alias("key"))
+    w = F.split("text", " ")
+    # Successive words as a generated row each, in generated code; a passage has few keys that any question has.
+    at = passages.select("passage_id", "text", w.alias("w")).select("passage_id", "text", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - (KEY_WORDS - 1), F.lit(1)))).alias("i")).where(F.size("w") >= F.col("i") + (KEY_WORDS - 1))
+    keyed = at.select("passage_id", "text", F.xxhash64(*[F.element_at("w", F.col("i") + j) for j in range(KEY_WORDS)]).alias("key"))
+    met = keyed.join(small(long), "key").where(F.contains("text", F.col("query_text"))).select("query_id", "passage_id").distinct()
+    short = asked.where(F.size("w") < KEY_WORDS + 2).select("query_id", "query_text")
+    if short.isEmpty():
+        return met
+    some = passages.select("passage_id", "text").join(small(short), F.contains("text", F.col("query_text"))).select("query_id", "passage_id")
+    return met.unionByName(some)
+
+
+_STORES: dict[tuple, Store] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> Store:
+    """The store of a folder's passages. While the files of the table stay the same, their content is not read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
+    key = (spark.sparkContext.applicationId, sf_dir, files)
+    if key not in _STORES:
+        _STORES.clear()
+        _STORES[key] = Store(passages(spark, sf_dir))
+    return _STORES[key]
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +89,3 @@ def write_partitioned(df: DataFrame, path: str, by: str, replace: bool = False)
         df.write.mode("ignore").partitionBy(by).parquet(path)
 
 
-def append_log(df: DataFrame, path: str, strict: bool = False) -> bool:
-    """Append run-log rows; unless `strict`, a failure is reported and never stops the caller."""
-    try:
-        df.write.mode("append").parquet(path)
-        return True
-    except Exception:
-        if strict:
-            raise
-        return False

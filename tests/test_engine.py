@@ -74,7 +74,7 @@ def test_semantic_breaks(spark):
 
 
 def test_unknown_chunker():
-    with pytest.raises(ValueError, match="unknown"):
+    with pytest.raises(ValueError, match="no chunker"):
         chunking.chunker("other")
 
 
@@ -116,7 +116,7 @@ def test_golden_metrics(spark, n_gold, at, want):
 
 def test_labels():
     config = RetrievalConfig("sentence", "hybrid", "decompose", True, "window")
-    assert config.label == "sentence+hybrid+decompose+rerank+window" and config.depth == 30
+    assert config.label == "sentence+hybrid+decompose+rerank+window" and config.depth == 20 and RetrievalConfig().depth == 5
     for c in matrix(chunking.DEFAULT_STRATEGIES, ("bm25", "kg"), ("none", "hyde"), (False, True), ("none", "parent")):
         assert RetrievalConfig.parse(c.label) == c
     for bad in ({"retriever": "x"}, {"top_k": 21}, {"candidate_k": 0}, {"expansion": "all"}):
@@ -159,8 +159,6 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(at).count() == 4
     tables.write_partitioned(rows.where("id = 0"), at, "strategy", replace=True)
     assert spark.read.parquet(at).count() == 3
-    assert tables.append_log(rows, str(tmp_path / "log")) and tables.append_log(rows, str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 8
 
 
 def test_latency_stream(spark, sf, tmp_path):
@@ -176,26 +174,186 @@ def test_latency_stream(spark, sf, tmp_path):
 
 def test_dense_asks_every_hundredth(spark, sf):
     ids = {r["vec_id"] for r in tables.read(spark, sf, "embeddings").where("vec_id % 100 = 0").collect()}
-    for name in ("dense_topk_hundredths", "dense_label_precision_hundredths"):
-        assert {r["query_id"] for r in QUERIES[name](spark, sf).collect()} == ids and max(ids) >= 20
+    for name in ("dense_topk", "dense_label_precision"):
+        assert {r["query_id"] for r in QUERIES[name](spark, sf).collect()} == ids
 
 
 def test_all_strategies_are_scored_and_counted(spark, sf, monkeypatch):
-    for name in ("chunk_stats_default", "built_strategies_default"):
-        assert {r["strategy"] for r in QUERIES[name](spark, sf).collect()} == set(chunking.DEFAULT_STRATEGIES)
+    for name in ("chunk_stats_default", "built_strategies_default", "explore_passage_default"):
+        assert {r["strategy"] for r in QUERIES[name](spark, sf).select("strategy").collect()} == set(chunking.DEFAULT_STRATEGIES)
     old = {r["strategy"]: r.asDict() for r in QUERIES["chunk_stats"](spark, sf).collect()}
     new = {r["strategy"]: r.asDict() for r in QUERIES["chunk_stats_default"](spark, sf).collect()}
     assert all(new[s] == r for s, r in old.items())
     got = Engine(spark, sf).evaluate(matrix(("recursive_128_32", "semantic"), ("bm25",))).collect()
-    assert {r["config"] for r in got} == {"recursive_128_32+bm25", "semantic+bm25"} and all(0 <= r["mrr"] <= 1 for r in got)
+    assert {r["config"] for r in got} == {"recursive_128_32+bm25", "semantic+bm25"} and all(0 <= r["mrr"] <= 1 and r["errors"] == 0 for r in got)
     monkeypatch.setattr(Engine, "evaluate", lambda self, configs: configs)
-    assert {c.strategy for c in QUERIES["eval_matrix"](spark, sf)} == set(chunking.DEFAULT_STRATEGIES)
+    assert {c.strategy for c in QUERIES["eval_matrix"](spark, sf)} == set(chunking.DEFAULT_STRATEGIES) and len(QUERIES["eval_matrix"](spark, sf)) == 25
 
 
-def test_whole_texts_are_trimmed_and_all_names_looked_up(spark, sf):
+def test_whole_texts_are_trimmed(spark, sf):
     ends = QUERIES["trim_spans_whole"](spark, sf).groupBy("doc_id").agg(F.max("e").alias("e"))
     texts = tables.read(spark, sf, "documents").where("length(text) > 400 and rtrim(text) = text").select("doc_id", F.length("text").alias("n"))
     rows = texts.join(ends, "doc_id", "left").collect()
     assert rows and all(r["e"] == r["n"] for r in rows)
-    names = {r["name"] for r in QUERIES["entity_df"](spark, sf).collect()}
-    assert {r["term"] for r in QUERIES["trigram_lookup_all"](spark, sf).collect()} == names and len(names) > 20
+
+
+def test_store_is_keyed_by_content(spark, tmp_path):
+    from quillon.sources.store import Store, content_key
+
+    p = passages(spark, "One two three. Four five.", "Two six seven eight nine ten.")
+    kept, built = Store(p, f"file://{tmp_path}"), []
+    make = lambda: built.append(1) or p.select("passage_id")
+    assert kept.table("ids", make).count() == 2 and Store(p, f"file://{tmp_path}").table("ids", make).count() == 2 and len(built) == 1
+    edited = passages(spark, "One two three. Four five!", "Two six seven eight nine ten.")  # as many rows
+    assert content_key(edited) != kept.key
+    Store(edited, f"file://{tmp_path}").table("ids", make)
+    assert len(built) == 2
+    lexical = kept.lexical("passage")
+    assert {r["term"]: r["df"] for r in lexical.df.collect()}["two"] == 2
+    assert lexical.stats.first()["n"] == 2 and lexical.found(spark.createDataFrame([("two",)], "term string")).where("term = 'two'").count() == 2
+
+
+def test_indexed_retrieval_is_the_same_as_over_texts(spark, sf, monkeypatch):
+    from quillon.operators import retrieve
+    from quillon.plans.retrieval import sentence_units
+
+    asked, p = tables.questions(spark, sf), tables.passages(spark, sf)
+    over = {tuple(r) for r in retrieve.bm25(asked, sentence_units(p)).select("query_id", "chunk_id", "score", "rank").collect()}
+    kept = tables.store(spark, sf).lexical("sentence")
+    assert {tuple(r) for r in retrieve.bm25_indexed(asked, kept).select("query_id", "chunk_id", "score", "rank").collect()} == over
+    monkeypatch.setattr(retrieve, "few", lambda questions, most=0: False)  # as with very many questions
+    assert {tuple(r) for r in retrieve.bm25_indexed(asked, kept).select("query_id", "chunk_id", "score", "rank").collect()} == over
+    vectors = tables.read(spark, sf, "embeddings").selectExpr("vec_id as chunk_id", "vec_id as passage_id", "embedding")
+    queries = vectors.where("chunk_id % 100 = 0").selectExpr("chunk_id as query_id", "embedding as query_vec")
+    few, many = ({tuple(r) for r in retrieve.dense(queries, vectors, 5, most=m).select("query_id", "chunk_id", "rank").collect()} for m in (20_000, 0))
+    assert few == many
+
+
+def test_gold_by_words_is_gold_by_containment(spark, sf):
+    p = passages(spark, "xx alpha beta gamma delta eps zetayy", "alpha beta gamma delta eps", "a b", "none")
+    asked = spark.createDataFrame([(1, "pha beta gamma delta eps zeta"), (2, "a b"), (3, "alpha beta gamma delta eps"), (4, "x alpha beta gamma delta eps zeta")], "query_id long, query_text string")
+    assert sorted(map(tuple, tables.qrels(asked, p).collect())) == [(1, 0), (2, 0), (2, 1), (2, 2), (3, 0), (3, 1), (4, 0)]
+    asked, p = tables.questions(spark, sf), tables.passages(spark, sf)
+    want = p.crossJoin(asked).where(F.contains("text", F.col("query_text"))).select("query_id", "passage_id")
+    assert sorted(map(tuple, tables.qrels(asked, p).collect())) == sorted(map(tuple, want.collect()))
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 12)), min_size=1, max_size=12))
+def test_display_rows(spark, spans):
+    from quillon.operators import layers
+
+    spans = sorted((s, s + n) for s, n in spans)
+    got = layers.display_rows(spark.createDataFrame([(1, i, s, e) for i, (s, e) in enumerate(spans)], "passage_id long, chunk_index int, char_start int, char_end int")).collect()
+    rows: list[list] = []
+    want = []
+    for s, e in spans:
+        free = next((i for i, r in enumerate(rows) if all(s >= b or e <= a for a, b in r)), None)
+        if free is None:
+            rows.append([])
+            free = len(rows) - 1
+        rows[free].append((s, e))
+        want.append(free)
+    assert [r["display_row"] for r in sorted(got, key=lambda r: r["chunk_index"])] == want
+
+
+def test_runs(spark, sf, tmp_path):
+    import json
+
+    from quillon.plans import runs
+    from quillon.sources import schema
+
+    root = f"file://{tmp_path}/eval"
+    schema.apply(spark, root)
+    asked = tables.questions(spark, sf).where("query_id < 4")
+    fails = {"dense": lambda q, s, k: spark.read.parquet("file:///nowhere")}
+    engine = Engine(spark, sf, retrievers=fails)
+    small = runs.evaluate(engine, matrix(("passage",), ("bm25",)), root, "small", questions=asked)
+    run = runs.evaluate(engine, matrix(("passage", "sentence"), ("bm25", "dense")), root, "matrix", questions=asked)
+    heads = {r["id"]: r for r in runs.listed(spark, root, "retrieval").collect()}
+    assert set(heads) == {small, run} and all(r["status"] == "done" and r["finished_at"] for r in heads.values())
+    assert runs.largest_retrieval(spark, root).first()["id"] == run and runs.listed(spark, root, "other").count() == 0
+    summary = json.loads((tmp_path / "eval/eval_runs" / run / "summary.json").read_text())
+    by = {c["config"]: c for c in summary["configs"]}
+    assert by["passage+dense"]["errors"] == 4 and by["passage+bm25"]["errors"] == 0 and by["passage+dense"]["mrr"] in (0.0, None) and by["passage+bm25"]["seconds"] > 0
+    assert (tmp_path / "eval/eval_runs" / run / "report.md").read_text().count("\n| ") >= 6
+    assert len((tmp_path / "eval/eval_runs" / run / "per_config.csv").read_text().splitlines()) == 5
+    assert spark.read.option("header", True).csv(f"{root}/eval_runs/{run}/per_question.csv").count() == 16
+    results = runs.results_of(spark, root, run, asked)
+    assert results.count() == 16 and results.where("error is not null").count() == 8 and results.where("question is null").count() == 0
+    assert schema.read(spark, root, "query_logs").where("source = 'eval' and id is not null and created_at is not null").count() == 20
+    assert {r["name"]: r["n_rows"] for r in schema.catalog(spark, root).collect() if r["name"] in ("query_logs", "passages")} == {"query_logs": 20, "passages": 0}
+    assert runs.write_eval_set(spark, spark.range(3), f"{root}/set.json") == 3 and json.loads((tmp_path / "eval/set.json").read_text())[2]["id"] == 2
+
+
+def test_schemas_and_log(spark, tmp_path):
+    from quillon.sources import schema
+
+    root = f"file://{tmp_path}/db"
+    assert set(schema.apply(spark, root)) == set(schema.SCHEMAS) and schema.apply(spark, root) == []
+    rows = spark.createDataFrame([(1, "q one", "eval", [(7, "long text")]), (2, "q two", "api", [(8, "kept")])], "query_id long, question string, source string, retrieved array<struct<passage_id:long,text:string>>")
+    assert schema.append_log(rows, f"{root}/query_logs") and schema.append_log(rows.limit(1), f"{root}/query_logs")
+    log = schema.read(spark, root, "query_logs")
+    assert len(log.columns) == 17 and log.count() == 3 and log.select("id").distinct().count() == 3
+    assert {r["question"]: r["retrieved"] for r in log.collect()} == {"q one": '[{"passage_id":7}]', "q two": '[{"passage_id":8,"text":"kept"}]'}
+    assert not schema.append_log(rows, "file:///proc/nowhere/log")
+    with pytest.raises(Exception):
+        schema.append_log(rows, "file:///proc/nowhere/log", strict=True)
+    assert schema.load_once(spark, spark.range(3), f"{root}/once") and not schema.load_once(spark, spark.range(9), f"{root}/once")
+    assert schema.load_once(spark, spark.range(9), f"{root}/once", replace=True) and spark.read.parquet(f"{root}/once").count() == 9
+    assert schema.apply(spark, root, reset=True) and schema.read(spark, root, "query_logs").count() == 0
+
+
+def test_settings():
+    from quillon.settings import Settings
+
+    assert Settings.load({}).top_k == 5 and Settings.load({"QUILLON_TOP_K": "7", "QUILLON_BM25_B": "0.5"}) == Settings(top_k=7, bm25_b=0.5)
+
+
+def test_providers(spark, sf):
+    from quillon.functions import vectors
+
+    asked = tables.questions(spark, sf).where("query_id < 4")
+    engine = Engine(spark, sf, score=vectors.pair_scorer(lambda pairs: [float(len(t)) for _, t in pairs]))
+    got = engine.retrieve(asked, RetrievalConfig.parse("passage+bm25+rerank", top_k=3)).collect()
+    assert got and all(a["score"] >= b["score"] for a in got for b in got if a["query_id"] == b["query_id"] and a["rank"] < b["rank"])
+    judged = engine.judged(spark.createDataFrame([(1, "alpha beta")], "query_id long, answer string"), spark.createDataFrame([(1, "beta gamma")], "query_id long, text string"))
+    assert judged.first()["judgement"] == 0.5
+
+
+def test_every_nth(spark):
+    p = spark.range(100).selectExpr("id * 7 as passage_id", "'x' as text")
+    got = sorted(r["passage_id"] for r in chunking.every_nth(p, 30).collect())
+    assert got == [7 * 3 * i for i in range(30)]
+    assert chunking.every_nth(p, 1000).count() == 100 and chunking.every_nth(p.limit(0)).count() == 0
+
+
+def test_token_windows(spark):
+    def plain(text, size, overlap):
+        import regex
+
+        starts, at = [], 0
+        for m in regex.finditer(r"\s*(?:[\p{L}\p{N}]+|[^\s\p{L}\p{N}])", text):
+            starts.append(m.start())
+        offsets = [*starts, len(text)]
+        n = len(starts)
+        if n <= size:
+            return [(0, len(text))]
+        out, at = [], 0
+        while at < n:
+            end = min(at + size, n)
+            s, e = offsets[at], offsets[end]
+            while s > 0 and not text[s - 1].isspace():
+                s -= 1
+            while e < len(text) and not text[e].isspace():
+                e += 1
+            body = text[s:e]
+            out.append((s + len(body) - len(body.lstrip()), e - len(body) + len(body.rstrip())))
+            if end == n:
+                break
+            at += size - overlap
+        return out
+
+    text = "one-two, three (four) five. six seven-eight-nine ten a,b,c,d,e eleven twelve"
+    for size, overlap in ((4, 1), (5, 3), (7, 0), (100, 5)):
+        assert spans(chunking.tokens(passages(spark, text), size, overlap)) == plain(text, size, overlap)
