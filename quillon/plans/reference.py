@@ -318,15 +318,15 @@ def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.tokens(tables.passages(spark, sf_dir))
 
 
-@query("finalise_spans", r"""with d as (select doc_id as passage_id, coalesce(text, '') as text, unnest(range(0, length(coalesce(text, '')), 7)) as a from documents), p as (select passage_id, a, text, substr(text, a + 1, 7) as b from d),
+@query("finalise_spans", r"""with d as (select doc_id as passage_id, coalesce(text, '') as text, unnest(range(0, length(coalesce(text, '')), 90)) as a from documents), p as (select passage_id, a, text, substr(text, a + 1, 90) as b from d),
  t as (select passage_id, a, a + length(b) - length(ltrim(b, ' ')) as s, a + length(rtrim(b, ' ')) as e from p where trim(b, ' ') <> '')
  select passage_id, (row_number() over (partition by passage_id order by a) - 1)::int as chunk_index, s::int as char_start, e::int as char_end from t""")
 def finalise_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw windows of seven code points over each whole text: trimmed, without empty ones, numbered anew."""
+    """Raw windows of 90 code points over each whole text: trimmed, without empty ones, numbered anew."""
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = F.length("text")
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(7))).otherwise(F.array().cast("array<int>"))
-    raw = rows.select("passage_id", "text", F.posexplode(starts).alias("chunk_index", "s")).withColumn("e", F.least(F.col("s") + 7, n))
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(90))).otherwise(F.array().cast("array<int>"))
+    raw = rows.select("passage_id", "text", F.posexplode(starts).alias("chunk_index", "s")).withColumn("e", F.least(F.col("s") + 90, n))
     return chunking.finalised(raw).drop("body")
 
 
