@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from quillon.llm.common import shared_dir, table
+from quillon.llm.common import remove, scratch, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +51,18 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each but the last is written to the shared folder and read again."""
+    """Apply the stages to documents; each but the last is written to the shared folder and read again. What a stage wrote on
+    its way goes when its result is written, and a result when the next one is."""
     docs = table(spark, sf_dir, "documents")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            remove(spark, f"{at}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

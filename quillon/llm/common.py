@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -28,21 +30,39 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_kept: list[list[str]] = []  # folders written in each open `scratch`
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _kept:
+        _kept[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What `stored` writes within goes at the end: for results that are written within, too."""
+    _kept.append([])
+    try:
+        yield
+    finally:
+        for path in _kept.pop():
+            remove(spark, path)
+
+
 def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by `stored`, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    """Delete the files of tables made by `stored`, once nothing reads them any more."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+        remove(df.sparkSession, path)
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textvec
-from .common import fresh, meet, parallelism, stored
+from .common import discard, fresh, meet, parallelism, stored
 from .graph import components
 
 SKETCHED = "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"
@@ -178,11 +178,15 @@ def near_dedup(docs: DataFrame, threshold: int = 85, k: int = 5, bands: int = 32
 
     counts = clusters.groupBy("root").agg(F.count("*").alias("n"))
     members = stored(clusters.join(counts, "root").select("root", F.col("node").alias("cid"), "n"), "clusters")
+    discard(clusters)
     found = texts.join(members.select(F.col("cid").alias("doc_id")).distinct(), "doc_id")
     sets = found.mapInArrow(lambda it: set_rows(it, k), "cid long, shingles binary").join(reps.select("cid", "n_shingles", "sketch"), "cid")
     units = in_units(members, "root", "n", block).join(sets, "cid").select("unit", "cid", "n_shingles", "sketch", "shingles")
     groups = components(links(units, size, agree, threshold))
 
+    discard(members)
+    discard(reps)
+
     named = classes.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select("k1", "k2", "n", F.coalesce("root", "cid").alias("component"))
     out = meet(sketched.select("doc_id", "n_shingles", "k1", "k2"), named, ["k1", "k2"], "n", "doc_id", n_rows, "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))

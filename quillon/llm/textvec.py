@@ -67,28 +67,65 @@ def span_hash(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((sums[end] - sums[start]) * powers(inverse(_P), len(b) + 1)[start] + (end - start).astype(U) * _R)
 
 
-def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, in order; where each text's words begin, one offset more than texts)."""
-    b, offsets = raw(texts, lower)
+BLOCK = 1 << 22  # bytes whose words are hashed at once
+RUN = 1 << 20  # numbers that are multiplied at once
+
+
+def _words(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, beginning) of each word of `b`; texts begin at `offsets`."""
     inside = _WORD[b]
     before = np.concatenate([np.zeros(1, bool), inside[:-1]])[: len(b)]
     after = np.concatenate([inside[1:], np.zeros(1, bool)])[: len(b)]
-    edge = offsets[(offsets < len(b))]
-    before[edge] = False
-    after[offsets[(offsets > 0)] - 1] = False
+    before[offsets[(offsets >= 0) & (offsets < len(b))]] = False
+    after[offsets[(offsets > 0) & (offsets <= len(b))] - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return span_hash(b, start, end), np.searchsorted(start, offsets)
+    return span_hash(b, start, end), start
+
+
+def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, in order; where each text's words begin, one offset more than texts). Long texts are hashed in
+    blocks that end between words."""
+    b, offsets = raw(texts, lower)
+    if len(b) <= BLOCK:
+        h, start = _words(b, offsets)
+        return h, np.searchsorted(start, offsets)
+    hashes, starts, lo = [], [], 0
+    while lo < len(b):
+        hi = min(lo + BLOCK, len(b))
+        if hi < len(b):
+            gaps = np.flatnonzero(~_WORD[b[lo:hi]])
+            if len(gaps):
+                hi = lo + int(gaps[-1]) + 1
+            else:  # a word longer than a block: to its end
+                while hi < len(b) and not (gaps := np.flatnonzero(~_WORD[b[hi : hi + BLOCK]])).size:
+                    hi = min(hi + BLOCK, len(b))
+                hi += int(gaps[0]) if gaps.size else 0
+        h, start = _words(b[lo:hi], offsets - lo)
+        hashes.append(h)
+        starts.append(start + lo)
+        lo = hi
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def polynomials(h: np.ndarray, at: np.ndarray, base: U) -> np.ndarray:
+    """The sum of h[i] * base**i over each text's words, i counted from its first."""
+    with np.errstate(over="ignore"):
+        if len(h) <= RUN:
+            sums = np.concatenate([np.zeros(1, U), np.cumsum(h * powers(base, len(h)))])
+            return (sums[at[1:]] - sums[at[:-1]]) * powers(inverse(base), len(h) + 1)[at[:-1]]
+        out = np.zeros(len(at) - 1, U)
+        for i, (a, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            for lo in range(a, e, RUN):
+                part = h[lo : min(lo + RUN, e)]
+                out[i] += (part * powers(base, len(part))).sum() * U(pow(int(base), lo - a, 1 << 64))
+        return out
 
 
 def sequence_keys(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each text's whole sequence of words."""
-    out = []
     n = np.diff(at).astype(U)
-    for base in (_Q, _R):
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, U), np.cumsum(h * powers(base, len(h)))])
-            out.append(mix((sums[at[1:]] - sums[at[:-1]]) * powers(inverse(base), len(h) + 1)[at[:-1]] + n * _P))
-    return out[0], out[1]
+    with np.errstate(over="ignore"):
+        return mix(polynomials(h, at, _Q) + n * _P), mix(polynomials(h, at, _R) + n * _P)
 
 
 def shingles(h: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +147,9 @@ def shingles(h: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.
                 part = part * _Q + h[first + j]
             value.append(mix(part + U(size)))
             owner.append(np.flatnonzero(n == size))
+    if len(n) == 1:  # one text, perhaps a very long one
+        value = np.unique(np.concatenate(value))
+        return value, np.array([0, len(value)])
     value, owner = np.concatenate(value), np.concatenate(owner)
     order = np.lexsort((value, owner))
     value, owner = value[order], owner[order]
@@ -135,10 +175,12 @@ def sketches(value: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     for i in range(2 * size):
         if not len(text):
             break
-        with np.errstate(over="ignore"):
-            x = mix(value + U(i + 1) * _P)
-        where = (((x & mask) * U(size)) >> shift).astype(np.int64) if i < size else i - size
-        np.minimum.at(bins, text * size + where, (U(i) << shift) | (x >> shift))
+        for lo in range(0, len(value), RUN):
+            own, of = value[lo : lo + RUN], text[lo : lo + RUN]
+            with np.errstate(over="ignore"):
+                x = mix(own + U(i + 1) * _P)
+            where = (((x & mask) * U(size)) >> shift).astype(np.int64) if i < size else i - size
+            np.minimum.at(bins, of * size + where, (U(i) << shift) | (x >> shift))
         todo = (bins.reshape(texts, size) == free).any(axis=1)[text]
         if not todo.all():
             value, text = value[todo], text[todo]
