@@ -221,17 +221,9 @@ def offsets_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
 
 
-@query("trim_spans", """with d as (select doc_id, text, least(length(text), 200) as e, substr(text, 11, greatest(least(length(text), 200) - 10, 0)) as b from documents where length(text) > 10)
- select doc_id, case when ltrim(b) = '' then e else 10 + length(b) - length(ltrim(b)) end::int as s, case when ltrim(b) = '' then e else e - (length(b) - length(rtrim(b))) end::int as e from d""")
-def trim_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").where(F.length("text") > 10).withColumn("e", F.least(F.length("text"), F.lit(200)))
-    s, e = tx.trim_span(F.col("text"), F.lit(10), F.col("e"))
-    return rows.select("doc_id", s.cast("int").alias("s"), e.cast("int").alias("e"))
-
-
-@query("trim_spans_whole", """with d as (select doc_id, text, unnest(range(0, length(text), 200)) as a from documents), p as (select doc_id, a, substr(text, a + 1, 200) as b from d)
+@query("trim_spans", """with d as (select doc_id, text, unnest(range(0, length(text), 200)) as a from documents), p as (select doc_id, a, substr(text, a + 1, 200) as b from d)
  select doc_id, (a + case when ltrim(b) = '' then length(b) else length(b) - length(ltrim(b)) end)::int as s, (a + length(case when ltrim(b) = '' then b else rtrim(b) end))::int as e from p""")
-def trim_spans_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trim_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 200 code points over each whole text, trimmed."""
     rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,200}"), F.lit(0))).alias("i", "body"))
     s, e = tx.trim_span(F.col("body"), F.lit(0), F.length("body"))

@@ -191,7 +191,7 @@ def test_all_strategies_are_scored_and_counted(spark, sf, monkeypatch):
 
 
 def test_whole_texts_are_trimmed(spark, sf):
-    ends = QUERIES["trim_spans_whole"](spark, sf).groupBy("doc_id").agg(F.max("e").alias("e"))
+    ends = QUERIES["trim_spans"](spark, sf).groupBy("doc_id").agg(F.max("e").alias("e"))
     texts = tables.read(spark, sf, "documents").where("length(text) > 400 and rtrim(text) = text").select("doc_id", F.length("text").alias("n"))
     rows = texts.join(ends, "doc_id", "left").collect()
     assert rows and all(r["e"] == r["n"] for r in rows)
