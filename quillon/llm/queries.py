@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, fingerprints, hmm_lm, mixing, near_dedup, packing, quality, secrets, token_counts, toxicity
+from . import divergence, exact_dedup, fingerprints, hmm_lm, mixing, near_dedup, packing, prefix_trie, quality, secrets, token_counts, toxicity
 from .common import table
 
 
@@ -54,9 +54,17 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_near_dedup": op2_near_dedup, "op3_packing": op3_packing, "op4_exact_dedup": op4_exact_dedup, "op5_secrets": op5_secrets, "op6_token_counts": op6_token_counts, "op7_fingerprints": op7_fingerprints, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_lm_scores": op10_lm_scores}
+    return {"op1_mixing": op1_mixing, "op2_near_dedup": op2_near_dedup, "op3_packing": op3_packing, "op4_exact_dedup": op4_exact_dedup, "op5_secrets": op5_secrets, "op6_token_counts": op6_token_counts, "op7_fingerprints": op7_fingerprints, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_lm_scores": op10_lm_scores, "op12_divergence": op12_divergence, "op13_prefix_trie": op13_prefix_trie}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.SQL, "op6_token_counts": token_counts.SQL}
+    return {"op4_exact_dedup": exact_dedup.SQL, "op6_token_counts": token_counts.SQL, "op12_divergence": divergence.SQL, "op13_prefix_trie": prefix_trie.SQL}
