@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import divergence, exact_dedup, fingerprints, hmm_lm, mixing, near_dedup, packing, prefix_trie, quality, secrets, token_counts, toxicity
+from . import divergence, exact_dedup, fingerprints, hmm_lm, mixing, near_dedup, packing, prefix_trie, quality, repeats, secrets, token_counts, toxicity
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_near_dedup": op2_near_dedup, "op3_packing": op3_packing, "op4_exact_dedup": op4_exact_dedup, "op5_secrets": op5_secrets, "op6_token_counts": op6_token_counts, "op7_fingerprints": op7_fingerprints, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_lm_scores": op10_lm_scores, "op12_divergence": op12_divergence, "op13_prefix_trie": op13_prefix_trie}
+    return {"op1_mixing": op1_mixing, "op2_near_dedup": op2_near_dedup, "op3_packing": op3_packing, "op4_exact_dedup": op4_exact_dedup, "op5_secrets": op5_secrets, "op6_token_counts": op6_token_counts, "op7_fingerprints": op7_fingerprints, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_lm_scores": op10_lm_scores, "op11_repeats": op11_repeats, "op12_divergence": op12_divergence, "op13_prefix_trie": op13_prefix_trie}
 
 
 def oracle_sql() -> dict[str, str]:
