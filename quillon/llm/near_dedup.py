@@ -15,6 +15,9 @@ connected component of links.
    members and links every pair at or above the threshold, by the sizes of intersection and union. Pairs that its
    links have already connected need no proof. Again only stars are returned, and their components are the groups.
 
+Words are hashed under a seed drawn for each run, eight bytes at a time and not as polynomials, so no texts are known to collide;
+results do not depend on it but for the pairs that go unseen. A shingle is compared by its hash of 64 bits.
+
 A pair at the threshold goes unseen when no band agrees: (1 - 0.85**5)**32 = 7e-9 at the defaults.
 
 Null or blank texts have the empty set and are linked with nothing. Rows without doc_id are linked with nothing, have
@@ -24,6 +27,7 @@ no component_id and are kept. Rows repeated with one doc_id are one document. Ot
 from __future__ import annotations
 
 import math
+import secrets as random_bits
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +41,10 @@ from .graph import components
 SKETCHED = "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"
 
 
-def sketch_rows(batches: Iterator[pa.RecordBatch], k: int, size: int) -> Iterator[pa.RecordBatch]:
+def sketch_rows(batches: Iterator[pa.RecordBatch], k: int, size: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, texts in textvec.slices(batch.column("text")):
-            h, at = textvec.words(texts)
+            h, at = textvec.words(texts, seed=seed)
             k1, k2 = textvec.sequence_keys(h, at)
             value, begin = textvec.shingles(h, at, k)
             made = textvec.sketches(value, begin, size)
@@ -56,10 +60,10 @@ def sketch_rows(batches: Iterator[pa.RecordBatch], k: int, size: int) -> Iterato
             )
 
 
-def set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def set_rows(batches: Iterator[pa.RecordBatch], k: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, texts in textvec.slices(batch.column("text")):
-            value, begin = textvec.shingles(*textvec.words(texts), k)
+            value, begin = textvec.shingles(*textvec.words(texts, seed=seed), k)
             sets = [value[begin[i] : begin[i + 1]].tobytes() for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(texts)), pa.array(sets, pa.binary())], names=["cid", "shingles"])
 
@@ -96,14 +100,13 @@ def unit_links(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, sets: lis
     """(id, least id of its cluster) for the clusters of a unit; with `sets`, links are proved on them."""
     order = np.argsort(ids, kind="stable")
     ids, sizes, sketch = ids[order], sizes[order], sketch[order]
-    whole = {}
     forest = Forest(len(ids))
     for i, j in alike(sketch, sizes, least, threshold):
         if forest.root(i) == forest.root(j):
             continue
         if sets is not None:
-            a, b = (whole.setdefault(x, set(sets[order[x]].tolist())) for x in (i, j))
-            both = len(a & b)
+            a, b = sets[order[i]], sets[order[j]]
+            both = len(np.intersect1d(a, b, assume_unique=True))
             if 100 * both < threshold * (len(a) + len(b) - both):
                 continue
         forest.join(i, j)
@@ -156,11 +159,11 @@ def links(units: DataFrame, size: int, least: int, threshold: int) -> DataFrame:
 
 def near_dedup(docs: DataFrame, threshold: int = 85, k: int = 5, bands: int = 32, rows: int = 5, sketch_block: int = 512, block: int = 128) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of `docs`. component_id is the smallest doc_id of the group."""
-    size = bands * rows
+    size, seed = bands * rows, random_bits.randbits(63)
     p = threshold / 100
     agree = math.ceil(size * p - 6 * math.sqrt(size * p * (1 - p)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = stored(texts.mapInArrow(lambda it: sketch_rows(it, k, size), SKETCHED), "sketches")
+    sketched = stored(texts.mapInArrow(lambda it: sketch_rows(it, k, size, seed), SKETCHED), "sketches")
     usable = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = stored(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("n")), "classes")
     # A class may hold a third of all rows; its representative is found by its doc_id, which is no class's but its own.
@@ -180,7 +183,7 @@ def near_dedup(docs: DataFrame, threshold: int = 85, k: int = 5, bands: int = 32
     members = stored(clusters.join(counts, "root").select("root", F.col("node").alias("cid"), "n"), "clusters")
     discard(clusters)
     found = texts.join(members.select(F.col("cid").alias("doc_id")).distinct(), "doc_id")
-    sets = found.mapInArrow(lambda it: set_rows(it, k), "cid long, shingles binary").join(reps.select("cid", "n_shingles", "sketch"), "cid")
+    sets = found.mapInArrow(lambda it: set_rows(it, k, seed), "cid long, shingles binary").join(reps.select("cid", "n_shingles", "sketch"), "cid")
     units = in_units(members, "root", "n", block).join(sets, "cid").select("unit", "cid", "n_shingles", "sketch", "shingles")
     groups = components(links(units, size, agree, threshold))
 

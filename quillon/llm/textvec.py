@@ -17,7 +17,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.ones(256, dtype=bool)
 _WORD[[32, 9, 10, 11, 12, 13]] = False
-_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,20 +26,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(base: U, n: int) -> np.ndarray:
-    """base**0, base**1, ... modulo 2**64, n of them at least."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        with np.errstate(over="ignore"):
-            have = np.cumprod(np.concatenate([np.ones(1, U), np.full(max(n, 1 << 16), base, U)]))
-        _powers[int(base)] = have
-    return have[:n]
-
-
-def inverse(base: U) -> U:
-    return U(pow(int(base), -1, 1 << 64))
-
-
 def slices(texts: pa.Array, max_bytes: int = 1 << 19) -> Iterator[tuple[int, pa.Array]]:
     """(first row, rows) of pieces of about `max_bytes`; a longer text is a piece of its own."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
@@ -60,18 +45,32 @@ def raw(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     return _LOWER[b] if lower else b, offsets - offsets[0]
 
 
-def span_hash(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each of b[start:end]: a polynomial over the bytes from prefix sums, mixed with the length."""
+def span_hash(b: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of each of b[start:end]. Blocks of eight bytes go through two chains that mix after every block; up to eight bytes
+    with one length always differ, and longer ones meet only where both chains do."""
+    eight = np.ndarray((len(b),), "<u8", b.tobytes() + bytes(8), strides=(1,))
+    size = end - start
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, U), np.cumsum((b.astype(U) + U(1)) * powers(_P, len(b)))])
-        return mix((sums[end] - sums[start]) * powers(inverse(_P), len(b) + 1)[start] + (end - start).astype(U) * _R)
+        one = mix(size.astype(U) * _R + U(seed))
+        two = np.zeros(len(start), U)
+        todo, at = np.arange(len(start)), start
+        while len(todo):
+            left = end[todo] - at
+            block = eight[at] & (~U(0) >> (U(8) * (U(8) - np.minimum(left, 8).astype(U))))
+            one[todo] = mix((one[todo] ^ block) * _P)
+            several = size[todo] > 8
+            again = todo[several]
+            two[again] = mix(two[again] * _Q + (block[several] ^ U(seed ^ 0x5851F42D4C957F2D)))
+            longer = left > 8
+            todo, at = todo[longer], at[longer] + 8
+        return mix(one ^ two)
 
 
 BLOCK = 1 << 22  # bytes whose words are hashed at once
 RUN = 1 << 20  # numbers that are multiplied at once
 
 
-def _words(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(b: np.ndarray, offsets: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, beginning) of each word of `b`; texts begin at `offsets`."""
     inside = _WORD[b]
     before = np.concatenate([np.zeros(1, bool), inside[:-1]])[: len(b)]
@@ -79,15 +78,15 @@ def _words(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before[offsets[(offsets >= 0) & (offsets < len(b))]] = False
     after[offsets[(offsets > 0) & (offsets <= len(b))] - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return span_hash(b, start, end), start
+    return span_hash(b, start, end, seed), start
 
 
-def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: pa.Array, lower: bool = True, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, in order; where each text's words begin, one offset more than texts). Long texts are hashed in
     blocks that end between words."""
     b, offsets = raw(texts, lower)
     if len(b) <= BLOCK:
-        h, start = _words(b, offsets)
+        h, start = _words(b, offsets, seed)
         return h, np.searchsorted(start, offsets)
     hashes, starts, lo = [], [], 0
     while lo < len(b):
@@ -100,32 +99,31 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
                 while hi < len(b) and not (gaps := np.flatnonzero(~_WORD[b[hi : hi + BLOCK]])).size:
                     hi = min(hi + BLOCK, len(b))
                 hi += int(gaps[0]) if gaps.size else 0
-        h, start = _words(b[lo:hi], offsets - lo)
+        h, start = _words(b[lo:hi], offsets - lo, seed)
         hashes.append(h)
         starts.append(start + lo)
         lo = hi
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
 
 
-def polynomials(h: np.ndarray, at: np.ndarray, base: U) -> np.ndarray:
-    """The sum of h[i] * base**i over each text's words, i counted from its first."""
+def placed_sums(h: np.ndarray, at: np.ndarray, salt: U) -> np.ndarray:
+    """The sum of a hash of (word, place) over each text's words, places counted from its first."""
+    out = np.zeros(len(at) - 1, U)
     with np.errstate(over="ignore"):
-        if len(h) <= RUN:
-            sums = np.concatenate([np.zeros(1, U), np.cumsum(h * powers(base, len(h)))])
-            return (sums[at[1:]] - sums[at[:-1]]) * powers(inverse(base), len(h) + 1)[at[:-1]]
-        out = np.zeros(len(at) - 1, U)
-        for i, (a, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-            for lo in range(a, e, RUN):
-                part = h[lo : min(lo + RUN, e)]
-                out[i] += (part * powers(base, len(part))).sum() * U(pow(int(base), lo - a, 1 << 64))
-        return out
+        for lo in range(0, len(h), RUN):
+            hi = min(lo + RUN, len(h))
+            text = np.searchsorted(at, np.arange(lo, hi), "right") - 1
+            sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(h[lo:hi] ^ mix((np.arange(lo, hi) - at[text]).astype(U) + salt)))])
+            own = np.arange(text[0], text[-1] + 1)
+            out[own] += sums[np.clip(at[own + 1], lo, hi) - lo] - sums[np.clip(at[own], lo, hi) - lo]
+    return out
 
 
 def sequence_keys(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each text's whole sequence of words."""
     n = np.diff(at).astype(U)
     with np.errstate(over="ignore"):
-        return mix(polynomials(h, at, _Q) + n * _P), mix(polynomials(h, at, _R) + n * _P)
+        return mix(placed_sums(h, at, _Q) + n * _P), mix(placed_sums(h, at, _R) + n * _P)
 
 
 def shingles(h: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -137,14 +135,14 @@ def shingles(h: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.
     with np.errstate(over="ignore"):
         full = np.zeros(max(0, len(h) - k + 1), U)
         for j in range(k):
-            full = full * _Q + h[j : len(h) - k + 1 + j]
+            full = mix(full * _Q + h[j : len(h) - k + 1 + j])
         ok = left[: len(full)] >= k
         value, owner = [mix(full[ok] + U(k))], [text[: len(full)][ok]]
         for size in range(1, k):
             first = at[:-1][n == size]
             part = np.zeros(len(first), U)
             for j in range(size):
-                part = part * _Q + h[first + j]
+                part = mix(part * _Q + h[first + j])
             value.append(mix(part + U(size)))
             owner.append(np.flatnonzero(n == size))
     if len(n) == 1:  # one text, perhaps a very long one

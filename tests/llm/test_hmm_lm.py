@@ -4,7 +4,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from cases import WORD, lower, no_docs, odd_docs, random_docs
+from cases import DOCS, WORD, lower, no_docs, odd_docs, random_docs
+from pyspark.sql import functions as F
 
 from quillon.llm import hmm_lm
 
@@ -92,3 +93,13 @@ def test_empty_and_nothing_to_train_on(spark):
     assert one["train_tokens"] == 0 and one["n_known"] == 0 and one["base_score"] == 0 and math.isfinite(one["score"])
     with pytest.raises(ValueError):
         hmm_lm.lm_scores(no_docs(spark), frequent=70_000)
+
+
+def test_words_that_collide_as_polynomials(spark):
+    """Known are the words that training has, not others at which every polynomial modulo 2**64 agrees."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    docs = spark.createDataFrame([(1, a, "", "", 0), (2, b, "", "", 0)], DOCS)
+    rows = {r["doc_id"]: r for r in hmm_lm.lm_scores(docs, F.col("doc_id") == 2).collect()}
+    assert (rows[1]["n_known"], rows[2]["n_known"], rows[2]["n_tokens"]) == (2, 1, 2)

@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from cases import WORD, lower, no_docs, odd_docs, prose, random_docs
+from cases import DOCS, WORD, lower, no_docs, odd_docs, prose, random_docs
 
 from quillon.llm import graph, near_dedup, textvec
 
@@ -113,3 +113,12 @@ def test_components(spark):
     want = {x: root(x) for p in pairs for x in p if p[0] != p[1]}
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == want
+
+
+def test_words_that_collide_as_polynomials(spark):
+    """Two words of 1024 letters at which every polynomial modulo 2**64 agrees share nothing."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    rows = near_dedup.near_dedup(spark.createDataFrame([(1, a, "", "", 0), (2, b, "", "", 0)], DOCS)).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in rows) == [(1, 1, True), (2, 2, True)]

@@ -33,3 +33,26 @@ def test_words_in_blocks(texts, monkeypatch):
     for i in range(len(texts)):
         own, begin = textvec.shingles(*textvec.words(texts.slice(i, 1)))
         assert np.array_equal(own, sets[0][sets[1][i] : sets[1][i + 1]]) and begin.tolist() == [0, len(own)]
+
+
+def thue_morse(n, a, b):
+    out = [a]
+    while len(out) < n:
+        out += [b if x == a else a for x in out]
+    return out
+
+
+def test_no_known_collisions():
+    """Texts at which polynomials modulo 2**64 agree for every base: as letters of a word, and as words of a text."""
+    long = ["".join(thue_morse(1024, *x)) for x in ("ab", "ba")]
+    h, _ = textvec.words(pa.array(long))
+    assert h[0] != h[1]
+    h, at = textvec.words(pa.array([" ".join(thue_morse(4096, *x)) for x in (("one", "two"), ("two", "one"))]))
+    assert all(k[0] != k[1] for k in textvec.sequence_keys(h, at))
+
+
+def test_short_words_differ():
+    words = [chr(97 + i % 26) * n + chr(97 + i // 26) for i in range(600) for n in range(9)] + ["a\0", "a\0\0", "\0", "abcdefgh\0", "abcdefgh"]
+    h, _ = textvec.words(pa.array(words))
+    assert len(set(h.tolist())) == len(set(words))
+    assert not np.intersect1d(h, textvec.words(pa.array(words), seed=1)[0]).size
