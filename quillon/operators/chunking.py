@@ -19,7 +19,9 @@ PIECE = r"\s*(?:%s)" % tx.TOKEN  # a token and the blank before it
 
 
 def chunk_id(passage_id: Column, index: Column) -> Column:
-    return passage_id * F.lit(SLOTS) + index
+    """passage_id * 2**20 + index; an error where that would not fit or run into the next passage's ids."""
+    fits = passage_id.between(-(1 << 43), (1 << 43) - 1) & (index < SLOTS)
+    return F.when(fits | passage_id.isNull(), passage_id * F.lit(SLOTS) + index).otherwise(F.raise_error(F.lit("no chunk id: passage ids have 44 bits, a passage 2**20 chunks")).cast("long"))
 
 
 def finished(spans: DataFrame, strategy: str) -> DataFrame:

@@ -126,35 +126,66 @@ def summed(parts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return parts.sortWithinPartitions("chunk_id").mapInArrow(run, "query_id long, chunk_id long, passage_id long, score double")
 
 
+def flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+def scored_block(ids: np.ndarray, matrix: np.ndarray, vectors_of: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
+    """What may be among the k best of each question (ids, rows of `matrix`) in a batch (chunk_id, passage_id, embedding)."""
+    own = flat(vectors_of.column("embedding")).reshape(vectors_of.num_rows, -1)
+    for lo in range(0, len(ids), 512):
+        score = np.round(matrix[lo : lo + 512] @ own.T, 6)
+        q, v = best_cells(score, k)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[lo + q]), vectors_of.column("chunk_id").take(pa.array(v)), vectors_of.column("passage_id").take(pa.array(v)), pa.array(score[q, v])], names=["query_id", "chunk_id", "passage_id", "score"])
+
+
+SCORED = "query_id long, chunk_id long, passage_id long, score double"
+
+
 def dense(queries: DataFrame, vectors_of: DataFrame, k: int = 10, floor: float | None = None, most: int = 20_000) -> DataFrame:
     """Exact cosine top-k. `queries`: (query_id, query_vec); `vectors_of`: (chunk_id, passage_id, embedding), unit vectors.
 
     Up to `most` questions go to the vectors as one matrix: a batch of vectors costs a matrix product, and each batch hands on
-    its own best k for each question. More questions are multiplied pair by pair in native expressions.
+    its own best k for each question. More questions are dealt to blocks of `most`, each of which meets all parts of the vectors
+    (`in_blocks`). Scores are the same products either way.
     """
+    queries, vectors_of = queries.select("query_id", "query_vec"), vectors_of.select("chunk_id", "passage_id", "embedding")
     if queries.limit(most + 1).count() > most:
-        scored = vectors_of.crossJoin(queries).withColumn("score", F.round(vectors.dot(F.col("query_vec"), F.col("embedding")), 6)).select("query_id", "chunk_id", "passage_id", "score")
+        scored = in_blocks(queries, vectors_of, k, most)
     else:
-        asked = queries.select("query_id", "query_vec").toArrow()  # at most `most` rows
+        asked = queries.toArrow()  # at most `most` rows
         ids = asked["query_id"].to_numpy()
-        flat = lambda column: column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         matrix = flat(asked["query_vec"].combine_chunks()).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
         shared = queries.sparkSession.sparkContext.broadcast(matrix)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                own = flat(batch.column("embedding")).reshape(batch.num_rows, -1)
-                for lo in range(0, len(ids), 512):
-                    score = np.round(shared.value[lo : lo + 512] @ own.T, 6)
-                    q, v = best_cells(score, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + q]), batch.column("chunk_id").take(pa.array(v)), batch.column("passage_id").take(pa.array(v)), pa.array(score[q, v])], names=["query_id", "chunk_id", "passage_id", "score"])
-
-        scored = vectors_of.select("chunk_id", "passage_id", "embedding").mapInArrow(run, "query_id long, chunk_id long, passage_id long, score double")
+                if batch.num_rows and len(ids):
+                    yield from scored_block(ids, shared.value, batch, k)
+
+        scored = vectors_of.mapInArrow(run, SCORED)
     return top_hits(scored if floor is None else scored.where(F.col("score") >= floor), k)
 
 
+def in_blocks(queries: DataFrame, vectors_of: DataFrame, k: int, most: int, part: int = 20_000) -> DataFrame:
+    """Every question against every vector, in blocks of at most about `most` questions and `part` vectors: what may be among the
+    k best of each block. A vector moves once for each block of questions, a question once for each part of the vectors."""
+    blocks, parts = -(-queries.count() // most), -(-vectors_of.count() // part)
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(parts, 1) - 1))))
+    own = vectors_of.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(max(parts, 1))).cast("int"))
+    own = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+
+    def run(questions: pa.Table, found: pa.Table) -> pa.Table:
+        if not len(questions) or not len(found):
+            return pa.table({"query_id": pa.array([], pa.int64()), "chunk_id": pa.array([], pa.int64()), "passage_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        ids = questions["query_id"].to_numpy()
+        matrix = flat(questions["query_vec"].combine_chunks()).reshape(len(ids), -1)
+        return pa.Table.from_batches([b for batch in found.to_batches(4096) for b in scored_block(ids, matrix, batch, k)])
+
+    return asked.groupBy("block", "part").cogroup(own.groupBy("block", "part")).applyInArrow(run, SCORED)
+
+
 def hybrid(questions: DataFrame, units: DataFrame, queries: DataFrame, vectors_of: DataFrame, k: int = 10) -> DataFrame:
     """Fusion of 3k dense and 3k lexical hits."""
     return rrf({"dense": dense(queries, vectors_of, 3 * k), "bm25": bm25(questions, units, 3 * k)}, k)

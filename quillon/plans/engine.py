@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import RetrievalConfig
@@ -31,14 +32,18 @@ class Engine:
         spark: SparkSession,
         sf_dir: str,
         embed=None,
-        embedding: str = "hashed",
+        embedding: str | None = None,
         score: Callable[[Column, Column], Column] = layers.lexical_score,
         likeness: Callable[[Column, Column], Column] = retrieve.term_likeness,
         judge: Callable[[Column, Column], Column] = metrics.token_f1,
         retrievers: dict[str, Callable[[DataFrame, str, int], DataFrame]] | None = None,
     ) -> None:
         self.spark, self.sf_dir = spark, sf_dir
-        self.embed, self.embedding = embed or vectors.hashing_embedder(), embedding
+        if embed is not None and not embedding:
+            raise ValueError("name the embedding, so that its vectors are not taken for another model's")
+        if embed is None and embedding not in (None, "hashed"):
+            raise ValueError("a named embedding needs its model")
+        self.embed, self.embedding = embed or vectors.hashing_embedder(), embedding or "hashed"
         self.score, self.likeness, self.judge = score, likeness, judge
         self.retrievers = retrievers or {}
         self.passages = tables.passages(spark, sf_dir)
@@ -57,7 +62,11 @@ class Engine:
 
     def _dense(self, questions: DataFrame, strategy: str, k: int) -> DataFrame:
         asked = questions.select("query_id", self.embed(F.col("query_text")).alias("query_vec"))
-        return retrieve.dense(asked, self.store.vectors(strategy, self.embedding, self.embed), k)
+        kept = self.store.vectors(strategy, self.embedding, self.embed)
+        ours, theirs = (row[0] if (row := df.select(F.size(c)).first()) else None for df, c in ((asked, "query_vec"), (kept, "embedding")))
+        if None not in (ours, theirs) and ours != theirs:
+            raise ValueError(f"{self.embedding}: stored vectors have {theirs} dimensions, the model gives {ours}")
+        return retrieve.dense(asked, kept, k)
 
     def _best_literal(self, questions: DataFrame) -> DataFrame:
         return retrieve.literal_passages(questions, self.passages)
@@ -136,7 +145,7 @@ class Engine:
 
     def timed(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """`make()`, written and read again; its seconds are noted under `name` in `stages`."""
-        from ..sources.store import shared_folder
+        from ..sources.files import shared_folder
 
         began = time.perf_counter()
         at = f"{shared_folder(self.spark)}/stages/{self.spark.sparkContext.applicationId}-{time.time_ns()}"
@@ -157,7 +166,9 @@ class Engine:
         for c in configs:
             try:
                 parts.append(self.timed(c.label, lambda c=c: self.retrieve(questions, c, best).select(F.lit(c.label).alias("config"), *COMMON)))
-            except Exception as e:  # a failed configuration counts as empty results with its error
+            except Py4JJavaError:  # the job itself failed, an executor was lost: no result of the configuration
+                raise
+            except Exception as e:  # a configuration whose provider fails counts as empty results with its error
                 errors[c.label] = f"{type(e).__name__}: {str(e)[:200]}"
         empty = self.spark.createDataFrame([], "config string, query_id long, chunk_id long, passage_id long, score double, rank int")
         return reduce(DataFrame.unionByName, parts, empty), errors

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..operators import chunking, index, ranking, retrieve
+from ..operators import ann, chunking, index, ranking, retrieve
 from ..sources import tables
 from ..sources.tables import read
 from .reference import STOP_SQL, TERM_STOP_SQL, query, uses
@@ -79,6 +79,26 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.dense(vector_queries(spark, sf_dir).drop("query_label"), vectors_of(spark, sf_dir).drop("label"))
 
 
+@query("ann_exact_topk", "with " + dense_sql(10) + HITS + "hits")
+def ann_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted lists with every list probed, which is exact."""
+    found = ann.build(vectors_of(spark, sf_dir).drop("label"))
+    return ann.search(vector_queries(spark, sf_dir).drop("query_label"), found, probes=len(found.centroids))
+
+
+@query("ann_topk")
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted lists with as many probes as a recall of 0.95 takes on a sample of the vectors."""
+    found = ann.build(vectors_of(spark, sf_dir).drop("label"))
+    return ann.search(vector_queries(spark, sf_dir).drop("query_label"), found, probes=ann.probes_for(found))
+
+
+@query("ann_recall")
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of the exact ten best that `ann_topk` finds, by question."""
+    return ann.recall(ann_topk(spark, sf_dir), dense_topk(spark, sf_dir))
+
+
 PRECISION_SQL = "select query_id, round(avg((e.label = q.label)::int), 6) as precision from hits h join embeddings e on e.vec_id = h.passage_id join embeddings q on q.vec_id = h.query_id where h.query_id <> h.passage_id group by 1"
 
 

@@ -7,24 +7,13 @@ to a folder of its own and then renamed to its name, which is the commit; of two
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import chunking, index
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`; where it is unset and everything runs on this machine (tests), a folder of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = getattr(spark, "_quillon_folder", None) or "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark._quillon_folder = at
-    return at
+from .files import commit, shared_folder
 
 
 def content_key(passages: DataFrame) -> str:
@@ -55,10 +44,20 @@ class Store:
             writer = make().write
             (writer.partitionBy(*by) if by else writer).parquet(attempt)
             fs.mkdirs(self._path(f"{self.path}/{self.key}"))
-            if not fs.exists(self._path(at)):
-                fs.rename(self._path(attempt), self._path(at))
+            if not commit(self.spark, attempt, at):
+                fs.delete(self._path(attempt), True)  # another builder was first
         return self.spark.read.parquet(at)
 
+    def prune(self) -> list[str]:
+        """Deletes the tables of other states of the corpus and unfinished attempts; the keys that went. For when no reader
+        has them open and no builder is at work."""
+        root = self._path(self.path)
+        fs = root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        gone = [f.getPath().getName() for f in fs.listStatus(root) if f.getPath().getName() != self.key] if fs.exists(root) else []
+        for name in gone:
+            fs.delete(self._path(f"{self.path}/{name}"), True)
+        return sorted(gone)
+
     def spans(self, strategy: str) -> DataFrame:
         """The chunks of a strategy, without text."""
         return self.table(f"spans-{strategy}", lambda: chunking.chunker(strategy)(self.passages))
