@@ -332,7 +332,7 @@ def same_place(a: DataFrame, b: DataFrame) -> Column:
 def copies(rows: DataFrame, total: int) -> DataFrame:
     """`rows` with `copy`: whether rows of the same key and content have an earlier place."""
     first = rows.groupBy("key", "content").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n"))
-    met = meet(rows, first, ["key", "content"], "n", "start", total)
+    met = meet(rows, first, ["key", "content"], "n", PLACE, total)
     return met.withColumn("copy", F.struct(*PLACE) != F.col("first")).drop("first")
 
 
@@ -346,14 +346,17 @@ def later_windows(docs: DataFrame, length: int = 100, most: int = MOST) -> DataF
     """(doc_id, row, start, windows): runs of windows of `docs` (doc_id, row, text) that also start earlier."""
     spark, seed = docs.sparkSession, random_bits.randbits(63)
     found = docs.mapInArrow(lambda it: context_rows(it, length, seed), CONTEXT)
-    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("least"), F.max("content").alias("most")).where("n > 1")
-    again = freed(stored(found.join(keys.select("key", (F.col("least") != F.col("most")).alias("differ")), "key"), "repeat-contexts"))
-    total = again.count()
-    told = freed(stored(copies(again, total).where("copy or differ"), "repeat-copies"))
+    sums = found.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("least"), F.max("content").alias("most")).where("n > 1")
+    keys = freed(stored(sums.select("key", "n", (F.col("least") != F.col("most")).alias("differ")), "repeat-keys"))
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    again = freed(stored(meet(found, keys, ["key"], "n", PLACE, total), "repeat-contexts"))
+    discard(keys)
+    told = copies(again, total).where("copy or differ").select(F.when(~F.col("copy"), F.col("key")).alias("key"), *PLACE, "windows", "copy")
+    told = freed(stored(told, "repeat-copies"))
     discard(again)
     marks = told.where("copy").select(*PLACE, "windows")
 
-    left = told.where("not copy and differ").select("key", *PLACE, "windows").dropDuplicates(["key", *PLACE])
+    left = told.where("not copy").select("key", *PLACE, "windows").dropDuplicates(["key", *PLACE])
     large = left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.lit(True).alias("large"))
     asked = left.join(large, "key", "left").groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "start", "windows", F.coalesce("large", F.lit(False)).alias("large"))).alias("asked"))
     one = asked.withColumnsRenamed({"doc_id": "asked_id", "row": "asked_row"}).hint("shuffle_hash")
@@ -365,7 +368,9 @@ def later_windows(docs: DataFrame, length: int = 100, most: int = MOST) -> DataF
     n_single = single.count()
     if n_single:
         borders = borders.unionByName(copies(single, n_single).where("copy").select(*PLACE, "windows"))
-    return marks.unionByName(freed(stored(borders, "repeat-borders")))
+    borders = freed(stored(borders, "repeat-borders"))
+    discard(cut)
+    return marks.unionByName(borders)
 
 
 def repeats(docs: DataFrame, length: int = 100, most: int = MOST, whole: bool = False) -> DataFrame:
