@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,7 +13,9 @@ from ..functions import text as tx
 from ..functions import vectors
 from ..operators import chunking, index, layers, metrics, ranking, relations, retrieve
 from ..sources import tables
+from ..sources.files import shared_folder
 from ..sources.tables import read
+from ..sources.versions import Versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -152,30 +155,44 @@ def gold_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold_lists(spark, sf_dir).agg(F.count_if(n.between(1, 20)).alias("usable"), F.count_if(n == 0).alias("empty"), F.sum(n).alias("ids"))
 
 
+def kept(spark: SparkSession, rows: DataFrame, key: str) -> Versions:
+    """A versioned table of `rows`, which a query changes and reads back as committed."""
+    return Versions.create(rows, f"{shared_folder(spark)}/versions/{uuid.uuid4().hex}", key)
+
+
 @query("upsert", "select doc_id, 1 - toxic as toxic from labels where quality = 0 union all select doc_id, toxic from labels where doc_id not in (select doc_id from labels where quality = 0)")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels")
     new = labels.where("quality = 0").select("doc_id", (1 - F.col("toxic")).alias("toxic"))
-    return relations.upsert(labels.select("doc_id", "toxic"), new, "doc_id")
+    return kept(spark, labels.select("doc_id", "toxic"), "doc_id").upsert(new).read()
 
 
-@query("insert_ignore", "select doc_id, lang from documents where doc_id not in (select doc_id from labels)")
+@query("insert_ignore", "select doc_id, 'labelled' as lang from labels union all select doc_id, lang from documents where doc_id not in (select doc_id from labels)")
 def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = read(spark, sf_dir, "labels").select("doc_id")
-    return relations.insert_ignore(old, read(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"])
+    old = read(spark, sf_dir, "labels").select("doc_id", F.lit("labelled").alias("lang"))
+    return kept(spark, old, "doc_id").insert_ignore(read(spark, sf_dir, "documents").select("doc_id", "lang")).read()
 
 
 @query("cascade_delete", uses("passages", "sent", "spans", "sentence_chunks") + "select passage_id, chunk_index from sentence_chunks where passage_id not in (select doc_id from labels where quality = 0)")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunking.sentence(tables.passages(spark, sf_dir)).select("passage_id", "chunk_index")
+    """Passages of low quality go, and their chunks with them: those whose passage the committed version no longer has."""
+    passages = tables.passages(spark, sf_dir)
     gone = read(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("passage_id"))
-    return relations.cascade_delete(chunks, gone, "passage_id")
+    left = kept(spark, passages.select("passage_id"), "passage_id").delete(gone)
+    chunks = kept(spark, chunking.sentence(passages).select("chunk_id", "passage_id", "chunk_index"), "chunk_id")
+    lost = chunks.read().join(left.read(), "passage_id", "left_anti").select("chunk_id")
+    return chunks.delete(lost).read().select("passage_id", "chunk_index")
+
+
+@query("truncate", "select doc_id, quality, toxic from labels where false")
+def truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id").truncate().read()
 
 
 @query("update_from_join", "select doc_id, case when l.doc_id is not null then 'toxic' else d.source end as source from documents d left join (select doc_id from labels where toxic = 1) l using (doc_id)")
 def update_from_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.lit("toxic").alias("source"))
-    return relations.update_from(read(spark, sf_dir, "documents").select("doc_id", "source"), changes, "doc_id", "source")
+    return kept(spark, read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").update(changes).read()
 
 
 @query("integrity_check", "select (select count(*) from labels where doc_id not in (select doc_id from documents)) as labels_without_document, (select count(*) from orders where o_custkey not in (select c_custkey from customer)) as orders_without_customer")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from ..operators import ann, chunking, index, ranking, retrieve
 from ..sources import tables
+from ..sources.files import shared_folder
+from ..sources.segments import Segments
 from ..sources.tables import read
 from .reference import STOP_SQL, TERM_STOP_SQL, query, uses
 
@@ -44,6 +48,19 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.bm25_indexed(tables.questions(spark, sf_dir), tables.store(spark, sf_dir).lexical("passage"))
 
 
+@query("bm25_segments_topk", PASSAGES + bm25_sql("hits", "passage_units", 10) + HITS + "hits")
+def bm25_segments_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as it grew: the sources come one half after the other, one half with a draft's text that is then corrected;
+    short-lived units are inserted and deleted; segments are merged. The rows are those of an index built afresh."""
+    units = passage_units(tables.passages(spark, sf_dir)).select("chunk_id", "passage_id", "text")
+    first = F.pmod(F.xxhash64("passage_id"), F.lit(2)) == 0
+    draft = units.where(first).withColumn("text", F.upper(F.substring_index("text", " ", 20)))
+    passing = units.where(~first).select((-1 - F.col("chunk_id")).alias("chunk_id"), "passage_id", "text")
+    made = Segments(spark, f"{shared_folder(spark)}/segments/{uuid.uuid4().hex}").apply(draft).apply(units.where(~first).unionByName(passing))
+    made = made.apply(units.where(first), passing.select("chunk_id")).merge(2)
+    return retrieve.bm25_indexed(tables.questions(spark, sf_dir), made.lexical())
+
+
 @query("bm25_sentence_topk", uses(*SENTENCES).rstrip() + bm25_sql("hits", "sentence_units", 10) + HITS + "hits")
 def bm25_sentence_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.bm25_indexed(tables.questions(spark, sf_dir), tables.store(spark, sf_dir).lexical("sentence"))
