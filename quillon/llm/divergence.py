@@ -28,12 +28,15 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import stored
 
-HELD = 200_000  # sums that a task holds
+HELD = 600_000  # sums that a task holds, of some 200 bytes
+ROWS = 1 << 22  # documents that a sum may have
+ONE = 1 << 40  # a document
 BLOCK = 1 << 20  # bytes of a text that are cut into terms at once
 SCALE = 10**9
 COUNTS = "lang string, source string, term string, n long, docs long"
@@ -52,36 +55,32 @@ def blocks(text: bytes) -> Iterator[bytes]:
 
 def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs): counts and documents of each term, and a row of term '' for each group."""
-    sums: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-    held = 0
+    sums: dict[tuple[str, str], dict[bytes, int]] = {}  # count + documents * 2**40
+    held = rows = 0
 
     def out() -> pa.RecordBatch:
-        rows = [(lang, source, term, *both) for (lang, source), terms in sums.items() for term, both in terms.items()]
-        columns = list(zip(*rows, strict=True))
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        arrays[2] = arrays[2].cast(pa.string())
-        return pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "n", "docs"])
+        sizes = [len(terms) for terms in sums.values()]
+        both = np.concatenate([np.fromiter(terms.values(), np.int64, len(terms)) for terms in sums.values()])
+        names = pa.concat_arrays([pa.array(list(terms), pa.binary()) for terms in sums.values()]).cast(pa.string())
+        of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        langs, sources = (pa.array([group[i] for group in sums], pa.string()).take(of) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([langs, sources, names, pa.array(both & (ONE - 1)), pa.array(both >> 40)], names=["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         texts = batch.column("text").cast(pa.large_binary())
         for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts, strict=True):
-            group = sums.setdefault((lang, source), {b"": [0, 0]})
+            group = sums.setdefault((lang, source), {b"": 0})
             before = len(group)
             found: Counter[bytes] = Counter()
             for part in blocks(text.as_py().translate(_LETTERS)):
                 found.update(part.split())
+            known = group.get
             for term, n in found.items():
-                both = group.get(term)
-                if both is None:
-                    group[term] = [n, 1]
-                else:
-                    both[0] += n
-                    both[1] += 1
-            held += len(group) - before
-            if held > HELD:
+                group[term] = known(term, 0) + n + ONE
+            held, rows = held + len(group) - before, rows + 1
+            if held > HELD or rows > ROWS:
                 yield out()
-                sums, held = {}, 0
+                sums, held, rows = {}, 0, 0
     if sums:
         yield out()
 

@@ -51,7 +51,7 @@ def test_odd_documents(spark, least):
     assert least < 100 or {r[4] for r in rows} == {0}
 
 
-@pytest.mark.parametrize("held, block", [(200_000, 1 << 20), (10, 16)])
+@pytest.mark.parametrize("held, block", [(600_000, 1 << 20), (10, 16)])
 def test_random_sources(spark, monkeypatch, held, block):
     monkeypatch.setattr(divergence, "HELD", held)
     monkeypatch.setattr(divergence, "BLOCK", block)
