@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..operators import ann, chunking, index, ranking, retrieve
+from ..operators import ann, chunking, index, lsa, pruned, ranking, retrieve
 from ..sources import tables
 from ..sources.files import shared_folder
 from ..sources.segments import Segments
@@ -48,6 +48,12 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.bm25_indexed(tables.questions(spark, sf_dir), tables.store(spark, sf_dir).lexical("passage"))
 
 
+@query("bm25_pruned_topk", PASSAGES + bm25_sql("hits", "passage_units", 10) + HITS + "hits")
+def bm25_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`bm25_topk` by blocks of postings, of which those that cannot reach a question's ten best are not read."""
+    return pruned.bm25(tables.questions(spark, sf_dir), pruned.build(tables.store(spark, sf_dir).lexical("passage")))
+
+
 @query("bm25_segments_topk", PASSAGES + bm25_sql("hits", "passage_units", 10) + HITS + "hits")
 def bm25_segments_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus as it grew: the sources come one half after the other, one half with a draft's text that is then corrected;
@@ -116,6 +122,15 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.recall(ann_topk(spark, sf_dir), dense_topk(spark, sf_dir))
 
 
+@query("learned_topk")
+def learned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense retrieval of passages by embeddings learned from them; the tests hold the basis against numpy's SVD."""
+    passages = passage_units(tables.passages(spark, sf_dir))
+    embed = lsa.embedder(spark, lsa.learn(passages))
+    asked = tables.questions(spark, sf_dir).select("query_id", embed(F.col("query_text")).alias("query_vec"))
+    return retrieve.dense(asked, passages.select("chunk_id", "passage_id", embed(F.col("text")).alias("embedding")))
+
+
 PRECISION_SQL = "select query_id, round(avg((e.label = q.label)::int), 6) as precision from hits h join embeddings e on e.vec_id = h.passage_id join embeddings q on q.vec_id = h.query_id where h.query_id <> h.passage_id group by 1"
 
 
