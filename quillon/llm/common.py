@@ -75,16 +75,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [next(n for i in range(len(taken) + 1) if (n := f"__{name}{i or ''}") not in taken) for name in names]
 
 
-def meet(rows: DataFrame, groups: DataFrame, on: list[str], n: str, spread_by: str | list[str], total: int, how: str = "inner") -> DataFrame:
+def meet(rows: DataFrame, groups: DataFrame, on: list[str], n: str, spread_by: str | list[str], total: int, how: str = "inner", steady: bool = False) -> DataFrame:
     """`rows` joined with `groups`, which has one row for each value of `on` and its number `n` of rows. `n` goes.
 
     A group with more than an eighth of a task's share is salted by its count: its rows are dealt to as many parts by
     `spread_by`, each of which meets a copy of the group's row. At most 8 * tasks groups are so large, as `total` rows hold
-    no more, so their list is broadcast.
+    no more, so their list is broadcast. With `steady` it has a row without a key besides, and the plan is the same whether
+    there are large groups or none.
     """
     limit = max(1000, total // (8 * parallelism(rows.sparkSession)))
     parts = F.ceil(F.col(n) / F.lit(limit)).cast("int")
     large = groups.where(F.col(n) > limit).select(*on, parts.alias("__parts"))
+    if steady:
+        large = large.unionByName(rows.sparkSession.range(1).select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in on], F.lit(1).alias("__parts")))
     dealt = rows.join(F.broadcast(large), on, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*([spread_by] if isinstance(spread_by, str) else spread_by)), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
     copies = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(n)
     return dealt.join(copies.hint("merge"), [*on, "__salt"], how).drop("__salt")

@@ -332,7 +332,7 @@ def same_place(a: DataFrame, b: DataFrame) -> Column:
 def copies(rows: DataFrame, total: int) -> DataFrame:
     """`rows` with `copy`: whether rows of the same key and content have an earlier place."""
     first = rows.groupBy("key", "content").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n"))
-    met = meet(rows, first, ["key", "content"], "n", PLACE, total)
+    met = meet(rows, first, ["key", "content"], "n", PLACE, total, steady=True)
     return met.withColumn("copy", F.struct(*PLACE) != F.col("first")).drop("first")
 
 
@@ -349,7 +349,7 @@ def later_windows(docs: DataFrame, length: int = 100, most: int = MOST) -> DataF
     sums = found.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("least"), F.max("content").alias("most")).where("n > 1")
     keys = freed(stored(sums.select("key", "n", (F.col("least") != F.col("most")).alias("differ")), "repeat-keys"))
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    again = freed(stored(meet(found, keys, ["key"], "n", PLACE, total), "repeat-contexts"))
+    again = freed(stored(found.join(keys.drop("n"), "key"), "repeat-contexts"))  # one row for each key; a large key's contexts may be split
     discard(keys)
     told = copies(again, total).where("copy or differ").select(F.when(~F.col("copy"), F.col("key")).alias("key"), *PLACE, "windows", "copy")
     told = freed(stored(told, "repeat-copies"))
