@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions import text as tx
 from ..functions import vectors
@@ -41,15 +43,39 @@ def whole(passages: DataFrame) -> DataFrame:
     return finished(passages.select("passage_id", F.lit(0).alias("chunk_index"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), tx.n_tokens(F.col("text")).alias("n_tokens")), "passage")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, which is computed once for the row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running(lengths: Column) -> Column:
-    """array<int>: the sum of all lengths before each."""
-    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("sum"))
-    return F.aggregate(lengths, start, lambda acc, x: F.struct(F.array_append(acc["at"], acc["sum"]).alias("at"), (acc["sum"] + x).alias("sum")), lambda acc: acc["at"])
+    """array<int>: the sum of all lengths before each, by doubling: in as many passes as the number of lengths has bits."""
+    strides = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(lengths), F.lit(1)).cast("double"))).cast("int")), lambda j: F.pow(F.lit(2), j).cast("int"))
+    sums = F.aggregate(strides, lengths, lambda acc, stride: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - stride), F.lit(0))))
+    return F.zip_with(sums, lengths, lambda total, x: total - x)
+
+
+BLOCK = 4096  # code points
+
+
+def bodies(text: Column, spans: Column, s: str = "s", e: str = "e") -> Column:
+    """`spans` (array of structs with the fields `s` and `e`), each with its `body`. The text is cut into blocks once, so a span costs its
+    own length and a block, wherever it is."""
+
+    def of(blocks: Column) -> Column:
+        def one(x: Column) -> Column:
+            first = F.floor(x[s] / BLOCK).cast("int")
+            held = F.array_join(F.slice(blocks, first + 1, F.floor((x[e] + BLOCK - 1) / BLOCK).cast("int") - first), "")
+            return x.withField("body", F.when(x[e] > x[s], F.substr(held, x[s] - first * BLOCK + 1, x[e] - x[s])).otherwise(""))
+
+        return F.transform(spans, one)
+
+    return let(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0)), of)
 
 
 def windows(passages: DataFrame, unit: str, n: Column, size: int, overlap: int) -> DataFrame:
-    """(passage_id, text, windows, chunk_index, s, e): windows of `size` units (a pattern; units follow each other without a
-    gap), each `size - overlap` after the one before; the last ends with the text.
+    """(passage_id, text, each): windows of `size` units (a pattern; units follow each other without a gap), each `size - overlap`
+    after the one before; the last ends with the text. `each` is array<struct<s, body>>.
 
     The text is cut once into strides of `size - overlap` units; a window is a stride and the head of the next ones.
     """
@@ -58,20 +84,25 @@ def windows(passages: DataFrame, unit: str, n: Column, size: int, overlap: int)
         raise ValueError("overlap must be below size")
     ahead = -(-overlap // step)  # strides that hold a window's tail
     count = F.when(n <= size, 1).otherwise(1 + F.ceil((n - size) / step)).cast("int")
-    rows = passages.select("passage_id", "text", F.regexp_extract_all("text", F.lit(r"(?:%s){1,%d}" % (unit, step)), F.lit(0)).alias("strides"), count.alias("windows"))
-    each = F.transform("strides", lambda s, i: F.struct(s.alias("stride"), F.array_join(F.slice("strides", i + 2, F.lit(max(ahead, 1))), "").alias("tail")))
-    rows = rows.withColumns({"at": running(F.transform("strides", lambda s: F.length(s))), "each": each})
-    rows = rows.select("passage_id", "text", "windows", F.posexplode(F.arrays_zip("at", "each")).alias("chunk_index", "x")).where("chunk_index < windows")
-    tail = F.length(F.regexp_extract(F.col("x.each.tail"), r"^(?:%s){1,%d}" % (unit, max(overlap, 1)), 0)) if overlap else F.lit(0)
-    end = F.when(F.col("windows") == 1, F.length("text")).otherwise(F.col("x.at") + F.length("x.each.stride") + tail)
-    return rows.select("passage_id", "text", "windows", "chunk_index", F.col("x.at").alias("s"), end.alias("e"))
+    # A generated row, so that the strides are computed once, before they are looked into by place.
+    strides = F.explode(F.array(F.regexp_extract_all("text", F.lit(r"(?:%s){1,%d}" % (unit, step)), F.lit(0))))
+    rows = passages.select("passage_id", "text", strides.alias("strides"), count.alias("windows"))
+
+    def tail(i: Column) -> Column:
+        if not overlap:
+            return F.lit("")
+        return F.regexp_extract(F.array_join(F.slice("strides", i + 2, F.lit(ahead)), ""), r"^(?:%s){1,%d}" % (unit, overlap), 0)
+
+    at = running(F.transform("strides", lambda x: F.length(x)))
+    each = let(at, lambda at: F.transform(F.slice("strides", F.lit(1), F.col("windows")), lambda x, i: F.struct(F.get(at, i).alias("s"), F.concat(x, tail(i)).alias("body"))))
+    return rows.select("passage_id", "text", each.alias("each"))
 
 
 def fixed(passages: DataFrame, size: int = 128, overlap: int = 32) -> DataFrame:
     """Windows of `size` words."""
-    rows = windows(passages, "[^ ]+ ?", tx.n_words(F.col("text")), size, overlap)
-    body = F.rtrim(F.substr("text", F.col("s") + 1, F.col("e") - F.col("s")))
-    return finished(rows.select("passage_id", "chunk_index", F.col("s").alias("char_start"), (F.col("s") + F.length(body)).alias("char_end"), tx.n_tokens(body).alias("n_tokens")), f"fixed_{size}_{overlap}")
+    rows = windows(passages, "[^ ]+ ?", tx.n_words(F.col("text")), size, overlap).select("passage_id", F.posexplode("each").alias("chunk_index", "x"))
+    body = F.rtrim("x.body")
+    return finished(rows.select("passage_id", "chunk_index", F.col("x.s").alias("char_start"), (F.col("x.s") + F.length(body)).alias("char_end"), tx.n_tokens(body).alias("n_tokens")), f"fixed_{size}_{overlap}")
 
 
 def token_offsets(text: Column) -> Column:
@@ -80,23 +111,37 @@ def token_offsets(text: Column) -> Column:
     return F.array_append(running(F.transform(pieces, lambda x: F.length(x))), F.length(text))
 
 
+@F.pandas_udf(ArrayType(StructType([StructField("s", IntegerType()), StructField("e", IntegerType())])))
+def widened(starts: pd.Series, ends: pd.Series, words: pd.Series) -> pd.Series:
+    """Spans moved out to whole words; `words` has the lengths of all words, which one blank parts."""
+    out = []
+    for s, e, w in zip(starts, ends, words, strict=True):
+        first = np.concatenate([[0], np.cumsum(np.asarray(w) + 1)])[:-1]
+        last = first + np.asarray(w)
+        s, e = np.asarray(s), np.asarray(e)
+        s = np.where(s > last[np.searchsorted(first, s, "right") - 1], s, first[np.searchsorted(first, s, "right") - 1])
+        e = last[np.minimum(np.searchsorted(last, e), len(last) - 1)]
+        out.append([{"s": int(a), "e": int(b)} for a, b in zip(s, e, strict=True)])
+    return pd.Series(out)
+
+
 def tokens(passages: DataFrame, size: int = 128, overlap: int = 32) -> DataFrame:
     """Windows of `size` tokens, widened to whole words: the start moves left behind white space, the end right to the next,
     so a window may have more than `size`. A text of at most `size` tokens is one window."""
     rows = windows(passages, PIECE, tx.n_tokens(F.col("text")), size, overlap)
-    left = F.length(F.substring_index(F.left("text", F.col("s")), " ", -1))  # of the word that the start cuts
-    right = F.length(F.substring_index(F.substr("text", F.col("e") + 1, F.length("text")), " ", 1))
-    wide = rows.select("passage_id", "text", "chunk_index", (F.col("s") - left).alias("s"), (F.col("e") + right).alias("e"))
-    return finished(finalised(wide).withColumn("n_tokens", tx.n_tokens(F.col("body"))), f"tokens_{size}_{overlap}")
+    starts, ends = F.transform("each", lambda x: x["s"]), F.transform("each", lambda x: x["s"] + F.length(x["body"]))
+    wide = rows.select("passage_id", "text", widened(starts, ends, F.transform(F.split("text", " "), lambda w: F.length(w))).alias("spans"))
+    each = wide.select("passage_id", F.posexplode(bodies(F.col("text"), F.col("spans"))).alias("chunk_index", "x")).select("passage_id", "chunk_index", "x.s", "x.body")
+    return finished(finalised(each).withColumn("n_tokens", tx.n_tokens(F.col("body"))), f"tokens_{size}_{overlap}")
 
 
 def finalised(spans: DataFrame) -> DataFrame:
-    """Spans (passage_id, text, chunk_index, s, e), trimmed, without empty ones, numbered anew without gaps: (passage_id,
-    chunk_index, char_start, char_end, body)."""
-    s, e = tx.trim_span(F.col("text"), F.col("s"), F.col("e"))
-    rows = spans.select("passage_id", "text", F.col("chunk_index").alias("was"), s.cast("int").alias("char_start"), e.cast("int").alias("char_end")).where("char_end > char_start")
+    """Spans (passage_id, chunk_index, s, body), trimmed, without empty ones, numbered anew without gaps: (passage_id, chunk_index,
+    char_start, char_end, body)."""
+    s, e = tx.trim_span(F.col("body"), F.lit(0), F.length("body"))
+    cut = spans.select("passage_id", F.col("chunk_index").alias("was"), "s", "body", s.cast("int").alias("a"), e.cast("int").alias("b")).where("b > a")
     nth = F.row_number().over(Window.partitionBy("passage_id").orderBy("was")) - 1
-    return rows.select("passage_id", nth.alias("chunk_index"), "char_start", "char_end", F.substr("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("body"))
+    return cut.select("passage_id", nth.alias("chunk_index"), (F.col("s") + F.col("a")).alias("char_start"), (F.col("s") + F.col("b")).alias("char_end"), F.substr("body", F.col("a") + 1, F.col("b") - F.col("a")).alias("body"))
 
 
 def sentence_list(text: Column) -> Column:
@@ -109,7 +154,7 @@ def sentence_list(text: Column) -> Column:
             F.transform(l, lambda x, i: x.withField("i", i)), at, lambda x, s: F.struct(x["i"].alias("i"), x["sentence"].alias("sentence"), x["n_tokens"].alias("n_tokens"), s.alias("s"), (s + x["len"]).alias("e"))
         )
 
-    return F.element_at(F.transform(F.array(listed), spanned), 1)
+    return let(listed, spanned)
 
 
 def sentence_rows(passages: DataFrame) -> DataFrame:
@@ -117,26 +162,32 @@ def sentence_rows(passages: DataFrame) -> DataFrame:
     return passages.select("passage_id", F.explode(sentence_list(F.col("text"))).alias("x")).select("passage_id", "x.*")
 
 
-def folded(rows: DataFrame, new: Callable[[Column, Column], Column], strategy: str) -> DataFrame:
-    """Chunks of successive sentences (passage_id, all: array<struct<s, e, n_tokens, ...>>): a sentence x begins a chunk where
-    new(chunk so far, x), the first always. Folded within the row."""
-    part = lambda x: F.struct(x["s"].cast("int").alias("s"), x["e"].cast("int").alias("e"), x["n_tokens"].cast("int").alias("n_tokens"))
-    start = F.struct(F.array().cast("array<struct<s:int,e:int,n_tokens:int>>").alias("done"), F.lit(None).cast("struct<s:int,e:int,n_tokens:int>").alias("open"))
+def joined(rows: DataFrame, strategy: str) -> DataFrame:
+    """Chunks of successive sentences: `rows` has `all` (array<struct<s, e, n_tokens, ...>>) and `begins`, the places in it at which a
+    chunk begins, in order, the first always."""
 
-    def step(acc: Column, x: Column) -> Column:
-        opened, own = acc["open"], part(x)
-        first, begins = opened.isNull(), F.coalesce(new(opened, x), F.lit(True))
-        grown = F.struct(opened["s"].alias("s"), own["e"].alias("e"), (opened["n_tokens"] + own["n_tokens"]).alias("n_tokens"))
-        return F.struct(F.when(first | ~begins, acc["done"]).otherwise(F.array_append(acc["done"], opened)).alias("done"), F.when(first | begins, own).otherwise(grown).alias("open"))
+    def spans(before: Column) -> Column:
+        def one(b: Column, j: Column) -> Column:
+            last = F.coalesce(F.get("begins", j + 1), F.size("all")) - 1
+            n = F.get(before, last) + F.get("all", last)["n_tokens"] - F.get(before, b)
+            return F.struct(F.get("all", b)["s"].alias("s"), F.get("all", last)["e"].alias("e"), n.alias("n_tokens"))
 
-    spans = F.aggregate("all", start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
-    each = rows.select("passage_id", F.posexplode(spans).alias("chunk_index", "x"))
+        return F.transform("begins", one)
+
+    each = rows.select("passage_id", F.posexplode(let(running(F.transform("all", lambda x: x["n_tokens"])), spans)).alias("chunk_index", "x"))
     return finished(each.select("passage_id", "chunk_index", F.col("x.s").alias("char_start"), F.col("x.e").alias("char_end"), F.col("x.n_tokens").alias("n_tokens")), strategy)
 
 
 def sentence(passages: DataFrame, least: int = 6) -> DataFrame:
     """One sentence each; one of fewer than `least` tokens joins the chunk before it."""
-    return folded(passages.select("passage_id", sentence_list(F.col("text")).alias("all")), lambda chunk, x: x["n_tokens"] >= least, "sentence")
+
+    def with_begins(l: Column) -> Column:
+        return F.struct(l.alias("all"), F.transform(F.filter(l, lambda x: (x["i"] == 0) | (x["n_tokens"] >= least)), lambda x: x["i"]).alias("begins"))
+
+    listed = F.transform(sentence_list(F.col("text")), lambda x: F.struct(*[x[c].alias(c) for c in ("i", "n_tokens", "s", "e")]))
+    # A generated row, so that the list is computed once, before it is looked into by place.
+    rows = passages.select("passage_id", F.explode(F.array(let(listed, with_begins))).alias("x")).select("passage_id", "x.all", "x.begins")
+    return joined(rows, "sentence")
 
 
 def distance_list(text: Column) -> Column:
@@ -184,12 +235,32 @@ def calibrated(passages: DataFrame, share: float = 0.75, sample: int = 1500) ->
     return 0.5 if found is None else found
 
 
+def breaks(threshold: float, least: int, most: int):
+    """A function of arrays (n_tokens, dist) that gives the places at which a group begins."""
+
+    @F.pandas_udf("array<int>")
+    def fold(sizes: pd.Series, distances: pd.Series) -> pd.Series:
+        out = []
+        for n_tokens, dist in zip(sizes, distances, strict=True):
+            begins, held = [], 0
+            for i, (n, d) in enumerate(zip(n_tokens, dist, strict=True)):
+                if not i or (d is not None and d > threshold and held >= least) or held + n > most:
+                    begins.append(i)
+                    held = 0
+                held += n
+            out.append(begins)
+        return pd.Series(out)
+
+    return fold
+
+
 def semantic(passages: DataFrame, threshold: float | None = None, least: int = 6, most: int = 256) -> DataFrame:
     """Successive sentences grouped: a new chunk begins where the distance is above `threshold` (by default the calibrated
     one) and the group has `least` tokens, or where the group would get more than `most`."""
     threshold = calibrated(passages) if threshold is None else threshold
-    new = lambda chunk, x: ((x["dist"] > threshold) & (chunk["n_tokens"] >= least)) | (chunk["n_tokens"] + x["n_tokens"] > most)
-    return folded(passages.select("passage_id", distance_list(F.col("text")).alias("all")), new, "semantic")
+    rows = passages.select("passage_id", F.explode(F.array(distance_list(F.col("text")))).alias("all"))
+    begins = breaks(threshold, least, most)(F.transform("all", lambda x: x["n_tokens"]), F.transform("all", lambda x: x["dist"]))
+    return joined(rows.withColumn("begins", begins), "semantic")
 
 
 #: Where a recursive split looks first.
@@ -272,9 +343,11 @@ DEFAULT_STRATEGIES = ["passage", "fixed_128_32", "recursive_128_32", "sentence",
 
 
 def chunk_text(chunks: DataFrame, passages: DataFrame) -> DataFrame:
-    """Chunks with their text."""
-    body = F.substr(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    return chunks.join(passages.select("passage_id", "text"), "passage_id").withColumn("text", body)
+    """Chunks with their text. The chunks of a passage meet it together, and its text is cut into blocks once."""
+    lists = chunks.groupBy("passage_id").agg(F.collect_list(F.struct(*chunks.columns)).alias("__spans"))
+    met = lists.join(passages.select("passage_id", "text"), "passage_id")
+    each = met.select(F.explode(bodies(F.col("text"), F.col("__spans"), "char_start", "char_end")).alias("x"))
+    return each.select(*[F.col(f"x.{c}").alias(c) for c in chunks.columns if c != "text"], F.col("x.body").alias("text"))
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import text as tx
 from ..sources.tables import small
@@ -113,17 +115,23 @@ def timed(stages: DataFrame) -> DataFrame:
     return stages.withColumn("share", F.greatest(F.round(F.col("ms") / total, 6), F.lit(0.01)))
 
 
-def display_rows(chunks: DataFrame) -> DataFrame:
-    """(passage_id, chunk_index, display_row): spans in order, each in the first row whose last span has ended by its start.
-    Folded within the row of a passage; the state is where each display row ends."""
-    lists = chunks.groupBy("passage_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "char_start", "char_end"))).alias("all"))
-    start = F.struct(F.array().cast("array<int>").alias("ends"), F.array().cast("array<int>").alias("at"))
+@F.pandas_udf(ArrayType(IntegerType()))
+def first_free_row(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """For spans in order, the first display row whose last span has ended by the start of each."""
+    out = []
+    for s, e in zip(starts, ends, strict=True):
+        taken: list[int] = []  # where each display row ends; as many as spans overlap at once
+        at = []
+        for a, b in zip(s, e, strict=True):
+            into = next((i for i, end in enumerate(taken) if end <= a), len(taken))
+            taken[into : into + 1] = [b]
+            at.append(into)
+        out.append(at)
+    return pd.Series(out)
 
-    def step(acc: Column, x: Column) -> Column:
-        free = F.array_position(F.transform(acc["ends"], lambda e: e <= x["char_start"]), True).cast("int")
-        into = F.when(free > 0, free - 1).otherwise(F.size(acc["ends"]))
-        ends = F.when(free > 0, F.transform(acc["ends"], lambda e, i: F.when(i == into, x["char_end"]).otherwise(e))).otherwise(F.array_append(acc["ends"], x["char_end"]))
-        return F.struct(ends.alias("ends"), F.array_append(acc["at"], into).alias("at"))
 
-    rows = lists.withColumn("at", F.aggregate("all", start, step, lambda acc: acc["at"]))
+def display_rows(chunks: DataFrame) -> DataFrame:
+    """(passage_id, chunk_index, display_row): spans in order, each in the first row whose last span has ended by its start."""
+    lists = chunks.groupBy("passage_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "char_start", "char_end"))).alias("all"))
+    rows = lists.withColumn("at", first_free_row(F.transform("all", lambda x: x["char_start"]), F.transform("all", lambda x: x["char_end"])))
     return rows.select("passage_id", F.explode(F.arrays_zip("all", "at")).alias("x")).select("passage_id", "x.all.chunk_index", F.col("x.at").alias("display_row"))

@@ -170,7 +170,7 @@ def dense(queries: DataFrame, vectors_of: DataFrame, k: int = 10, floor: float |
 def in_blocks(queries: DataFrame, vectors_of: DataFrame, k: int, most: int, part: int = 20_000) -> DataFrame:
     """Every question against every vector, in blocks of at most about `most` questions and `part` vectors: what may be among the
     k best of each block. A vector moves once for each block of questions, a question once for each part of the vectors."""
-    blocks, parts = -(-queries.count() // most), -(-vectors_of.count() // part)
+    blocks, parts = max(1, -(-queries.count() // max(1, most))), -(-vectors_of.count() // part)
     asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(parts, 1) - 1))))
     own = vectors_of.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(max(parts, 1))).cast("int"))
@@ -205,15 +205,16 @@ def words_of(text: Column) -> Column:
 def term_matches(questions: DataFrame, passages: DataFrame) -> DataFrame:
     """(query_id, passage_id, term): passages in which the term stands as a whole word, in either case.
 
-    Candidates meet by the term's first word (an equi join), and only those are looked at; a term is one word unless it
-    holds ' or -, so for most the candidates are the matches.
+    Ids and words meet by the term's first word (an equi join). A term is one word unless it holds ' or -, and then is matched;
+    for others the text of each candidate is fetched once and looked at.
     """
     terms = asked_terms(questions).withColumn("word", F.regexp_extract("term", r"^[a-z0-9]+", 0))
-    plain = F.col("term") == F.col("word")
-    at = passages.select("passage_id", "text", F.explode(words_of(F.col("text"))).alias("word"))
-    met = at.join(sender(questions)(terms), "word")
+    at = passages.select("passage_id", F.explode(words_of(F.col("text"))).alias("word"))
+    met = at.join(sender(questions)(terms), "word").select("query_id", "passage_id", "term", (F.col("term") == F.col("word")).alias("plain")).distinct()
     whole = F.concat(F.lit(r"(^|[^\p{L}\p{N}_])"), F.col("term"), F.lit(r"([^\p{L}\p{N}_]|$)"))
-    return met.where(plain | F.rlike(F.lower("text"), whole)).select("query_id", "passage_id", "term").distinct()
+    others = met.where("not plain").drop("plain").join(passages.select("passage_id", "text"), "passage_id")
+    looked = others.where(F.rlike(F.lower("text"), whole)).select("query_id", "passage_id", "term")
+    return met.where("plain").drop("plain").unionByName(looked).distinct()
 
 
 def literal_passages(questions: DataFrame, passages: DataFrame, candidates: int = 50) -> DataFrame:
@@ -243,14 +244,46 @@ def literal(questions: DataFrame, passages: DataFrame, chunks_of: Callable[[Data
     return top_hits(one, k)
 
 
+def gram_sets(rows: DataFrame, key: str, df: DataFrame) -> DataFrame:
+    """(key, grams, size): the distinct trigrams of `key`, the rarest first by `df` (gram, df), ties by gram; grams that `df` does not
+    have come before all, as the rarest."""
+    each = rows.select(key, F.explode(tx.trigrams(F.col(key))).alias("gram")).join(df, "gram", "left").fillna(0, ["df"])
+    return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: x["gram"]).alias("grams"), F.count("*").alias("size"))
+
+
+def prefixes(sets: DataFrame, key: str, floor: float) -> DataFrame:
+    """(key, size, place, gram): the first ``size - ceil(floor * size) + 1`` grams. Of two sets alike by `floor` at least, these have a
+    gram in common: otherwise all they share lies in the rest of one, which is too small."""
+    length = F.col("size") - F.ceil(F.lit(floor) * F.col("size") - 1e-9) + 1
+    return sets.select(key, "size", F.posexplode(F.slice("grams", F.lit(1), length.cast("int"))).alias("place", "gram"))
+
+
+def name_candidates(terms: DataFrame, kept: DataFrame, floor: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs (term, name), sets of the terms, sets of the names): pairs that may be alike by `floor`.
+
+    A term and a name meet only by a gram in both prefixes, and the sizes and places leave room for enough shared grams: what
+    two sets can still share after a first gram at places i and j is the smaller of what is left of both.
+    """
+    names = kept.select("name").distinct()
+    df = names.select(F.explode(tx.trigrams(F.col("name"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    a, b = gram_sets(terms.select("term").distinct(), "term", df), gram_sets(names, "name", df)
+    left = prefixes(a, "term", floor).withColumnsRenamed({"size": "na", "place": "pa"})
+    right = prefixes(b, "name", floor).withColumnsRenamed({"size": "nb", "place": "pb"})
+    met = left.join(right, "gram").where((F.col("na") >= floor * F.col("nb") - 1e-9) & (F.col("nb") >= floor * F.col("na") - 1e-9))
+    first = met.groupBy("term", "name", "na", "nb").agg(F.min(F.struct("pa", "pb")).alias("p"))
+    room = F.least(F.col("na") - F.col("p.pa"), F.col("nb") - F.col("p.pb"))
+    need = F.lit(floor) / (1 + floor) * (F.col("na") + F.col("nb")) - 1e-9
+    return first.where(room >= need).select("term", "name"), a, b
+
+
 def alike_names(terms: DataFrame, kept: DataFrame, floor: float = 0.3, sent: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """(term, name, doc_freq, sim): names whose trigrams are like a term's, at least by `floor`. Candidates share a trigram (an
-    equi join); similarity follows from the counts alone."""
-    a = terms.withColumn("g", tx.trigrams(F.col("term"))).select("term", F.size("g").alias("na"), F.explode("g").alias("gram"))
-    e = kept.withColumn("g", tx.trigrams(F.col("name"))).select("name", "doc_freq", F.size("g").alias("nb"), F.explode("g").alias("gram"))
-    both = e.join(sent(a), "gram").groupBy("term", "name", "doc_freq", "na", "nb").agg(F.count("*").alias("i"))
-    sim = F.round(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), 6)
-    return both.withColumn("sim", sim).where(F.col("sim") >= floor).select("term", "name", "doc_freq", "sim")
+    """(term, name, doc_freq, sim): names whose trigrams are like a term's, at least by `floor`. Sets meet by their rarest grams
+    (`name_candidates`), and only those pairs are compared."""
+    pairs, a, b = name_candidates(terms, kept, floor)
+    rows = pairs.join(sent(a.select("term", F.col("grams").alias("ga"))), "term").join(b.select("name", F.col("grams").alias("gb")), "name")
+    both = F.size(F.array_intersect("ga", "gb"))
+    sim = F.round(both / (F.size("ga") + F.size("gb") - both), 6)
+    return rows.withColumn("sim", sim).where(F.col("sim") >= floor).select("term", "name", "sim").join(kept.select("name", "doc_freq"), "name").select("term", "name", "doc_freq", "sim")
 
 
 def holding_names(terms: DataFrame, kept: DataFrame) -> DataFrame:

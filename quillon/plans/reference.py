@@ -333,9 +333,7 @@ def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def finalise_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw windows of 90 code points over each whole text: trimmed, without empty ones, numbered anew."""
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = F.length("text")
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(90))).otherwise(F.array().cast("array<int>"))
-    raw = rows.select("passage_id", "text", F.posexplode(starts).alias("chunk_index", "s")).withColumn("e", F.least(F.col("s") + 90, n))
+    raw = rows.select("passage_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,90}"), F.lit(0))).alias("chunk_index", "body")).withColumn("s", 90 * F.col("chunk_index"))
     return chunking.finalised(raw).drop("body")
 
 

@@ -43,22 +43,29 @@ def qrels(questions: DataFrame, passages: DataFrame) -> DataFrame:
     """(query_id, passage_id): passages that contain the question's text verbatim.
 
     The inner words of a question (all but the first and last, which may end within a word of the passage) stand in the
-    passage as they are, so the two meet by a hash of four of them in an equi join, and only those pairs are compared.
-    Questions of fewer words, which say little, are compared with every passage, if there are no more than `small` takes.
+    passage as they are, so the two meet by a hash of four of them in an equi join, or of one where there are fewer. Only ids and keys
+    meet; the text of a passage is fetched once for each question that shares its key, and compared. Questions of one or two
+    words have no inner word: they are compared with every passage, if there are no more than `small` takes.
     """
     words = F.split("query_text", " ")
     asked = questions.select("query_id", "query_text", words.alias("w"))
-    long = asked.where(F.size("w") >= KEY_WORDS + 2).select("query_id", "query_text", F.xxhash64(*[F.element_at("w", i) for i in range(2, KEY_WORDS + 2)]).alias("key"))
-    w = F.split("text", " ")
+    n = F.size("w")
+    long = asked.where(n >= KEY_WORDS + 2).select("query_id", F.xxhash64(*[F.element_at("w", i) for i in range(2, KEY_WORDS + 2)]).alias("key"))
+    middle = asked.where(n.between(3, KEY_WORDS + 1)).select("query_id", F.xxhash64(F.element_at("w", 2)).alias("key"))
+    split = passages.select("passage_id", F.split("text", " ").alias("w"))
     # Successive words as a generated row each, in generated code; a passage has few keys that any question has.
-    at = passages.select("passage_id", "text", w.alias("w")).select("passage_id", "text", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - (KEY_WORDS - 1), F.lit(1)))).alias("i")).where(F.size("w") >= F.col("i") + (KEY_WORDS - 1))
-    keyed = at.select("passage_id", "text", F.xxhash64(*[F.element_at("w", F.col("i") + j) for j in range(KEY_WORDS)]).alias("key"))
-    met = keyed.join(small(long), "key").where(F.contains("text", F.col("query_text"))).select("query_id", "passage_id").distinct()
-    short = asked.where(F.size("w") < KEY_WORDS + 2).select("query_id", "query_text")
+    at = split.select("passage_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
+    keyed = at.where(F.size("w") >= F.col("i") + (KEY_WORDS - 1)).select("passage_id", F.xxhash64(*[F.element_at("w", F.col("i") + j) for j in range(KEY_WORDS)]).alias("key"))
+    met = keyed.join(small(long), "key").select("query_id", "passage_id").distinct()
+    if not middle.isEmpty():
+        single = at.select("passage_id", F.xxhash64(F.element_at("w", F.col("i"))).alias("key"))
+        met = met.unionByName(single.join(small(middle), "key").select("query_id", "passage_id").distinct())
+    found = met.join(passages.select("passage_id", "text"), "passage_id").join(small(questions.select("query_id", "query_text")), "query_id")
+    found = found.where(F.contains("text", F.col("query_text"))).select("query_id", "passage_id")
+    short = asked.where(n < 3).select("query_id", "query_text")
     if short.isEmpty():
-        return met
-    some = passages.select("passage_id", "text").join(small(short), F.contains("text", F.col("query_text"))).select("query_id", "passage_id")
-    return met.unionByName(some)
+        return found
+    return found.unionByName(passages.select("passage_id", "text").join(small(short), F.contains("text", F.col("query_text"))).select("query_id", "passage_id"))
 
 
 _STORES: dict[tuple, Store] = {}
