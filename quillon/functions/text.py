@@ -25,6 +25,9 @@ INDEX_TOKEN = r"[\p{L}\p{N}_]{2,}"
 TERM = r"[A-Za-z][A-Za-z0-9\-']{2,}"
 SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z0-9(\[])"
 
+#: Where a question's clauses part: marks before a blank or the end, and conjunctions between words.
+CLAUSE_BREAK = r"[,;:.?!](?= |$)| (?:and|or|but|versus|while|whereas) "
+
 YESNO = r"(?i)^(is|are|does|do|can|has|have|was|were|should|could|did|will)\b"
 LISTING = r"(?i)^(list|which|what are|name)\b"
 

@@ -22,6 +22,38 @@ def feedback_queries(questions: DataFrame, hits_text: DataFrame, most: int = 3)
     return own.unionByName(more.select("query_id", F.col("rank").alias("nth"), F.concat_ws(" ", "query_text", F.element_at(tx.sentences(F.col("text")), 1)).alias("query_text")))
 
 
+def relevance_model(questions: DataFrame, hits_text: DataFrame, most: int = 10, mix: float = 0.5, stop: list[str] | None = None) -> DataFrame:
+    """(query_id, term, weight, nth): the `most` heaviest terms of a relevance model of the first hits (query_id, chunk_id, score, text).
+
+    A hit counts by its share of the scores, a term by its share of the hit's tokens; the question's own shares are mixed in by
+    `mix`. Questions without hits have their own terms alone, at `mix`. Ties go to the term first in order.
+    """
+    total = F.sum("score").over(Window.partitionBy("query_id"))
+    hits = hits_text.select("query_id", "chunk_id", (F.col("score") / total).alias("share"), tx.index_tokens(F.col("text"), stop).alias("tokens"))
+    theirs = hits.select("query_id", "share", F.size("tokens").alias("size"), F.explode("tokens").alias("term")).select("query_id", "term", ((1 - mix) * F.col("share") / F.col("size")).alias("weight"))
+    asked = questions.select("query_id", tx.index_tokens(F.col("query_text"), stop).alias("tokens"))
+    own = asked.select("query_id", F.size("tokens").alias("size"), F.explode("tokens").alias("term")).select("query_id", "term", (F.lit(mix) / F.col("size")).alias("weight"))
+    sums = theirs.unionByName(own).groupBy("query_id", "term").agg(F.round(F.sum("weight"), 9).alias("weight"))
+    return ranked(sums, ["query_id"], [F.desc("weight"), F.asc("term")], most, "nth")
+
+
+def hypothetical(questions: DataFrame, hits_text: DataFrame, most: int = 10) -> DataFrame:
+    """(query_id, nth, query_text): the question, and a text of the heaviest terms of its relevance model, which stands for the passage that
+    a language model would write."""
+    terms = relevance_model(questions, hits_text, most)
+    made = terms.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "term"))), lambda x: x["term"]), " ").alias("query_text"))
+    return questions.select("query_id", F.lit(0).alias("nth"), "query_text").unionByName(made.select("query_id", F.lit(1).alias("nth"), "query_text"))
+
+
+def clauses(questions: DataFrame, most: int = 4) -> DataFrame:
+    """(query_id, nth, query_text): the question, and its clauses of two index tokens at least where there are two or more of
+    them, `most` at most."""
+    parts = F.filter(F.transform(F.split("query_text", tx.CLAUSE_BREAK), lambda p: F.trim(p)), lambda p: F.size(tx.index_tokens(p)) >= 2)
+    rows = questions.select("query_id", "query_text", parts.alias("parts"))
+    some = F.when(F.size("parts") >= 2, F.slice("parts", 1, most)).otherwise(F.array().cast("array<string>"))
+    return rows.select("query_id", F.posexplode(F.concat(F.array("query_text"), some)).alias("nth", "query_text"))
+
+
 def listed_queries(questions: DataFrame, generated: DataFrame, mode: str) -> DataFrame:
     """(query_id, nth, query_text) from a model's raw replies (query_id, reply), a JSON list in each.
 

@@ -93,10 +93,13 @@ class Engine:
         return retrieve.graph(questions, None, None, self.store.n, self.passages, self._chunks_of(strategy), k, likeness=self.likeness, best=found)
 
     def queries(self, questions: DataFrame, config: RetrievalConfig) -> DataFrame:
-        """(query_id, nth, query_text) of a transform, by feedback from a first retrieval."""
+        """(query_id, nth, query_text) of a transform: hyde asks with a relevance model of the first hits, multi_query with the first
+        sentence of each, decompose with the question's clauses."""
+        if config.transform == "decompose":
+            return layers.clauses(questions)
         first = self._base(questions, config, 3)
         text = self.units(config.strategy).select("chunk_id", "text").join(retrieve.sender(questions)(first), "chunk_id")
-        return layers.feedback_queries(questions, text, {"hyde": 1, "multi_query": 3, "decompose": 3}[config.transform])
+        return layers.hypothetical(questions, text) if config.transform == "hyde" else layers.feedback_queries(questions, text)
 
     def retrieve(self, questions: DataFrame, config: RetrievalConfig, best: dict[str, DataFrame] | None = None) -> DataFrame:
         """Hits after the transform, retrieval and reranking."""

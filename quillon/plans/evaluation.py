@@ -59,6 +59,31 @@ def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.rerank(hits, tables.questions(spark, sf_dir)).select("query_id", "passage_id", "before_rank", "score", "rank")
 
 
+FIRST = PASSAGES + bm25_sql("hits", "passage_units", 3)
+MODEL_SQL = """, shares as (select query_id, chunk_id, score / sum(score) over (partition by query_id) as share from hits),
+ theirs as (select query_id, unnest(l) as term, 0.5::double * share / len(l) as weight from shares join hits_l using (chunk_id)),
+ own as (select query_id, term, qf * 0.5::double / sum(qf) over (partition by query_id) as weight from hits_q),
+ model as (select query_id, term, round(sum(weight), 9) as weight from (select * from theirs union all select * from own) group by all)
+"""
+
+
+@query("relevance_model", FIRST + MODEL_SQL + "select query_id, term, weight, row_number() over (partition by query_id order by weight desc, term)::int as nth from model qualify nth <= 10")
+def relevance_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten heaviest terms for each question, from its three best passages."""
+    units = passage_units(tables.passages(spark, sf_dir))
+    return layers.relevance_model(tables.questions(spark, sf_dir), with_text(passage_hits(spark, sf_dir, 3), units))
+
+
+CLAUSE_SQL = uses("questions").rstrip() + r""", c as (select query_id, query_text, list_filter(list_transform(string_split(regexp_replace(regexp_replace(query_text, '[,;:.?!]( |$)', chr(1) || '\1', 'g'), ' (and|or|but|versus|while|whereas) ', chr(1), 'g'), chr(1)), lambda p: trim(p)),
+   lambda p: len(list_filter(regexp_extract_all(lower(p), '[\p{L}\p{N}_]{2,}'), lambda t: t not in (""" + STOP_SQL + """))) >= 2) as parts from questions)
+ select query_id, unnest(range(1 + case when len(parts) >= 2 then least(len(parts), 4) else 0 end))::int as nth, unnest(list_concat([query_text], case when len(parts) >= 2 then parts[1:4] else [] end)) as query_text from c"""
+
+
+@query("question_clauses", CLAUSE_SQL)
+def question_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.clauses(tables.questions(spark, sf_dir))
+
+
 @query("multi_query")
 def multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, units = tables.questions(spark, sf_dir), passage_units(tables.passages(spark, sf_dir))

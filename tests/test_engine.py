@@ -357,3 +357,21 @@ def test_token_windows(spark):
     text = "one-two, three (four) five. six seven-eight-nine ten a,b,c,d,e eleven twelve"
     for size, overlap in ((4, 1), (5, 3), (7, 0), (100, 5)):
         assert spans(chunking.tokens(passages(spark, text), size, overlap)) == plain(text, size, overlap)
+
+
+def test_three_transforms_ask_differently(spark):
+    from quillon.operators import layers
+
+    asked = spark.createDataFrame([(1, "what binds the red ligand, and which gene makes receptor alpha?"), (2, "one thing"), (3, "")], "query_id long, query_text string")
+    got = {(r["query_id"], r["nth"]): r["query_text"] for r in layers.clauses(asked).collect()}
+    assert got == {(1, 0): "what binds the red ligand, and which gene makes receptor alpha?", (1, 1): "what binds the red ligand", (1, 2): "which gene makes receptor alpha", (2, 0): "one thing", (3, 0): ""}
+    hits = spark.createDataFrame([(1, 7, 3.0, "ligand ligand receptor pathway", 1), (1, 8, 1.0, "pathway other", 2)], "query_id long, chunk_id long, score double, text string, rank int")
+    model = {r["term"]: r["weight"] for r in layers.relevance_model(asked.where("query_id = 1"), hits, 20).collect()}
+    tokens = ["what", "binds", "red", "ligand", "which", "gene", "makes", "receptor", "alpha"]
+    n = len(tokens)
+    want = {t: 0.5 / n for t in tokens}
+    for term, x in (("ligand", 0.5 * 0.75 * 2 / 4), ("receptor", 0.5 * 0.75 / 4), ("pathway", 0.5 * (0.75 / 4 + 0.25 / 2)), ("other", 0.5 * 0.25 / 2)):
+        want[term] = want.get(term, 0) + x
+    assert model == {t: round(w, 9) for t, w in want.items()}
+    hyde = {r["nth"]: r["query_text"] for r in layers.hypothetical(asked.where("query_id = 1"), hits, 3).collect()}
+    assert hyde == {0: asked.first()["query_text"], 1: "ligand pathway receptor"}
