@@ -21,7 +21,8 @@ results do not depend on it but for the pairs that go unseen. A shingle is compa
 A pair at the threshold goes unseen when no band agrees: (1 - 0.85**5)**32 = 7e-9 at the defaults.
 
 Null or blank texts have the empty set and are linked with nothing. Rows without doc_id are linked with nothing, have
-no component_id and are kept. Rows repeated with one doc_id are one document. Other columns are not read.
+no component_id and are kept. Rows repeated with one doc_id are one document. Very long texts are hashed whole, in blocks.
+An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations

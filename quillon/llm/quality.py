@@ -8,7 +8,8 @@
   mean and a path's one around its host's posterior mean; the strength of either prior comes from the spread between
   sites, by the method of moments, so that sparse sites shrink to their parent and large ones speak for themselves.
 * *Both.* A document's log odds are its own plus those of its path's posterior against the global mean; its own share, label
-  included, is taken out of the path's counts first, so no label reaches the document that bears it.
+  included, is taken out of the path's counts first. The classifier and the host's sums still hold its label, so scores of
+  labelled documents are in-sample; `held_out` names a fold whose labels are used nowhere, for scores that are not.
 
 Sites are sent to all executors only as long as there are at most `max_broadcast`; beyond, rows meet them in a shuffle
 in which every site's rows are spread over `salts` tasks, as one host may hold a third of all rows.
