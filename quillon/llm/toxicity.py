@@ -138,14 +138,25 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return float(a), float(b)
 
 
-def train(bucket: np.ndarray, times: np.ndarray, size: np.ndarray, labels: np.ndarray, bits: int = 18, dim: int = 8, steps: int = 25, rate: float = 400.0, least: float = 3.5, seed: int = 9) -> Model:
-    """Joint training of embeddings and softmax on the bags of all texts, end to end: `size` distinct buckets of each
-    text, each bucket and how often it occurs."""
+def shares(times: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Each bucket's share of its text's bag; `size`: buckets of each text."""
+    text = np.repeat(np.arange(len(size)), size)
+    return (times / np.bincount(text, weights=times, minlength=len(size))[text]).astype(np.float32)
+
+
+def train(bucket: np.ndarray, times: np.ndarray, size: np.ndarray, labels: np.ndarray, **options) -> Model:
+    """`trained` on the bags of all texts, end to end: `size` distinct buckets of each text, each bucket and how often it occurs."""
+    return trained([(bucket, shares(times, size), size)] if len(size) else [], labels, **options)
+
+
+def trained(bags: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = 18, dim: int = 8, steps: int = 25, rate: float = 400.0, least: float = 3.5, seed: int = 9) -> Model:
+    """Joint training of embeddings and softmax on `bags`: (buckets, their shares, buckets of each text) of successive texts. They are
+    used as they are, without a copy of all."""
     y = np.asarray(labels, np.float64)
     prior, none = float(y.mean()) if len(y) else 0.0, np.zeros(1 << bits, np.float32)
     if not 0 < prior < 1:
         return Model(none, 0.0, 0.0, -30.0 if prior == 0 else 30.0, prior)
-    some = size > 0
+    some = np.concatenate([size for _, _, size in bags]) > 0
     tuning = (np.arange(len(y)) % 5 == 4) & some
     if len(set(y[tuning])) < 2 or len(set(y[some & ~tuning])) < 2:
         tuning = np.zeros(len(y), bool)  # too few rows to leave any out
@@ -153,20 +164,18 @@ def train(bucket: np.ndarray, times: np.ndarray, size: np.ndarray, labels: np.nd
     q = float(y[fitted].mean()) if fitted.any() else 0.0
     if not 0 < q < 1:
         return Model(none, 0.0, 0.0, 0.0, prior)
-    at = np.concatenate([[0], np.cumsum(size)])
-    cuts = np.unique(np.searchsorted(at, np.arange(0, at[-1] + (1 << 20), 1 << 20)).clip(max=len(y)))
-    parts = [(lo, hi, slice(at[lo], at[hi])) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-    share = np.empty(len(bucket), np.float32)
-    for lo, hi, own in parts:
-        text = np.repeat(np.arange(hi - lo), size[lo:hi])
-        share[own] = times[own] / np.bincount(text, weights=times[own], minlength=hi - lo)[text]
-    del times
+    parts, first = [], 0
+    for bucket, share, size in bags:
+        at = np.concatenate([[0], np.cumsum(size)])
+        cuts = np.unique(np.searchsorted(at, np.arange(0, at[-1] + (1 << 20), 1 << 20)).clip(max=len(size)))
+        parts += [(first + lo, first + hi, size[lo:hi], bucket[at[lo] : at[hi]], share[at[lo] : at[hi]]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        first += len(size)
 
     def gathered(of_text: np.ndarray, power: int = 1) -> np.ndarray:
         """For each bucket the sum over texts of `of_text` times its share in the text."""
         out = np.zeros(1 << bits)
-        for lo, hi, own in parts:
-            out += np.bincount(bucket[own], weights=share[own] ** power * np.repeat(of_text[lo:hi], size[lo:hi]), minlength=1 << bits)
+        for lo, hi, size, bucket, share in parts:
+            out += np.bincount(bucket, weights=share**power * np.repeat(of_text[lo:hi], size), minlength=1 << bits)
         return out
 
     rng = np.random.default_rng(seed)
@@ -178,8 +187,8 @@ def train(bucket: np.ndarray, times: np.ndarray, size: np.ndarray, labels: np.nd
 
     def logits() -> np.ndarray:
         weight, out = emb @ (soft[1] - soft[0]), np.zeros(len(y))
-        for lo, hi, own in parts:
-            out[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), size[lo:hi]), weights=weight[bucket[own]] * share[own], minlength=hi - lo)
+        for lo, hi, size, bucket, share in parts:
+            out[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), size), weights=weight[bucket] * share, minlength=hi - lo)
         return out + bias
 
     for i in range(steps):
@@ -255,21 +264,16 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, max_rows:
     bags = rows.join(F.broadcast(kept), "doc_id").select("doc_id", "toxic", "text").mapInArrow(lambda it: bag_rows(it, bits), "doc_id long, toxic int, bucket binary, times binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int32)
-        marks, sizes, buckets, times = [none], [none], [none], [none]
-        last = None
+        bags, marks, last = [], [np.zeros(0, np.int32)], None
         for batch in batches:
             ids = np.array([last, *batch.column("doc_id").to_pylist()], object)
             batch = batch.filter(pa.array(ids[1:] != ids[:-1], pa.bool_()))
             last = ids[-1]
-            b, n = joined(batch.column("bucket"))
-            buckets.append(b)
-            sizes.append(n)
-            times.append(joined(batch.column("times"))[0])
-            marks.append(batch.column("toxic").to_numpy())
-        columns = [np.concatenate(x) for x in (buckets, times, sizes, marks)]
-        del buckets, times
-        m = train(*columns, **options)
+            bucket, size = joined(batch.column("bucket"))
+            if len(size):
+                bags.append((bucket, shares(joined(batch.column("times"))[0], size), size))
+                marks.append(batch.column("toxic").to_numpy())
+        m = trained(bags, np.concatenate(marks), **options)
         yield pa.RecordBatch.from_pydict({"weight": [m.weight.tobytes()], "numbers": [[m.bias, m.slope, m.shift, m.prior]]})
 
     made = bags.repartition(1).sortWithinPartitions("doc_id", "bucket").mapInArrow(run, "weight binary, numbers array<double>").first()
