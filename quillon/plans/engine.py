@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..config import RetrievalConfig
 from ..functions import vectors
 from ..operators import chunking, layers, metrics, ranking, retrieve
+from ..settings import Settings, settings as settings_of_process
 from ..sources import tables
 
 COMMON = ["query_id", "chunk_id", "passage_id", "score", "rank"]
@@ -24,7 +25,8 @@ class Engine:
 
     Providers: `embed` (text -> vector, named `embedding` where its vectors are stored), `score` (question, text -> number)
     for reranking, `likeness` (question, text -> cosine) for the chunk that stands for a passage in graph retrieval, `judge`
-    (answer, gold text -> number), `retrievers` (name -> function of questions, strategy and k that gives hits).
+    (answer, gold text -> number), `retrievers` (name -> function of questions, strategy and k that gives hits). `settings` has
+    the numbers of the retrievers and what `ask` does by default; those of the process, if none are given.
     """
 
     def __init__(
@@ -37,13 +39,15 @@ class Engine:
         likeness: Callable[[Column, Column], Column] = retrieve.term_likeness,
         judge: Callable[[Column, Column], Column] = metrics.token_f1,
         retrievers: dict[str, Callable[[DataFrame, str, int], DataFrame]] | None = None,
+        settings: Settings | None = None,
     ) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.settings = spark, sf_dir, settings or settings_of_process()
         if embed is not None and not embedding:
             raise ValueError("name the embedding, so that its vectors are not taken for another model's")
-        if embed is None and embedding not in (None, "hashed"):
+        if embed is None and embedding is not None:
             raise ValueError("a named embedding needs its model")
-        self.embed, self.embedding = embed or vectors.hashing_embedder(), embedding or "hashed"
+        dim = self.settings.embedding_dim
+        self.embed, self.embedding = embed or vectors.hashing_embedder(dim), embedding or f"hashed_{dim}"
         self.score, self.likeness, self.judge = score, likeness, judge
         self.retrievers = retrievers or {}
         self.passages = tables.passages(spark, sf_dir)
@@ -69,11 +73,15 @@ class Engine:
         return retrieve.dense(asked, kept, k)
 
     def _best_literal(self, questions: DataFrame) -> DataFrame:
-        return retrieve.literal_passages(questions, self.passages)
+        return retrieve.literal_passages(questions, self.passages, self.settings.grep_candidates)
 
     def _best_graph(self, questions: DataFrame) -> DataFrame:
-        scored = retrieve.graph_scores(questions, self.store.edges(), self.store.entities(), self.store.n)
-        return ranking.ranked(scored, ["query_id"], [F.desc("score"), F.asc("passage_id")], 40, "nth")
+        own = self.settings
+        scored = retrieve.graph_scores(questions, self.store.edges(), self.store.entities(), self.store.n, own.graph_candidates, own.graph_neighbours, own.graph_damping)
+        return ranking.ranked(scored, ["query_id"], [F.desc("score"), F.asc("passage_id")], own.graph_candidates, "nth")
+
+    def _lexical(self, questions: DataFrame, strategy: str, k: int) -> DataFrame:
+        return retrieve.bm25_indexed(questions, self.store.lexical(strategy), k, self.settings.bm25_k1, self.settings.bm25_b)
 
     def _base(self, questions: DataFrame, config: RetrievalConfig, k: int, best: dict[str, DataFrame] | None = None) -> DataFrame:
         """Hits of a retriever. `best`: passages that grep and kg have found for these questions already, for any strategy."""
@@ -81,13 +89,14 @@ class Engine:
         if name in self.retrievers:
             return self.retrievers[name](questions, strategy, k)
         if name == "bm25":
-            return retrieve.bm25_indexed(questions, self.store.lexical(strategy), k)
+            return self._lexical(questions, strategy, k)
         if name == "dense":
             return self._dense(questions, strategy, k)
         if name == "hybrid":
-            return ranking.rrf({"dense": self._dense(questions, strategy, 3 * k), "bm25": retrieve.bm25_indexed(questions, self.store.lexical(strategy), 3 * k)}, k)
+            return ranking.rrf({"dense": self._dense(questions, strategy, 3 * k), "bm25": self._lexical(questions, strategy, 3 * k)}, k, constant=self.settings.rrf_constant)
         found = (best or {}).get(name)
         if name == "grep":
+            found = self._best_literal(questions) if found is None else found
             return retrieve.literal(questions, self.passages, self._chunks_of(strategy), k, best=found)
         found = self._best_graph(questions) if found is None else found
         return retrieve.graph(questions, None, None, self.store.n, self.passages, self._chunks_of(strategy), k, likeness=self.likeness, best=found)
@@ -120,9 +129,14 @@ class Engine:
             return layers.expand_parent(hits, self.passages).withColumnRenamed("context_text", "text")
         return self.units(config.strategy).select("chunk_id", "text").join(hits, "chunk_id")
 
-    def ask(self, questions: DataFrame, config: RetrievalConfig, gold: DataFrame | None = None) -> DataFrame:
+    def default_config(self) -> RetrievalConfig:
+        own = self.settings
+        return RetrievalConfig(own.strategy, own.retriever, top_k=own.top_k, candidate_k=own.candidate_k)
+
+    def ask(self, questions: DataFrame, config: RetrievalConfig | None = None, gold: DataFrame | None = None) -> DataFrame:
         """(query_id, answer, passages, valid, invalid): an extractive answer to each question with checked citations. With
         `gold` (query_id, passage_id) also is_gold of each passage, mrr and recall_10."""
+        config = config or self.default_config()
         hits = self.retrieve(questions, config)
         context = self.with_context(hits, config)
         checked = layers.checked_answers(layers.extractive_answers(context), hits)

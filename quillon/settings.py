@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Settings:
-    """What a deployment may change. Numbers are those of the engine's defaults."""
+    """What a deployment may change; `Engine` reads all of it. Numbers are the defaults of the operators."""
 
     retriever: str = "hybrid"
     strategy: str = "passage"
@@ -19,19 +19,11 @@ class Settings:
     rrf_constant: int = 60
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
-    embedding_name: str = "hashed"
     embedding_dim: int = 64
-    embedding_prefix: str = ""
-    calibration_passages: int = 1500
-    calibration_share: float = 0.75
     graph_candidates: int = 40
     graph_neighbours: int = 15
     graph_damping: float = 0.3
     grep_candidates: int = 50
-    search_terms: int = 8
-    log_source: str = "api"
-    evaluation_size: int = 150
-    seed: str = "42"
 
     @staticmethod
     def load(environment: dict[str, str] | None = None) -> Settings:

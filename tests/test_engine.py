@@ -310,6 +310,21 @@ def test_settings():
     assert Settings.load({}).top_k == 5 and Settings.load({"QUILLON_TOP_K": "7", "QUILLON_BM25_B": "0.5"}) == Settings(top_k=7, bm25_b=0.5)
 
 
+def test_settings_reach_the_retrievers(spark, sf):
+    from quillon.operators import retrieve
+    from quillon.settings import Settings
+
+    asked = tables.questions(spark, sf).where("query_id < 6")
+    engine = Engine(spark, sf, settings=Settings(strategy="passage", retriever="bm25", top_k=3, bm25_k1=0.5, bm25_b=0.0, grep_candidates=2, rrf_constant=1, graph_candidates=4, graph_neighbours=1))
+    hits = lambda name: engine.retrieve(asked, RetrievalConfig("passage", name, top_k=5))
+    want = retrieve.bm25_indexed(asked, engine.store.lexical("passage"), 5, 0.5, 0.0)
+    assert sorted(map(tuple, hits("bm25").collect())) == sorted(map(tuple, want.select(hits("bm25").columns).collect()))
+    assert max(r["rank"] for r in hits("grep").collect()) <= 2 and max(r["rank"] for r in hits("kg").collect()) <= 5
+    assert max(r["score"] for r in hits("hybrid").collect()) > 0.3
+    assert engine.default_config() == RetrievalConfig("passage", "bm25", top_k=3) and engine.embedding == "hashed_64"
+    assert max(len(r["passages"] or []) for r in engine.ask(asked).collect()) == 3
+
+
 def test_providers(spark, sf):
     from quillon.functions import vectors
 
