@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..functions.stem import stems
+from ..sources.files import written
 
 BUCKETS = 64
 NAME = r"[\p{Lu}][\p{L}\p{N}\-]{2,}(?: [\p{Lu}][\p{L}\p{N}\-]{2,})?"
@@ -42,6 +44,23 @@ def postings(tokenised: DataFrame) -> DataFrame:
     return rows.groupBy("term", "chunk_id", "passage_id", "dl", "n_terms").agg(F.count("*").alias("tf"))
 
 
+def stem_table(terms: DataFrame) -> DataFrame:
+    """`stems`, written: a filter on the stem that a later join brings would otherwise be taken down through all steps, each of which
+    names the word many times."""
+    return written(stems(terms), "stems")
+
+
+def stemmed(lexical: Lexical) -> Lexical:
+    """The index by stem instead of by term, made from its postings: no text is read. The vocabulary is stemmed once; in the join
+    by term a frequent term's postings may be split (AQE), and the counts of a unit's terms with one stem are added. Lengths
+    stay, and a unit's number of distinct terms becomes that of its stems."""
+    met = lexical.postings.join(stem_table(lexical.df), "term")
+    added = met.groupBy("chunk_id", "passage_id", "dl", "stem").agg(F.sum("tf").alias("tf"))
+    own = added.groupBy("chunk_id").agg(F.count("*").cast("int").alias("n_terms"))
+    rows = added.join(own, "chunk_id").select(F.col("stem").alias("term"), "chunk_id", "passage_id", "dl", "n_terms", "tf", bucket(F.col("stem")).alias("bucket"))
+    return Lexical(rows, rows.groupBy("term").agg(F.count("*").alias("df")), lexical.stats)
+
+
 def candidates(text: Column) -> Column:
     """Entity candidates of a text: capitalised words, and pairs of successive ones."""
     words = F.regexp_extract_all(text, F.lit(NAME), F.lit(0))

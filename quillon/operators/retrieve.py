@@ -52,20 +52,36 @@ def bm25(questions: DataFrame, units: DataFrame, k: int = 10, k1: float = 1.2, b
     return top_hits(scored.where("score > 0"), k)
 
 
-def bm25_indexed(questions: DataFrame, lexical: index.Lexical, k: int = 10, k1: float = 1.2, b: float = 0.75, stop: list[str] | None = None) -> DataFrame:
-    """`bm25` over a stored index: the postings of the questions' terms are read, no text."""
-    sent = sender(questions)
-    asked = questions.select("query_id", F.explode(tx.index_tokens(F.col("query_text"), stop)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+def index_terms(questions: DataFrame, stop: list[str] | None = None) -> DataFrame:
+    """(query_id, term, qf): the index terms of the questions with their counts."""
+    return questions.select("query_id", F.explode(tx.index_tokens(F.col("query_text"), stop)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+
+
+def weighed(asked: DataFrame, lexical: index.Lexical, is_few: bool, k: int, k1: float, b: float) -> DataFrame:
+    """The best hits of `asked` (query_id, term, qf) by BM25 over a stored index."""
+    sent = F.broadcast if is_few else (lambda df: df)
     terms = asked.select("term").distinct()
     weighted = lexical.df.join(sent(terms), "term").crossJoin(F.broadcast(lexical.stats)).select("term", "avgdl", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats is one row
     tf = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     parts = lexical.found(terms).join(sent(weighted), "term").select("chunk_id", "passage_id", "term", (F.col("idf") * tf).alias("part"))
-    if few(questions):
+    if is_few:
         return top_hits(summed(parts.repartition("chunk_id"), asked, k), k)
     scored = parts.join(asked, "term").groupBy("query_id", "chunk_id", "passage_id").agg(F.round(F.sum(F.col("qf") * F.col("part")), 6).alias("score"))
     return top_hits(scored.where("score > 0"), k)
 
 
+def bm25_indexed(questions: DataFrame, lexical: index.Lexical, k: int = 10, k1: float = 1.2, b: float = 0.75, stop: list[str] | None = None) -> DataFrame:
+    """`bm25` over a stored index: the postings of the questions' terms are read, no text."""
+    return weighed(index_terms(questions, stop), lexical, few(questions), k, k1, b)
+
+
+def bm25_stemmed(questions: DataFrame, lexical: index.Lexical, k: int = 10, k1: float = 1.2, b: float = 0.75, stop: list[str] | None = None) -> DataFrame:
+    """`bm25_indexed` over an index by stem (`index.stemmed`); the questions' terms are stemmed as the index's were."""
+    asked = index_terms(questions, stop)
+    by_stem = asked.join(index.stem_table(asked), "term").groupBy("query_id", F.col("stem").alias("term")).agg(F.sum("qf").alias("qf"))
+    return weighed(by_stem, lexical, few(questions), k, k1, b)
+
+
 def term_cosine_indexed(questions: DataFrame, lexical: index.Lexical, k: int = 10, stop: list[str] | None = None) -> DataFrame:
     """Cosine of binary term vectors over a stored index, a dense retriever that needs no model: shared distinct terms by
     the root of the product of both numbers of distinct terms."""

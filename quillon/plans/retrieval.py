@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import stem
 from ..functions import text as tx
 from ..operators import ann, chunking, index, lsa, pruned, ranking, retrieve
 from ..sources import tables
@@ -424,3 +425,66 @@ def postings_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = passage_units(tables.passages(spark, sf_dir))
     made = index.postings(units.select("chunk_id", "passage_id", tx.index_tokens(F.col("text"), stem=tx.s_stem).alias("tokens")))
     return made.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def stem_sql(name: str, terms: str) -> str:
+    """CTEs that end with `name` (term, stem): the English stems of `terms` (term), step by step."""
+
+    def last(of: list[str] | dict[str, str]) -> str:
+        return f"regexp_extract(w, '({'|'.join(of)})$', 1)"
+
+    def swap(of: dict[str, str]) -> str:
+        return "left(w, length(w) - length(s)) || case s " + " ".join(f"when '{a}' then '{b}'" for a, b in of.items()) + " end"
+
+    irregular = " ".join(f"when '{a}' then '{b}'" for a, b in stem.IRREGULAR.items())
+    short = "([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$"
+    return rf""", {name}_0 as (select distinct term, regexp_replace(regexp_replace(regexp_replace(term, '^''', ''), '(^|[aeiouy])y', '\1Y', 'g'), '(''s''|''s|'')$', '') as w from {terms}),
+ {name}_r as (select *, length(coalesce(nullif(regexp_extract(w, '^(?:gener|commun|arsen|[^aeiouy]*[aeiouy]+[^aeiouy])'), ''), w)) as r1 from {name}_0),
+ {name}_s as (select *, r1 + length(coalesce(nullif(regexp_extract(w[r1 + 1:], '^[^aeiouy]*[aeiouy]+[^aeiouy]'), ''), w[r1 + 1:])) as r2, {last(["sses", "ied", "ies", "us", "ss", "s"])} as s from {name}_r),
+ {name}_a as (select term, r1, r2, left(w, length(w) - case when s = 'sses' then 2 when s in ('ied', 'ies') then if(length(w) > 4, 2, 1) when s = 's' and regexp_matches(w, '[aeiouy].+s$') then 1 else 0 end) as w from {name}_s),
+ {name}_i as (select *, w as kept, {last(["eedly", "ingly", "edly", "eed", "ing", "ed"])} as s, left(w, length(w) - length(s)) as b from {name}_a),
+ {name}_b as (select term, r1, r2, kept, regexp_replace(case when s in ('eed', 'eedly') then if(length(b) >= r1, b || 'ee', w) when s <> '' and regexp_matches(b, '[aeiouy]') then
+   case when regexp_matches(b, '(at|bl|iz)$') then b || 'e' when regexp_matches(b, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') then left(b, length(b) - 1) when regexp_matches(b, '{short}') and r1 >= length(b) then b || 'e' else b end
+   else w end, '^(.+[^aeiouy])[yY]$', '\1i') as w from {name}_i),
+ {name}_c as (select *, {last(stem.STEP2)} as s from {name}_b),
+ {name}_d as (select term, r1, r2, kept, case when s <> '' and length(w) - length(s) >= r1 and (s <> 'ogi' or w like '%logi') and (s <> 'li' or regexp_matches(w, '[cdeghkmnrt]li$')) then {swap(stem.STEP2)} else w end as w from {name}_c),
+ {name}_e as (select *, {last(stem.STEP3)} as s from {name}_d),
+ {name}_f as (select term, r1, r2, kept, case when s <> '' and length(w) - length(s) >= if(s = 'ative', greatest(r1, r2), r1) then {swap(stem.STEP3)} else w end as w from {name}_e),
+ {name}_g as (select *, {last(stem.STEP4)} as s from {name}_f),
+ {name}_h as (select term, r1, r2, kept, case when s <> '' and length(w) - length(s) >= r2 and (s <> 'ion' or regexp_matches(w, '[st]ion$')) then left(w, length(w) - length(s)) else w end as w from {name}_g),
+ {name}_k as (select *, length(w) - 1 as z, left(w, length(w) - 1) as b from {name}_h),
+ {name}_l as (select term, kept, case when (w like '%e' and (z >= r2 or (z >= r1 and not regexp_matches(b, '{short}')))) or (w like '%ll' and z >= r2) then b else w end as w from {name}_k),
+ {name} as (select term, case term {irregular} else case when length(term) <= 2 then term else replace(if(kept in ({", ".join(f"'{x}'" for x in stem.LEFT)}), kept, w), 'Y', 'y') end end as stem from {name}_l)
+"""
+
+
+INDEX_WORDS_SQL = r"list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda t: t not in (" + STOP_SQL + "))"
+STEM_ROWS = PASSAGES + f""", l as (select chunk_id, passage_id, {INDEX_WORDS_SQL.format("text")} as l from passage_units),
+ toks as (select chunk_id, passage_id, len(l) as dl, unnest(l) as term from l),
+ asked_toks as (select query_id, unnest({INDEX_WORDS_SQL.format("query_text")}) as term from questions),
+ vocab as (select term from toks union select term from asked_toks)""" + stem_sql("stems", "vocab")
+
+
+@query("term_stems", STEM_ROWS + "select term, stem from stems where term in (select term from toks)")
+def term_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The English stem of each term of the index."""
+    return stem.stems(tables.store(spark, sf_dir).lexical("passage").df)
+
+
+@query("postings_english", STEM_ROWS + "select stem as term, count(distinct chunk_id) as df, count(*) as cf from toks join stems using (term) group by 1")
+def postings_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document and collection frequencies of the index by English stem."""
+    return tables.store(spark, sf_dir).stemmed("passage").postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query("bm25_english_topk", STEM_ROWS + """, counts as (select count(*) as n, avg(len(l)) as avgdl from l),
+ q as (select query_id, stem, count(*) as qf from asked_toks join stems using (term) group by all),
+ p as (select chunk_id, passage_id, dl, stem, count(*) as tf from toks join stems using (term) where stem in (select stem from q) group by all),
+ d as (select stem, count(*) as df from p group by 1),
+ x as (select query_id, chunk_id, passage_id, round(sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)))), 6) as score
+   from p join d using (stem) join q using (stem) cross join counts group by 1, 2, 3),
+ hits as (select query_id, chunk_id, passage_id, score, row_number() over (partition by query_id order by score desc, passage_id, chunk_id)::int as rank from x where score > 0 qualify rank <= 10)
+""" + HITS + "hits")
+def bm25_english_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over the index by English stem."""
+    return retrieve.bm25_stemmed(tables.questions(spark, sf_dir), tables.store(spark, sf_dir).stemmed("passage"))

@@ -76,6 +76,13 @@ class Store:
         stats = self.table(f"stats-{strategy}", lambda: units().agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")))
         return index.Lexical(postings, df, stats)
 
+    def stemmed(self, strategy: str) -> index.Lexical:
+        """The index of `lexical` by stem."""
+        made = self.lexical(strategy)
+        postings = self.table(f"stemmed-{strategy}", lambda: index.stemmed(made).postings.repartitionByRange("bucket", "term", "chunk_id").sortWithinPartitions("bucket", "term", "chunk_id"), ("bucket",))
+        df = self.table(f"stemmed-df-{strategy}", lambda: postings.groupBy("term").agg(F.count("*").alias("df")))
+        return index.Lexical(postings, df, made.stats)
+
     def mentions(self) -> DataFrame:
         return self.table("mentions", lambda: index.mentions(self.passages))
 
