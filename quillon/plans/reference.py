@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..config import matrix
 from ..functions import text as tx
 from ..functions import vectors
-from ..operators import chunking, index, layers, metrics, ranking, relations, retrieve
+from ..operators import chunking, index, layers, metrics, ranking, relations, retrieve, sentences
 from ..sources import tables
 from ..sources.files import shared_folder
 from ..sources.tables import read
@@ -228,6 +228,31 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.sentence_rows(tables.passages(spark, sf_dir)).select("passage_id", "i", "s", "e", "n_tokens")
 
 
+LEARNED_SQL = r"""lw as (select lower(regexp_extract(w, '^[^\p{L}\p{N}]*(.*?)[^\p{L}\p{N}.]*$', 1)) as w from (select unnest(string_split(text, ' ')) as w from passages)),
+ lc as (select case when w like '%.' then left(w, length(w) - 1) else w end as word, count(*) filter (w like '%.') as with_stop, count(*) filter (w not like '%.') as without from lw group by 1 having regexp_matches(word, '\p{L}')),
+ lt as (select sum(with_stop) as stops, sum(with_stop) + sum(without) as n_words, sum(with_stop) / (sum(with_stop) + sum(without)) as p from lc),
+ ln_ as (select *, length(word) - length(replace(word, '.', '')) as inn, length(replace(word, '.', '')) as size from lc, lt where with_stop > 0),
+ learned as (select word, with_stop, without, round(2 * ((with_stop * ln(0.99) + without * ln(0.01)) - (with_stop * ln(p) + case when p < 1 then without * ln(1 - p) else 0 end)) * exp(-size) * (inn + 1) * pow(size, -without::double), 6) as score from ln_)
+"""
+
+
+@query("abbreviations", uses("passages").rstrip() + ", " + LEARNED_SQL + "select word, with_stop, without, score from learned where score >= 0.3")
+def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words whose stop belongs to them, by the corpus's own statistics."""
+    return sentences.scores(sentences.counts(tables.passages(spark, sf_dir))).where(F.col("score") >= sentences.LEAST)
+
+
+@query("sentence_spans_learned", uses("passages", "sent", "spans").rstrip() + ", " + LEARNED_SQL + r""",
+ tail as (select passage_id, i, s, s + n as e, lower(regexp_extract(string_split(sentence, ' ')[-1], '^[^\p{L}\p{N}]*(.*?)[^\p{L}\p{N}.]*$', 1)) as w from spans),
+ marked as (select *, w like '%.' and left(w, length(w) - 1) in (select word from learned where score >= 0.3) as abbreviated from tail),
+ opened as (select *, sum(case when coalesce(before, false) then 0 else 1 end) over (partition by passage_id order by s) - 1 as g from (select *, lag(abbreviated) over (partition by passage_id order by s) as before from marked))
+ select passage_id, g::int as i, min(s)::int as s, max(e)::int as e from opened group by passage_id, g""")
+def sentence_spans_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that do not break behind the corpus's own abbreviations."""
+    passages = tables.passages(spark, sf_dir)
+    return sentences.sentence_rows(passages, sentences.abbreviations(passages))
+
+
 @query("offsets_sanitise", """with d as (select doc_id, length(text)::int as n from documents), st as (select doc_id, n, list_filter([3, n // 2, n + 5], lambda x: x >= 0 and x < n) as l from d),
  f as (select doc_id, n, case when len(l) = 0 then [0] when l[1] <> 0 then list_concat([0], l) else l end as l from st),
  z as (select doc_id, unnest(l)::int as s, unnest(list_concat(l[2:], [n]))::int as e from f) select doc_id, s, e from z where e > s""")
