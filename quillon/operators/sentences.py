@@ -10,7 +10,8 @@ A break of the pattern of sentences falls away behind an abbreviation, where the
 places and the words at breaks meet the abbreviations, which are sent to all tasks if there are at most `most` (else the join shuffles);
 the text stays where it is until the breaks are known.
 
-A text without breaks, or empty, is one sentence; a null text has none; repeated passage ids are told apart by their texts.
+A text without breaks, or empty, is one sentence; a null text has none; repeated passage ids are told apart by their texts,
+and rows that repeat wholly are one.
 """
 
 from __future__ import annotations
@@ -62,6 +63,7 @@ def sentence_rows(passages: DataFrame, known: DataFrame, most: int = 100_000) ->
     rows = found.select("passage_id", "of", "x.i", "x.s", "x.e", bare(F.element_at(F.split("x.sentence", " "), -1)).alias("w"))
     rows = rows.withColumn("word", F.when(F.col("w").endswith("."), F.substr("w", F.lit(1), F.length("w") - 1)))
     held = rows.join(small(known.select("word", F.lit(True).alias("abbreviated")), most), "word", "left")
+    held = held.repartition("passage_id", "of").distinct()  # rows that repeat wholly are one; all that follows lies so
     by_text = Window.partitionBy("passage_id", "of").orderBy("s")
     opens = F.coalesce(~F.lag("abbreviated").over(by_text), F.lit(True))
     grouped = held.withColumn("i", F.sum(opens.cast("int")).over(by_text) - 1)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import stem
 from ..functions import text as tx
-from ..operators import ann, chunking, index, lsa, pruned, ranking, retrieve
+from ..operators import ann, chunking, collocations, index, lsa, pruned, ranking, retrieve
 from ..sources import tables
 from ..sources.files import shared_folder
 from ..sources.segments import Segments
@@ -488,3 +488,25 @@ def postings_english(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_english_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over the index by English stem."""
     return retrieve.bm25_stemmed(tables.questions(spark, sf_dir), tables.store(spark, sf_dir).stemmed("passage"))
+
+
+COLLOCATION_SQL = rf"""cw as (select passage_id, list_transform(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+(?:[\-''][\p{{L}}\p{{N}}]+)*|[^\s\p{{L}}\p{{N}}]'), lambda w: case when regexp_matches(w, '^\p{{L}}') and w not in ({STOP_SQL}) then w end) as l from passages),
+ cp as (select passage_id, l[k] as w1, l[k + 1] as w2, l[k + 2] as w3 from (select passage_id, l, unnest(range(1, len(l) + 1)) as k from cw)),
+ cs as (select passage_id, w1 as name, 1 as n from cp union select passage_id, w1 || ' ' || w2, 2 from cp union select passage_id, w1 || ' ' || w2 || ' ' || w3, 3 from cp),
+ cc as (select name, n, count(*) as docs from cs where name is not null group by all having docs >= 3),
+ cx as (select c.name, c.docs, c.n, unnest(string_split(c.name, ' ')) as word, (select count(*) from passages) as total from cc c where n > 1),
+ collocations as (select x.name, x.docs, x.n::bigint as n_words, round(case when x.docs = total then 0 else (ln(x.docs / total) - sum(ln(s.docs / total))) / (-(x.n - 1) * ln(x.docs / total)) end, 6) as score from cx x join cc s on s.name = x.word and s.n = 1 group by x.name, x.docs, x.n, total)
+"""
+
+
+@query("name_statistics", uses("passages").rstrip() + ", " + COLLOCATION_SQL + "select name, docs, n_words, score from collocations")
+def name_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of words with the passages that hold them and how much their words belong together."""
+    return collocations.statistics(tables.passages(spark, sf_dir))
+
+
+@query("name_tags")
+def name_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the names that the corpus's statistics give stand in its passages; the tests hold tags against brute force."""
+    passages = tables.passages(spark, sf_dir)
+    return collocations.tagged(passages, collocations.names(collocations.statistics(passages)))

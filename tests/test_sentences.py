@@ -59,7 +59,7 @@ def test_spans(spark):
 
 
 def test_repeated_rows_and_empty(spark):
-    two = spark.createDataFrame([(1, "A dr. B. C."), (1, "X. Y.")], "passage_id long, text string")
+    two = spark.createDataFrame([(1, "A dr. B. C."), (1, "X. Y."), (1, "X. Y.")], "passage_id long, text string")
     known = spark.createDataFrame([("dr",)], "word string")
     assert sorted(tuple(r) for r in sentences.sentence_rows(two, known).collect()) == [(1, 0, 0, 2), (1, 0, 0, 8), (1, 1, 3, 5), (1, 1, 9, 11)]
     none = corpus(spark, ["x"]).where("false")
