@@ -97,7 +97,7 @@ class Segments:
         return name, units, n, length
 
     def _store_postings(self, postings: DataFrame, name: str) -> None:
-        postings.repartitionByRange("bucket", "term", "chunk_id").sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{self.path}/postings/{name}")
+        index.dealt(postings).write.partitionBy("bucket").parquet(f"{self.path}/postings/{name}")
 
     def apply(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> Segments:
         """The next version, with `upserts` (chunk_id, passage_id, text) in place of the units of their ids, and without `deletes` (chunk_id)."""
