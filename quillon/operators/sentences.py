@@ -59,7 +59,9 @@ def abbreviations(passages: DataFrame, least: float = LEAST) -> DataFrame:
 
 def sentence_rows(passages: DataFrame, known: DataFrame, most: int = 100_000) -> DataFrame:
     """(passage_id, i, s, e): the sentences of normalised texts, in place of the pattern's, of which those behind one of `known` (word) are joined."""
-    found = passages.select("passage_id", F.xxhash64("text").alias("of"), F.explode(chunking.sentence_list(F.col("text"))).alias("x"))
+    # The text's hash and list lie below the generated rows, which would else each take the whole text along and hash it.
+    listed = passages.select("passage_id", F.xxhash64("text").alias("of"), chunking.sentence_list(F.col("text")).alias("all"))
+    found = listed.select("passage_id", "of", F.explode("all").alias("x"))
     rows = found.select("passage_id", "of", "x.i", "x.s", "x.e", bare(F.element_at(F.split("x.sentence", " "), -1)).alias("w"))
     rows = rows.withColumn("word", F.when(F.col("w").endswith("."), F.substr("w", F.lit(1), F.length("w") - 1)))
     held = rows.join(small(known.select("word", F.lit(True).alias("abbreviated")), most), "word", "left")

@@ -64,3 +64,11 @@ def test_repeated_rows_and_empty(spark):
     assert sorted(tuple(r) for r in sentences.sentence_rows(two, known).collect()) == [(1, 0, 0, 2), (1, 0, 0, 8), (1, 1, 3, 5), (1, 1, 9, 11)]
     none = corpus(spark, ["x"]).where("false")
     assert sentences.abbreviations(none).collect() == [] and sentences.sentence_rows(none, known).collect() == []
+
+
+def test_learned_sentences_carry_no_text(spark):
+    """A generated sentence takes a hash of its passage along, not the text."""
+    passages = spark.createDataFrame([(1, "One two. Three four.")], "passage_id long, text string")
+    plan = sentences.sentence_rows(passages, spark.createDataFrame([("dr",)], "word string"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    assert min(i for i, line in enumerate(plan) if "xxhash64(text" in line) > at
