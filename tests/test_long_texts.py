@@ -71,3 +71,10 @@ def test_questions_of_few_words(spark):
     got = sorted(map(tuple, tables.qrels(asked, p).collect()))
     want = sorted((q["query_id"], r["passage_id"]) for q in asked.collect() for r in p.collect() if q["query_text"] in r["text"])
     assert got == want
+
+
+def test_token_offsets_in_one_pass(spark):
+    """Not by the doubling of `running`, which goes over a list once for each bit of its length."""
+    made = passages(spark, "a  b c", "", "x" * 9).select(chunking.token_offsets(F.col("text")).alias("o"))
+    assert [r["o"] for r in made.collect()] == [[0, 1, 4, 6], [0], [0, 9]]
+    assert "aggregate(" not in made._jdf.queryExecution().optimizedPlan().toString()
