@@ -15,6 +15,8 @@ passage_id and different texts are told apart by a hash of the text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -33,20 +35,22 @@ def marked(text: Column) -> Column:
     return F.transform(pieces, lambda w: F.when(w.rlike(r"^\p{L}") & ~w.isin(*tx.INDEX_STOP), w))
 
 
-def sequences(words: str, n: int) -> Column:
-    """array<struct<at, n, name>>: the sequences of `n` words in a column made by `marked`."""
+def spelled(words: str, n: int) -> Callable[[Column, Column], Column]:
+    """A function of a word and its place in a column made by `marked`: the sequence of `n` words that begins there, null if one of them is."""
+    return lambda w, i: w if n == 1 else F.concat(w, *[x for j in range(1, n) for x in (F.lit(" "), F.get(words, i + j))])
 
-    def one(w: Column, i: Column) -> Column:
-        name = w if n == 1 else F.concat(w, *[x for j in range(1, n) for x in (F.lit(" "), F.get(words, i + j))])  # null if one is
-        return F.struct(i.alias("at"), F.lit(n).alias("n"), name.alias("name"))
 
-    return F.filter(F.transform(words, one), lambda x: x["name"].isNotNull())
+def sequences(words: str, n: int) -> Column:
+    """array<struct<at, n, name>>: the sequences of `n` words in a column made by `marked`."""
+    name = spelled(words, n)
+    return F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), F.lit(n).alias("n"), name(w, i).alias("name"))), lambda x: x["name"].isNotNull())
 
 
 def statistics(passages: DataFrame, least: int = 3) -> DataFrame:
     """(name, docs, n_words, score) of the sequences of two words and more in at least `least` passages."""
-    each = F.array_distinct(F.flatten(F.array(*[F.transform(sequences("words", n), lambda x: x["name"]) for n in range(1, LONGEST + 1)])))
-    rows = passages.select(F.explode(F.array(marked(F.col("text")))).alias("words")).select(F.explode(each).alias("name"))
+    # Names alone, without their places; the null ones go as rows, after those of a passage have become one.
+    each = F.array_distinct(F.concat("words", *[F.transform("words", spelled("words", n)) for n in range(2, LONGEST + 1)]))
+    rows = passages.select(F.explode(F.array(marked(F.col("text")))).alias("words")).select(F.explode(each).alias("name")).where("name is not null")
     # A word of a sequence is in all its passages, so the rare ones may go before the two meet.
     counted = written(rows.groupBy("name").agg(F.count("*").alias("docs")).where(F.col("docs") >= least), "sequences")
     total = passages.agg(F.count("*").alias("total"))
@@ -83,10 +87,13 @@ def chosen(spans: pd.Series) -> pd.Series:
 
 def tagged(passages: DataFrame, known: DataFrame) -> DataFrame:
     """(passage_id, at, n_words, name): where `known` (name) stand in passages, by the place of their first word or mark."""
-    every = F.flatten(F.array(*[sequences("words", n) for n in range(1, LONGEST + 1)]))
+    # Written, as they are counted and then met; places of other lengths than theirs need not meet them.
+    known = written(known.select("name").distinct(), "names")
+    sizes = {r["n"] for r in known.select(F.size(F.split("name", " ")).alias("n")).where(F.col("n") <= LONGEST).distinct().collect()} or {1}
+    every = F.flatten(F.array(*[sequences("words", n) for n in sorted(sizes)]))
     rows = passages.select("passage_id", F.xxhash64("text").alias("of"), F.explode(F.array(marked(F.col("text")))).alias("words"))
     places = rows.select("passage_id", "of", F.explode(every).alias("x")).select("passage_id", "of", "x.*")
-    met = places.join(small(known.select("name").distinct()), "name").select("passage_id", "of", (F.col("at") * 4 + F.col("n")).alias("code"), "name")
+    met = places.join(small(known), "name").select("passage_id", "of", (F.col("at") * 4 + F.col("n")).alias("code"), "name")
     lists = met.groupBy("passage_id", "of").agg(F.collect_set(F.struct("code", "name")).alias("met"))  # a passage's own names
     kept = lists.select("passage_id", "met", chosen(F.transform("met", lambda x: x["code"])).alias("kept"))
     stay = kept.select("passage_id", F.explode("met").alias("x"), "kept").where(F.array_contains("kept", F.col("x.code")))

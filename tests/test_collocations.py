@@ -57,3 +57,16 @@ def test_repeats_and_empty(spark):
     assert rows_of(collocations.tagged(twice, known).select("passage_id", "at")) == [(0, 1), (1, 1)]
     none = corpus(spark, ["x"]).where("false")
     assert collocations.statistics(none).collect() == [] and collocations.tagged(none, known).collect() == []
+
+
+def test_statistics_spell_names_without_their_places(spark):
+    """One list of names for a passage; no struct for each place, which was made only to be dropped."""
+    rows = corpus(spark, ["ada lovelace, ada lovelace", "ada lovelace"])
+    seen = []
+    real = collocations.written
+    collocations.written = lambda df, label: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, label)
+    try:
+        got = {r["name"]: r["docs"] for r in collocations.statistics(rows, 1).collect()}
+    finally:
+        collocations.written = real
+    assert got == {"ada lovelace": 2} and "Generate" in seen[0] and "struct" not in seen[0]
