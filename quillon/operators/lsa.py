@@ -5,7 +5,7 @@ ln(N / df)`` scaled so that each row has length 1. With A that matrix and Q a ra
 each pass over the corpus replaces Q by an orthonormal basis of ``A^T A Q``; after `passes` of them the small matrix
 ``Q^T A^T A Q`` gives the singular values and, turned by its eigenvectors, the basis.
 
-A pass is one scan in Spark: tasks hold Q (at most `terms` x (dim + extra) numbers, 36 MB by default) and a sum of the same size, and hand
+The rows are weighed once and written as numbers of terms and entries. A pass is one scan of them in Spark: tasks hold Q (at most `terms` x (dim + extra) numbers, 36 MB by default) and a sum of the same size, and hand
 over a row for each term that they met; the sums meet in a shuffle by term. Nothing grows with the corpus but the scan.
 A text's vector is its row times the basis, scaled to length 1, for units and questions alike (folding in), so both
 are in one space. Texts without known terms, null ones too, have the zero vector. Signs of the basis are fixed by its largest entry.
@@ -52,28 +52,45 @@ def vocabulary(tokenised: DataFrame, terms: int) -> tuple[list[str], np.ndarray]
     return top["term"].to_pylist(), np.log(n / top["df"].to_numpy().astype(float)) if len(top) else np.zeros(0)
 
 
-def passed(tokenised: DataFrame, model: Basis, q: np.ndarray) -> np.ndarray:
-    """A^T A q."""
-    sent = tokenised.sparkSession.sparkContext.broadcast((model, q))
+def weighed(tokenised: DataFrame, model: Basis, part: int = 256) -> DataFrame:
+    """(columns, entries): the rows of A, without empty ones; all passes read these instead of the tokens. Tokens are taken by `part` units."""
+    sent = tokenised.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, q = sent.value
+        own = sent.value
         at = {t: i for i, t in enumerate(own.terms)}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, part):
+                rows = [own.row(tokens or [], at) for tokens in batch.column("tokens").slice(lo, part).to_pylist()]
+                rows = [r for r in rows if len(r[0])]
+                if rows:
+                    ends = pa.array(np.cumsum([0, *(len(c) for c, _ in rows)]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[i] for r in rows]).astype(t))) for i, t in ((0, np.int32), (1, np.float64))], names=["columns", "entries"])
+
+    return tokenised.select("tokens").mapInArrow(run, "columns array<int>, entries array<double>")
+
+
+def passed(rows: DataFrame, q: np.ndarray) -> np.ndarray:
+    """A^T A q of the rows of A (`weighed`)."""
+    sent = rows.sparkSession.sparkContext.broadcast(q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = sent.value
         sums, met = np.zeros_like(q), np.zeros(len(q), bool)
         for batch in batches:
-            for tokens in batch.column("tokens").to_pylist():
-                columns, entries = own.row(tokens or [], at)
-                if len(columns):
-                    sums[columns] += entries[:, None] * (entries @ q[columns])
-                    met[columns] = True
+            ends = np.cumsum(batch.column("columns").value_lengths().to_numpy())[:-1]
+            every = [np.split(batch.column(c).flatten().to_numpy(), ends) for c in ("columns", "entries")] if batch.num_rows else [[], []]
+            for columns, entries in zip(*every, strict=True):
+                sums[columns] += entries[:, None] * (entries @ q[columns])
+                met[columns] = True
         seen = np.flatnonzero(met)
         for lo in range(0, len(seen), 4096):
             part = seen[lo : lo + 4096]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.FixedSizeListArray.from_arrays(pa.array(sums[part].ravel()), q.shape[1]).cast(pa.list_(pa.float64()))], names=["term", "sums"])
 
     width = q.shape[1]
-    rows = tokenised.select("tokens").mapInArrow(run, "term long, sums array<double>")
-    total = rows.groupBy("term").agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(width)]).toArrow()  # a row for each term
+    summed = rows.select("columns", "entries").mapInArrow(run, "term long, sums array<double>")
+    total = summed.groupBy("term").agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(width)]).toArrow()  # a row for each term
     out = np.zeros_like(q)
     if len(total):
         out[total["term"].to_numpy()] = np.column_stack([total[f"s{i}"].to_numpy() for i in range(width)])
@@ -89,9 +106,10 @@ def learn(units: DataFrame, dim: int = 64, terms: int = 50_000, extra: int = 16,
     if not width:
         return model
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(names), width)))[0]
+    rows = written(weighed(tokenised, model), "lsa-rows")
     for _ in range(passes):
-        q = np.linalg.qr(passed(tokenised, model, q))[0]
-    small = q.T @ passed(tokenised, model, q)
+        q = np.linalg.qr(passed(rows, q))[0]
+    small = q.T @ passed(rows, q)
     values, turn = np.linalg.eigh((small + small.T) / 2)
     best = np.argsort(-values)[: min(dim, width)]
     basis = q @ turn[:, best]

@@ -75,3 +75,18 @@ def test_engine_wants_named_embeddings(spark, sf):
         Engine(spark, sf, embed=vectors.hashing_embedder(32))
     with pytest.raises(ValueError):
         Engine(spark, sf, embedding="learned")
+
+
+def test_rows_are_weighed_once(spark, units):
+    """What the passes read: the entries of `Basis.row`, in number of terms, without empty rows."""
+    tokenised = units.select(tx.index_tokens(F.col("text")).alias("tokens"))
+    names, idf = lsa.vocabulary(tokenised, 50)
+    model = lsa.Basis(names, idf, np.zeros((len(names), 0)), np.zeros(0))
+    rows = lsa.weighed(tokenised, model, part=7)
+    at = {t: i for i, t in enumerate(names)}
+    want = [model.row(r[0] or [], at) for r in tokenised.collect()]
+    want = sorted((tuple(c.tolist()), tuple(e.tolist())) for c, e in want if len(c))
+    assert sorted((tuple(r["columns"]), tuple(r["entries"])) for r in rows.collect()) == want and len(want) == 300
+    a, q = dense_matrix(model, [r[0] for r in tokenised.collect()]), np.random.default_rng(3).normal(size=(len(names), 5))
+    assert np.allclose(lsa.passed(rows, q), a.T @ a @ q)
+    assert not lsa.passed(rows.limit(0), q).any()
