@@ -48,6 +48,17 @@ def nearest(batch: np.ndarray, centroids: np.ndarray, n: int = 1) -> np.ndarray:
     return near
 
 
+def probed(batch: pa.RecordBatch, centroids: np.ndarray, probes: int, most: int = 16_384) -> Iterator[pa.RecordBatch]:
+    """(list, query_id, query_vec): a row for each question of `batch` and list that it probes. A question's vector is repeated for each
+    of its lists, so questions are taken in parts that give at most `most` rows (one question, if it probes more lists)."""
+    step = max(1, most // probes)
+    for lo in range(0, batch.num_rows, step):
+        part = batch.slice(lo, step)
+        near = nearest(flat(part.column("query_vec")).reshape(part.num_rows, -1), centroids, probes)
+        of = pa.array(np.repeat(np.arange(part.num_rows), probes))
+        yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), part.column("query_id").take(of), part.column("query_vec").take(of)], names=["list", "query_id", "query_vec"])
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
@@ -105,9 +116,7 @@ def search(queries: DataFrame, index: Inverted, k: int = 10, probes: int = 16, b
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and probes:
-                near = nearest(flat(batch.column("query_vec")).reshape(batch.num_rows, -1), sent.value, probes)
-                of = pa.array(np.repeat(np.arange(batch.num_rows), probes))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column("query_id").take(of), batch.column("query_vec").take(of)], names=["list", "query_id", "query_vec"])
+                yield from probed(batch, sent.value, probes)
 
     asked = queries.where("query_vec is not null").select("query_id", F.col("query_vec").cast("array<float>").alias("query_vec")).mapInArrow(probe, "list int, query_id long, query_vec array<float>")
     asked = written(asked, "ann-probes")

@@ -1,6 +1,7 @@
 """The approximate index against exact search, and exact search in blocks against one matrix."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA, rows_of
 from pyspark.sql import functions as F
@@ -72,3 +73,14 @@ def test_nulls_and_empty_tables(spark):
     assert len(empty.centroids) == 0 and ann.search(asked(vectors), empty).collect() == []
     one = asked(vectors).unionByName(spark.createDataFrame([(7, None)], "query_id long, query_vec array<float>"))
     assert {r["query_id"] for r in ann.search(one, index).collect()} == {0, 10, 20, 30, 40}
+
+
+def test_probes_are_handed_on_in_parts():
+    """Each question's vector is repeated for each list it probes: never for a whole batch at once."""
+    rng = np.random.default_rng(4)
+    centroids = ann.unit(rng.normal(size=(40, 8)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(list(rng.normal(size=(500, 8)).astype(np.float32)), pa.list_(pa.float32()))], names=["query_id", "query_vec"])
+    parts = list(ann.probed(batch, centroids, 30, most=100))
+    assert len(parts) == 167 and max(p.num_rows for p in parts) <= 100
+    assert pa.Table.from_batches(parts) == pa.Table.from_batches(list(ann.probed(batch, centroids, 30, most=10**9))).cast(parts[0].schema)
+    assert max(p.num_rows for p in ann.probed(batch, centroids, 30, most=7)) == 30
