@@ -1,6 +1,7 @@
 """Chunkers, ranking, metrics and the pipeline by their rules and invariants."""
 
 import pytest
+from conftest import rows_of
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -390,3 +391,13 @@ def test_three_transforms_ask_differently(spark):
     assert model == {t: round(w, 9) for t, w in want.items()}
     hyde = {r["nth"]: r["query_text"] for r in layers.hypothetical(asked.where("query_id = 1"), hits, 3).collect()}
     assert hyde == {0: asked.first()["query_text"], 1: "ligand pathway receptor"}
+
+
+def test_only_the_passages_of_hits_are_cut(spark, sf):
+    """The text of hits' chunks, equal to that of all chunks, of which others are not made."""
+    engine, asked = Engine(spark, sf), tables.questions(spark, sf)
+    for strategy in ("passage", "sentence"):
+        hits = engine._lexical(asked, strategy, 3).cache()
+        got = engine.text_of(asked, hits, strategy)
+        assert set(rows_of(got)) == set(rows_of(engine.units(strategy).select("chunk_id", "text").join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")))
+        assert got.count() == hits.select("chunk_id").distinct().count()
