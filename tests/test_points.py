@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from quillon.functions import points
 from quillon.functions import text as tx
+from quillon.functions import vectors
 from quillon.operators import chunking, index
+from quillon.plans import evaluation
+from quillon.sources import tables
 from quillon.sources.files import listed
 from quillon.sources.store import Store
 
@@ -80,3 +83,41 @@ def test_index_of_sentences_is_made_in_one_pass(spark, tmp_path):
     again = Store(own, f"file://{tmp_path}/store")
     again.table = lambda name, make, by=(): make() if name == "stats-sentence" else Store.table(again, name, make, by)
     assert again.lexical("sentence").stats.first() == stats  # counted anew where only the postings are there
+
+
+def test_several_strategies_take_one_pass(spark):
+    own = passages(spark).where("text is not null")
+    names = chunking.DEFAULT_STRATEGIES
+    made = chunking.several(own, names)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = [tuple(r) for name in names for r in chunking.chunker(name)(own).collect()]
+    assert made.columns == chunking.whole(own).columns and sorted(map(tuple, made.collect())) == sorted(want)
+
+
+def test_recursive_counts_are_those_of_the_pieces(spark):
+    import re
+
+    token = re.compile(r"[^\W_]+|[^\s\w]|_")
+    count = lambda t: sum(1 for _ in token.finditer(t))
+    texts = [t for t in ODD if t] + ["ab" * 40 + "_c\x1cd, e; f. " * 9, "x" * 500 + " y" * 300]
+    cut = chunking.recursive_runs(7, 3)
+    cps, starts = points.points(texts)
+    before = points.tokens_before(cps, starts, wide=True)
+    owner, s, e = cut(cps, starts, before)
+    want = [(i, *x, count(t[slice(*x)])) for i, t in enumerate(texts) for x in chunking.split_spans(t, 7, 3, count)]
+    assert list(zip(owner.tolist(), (s - starts[owner]).tolist(), (e - starts[owner]).tolist(), points.n_tokens(cps, before, s, e).tolist())) == want
+
+
+def test_distances_are_those_of_the_expression(spark):
+    texts = ["a b", "", "the cat sat", "the cat ran off", "cat", "été cat", " ".join(f"w{i}" for i in range(1024)), " ".join(f"w{i}" for i in range(1023, 2047))]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip([""] + texts, texts))], "i int, a string, b string")
+    terms = lambda c: F.array_distinct(tx.index_tokens(F.col(c), []))
+    want = [r[0] for r in rows.orderBy("i").select(F.round(1 - vectors.term_cosine(terms("a"), terms("b")), 9)).collect()]
+    assert chunking.term_distances(texts).tolist() == want and want[-1] == 0.999023438  # 1 - 1/1024, a half at the tenth digit
+
+
+def test_exploring_writes_no_spans(spark, sf, tmp_path, monkeypatch):
+    kept = Store(tables.passages(spark, sf), f"file://{tmp_path}/store")
+    monkeypatch.setattr(tables, "store", lambda *_: kept)
+    evaluation.explored(spark, sf, ("passage", "sentence")).collect()
+    assert not [n for n in listed(spark, f"{kept.path}/{kept.key}") if n.startswith("spans")]
