@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import points
 from quillon.functions import text as tx
 from quillon.functions import vectors
-from quillon.operators import chunking, index
+from quillon.operators import chunking, index, retrieve
 from quillon.plans import evaluation
 from quillon.sources import tables
 from quillon.sources.files import listed
@@ -121,3 +121,14 @@ def test_exploring_writes_no_spans(spark, sf, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "store", lambda *_: kept)
     evaluation.explored(spark, sf, ("passage", "sentence")).collect()
     assert not [n for n in listed(spark, f"{kept.path}/{kept.key}") if n.startswith("spans")]
+
+
+def test_names_meet_sent_terms_where_they_are(spark):
+    """No shuffle by gram, which would give one task all names of a frequent one; the pairs are the same."""
+    kept = spark.createDataFrame([("alpha beta", 2), ("alphabet", 3), ("gamma", 2), ("betamax", 5)], "name string, doc_freq long")
+    terms = spark.createDataFrame([("alphas",), ("beta",), ("gamut",)], "term string")
+    plain, sent = (retrieve.name_candidates(terms, kept, 0.3, mark)[0] for mark in (lambda df: df, F.broadcast))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, sent.collect()))
+    assert sorted(map(tuple, retrieve.holding_names(terms, kept).collect())) == sorted(map(tuple, retrieve.holding_names(terms, kept, F.broadcast).collect()))
+    plan = sent._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in line and "gram" in line and "strategy=broadcast" in line for line in plan.splitlines())
