@@ -60,7 +60,7 @@ def evaluate(engine: Engine, configs: list[RetrievalConfig], root: str, name: st
     header = {"id": uuid.uuid4().hex, "created_at": began.isoformat(), "finished_at": None, "name": name, "kind": "retrieval", "eval_set": eval_set, "n_questions": n, "status": "running", "config": json.dumps([c.label for c in configs]), "summary": None}
     _header(spark, root, header)
     engine.stages.clear()
-    each, errors = engine.results(configs, questions)
+    each, errors = engine.results(configs, questions, noted=True)
     at = f"{root}/eval_runs/{header['id']}"
     each = each.join(questions.select("query_id", tx.question_type(F.col("query_text")).alias("question_type")), "query_id")
     each.write.option("header", True).csv(f"{at}/per_question.csv")

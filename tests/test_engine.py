@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.config import RetrievalConfig, matrix, validated_question
 from quillon.operators import chunking, metrics, ranking, relations
-from quillon.plans import QUERIES
+from quillon.plans import QUERIES, evaluation
 from quillon.plans.engine import Engine
 from quillon.sources import tables
 
@@ -287,6 +287,21 @@ def test_runs(spark, sf, tmp_path):
     assert runs.write_eval_set(spark, spark.range(3), f"{root}/set.json") == 3 and json.loads((tmp_path / "eval/set.json").read_text())[2]["id"] == 2
 
 
+def test_a_failure_is_no_result(spark, sf, monkeypatch):
+    """A board with a retriever that fails is not a board of zeros, and an evaluation that notes errors gives no metrics for them."""
+    fails = {"dense": lambda q, s, k: spark.read.parquet("file:///nowhere")}
+    two = matrix(("passage",), ("dense", "bm25"))
+    with pytest.raises(Exception, match="nowhere"):
+        Engine(spark, sf, retrievers=fails).evaluate(two)
+    by = {r["config"]: r for r in Engine(spark, sf, retrievers=fails).evaluate(two, noted=True).collect()}
+    assert by["passage+dense"]["mrr"] is None and by["passage+dense"]["recall_10"] is None and "nowhere" in by["passage+dense"]["error"] and by["passage+dense"]["errors"] > 0
+    assert by["passage+bm25"]["mrr"] > 0 and by["passage+bm25"]["error"] is None
+    monkeypatch.setattr(evaluation, "term_dense", lambda *_: fails)
+    monkeypatch.setattr(evaluation, "BOARD_RETRIEVERS", ("dense",))
+    with pytest.raises(Exception, match="nowhere"):
+        QUERIES["leaderboard"](spark, sf)
+
+
 def test_schemas_and_log(spark, tmp_path):
     from quillon.sources import schema
 
