@@ -94,6 +94,21 @@ def test_several_strategies_take_one_pass(spark):
     assert made.columns == chunking.whole(own).columns and sorted(map(tuple, made.collect())) == sorted(want)
 
 
+def test_several_strategies_calibrate_over_all_texts(spark):
+    """Texts of even ids have sentences of no common word, the others alike ones, which a sample of every second text would not see."""
+    rows = [(i, "One two three. One two four. One two five. Six, two." if i % 2 else f"A{i} b{i}. C{i} d{i} e{i}. F{i} g{i} h{i}. " + f"I{i} j{i} b{i}." * (i % 7)) for i in range(3000)]
+    texts = spark.createDataFrame(rows, "passage_id long, text string").repartition(3)
+    dist = chunking.adjacent_distances(texts)
+    for share in (0.0, 0.1, 0.37, 0.613, 0.75, 0.9, 1.0):
+        assert chunking.calibrated_whole(texts, share) == dist.agg(F.expr(f"percentile(dist, {share})")).first()[0]
+    assert chunking.calibrated_whole(texts, 0.3) < chunking.calibrated(texts, 0.3)
+    assert chunking.calibrated_whole(texts.limit(0)) == 0.5 == chunking.calibrated_whole(texts.selectExpr("passage_id", "'x' as text"))
+    alike = texts.withColumn("text", F.when(F.col("passage_id") % 8 == 0, F.col("text")).otherwise("Aa bb cc dd ee. Aa bb cc dd ff. Aa bb cc dd gg."))
+    found = lambda made: sorted(map(tuple, made.select("passage_id", "char_start", "char_end").collect()))
+    whole = found(chunking.several(alike, ["semantic"]))
+    assert whole == found(chunking.semantic(alike, chunking.calibrated_whole(alike))) and whole != found(chunking.semantic(alike))
+
+
 def test_recursive_counts_are_those_of_the_pieces(spark):
     import re
 
