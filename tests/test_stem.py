@@ -1,5 +1,6 @@
 """The English stemmer against the published sample of the algorithm's description, and an index built with it."""
 
+from conftest import rows_of
 from pyspark.sql import functions as F
 
 from quillon.functions import stem
@@ -53,3 +54,23 @@ def test_index_by_stem(spark):
     asked = spark.createDataFrame([(7, "Which relation?"), (8, "noded"), (9, None)], "query_id long, query_text string")
     hits = retrieve.bm25_stemmed(asked, found)
     assert sorted((r["query_id"], r["chunk_id"]) for r in hits.collect()) == [(7, 1), (7, 2), (8, 1)]
+
+
+def test_index_by_stem_is_made_from_texts(spark, tmp_path, monkeypatch):
+    """No postings by term are written and none are shuffled; the rows are those of `index.stemmed`."""
+    from quillon.sources.files import listed
+    from quillon.sources.store import Store
+
+    texts = ["The connected connection connects. Running ran runs", "nothing", "the of", "Connection of été 9s, skies; sky skis", *("generalization generally w%d" % i for i in range(30))]
+    p = spark.createDataFrame(list(enumerate(texts)), "passage_id long, text string").repartition(3)
+    kept = Store(p, f"file://{tmp_path}/a")
+    made = kept.stemmed("passage")
+    assert made.postings.select("tf").count() and not any(n.startswith("postings") for n in listed(spark, f"{kept.path}/{kept.key}"))
+    want = index.stemmed(Store(p, f"file://{tmp_path}/b").lexical("passage"))
+    names = ["term", "chunk_id", "passage_id", "dl", "n_terms", "tf", "bucket"]
+    assert rows_of(made.postings.select(names)) == rows_of(want.postings.select(names)) and rows_of(made.df) == rows_of(want.df) and rows_of(made.stats) == rows_of(want.stats)
+    counts = rows_of(want.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
+    assert rows_of(kept.stem_counts("passage")) == counts
+    monkeypatch.setattr(index, "stem_map", lambda units: None)
+    other = Store(p, f"file://{tmp_path}/c")
+    assert rows_of(other.stemmed("passage").postings.select(names)) == rows_of(want.postings.select(names)) and rows_of(other.stem_counts("passage")) == counts
