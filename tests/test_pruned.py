@@ -44,6 +44,20 @@ def test_fewer_postings_are_read(spark, corpus):
     assert 0 < n_read < 0.5 * n_all, (n_read, n_all)
 
 
+def test_postings_move_once(spark, corpus):
+    """Blocks of all terms or of those asked give the same hits, for few questions and for many, and a block's range is in one file."""
+    asked = spark.createDataFrame([(1, "w5 w60"), (2, "w2 w2 w3"), (3, "w400"), (6, "w17 w90 w33 w1")], "query_id long, query_text string")
+    own = pruned.build(corpus, per_range=16, asked=retrieve.index_terms(asked))
+    assert {r["term"] for r in own.headers.select("term").distinct().collect()} == {r["term"] for r in retrieve.index_terms(asked).join(corpus.df, "term").select("term").distinct().collect()}
+    want = rows_of(retrieve.bm25_indexed(asked, corpus, 10).select("query_id", "chunk_id", "passage_id", "score", "rank"))
+    assert rows_of(pruned.bm25(asked, own, 10, 2)) == want
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(retrieve, "few", lambda *_: False)
+        assert rows_of(pruned.bm25(asked, own, 10, 2)) == want
+    files = own.blocks.select("range", F.input_file_name().alias("file")).distinct()
+    assert files.groupBy("range").count().where("count > 1").isEmpty()
+
+
 def test_empty_index(spark):
     none = lexical(spark, [(1, 1, ""), (2, 2, None)])
     asked = spark.createDataFrame([(1, "w5")], "query_id long, query_text string")
