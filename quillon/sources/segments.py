@@ -1,7 +1,7 @@
 """A lexical index kept up by segments: changes add to it, and what they do not touch is not written again.
 
 * A *segment* is immutable: the postings of the units that one change brought, by bucket of their term, and its units
-  (chunk_id, dl, terms) in order of chunk_id.
+  (chunk_id, dl, terms).
 * A changed or deleted unit leaves a *tombstone* (segment, chunk_id) in the segment that had it.
 * Document frequencies and the two sums behind the mean length are *additive*: a change appends the counts of its new units
   and, negative, those of its tombstones, whose terms come from the units' rows, not from the postings.
@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import index
-from .files import commit, listed, written
+from .files import commit, discard, listed, written
 
 COUNTS = "term string, df long"
 UNITS = "chunk_id long, passage_id long, dl int, terms array<string>"
@@ -33,6 +33,9 @@ POSTINGS = "term string, chunk_id long, passage_id long, dl int, n_terms int, tf
 DEAD = "segment string, chunk_id long"
 
 
+SENT = 2_000_000  # tombstones of a segment, eight bytes each, that go to all tasks
+
+
 class Conflict(RuntimeError):
     """Another writer has committed the next version."""
 
@@ -51,9 +54,14 @@ class Segments:
 
     def _write(self, df: DataFrame, kind: str, by: tuple[str, ...] = ()) -> str:
         name = f"{kind}-{uuid.uuid4().hex}"
-        (df.write.partitionBy(*by) if by else df.write).parquet(f"{self.path}/{kind}/{name}")
+        self._stored(df, kind, name, by)
         return name
 
+    def _stored(self, df: DataFrame, kind: str, name: str, by: tuple[str, ...] = ()) -> None:
+        """Rows are written where they are made, so that they do not move."""
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(*by) if by else writer).parquet(f"{self.path}/{kind}/{name}")
+
     def _read(self, kind: str, names: list[str], schema: str) -> DataFrame:
         """The tables `names`, with `segment`, the name of each row's table."""
         if not names:
@@ -79,41 +87,53 @@ class Segments:
 
     def units(self) -> DataFrame:
         """(chunk_id, passage_id, dl, terms, segment) of the live units."""
-        return self._living(self._read("units", self.names, UNITS))
+        return self._living("units", self.names, UNITS)
 
-    def _living(self, rows: DataFrame) -> DataFrame:
+    def _living(self, kind: str, names: list[str], schema: str) -> DataFrame:
+        """The rows of the tables `names` whose units have no tombstone. A segment's tombstones go to its rows, if they are few enough."""
+        if not names or not self.state["dead"]:
+            return self._read(kind, names, schema)
         dead = self._read("dead", self.state["dead"], DEAD)
-        return rows.join(dead, ["segment", "chunk_id"], "left_anti") if self.state["dead"] else rows
+        sizes = {r["segment"]: r["count"] for r in dead.groupBy("segment").count().collect()}  # a row for each segment
+
+        def living(name: str) -> DataFrame:
+            rows, own = self._read(kind, [name], schema), dead.where(F.col("segment") == name).select("chunk_id")
+            return rows.join(F.broadcast(own) if sizes[name] <= SENT else own, "chunk_id", "left_anti") if name in sizes else rows
+
+        return reduce(DataFrame.unionByName, [living(n) for n in names])
 
     def _segment(self, tokenised: DataFrame) -> tuple[str, DataFrame, int, int]:
         """Writes a segment of (chunk_id, passage_id, tokens); its name, units, their number and summed length."""
         name = f"segment-{uuid.uuid4().hex}"
         rows = tokenised.select("chunk_id", "passage_id", F.size("tokens").alias("dl"), F.array_distinct("tokens").alias("terms"))
-        rows.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{self.path}/units/{name}")
+        self._stored(rows, "units", name)
         postings = index.postings(tokenised).withColumn("bucket", index.bucket(F.col("term")))
-        self._store_postings(postings, name)
+        self._stored(postings, "postings", name, ("bucket",))
         units = self.spark.read.schema(UNITS).parquet(f"{self.path}/units/{name}")
         n, length = units.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         return name, units, n, length
 
-    def _store_postings(self, postings: DataFrame, name: str) -> None:
-        index.dealt(postings).write.partitionBy("bucket").parquet(f"{self.path}/postings/{name}")
-
     def apply(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> Segments:
         """The next version, with `upserts` (chunk_id, passage_id, text) in place of the units of their ids, and without `deletes` (chunk_id)."""
         state = json.loads(json.dumps(self.state))
-        gone, tokenised = [], None
+        gone, tokenised, scratch = [], None, []
+
+        def once(df: DataFrame, label: str) -> DataFrame:
+            """`df`, written until the change is committed."""
+            scratch.append(written(df, label))
+            return scratch[-1]
+
         if upserts is not None:
             if not upserts.where("chunk_id is null").isEmpty():
                 raise ValueError("units need a chunk_id")
             one = upserts.groupBy("chunk_id").agg(F.max(F.struct("passage_id", F.coalesce("text", F.lit("")).alias("text"))).alias("x")).select("chunk_id", "x.*")
-            tokenised = written(index.lengths(one, self.stop), "segment-tokens")
+            tokenised = once(index.lengths(one, self.stop), "segment-tokens")
             gone.append(tokenised.select("chunk_id"))
         if deletes is not None:
             gone.append(deletes.select("chunk_id").where("chunk_id is not null"))
         if gone and self.names:
             ids = reduce(DataFrame.unionByName, gone).distinct()
-            dead = written(self.units().join(ids, "chunk_id", "left_semi"), "segment-dead")
+            dead = once(self.units().join(ids, "chunk_id", "left_semi"), "segment-dead")
             n, length = dead.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
             if n:
                 state["dead"].append(self._write(dead.select("segment", "chunk_id"), "dead"))
@@ -127,7 +147,10 @@ class Segments:
             state["counts"].append(self._write(units.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "counts"))
             state["n"], state["length"] = state["n"] + n, state["length"] + length
         state["segments"] = {k: v for k, v in state["segments"].items() if v}
-        return self._commit(state)
+        made = self._commit(state)
+        for df in scratch:
+            discard(df)
+        return made
 
     def due(self, fan: int = 4) -> list[str]:
         """The segments that `merge` would join: the smallest tier (sizes within a factor `fan`) of `fan` segments or more."""
@@ -146,9 +169,8 @@ class Segments:
             return self
         state = json.loads(json.dumps(self.state))
         name = f"segment-{uuid.uuid4().hex}"
-        units = self._living(self._read("units", names, UNITS)).drop("segment")
-        units.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{self.path}/units/{name}")
-        self._store_postings(self._living(self._read("postings", names, POSTINGS)).drop("segment"), name)
+        self._stored(self._living("units", names, UNITS).drop("segment"), "units", name)
+        self._stored(self._living("postings", names, POSTINGS).drop("segment"), "postings", name, ("bucket",))
         state["segments"] = {k: v for k, v in state["segments"].items() if k not in names} | {name: sum(state["segments"][k] for k in names)}
         if state["dead"]:
             left = self._read("dead", state["dead"], DEAD).where(F.col("segment").isin(list(state["segments"])))
@@ -161,7 +183,7 @@ class Segments:
 
     def lexical(self) -> index.Lexical:
         """The index as `retrieve.bm25_indexed` takes it. Buckets of terms are pruned in every segment."""
-        postings = self._living(self._read("postings", self.names, POSTINGS)).drop("segment")
+        postings = self._living("postings", self.names, POSTINGS).drop("segment")
         mean = self.state["length"] / self.state["n"] if self.state["n"] else None
         return index.Lexical(postings, self._counts(), self.spark.createDataFrame([(self.state["n"], mean)], "n long, avgdl double"))
 

@@ -97,3 +97,23 @@ def test_repeated_and_missing_ids(spark, tmp_path):
     none = seg.apply(deletes=spark.createDataFrame([(1,), (2,)], "chunk_id long"))
     assert none.names == [] and none.lexical().postings.count() == 0 and none.lexical().stats.first()[0] == 0
     same(spark, none.apply(units(spark, {7: "word7"})), {7: "word7"})
+
+
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+def test_a_change_leaves_nothing_beside_the_index(spark, tmp_path, monkeypatch, sent):
+    """Tokens and dead units that a change writes go with its commit; tombstones filter the same, sent to the rows or not."""
+    from quillon.sources import segments
+    from quillon.sources.files import listed, shared_folder
+
+    monkeypatch.setattr(segments, "SENT", sent)
+    before = listed(spark, f"{shared_folder(spark)}/work")
+    now = texts(30, 1)
+    made = Segments(spark, f"file://{tmp_path}/{sent}").apply(units(spark, now))
+    made = made.apply(units(spark, {3: "word1 new", 40: "word2"}), spark.createDataFrame([(5,), (7,), (99,)], "chunk_id long"))
+    now = {i: t for i, t in (now | {3: "word1 new", 40: "word2"}).items() if i not in (5, 7)}
+    asked = spark.createDataFrame([(1, "word1 word2 new"), (2, "word7")], "query_id long, query_text string")
+    want = rows_of(retrieve.bm25_indexed(asked, fresh(spark, now)))
+    names = ["term", "chunk_id", "passage_id", "dl", "n_terms", "tf", "bucket"]
+    for state in (made, made.apply(units(spark, {41: ""}), spark.createDataFrame([(41,)], "chunk_id long")).apply(None, spark.createDataFrame([(41,)], "chunk_id long")).merge(2)):
+        assert rows_of(retrieve.bm25_indexed(asked, state.lexical())) == want and rows_of(state.lexical().postings.select(names)) == rows_of(fresh(spark, now).postings.select(names))
+    assert listed(spark, f"{shared_folder(spark)}/work") == before
